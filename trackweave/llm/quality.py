@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from trackweave.llm.common import NO_GAP, WORD_GAP, let, materialize
 
 SYMBOLS = "#*$%&|<>"
-MARKS = r"!-/:-@\[-`{-~"
+MARKS = "!#$%&*+,./:;<=>?@_|~"
 
 
 @dataclass(frozen=True)

@@ -6,18 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackweave.llm import quality
+from trackweave.llm import licenses, quality, sharding
 from trackweave.llm.common import table
 
+SHARDS = sharding.regular_tree(40)
+
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(licenses.corpus_files(table(spark, sf_dir, "documents")))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_tree(table(spark, sf_dir, "documents"), SHARDS, sharding.grow(SHARDS))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
+    "op3_licenses": op3_licenses,
+    "op9_sharding": op9_sharding,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality": quality.oracle(),
+    "op3_licenses": licenses.oracle(),
+    "op9_sharding": sharding.oracle(SHARDS, sharding.grow(SHARDS)),
 }

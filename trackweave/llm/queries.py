@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trackweave.llm import licenses, quality, sharding
+from trackweave.llm import bpe, langid, licenses, quality, sharding
 from trackweave.llm.common import table
 
 SHARDS = sharding.regular_tree(40)
@@ -20,6 +21,22 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(licenses.corpus_files(table(spark, sf_dir, "documents")))
 
 
+def vocabulary() -> str:
+    """Where the public vocabulary file lies; a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.bpe_encode(table(spark, sf_dir, "documents"), vocabulary())
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_tree(table(spark, sf_dir, "documents"), SHARDS, sharding.grow(SHARDS))
 
@@ -27,7 +44,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_licenses": op3_licenses,
+    "op6_bpe": op6_bpe,
     "op9_sharding": op9_sharding,
+    "op10_langid": op10_langid,
 }
 
 ORACLES: dict[str, str] = {

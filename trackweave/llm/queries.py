@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.llm import bpe, langid, licenses, quality, sharding
+from trackweave.llm import bpe, jaccard, langid, licenses, quality, sharding
 from trackweave.llm.common import table
 
 SHARDS = sharding.regular_tree(40)
@@ -21,6 +21,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(licenses.corpus_files(table(spark, sf_dir, "documents")))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("class")
+
+
 def vocabulary() -> str:
     """Where the public vocabulary file lies; a parameter of the operator."""
     import public_tokenizers
@@ -44,6 +48,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_licenses": op3_licenses,
+    "op5_jaccard": op5_jaccard,
     "op6_bpe": op6_bpe,
     "op9_sharding": op9_sharding,
     "op10_langid": op10_langid,

@@ -10,7 +10,7 @@ from trackweave.llm.common import materialize
 SALTS = 32
 
 
-def salted_join(rows: DataFrame, small: DataFrame, key: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+def salted_join(rows: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Join ``rows`` with ``small``, which has one row a key at most.
 
     A key may hold any share of ``rows``: they are dealt over ``salts`` keys by a hash
@@ -18,7 +18,8 @@ def salted_join(rows: DataFrame, small: DataFrame, key: str, how: str = "inner",
     """
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
     copied = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copied, [key, "_salt"], how).drop("_salt")
+    keys = [key] if isinstance(key, str) else key
+    return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
 
 
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.llm import bpe, jaccard, langid, licenses, quality, sharding, suffixes
-from trackweave.llm.common import table
+from trackweave.llm import bpe, jaccard, langid, licenses, media, mixing, quality, sharding, suffixes
+from trackweave.llm.common import scratch_path, table
 
 SHARDS = sharding.regular_tree(40)
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -21,6 +25,23 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(licenses.corpus_files(table(spark, sf_dir, "documents")))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "media")
+    media.write_archives(table(spark, sf_dir, "documents"), path)
+    read = media.with_features(media.read_archives(spark, path))
+    tail = F.crc32(F.substring("payload", -16, 16))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        tail.alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("class")
 
@@ -52,8 +73,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
     "op3_licenses": op3_licenses,
+    "op4_media": op4_media,
     "op5_jaccard": op5_jaccard,
     "op6_bpe": op6_bpe,
     "op8_repeats": op8_repeats,
@@ -62,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_mixing": mixing.oracle(),
     "op2_quality": quality.oracle(),
     "op3_licenses": licenses.oracle(),
     "op9_sharding": sharding.oracle(SHARDS, sharding.grow(SHARDS)),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.llm import bpe, jaccard, langid, licenses, media, mixing, quality, sharding, suffixes
+from trackweave.llm import bpe, jaccard, langid, licenses, media, mixing, quality, sharding, suffixes, urls
 from trackweave.llm.common import scratch_path, table
 
 SHARDS = sharding.regular_tree(40)
@@ -58,6 +58,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"), urls.page_labels(table(spark, sf_dir, "labels")))
+
+
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_media": op4_media,
     "op5_jaccard": op5_jaccard,
     "op6_bpe": op6_bpe,
+    "op7_urls": op7_urls,
     "op8_repeats": op8_repeats,
     "op9_sharding": op9_sharding,
     "op10_langid": op10_langid,
@@ -88,5 +93,6 @@ ORACLES: dict[str, str] = {
     "op1_mixing": mixing.oracle(),
     "op2_quality": quality.oracle(),
     "op3_licenses": licenses.oracle(),
+    "op7_urls": urls.oracle(),
     "op9_sharding": sharding.oracle(SHARDS, sharding.grow(SHARDS)),
 }

@@ -1,6 +1,7 @@
 """Exact n-gram Jaccard self-join by vertical partitioning.
 
-Texts become sets of word shingles, kept as 64-bit fingerprints. The fingerprints'
+Texts become sets of word shingles, kept as fingerprints: of 64 bits, then the
+fragment and 48 bits. The fingerprints'
 order is the global n-gram order; it is cut into fragments, and each map task sends
 one packed row to each fragment. There, shingles of one text alone are dropped; the
 others go back to their texts, which so learn each shingle's frequency. A text with
@@ -13,7 +14,8 @@ of the pair and the parts are summed per pair. Candidates come in two steps, so
 large groups of near copies do not emit all their pairs: first each class with the
 least class of its prefix lists that it shares most with, then all pairs that share a
 prefix shingle and are not connected yet. Links inside a component are not needed to
-find it, so no component is lost.
+find it, so no component is lost. The pairs of the second step fulfil the prefix
+filter for the sizes of both, which spares most pairs of large groups.
 
 Null and empty texts have empty sets and link with nothing; texts shorter than a
 shingle are one shingle. Repeated rows and equal texts share a class. A null doc_id
@@ -29,7 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.llm.common import materialize, shuffle_partitions
@@ -46,6 +48,8 @@ class JaccardJoin:
     shingle: int = 5
     percent: int = 75
     segments: int = 8
+    sample: int = 16  # lists of each class for candidates of the first kind
+    rounds: tuple[int, ...] = (1,)  # parts of each list in the rounds of such candidates
 
 
 class _WordHash(dict):
@@ -116,7 +120,9 @@ def _pack(docs: DataFrame, model: JaccardJoin, parts: int) -> DataFrame:
             index = np.repeat(np.arange(len(own)), lens).astype(np.uint16)
             for p, values, at in _split(_fragment(every, parts), parts, every, index):
                 used, at = np.unique(at, return_inverse=True)
-                out.append((p, SHINGLE, values.tobytes(), at.astype(np.uint16).tobytes(), own[used].tobytes()))
+                # the fragment stands for the upper bits: 48 bits are left to send
+                upper = (values >> np.uint64(32)).astype(np.uint16)
+                out.append((p, SHINGLE, values.astype(np.uint32).tobytes() + upper.tobytes(), at.astype(np.uint16).tobytes(), own[used].tobytes()))
         yield _rows(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +158,10 @@ def _shared(packed: DataFrame, parts: int) -> DataFrame:
             rest = []
             for part, kind, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if kind == SHINGLE:
-                    values.append(np.frombuffer(a, np.uint64))
-                    owners.append(np.frombuffer(c, np.int64)[np.frombuffer(b, np.uint16)])
+                    at = np.frombuffer(b, np.uint16)
+                    lower, upper = np.frombuffer(a, np.uint32, len(at)), np.frombuffer(a, np.uint16, len(at), 4 * len(at))
+                    values.append(np.uint64(part << 48) | upper.astype(np.uint64) << np.uint64(32) | lower)
+                    owners.append(np.frombuffer(c, np.int64)[at])
                 else:
                     rest.append((part, kind, a, b, c))
             if rest:
@@ -179,7 +187,7 @@ def _shared(packed: DataFrame, parts: int) -> DataFrame:
     return packed.repartitionById(parts, F.col("part")).mapInArrow(run, PACK_SCHEMA)
 
 
-GATHERED = "doc_id long, class long, n int, segments array<array<long>>, prefix array<long>"
+GATHERED = "doc_id long, class long, n int, alone int, segments array<array<long>>, prefix array<long>"
 
 
 def _gather(shared: DataFrame, model: JaccardJoin, parts: int) -> DataFrame:
@@ -187,9 +195,9 @@ def _gather(shared: DataFrame, model: JaccardJoin, parts: int) -> DataFrame:
     percent, cuts = model.percent, model.segments
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(doc: list, cls: list, n: list, segments: list, prefix: list) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((doc, cls, n, segments, prefix), kinds, strict=True)], ["doc_id", "class", "n", "segments", "prefix"])
+        def out(*columns: list) -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["doc_id", "class", "n", "alone", "segments", "prefix"])
 
         size: dict[int, int] = {}
         h, own, often = [], [], []
@@ -200,7 +208,7 @@ def _gather(shared: DataFrame, model: JaccardJoin, parts: int) -> DataFrame:
                     missing = np.frombuffer(a, np.uint8)[8 * m :]
                     ids = [None if x else int(d) for d, x in zip(np.frombuffer(a, np.int64, m), missing, strict=True)]
                     names = [int(x) if k else None for x, k in zip(np.frombuffer(b, np.int64), np.frombuffer(c, np.int32), strict=True)]
-                    yield out(ids, names, np.frombuffer(c, np.int32).tolist(), [None] * m, [None] * m)
+                    yield out(ids, names, np.frombuffer(c, np.int32).tolist(), [None] * m, [None] * m, [None] * m)
                 elif kind == CLASS:
                     size.update(zip(np.frombuffer(a, np.int64).tolist(), np.frombuffer(b, np.int32).tolist(), strict=True))
                 else:
@@ -225,9 +233,9 @@ def _gather(shared: DataFrame, model: JaccardJoin, parts: int) -> DataFrame:
             mine, freq = hs[s:e], ns[s:e]
             first = mine[np.lexsort((mine, freq))[:room]]
             mine = np.sort(mine)
-            at = np.searchsorted(_fragment(mine, cuts), np.arange(cuts + 1))
+            at = np.searchsorted((mine >> np.uint64(48)).astype(np.int64) * cuts // parts, np.arange(cuts + 1))
             signed = mine.view(np.int64)
-            rows.append((None, name, n, [signed[at[k] : at[k + 1]] for k in range(cuts)], first.view(np.int64)))
+            rows.append((None, name, n, n - int(e - s), [signed[at[k] : at[k + 1]] for k in range(cuts)], first.view(np.int64)))
             if len(rows) >= 500:
                 yield out(*map(list, zip(*rows, strict=True)))
                 rows = []
@@ -247,34 +255,72 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return summed.where(100 * F.col("k") >= percent * (F.col("na") + F.col("nb") - F.col("k"))).select("a", "b")
 
 
+def _rooted(posted: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return posted.withColumn("root", F.col("class"))
+    return posted.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+
+
+def _close(x: Column, y: Column, percent: int) -> Column:
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
+def _stars(sets: DataFrame, roots: DataFrame | None, model: JaccardJoin, salts: int) -> DataFrame:
+    """For each class, the head of another component that most of its sampled lists have.
+
+    The lists are those of the ``sample`` most frequent prefix shingles; each is cut
+    into ``salts`` parts with a head each. Few candidates a class, whatever the lists'
+    lengths; what they miss is left to :func:`_open_pairs`.
+    """
+    sample = F.slice("prefix", F.greatest(F.size("prefix") - model.sample + 1, F.lit(1)), model.sample)
+    posted = _rooted(sets.select("class", "n", F.explode(sample).alias("shingle")), roots)
+    order = F.xxhash64("class", F.lit(salts))
+    posted = posted.withColumn("share", F.pmod(order, F.lit(salts)).cast("int"))
+    heads = posted.groupBy("shingle", "share").agg(F.min(F.struct(order.alias("o"), "class", "n", "root")).alias("h"))
+    heads = heads.select("shingle", "share", F.col("h.class").alias("b"), F.col("h.n").alias("nb"), F.col("h.root").alias("rb"))
+    # each class meets the head of one part, not always its own
+    aim = F.pmod(F.xxhash64("class", F.lit(salts + 1)), F.lit(salts)).cast("int")
+    met = salted_join(posted.withColumn("share", aim), heads, ["shingle", "share"])
+    met = met.where((F.col("root") != F.col("rb")) & _close(F.col("n"), F.col("nb"), model.percent))
+    counted = met.groupBy(F.col("class").alias("a"), "b").agg(F.count(F.lit(1)).alias("k"))
+    return counted.groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
+
+
+def _open_pairs(sets: DataFrame, roots: DataFrame, model: JaccardJoin) -> DataFrame:
+    """All pairs of classes that may link and are not connected yet.
+
+    A pair of sizes x and y that links has at least ``least`` shingles in common, so
+    one of them is among the first x - least + 1 of the one and the first
+    y - least + 1 of the other, in the order of frequency.
+    """
+    posted = sets.select("class", "n", "alone", F.posexplode("prefix").alias("at", "shingle"))
+    posted = posted.select("class", "n", (F.col("alone") + F.col("at")).alias("at"), "shingle")
+    rooted = materialize(_rooted(posted, roots), "jaccard-lists")
+    open_lists = rooted.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
+    left = salted_join(rooted, open_lists, "shingle")
+    right = left.select("shingle", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("at").alias("atb"))
+    left = left.withColumnsRenamed({"class": "a", "n": "na", "root": "ra", "at": "ata"})
+    least = F.ceil(model.percent * (F.col("na") + F.col("nb")) / (100 + model.percent))
+    may = (F.col("ata") <= F.col("na") - least) & (F.col("atb") <= F.col("nb") - least)
+    pairs = left.join(right, (left["shingle"] == right["shingle"]) & (F.col("ra") < F.col("rb")) & may)
+    return pairs.select("a", "b").distinct()
+
+
 def jaccard_components(docs: DataFrame, model: JaccardJoin | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, class) of every row of docs(doc_id, text)."""
     model = model or JaccardJoin()
     parts = shuffle_partitions(docs.sparkSession)
     gathered = materialize(_gather(_shared(_pack(docs, model, parts), parts), model, parts), "jaccard")
     members = gathered.where(F.col("segments").isNull()).select("doc_id", "class", "n")
-    sets = gathered.where(F.col("segments").isNotNull()).select("class", "n", "segments", "prefix")
-    posted = sets.select("class", "n", F.explode("prefix").alias("shingle"))
-    close = lambda x, y: (100 * F.least(x, y) >= model.percent * F.greatest(x, y))
-
-    # first step: a star around the least class of the lists a class shares most
-    heads = posted.groupBy("shingle").agg(F.min(F.struct("class", "n")).alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    stars = salted_join(posted, heads.select("shingle", F.col("head.class").alias("b"), F.col("head.n").alias("nb")), "shingle")
-    stars = stars.where((F.col("class") != F.col("b")) & close(F.col("n"), F.col("nb")))
-    stars = stars.groupBy(F.col("class").alias("a"), "b").agg(F.count(F.lit(1)).alias("k")).groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
-    linked = materialize(_verify(stars, sets, model.percent), "jaccard-stars")
-    first = materialize(components(linked, "jaccard-first").withColumnsRenamed({"node": "class", "label": "root"}), "jaccard-roots")
-
-    # second step: all pairs with a common prefix shingle that are not connected yet
-    rooted = posted.join(first, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    rooted = materialize(rooted, "jaccard-lists")
-    open_lists = rooted.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
-    left = salted_join(rooted, open_lists, "shingle")
-    right = left.select("shingle", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    pairs = left.withColumnsRenamed({"class": "a", "n": "na", "root": "ra"}).join(right, "shingle")
-    pairs = pairs.where((F.col("ra") < F.col("rb")) & close(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    more = materialize(_verify(materialize(pairs, "jaccard-pairs"), sets, model.percent), "jaccard-links")
-    joined = components(linked.union(more), "jaccard-second").withColumnsRenamed({"node": "class", "label": "root"})
+    sets = gathered.where(F.col("segments").isNotNull()).select("class", "n", "alone", "segments", "prefix")
+    links, roots = None, None
+    for salts in model.rounds:
+        found = materialize(_verify(_stars(sets, roots, model, salts), sets, model.percent), "jaccard-stars")
+        links = found if links is None else links.union(found)
+        roots = components(links, "jaccard-components").withColumnsRenamed({"node": "class", "label": "root"})
+    more = _verify(materialize(_open_pairs(sets, roots, model), "jaccard-pairs"), sets, model.percent)
+    links = links.union(materialize(more, "jaccard-links"))
+    joined = components(links, "jaccard-components").withColumnsRenamed({"node": "class", "label": "root"})
 
     # names: the least doc_id of each component
     least = members.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least"))

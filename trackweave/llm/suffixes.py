@@ -49,6 +49,10 @@ class LongRepeats:
     anchor: int = 20
     batch: int = 1 << 18
 
+    def __post_init__(self) -> None:
+        if not 16 <= self.anchor <= min(24, self.length):  # three loads of 8 bytes must cover an anchor
+            raise ValueError("anchor must be 16 to 24 bytes and fit into length")
+
 
 def row_key(doc_id: int, data: bytes) -> int:
     """Names a row in the shuffles; rows with equal id and text share it."""
@@ -469,7 +473,7 @@ def remove_repeats(docs: DataFrame, model: LongRepeats | None = None) -> DataFra
     """(doc_id, n_bytes, spans removed, bytes kept) of every row of docs(doc_id, text)."""
     model = model or LongRepeats()
     parts = shuffle_partitions(docs.sparkSession)
-    buckets = 3 * parts
+    buckets = parts
     texts = _texts(docs, buckets)
     found = _compare(_anchors(docs, model, parts), parts, buckets)
     spans = _suffixes(_fetch(texts, found, model, parts), model, parts, buckets)

@@ -1,0 +1 @@
+"""A PySpark engine for tracking by assignment: detections, candidate graphs, energies, exact labelling, events."""

@@ -15,7 +15,8 @@ large groups of near copies do not emit all their pairs: first each class with t
 least class of its prefix lists that it shares most with, then all pairs that share a
 prefix shingle and are not connected yet. Links inside a component are not needed to
 find it, so no component is lost. The pairs of the second step fulfil the prefix
-filter for the sizes of both, which spares most pairs of large groups.
+filter for the sizes of both and have enough of their prefixes in common, which spares
+most pairs of large groups.
 
 Null and empty texts have empty sets and link with nothing; texts shorter than a
 shingle are one shingle. Repeated rows and equal texts share a class. A null doc_id
@@ -47,9 +48,10 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 class JaccardJoin:
     shingle: int = 5
     percent: int = 75
-    segments: int = 8
+    segments: int = 4
     sample: int = 16  # lists of each class for candidates of the first kind
-    rounds: tuple[int, ...] = (1,)  # parts of each list in the rounds of such candidates
+    #: Heads of a list, least length of a list, candidates of a class, for each round.
+    rounds: tuple[tuple[int, int, int], ...] = ((1, 2, 1), (8, 32, 4), (64, 32, 48))
 
 
 class _WordHash(dict):
@@ -256,34 +258,40 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _rooted(posted: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Add each class's root and the number of classes that its component has."""
     if roots is None:
-        return posted.withColumn("root", F.col("class"))
-    return posted.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+        return posted.withColumn("root", F.col("class")).withColumn("size", F.lit(1).cast("long"))
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    known = salted_join(roots, sizes, "root")
+    return posted.join(known, "class", "left").withColumn("root", F.coalesce("root", "class")).withColumn("size", F.coalesce("size", F.lit(1)))
 
 
 def _close(x: Column, y: Column, percent: int) -> Column:
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
-def _stars(sets: DataFrame, roots: DataFrame | None, model: JaccardJoin, salts: int) -> DataFrame:
-    """For each class, the head of another component that most of its sampled lists have.
+def _stars(sets: DataFrame, roots: DataFrame | None, model: JaccardJoin, heads: int, crowd: int, tries: int) -> DataFrame:
+    """For each class, heads of other components that most of its sampled lists have.
 
-    The lists are those of the ``sample`` most frequent prefix shingles; each is cut
-    into ``salts`` parts with a head each. Few candidates a class, whatever the lists'
-    lengths; what they miss is left to :func:`_open_pairs`.
+    The lists are those of the ``sample`` most frequent prefix shingles that have at
+    least ``crowd`` classes; each is cut by hash into as many parts as ``heads``, with a
+    head each. Up to ``tries`` candidates a class, whatever the lists' lengths; what they
+    miss is left to :func:`_open_pairs`.
     """
     sample = F.slice("prefix", F.greatest(F.size("prefix") - model.sample + 1, F.lit(1)), model.sample)
     posted = _rooted(sets.select("class", "n", F.explode(sample).alias("shingle")), roots)
-    order = F.xxhash64("class", F.lit(salts))
-    posted = posted.withColumn("share", F.pmod(order, F.lit(salts)).cast("int"))
-    heads = posted.groupBy("shingle", "share").agg(F.min(F.struct(order.alias("o"), "class", "n", "root")).alias("h"))
-    heads = heads.select("shingle", "share", F.col("h.class").alias("b"), F.col("h.n").alias("nb"), F.col("h.root").alias("rb"))
-    # each class meets the head of one part, not always its own
-    aim = F.pmod(F.xxhash64("class", F.lit(salts + 1)), F.lit(salts)).cast("int")
-    met = salted_join(posted.withColumn("share", aim), heads, ["shingle", "share"])
-    met = met.where((F.col("root") != F.col("rb")) & _close(F.col("n"), F.col("nb"), model.percent))
+    order = F.xxhash64("class", F.lit(heads))
+    lists = posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    posted = salted_join(posted, lists.where((F.col("m") >= crowd) & (F.col("lo") < F.col("hi"))).select("shingle"), "shingle")
+    part = posted.groupBy("shingle", F.pmod(order, F.lit(heads)).alias("part")).agg(F.min(F.struct(order.alias("o"), "class", "n", "root", "size")).alias("h"))
+    found = part.groupBy("shingle").agg(F.collect_list(F.struct(F.col("h.class").alias("b"), F.col("h.n").alias("nb"), F.col("h.root").alias("rb"), F.col("h.size").alias("sb"))).alias("heads"))
+    met = salted_join(posted, found, "shingle").select("class", "n", "root", "size", F.inline("heads"))
+    # only the smaller component looks for the larger one
+    other = (F.col("root") != F.col("rb")) & (F.struct("size", "root") < F.struct("sb", "rb"))
+    met = met.where((other if heads > 1 else F.col("root") != F.col("rb")) & _close(F.col("n"), F.col("nb"), model.percent))
     counted = met.groupBy(F.col("class").alias("a"), "b").agg(F.count(F.lit(1)).alias("k"))
-    return counted.groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
+    best = counted.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "b")), asc=False), 1, tries).alias("best"))
+    return best.select("a", F.explode(F.transform("best", lambda x: x["b"])).alias("b"))
 
 
 def _open_pairs(sets: DataFrame, roots: DataFrame, model: JaccardJoin) -> DataFrame:
@@ -295,7 +303,7 @@ def _open_pairs(sets: DataFrame, roots: DataFrame, model: JaccardJoin) -> DataFr
     """
     posted = sets.select("class", "n", "alone", F.posexplode("prefix").alias("at", "shingle"))
     posted = posted.select("class", "n", (F.col("alone") + F.col("at")).alias("at"), "shingle")
-    rooted = materialize(_rooted(posted, roots), "jaccard-lists")
+    rooted = materialize(_rooted(posted, roots).drop("size"), "jaccard-lists")
     open_lists = rooted.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
     left = salted_join(rooted, open_lists, "shingle")
     right = left.select("shingle", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("at").alias("atb"))
@@ -303,7 +311,22 @@ def _open_pairs(sets: DataFrame, roots: DataFrame, model: JaccardJoin) -> DataFr
     least = F.ceil(model.percent * (F.col("na") + F.col("nb")) / (100 + model.percent))
     may = (F.col("ata") <= F.col("na") - least) & (F.col("atb") <= F.col("nb") - least)
     pairs = left.join(right, (left["shingle"] == right["shingle"]) & (F.col("ra") < F.col("rb")) & may)
-    return pairs.select("a", "b").distinct()
+    return _by_prefix(pairs.select("a", "b").distinct(), sets, model.percent)
+
+
+def _by_prefix(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose whole prefixes have enough in common.
+
+    Of the two prefixes take the one that ends first: its shingles that the other text
+    has lie in the other's prefix, and after it at most ceil(percent of its size) - 1
+    shingles follow.
+    """
+    one = sets.select(F.col("class").alias("first"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
+    two = sets.select(F.col("class").alias("second"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
+    both = pairs.select(F.col("a").alias("first"), F.col("b").alias("second")).join(one, "first").join(two, "second")
+    least = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    after = F.ceil(percent * F.greatest("na", "nb") / 100) - 1
+    return both.where(F.size(F.array_intersect("pa", "pb")) >= least - after).select(F.col("first").alias("a"), F.col("second").alias("b"))
 
 
 def jaccard_components(docs: DataFrame, model: JaccardJoin | None = None) -> DataFrame:
@@ -314,8 +337,8 @@ def jaccard_components(docs: DataFrame, model: JaccardJoin | None = None) -> Dat
     members = gathered.where(F.col("segments").isNull()).select("doc_id", "class", "n")
     sets = gathered.where(F.col("segments").isNotNull()).select("class", "n", "alone", "segments", "prefix")
     links, roots = None, None
-    for salts in model.rounds:
-        found = materialize(_verify(_stars(sets, roots, model, salts), sets, model.percent), "jaccard-stars")
+    for heads, crowd, tries in model.rounds:
+        found = materialize(_verify(_stars(sets, roots, model, heads, crowd, tries), sets, model.percent), "jaccard-stars")
         links = found if links is None else links.union(found)
         roots = components(links, "jaccard-components").withColumnsRenamed({"node": "class", "label": "root"})
     more = _verify(materialize(_open_pairs(sets, roots, model), "jaccard-pairs"), sets, model.percent)

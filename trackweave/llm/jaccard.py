@@ -40,7 +40,7 @@ from trackweave.llm.graphs import components, salted_join
 
 WORD_CACHE = 300_000
 PACK_DOCS = 4096
-PACK_SHINGLES = 2_000_000
+PACK_SHINGLES = 1_000_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

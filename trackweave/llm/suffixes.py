@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from trackweave.llm.common import shuffle_partitions
 
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-PACK_BYTES = 6_000_000
+PACK_BYTES = 2_000_000
 PACK_DOCS = 8_000
 PLACE = 24  # bits for a position in a pack
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import materialize, shuffle_partitions
+from trackweave.llm.common import materialize, release_memory, shuffle_partitions
 from trackweave.llm.graphs import components, salted_join
 
 WORD_CACHE = 300_000
@@ -147,6 +147,7 @@ def _pack(docs: DataFrame, model: JaccardJoin, parts: int) -> DataFrame:
                     ids, classes, sets, total = [], [], {}, 0
         if ids:
             yield from flush(ids, classes, sets)
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PACK_SCHEMA)
 
@@ -185,6 +186,8 @@ def _shared(packed: DataFrame, parts: int) -> DataFrame:
         keep = n[at] > 1
         h, own, n = h[keep], own[keep], n[at][keep].astype(np.int32)
         yield _rows([(p, SHINGLE, x.tobytes(), o.tobytes(), k.tobytes()) for p, x, o, k in _split(own % parts, parts, h, own, n)])
+        del h, own, n, at, order
+        release_memory()
 
     return packed.repartitionById(parts, F.col("part")).mapInArrow(run, PACK_SCHEMA)
 

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackweave.llm.common import release_memory
+
 UNKNOWN = "und"
 
 
@@ -95,7 +97,7 @@ def fit(docs: DataFrame, model: Profiles) -> dict[str, np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
+        for batch in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):
             by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by.setdefault(lang, []).append(grams(text))
@@ -135,9 +137,11 @@ def detect(docs: DataFrame, profiles: dict[str, np.ndarray], model: Profiles, ke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            judged = [judge(x, profiles, size) for x in batch.column(0).to_pylist()]
-            more = [pa.array([x for x, _ in judged], pa.string()), pa.array([s for _, s in judged], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *more], [*keep, "lang_pred", "score"])
+            for part in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
+                judged = [judge(x, profiles, size) for x in part.column(0).to_pylist()]
+                more = [pa.array([x for x, _ in judged], pa.string()), pa.array([s for _, s in judged], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *more], [*keep, "lang_pred", "score"])
+        release_memory()
 
     return docs.select("text", *keep).mapInArrow(run, schema)
 

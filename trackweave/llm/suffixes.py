@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import shuffle_partitions
+from trackweave.llm.common import release_memory, shuffle_partitions
 
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 PACK_BYTES = 2_000_000
@@ -205,6 +205,7 @@ def _anchors(docs: DataFrame, model: LongRepeats, parts: int) -> DataFrame:
                     used, at = np.unique(rw, return_inverse=True)
                     rows.append((p, WHOLE, _dump(nm, bd, at.astype(np.uint16), pl.astype(np.uint32 if whole <= most else np.uint64), ct.astype(np.uint8)) + b"|" + _dump(ids[used], keys[used])))
                 yield _batch(rows)
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
 
@@ -248,6 +249,8 @@ def _compare(anchors: DataFrame, parts: int, buckets: int) -> DataFrame:
         rows = [(b, WHOLE, _dump(k, p, p + c)) for b, k, p, c in _parts(key[later] % buckets, buckets, key[later], place[later].astype(np.int64), count[later].astype(np.int64))]
         rows += [(b, ASKED, _dump(n, k, p, c)) for b, n, k, p, c in _parts(key[asked] % buckets, buckets, name[asked], key[asked], place[asked].astype(np.int64), count[asked])]
         yield _batch(rows)
+        del name, body, doc, key, place, count
+        release_memory()
 
     return anchors.repartitionById(parts, F.col("part")).mapInArrow(run, SCHEMA)
 
@@ -441,7 +444,9 @@ def _suffixes(fetched: DataFrame, model: LongRepeats, parts: int, buckets: int)
                 found.append(merged(key[own][row], start, start + length))
             key, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
             rows += [(b, WHOLE, _dump(*x)) for b, *x in _parts(key % buckets, buckets, key, start, end)]
+            del context, found, order
         yield _batch(rows)
+        release_memory()
 
     return fetched.repartitionById(parts, F.col("part")).mapInArrow(run, SCHEMA)
 

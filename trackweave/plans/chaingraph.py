@@ -91,19 +91,29 @@ def infer(nodes: DataFrame, arcs: DataFrame, pairs: DataFrame, options: Any) ->
     both = both.unionByName(pairs.select("component", "src", F.col("d1").alias("dst"), "d2", F.col("division").alias("cost")))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["node", "dst", "active", "cost", "gap"]
-        if not len(left):
-            return pd.DataFrame(columns=columns)
-        single = right[right.d2.isna()].rename(columns={"cost": "move"})
-        three = {(int(r.src), int(r.dst), int(r.d2)): float(r.cost) for r in right[right.d2.notna()].itertuples()}
-        cost, gap, on, used = solve_component(left, single, three, options)
-        first = min(on)
-        rows: list[tuple] = [(n, None, v, cost if n == first else 0.0, gap) for n, v in on.items()]
-        rows += [(a, b, v, None, None) for (a, b), v in used.items()]
-        return pd.DataFrame(rows, columns=columns).astype({"dst": "Int64"})
-
-    solved = nodes.groupBy("component").cogroup(both.withColumnRenamed("component", "part").groupBy("part")).applyInPandas(run, RESULT)
-    labelled = solved.where("dst IS NULL").select("node", "active", "cost", "gap")
+        rows: list[tuple] = []
+        of = dict(iter(right.groupby("part")))
+        for name, own in left.groupby("component"):
+            links = of[name]
+            single = links[links.d2.isna()].rename(columns={"cost": "move"})
+            three = {(int(r.src), int(r.dst), int(r.d2)): float(r.cost) for r in links[links.d2.notna()].itertuples()}
+            cost, gap, on, used = solve_component(own, single, three, options)
+            first = min(on)
+            rows += [(n, None, v, cost if n == first else 0.0, gap) for n, v in on.items()]
+            rows += [(a, b, v, None, None) for (a, b), v in used.items()]
+        return pd.DataFrame(rows, columns=["node", "dst", "active", "cost", "gap"]).astype({"dst": "Int64"})
+
+    ends = arcs.select(F.col("src").alias("node")).union(arcs.select("dst")).distinct().withColumn("tied", F.lit(True))
+    placed = nodes.join(ends, "node", "left")
+    buckets = 4 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).alias("bucket")
+    linked = placed.where("tied").drop("tied")
+    solved = linked.groupBy(bucket("component")).cogroup(both.withColumnRenamed("component", "part").groupBy(bucket("part"))).applyInPandas(run, RESULT)
+    # a detection without arcs is on if that is cheaper, or if it must be
+    on, off = F.col("det") + F.col("app") + F.col("dis"), F.col("non") + F.col("opp")
+    must = F.lit(options.fixed_detections or not options.detection_variables)
+    alone = placed.where("tied IS NULL").select("node", (must | (on < off)).alias("active"), F.when(must, on).otherwise(F.least(on, off)).alias("cost"), F.lit(0.0).alias("gap"))
+    labelled = solved.where("dst IS NULL").select("node", "active", "cost", "gap").unionByName(alone)
     return labelled, solved.where("dst IS NOT NULL").select(F.col("node").alias("src"), "dst", "active")
 
 

@@ -188,19 +188,23 @@ def infer(nodes: DataFrame, arcs: DataFrame, model: ConservationModel) -> tuple[
     names = [c.split()[0] for c in RESULT.split(", ")]
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame(columns=names)
-        right = right.sort_values(["src", "dst"]).reset_index(drop=True)
-        right["arc"] = right.index
-        found = solve_component(left, right, model)
-        first = min(found.objects)
-        rows: list[tuple] = [(n, None, v, found.divides[n], found.cost if n == first else 0.0, found.gap) for n, v in found.objects.items()]
-        rows += [(int(right.src[k]), int(right.dst[k]), v, None, None, None) for k, v in found.flow.items()]
-        out = pd.DataFrame([(int(left.component.iloc[0]), *r) for r in rows], columns=names)
-        return out.astype({"dst": "Int64", "divides": "boolean"})
+        rows: list[tuple] = []
+        of = dict(iter(right.groupby("part")))
+        for name, own in left.groupby("component"):
+            links = of[name].sort_values(["src", "dst"]).reset_index(drop=True)
+            links["arc"] = links.index
+            found = solve_component(own, links, model)
+            first = min(found.objects)
+            rows += [(name, n, None, v, found.divides[n], found.cost if n == first else 0.0, found.gap) for n, v in found.objects.items()]
+            rows += [(name, int(links.src[k]), int(links.dst[k]), v, None, None, None) for k, v in found.flow.items()]
+        return pd.DataFrame(rows, columns=names).astype({"dst": "Int64", "divides": "boolean"})
 
     linked = nodes.where(~F.col("alone"))
-    solved = linked.groupBy("component").cogroup(arcs.withColumnRenamed("component", "part").groupBy("part")).applyInPandas(run, RESULT)
+    flows = arcs.withColumnRenamed("component", "part")
+    # many components go to one call, which is where most of the time of small ones would go
+    buckets = 4 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).alias("bucket")
+    solved = linked.groupBy(bucket("component")).cogroup(flows.groupBy(bucket("part"))).applyInPandas(run, RESULT)
     # a detection without arcs: both sides are free, so the cheapest number of objects
     usable = F.col("e") if model.misdetections and model.appearance and model.disappearance else F.transform("e", lambda x, i: F.when(i == 0, F.lit(INFINITY)).otherwise(x))
     least = F.array_min(usable)

@@ -15,7 +15,7 @@ large groups of near copies do not emit all their pairs: first each class with t
 least class of its prefix lists that it shares most with, then all pairs that share a
 prefix shingle and are not connected yet. Links inside a component are not needed to
 find it, so no component is lost. The pairs of the second step fulfil the prefix
-filter for the sizes of both and have enough of their prefixes in common, which spares
+filter for the sizes of both and share enough of the rarer halves of their sets, which spares
 most pairs of large groups.
 
 Null and empty texts have empty sets and link with nothing; texts shorter than a
@@ -48,10 +48,10 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 class JaccardJoin:
     shingle: int = 5
     percent: int = 75
-    segments: int = 4
+    segments: int = 2
     sample: int = 16  # lists of each class for candidates of the first kind
     #: Heads of a list, least length of a list, candidates of a class, for each round.
-    rounds: tuple[tuple[int, int, int], ...] = ((1, 2, 1), (8, 32, 4), (64, 32, 48))
+    rounds: tuple[tuple[int, int, int], ...] = ((1, 2, 1), (48, 32, 32))
 
 
 class _WordHash(dict):
@@ -192,7 +192,7 @@ def _shared(packed: DataFrame, parts: int) -> DataFrame:
     return packed.repartitionById(parts, F.col("part")).mapInArrow(run, PACK_SCHEMA)
 
 
-GATHERED = "doc_id long, class long, n int, alone int, segments array<array<long>>, prefix array<long>"
+GATHERED = "doc_id long, class long, n int, alone int, room int, segments array<array<long>>, head array<long>"
 
 
 def _gather(shared: DataFrame, model: JaccardJoin, parts: int) -> DataFrame:
@@ -201,8 +201,8 @@ def _gather(shared: DataFrame, model: JaccardJoin, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(*columns: list) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["doc_id", "class", "n", "alone", "segments", "prefix"])
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["doc_id", "class", "n", "alone", "room", "segments", "head"])
 
         size: dict[int, int] = {}
         h, own, often = [], [], []
@@ -213,7 +213,7 @@ def _gather(shared: DataFrame, model: JaccardJoin, parts: int) -> DataFrame:
                     missing = np.frombuffer(a, np.uint8)[8 * m :]
                     ids = [None if x else int(d) for d, x in zip(np.frombuffer(a, np.int64, m), missing, strict=True)]
                     names = [int(x) if k else None for x, k in zip(np.frombuffer(b, np.int64), np.frombuffer(c, np.int32), strict=True)]
-                    yield out(ids, names, np.frombuffer(c, np.int32).tolist(), [None] * m, [None] * m, [None] * m)
+                    yield out(ids, names, np.frombuffer(c, np.int32).tolist(), *[[None] * m] * 4)
                 elif kind == CLASS:
                     size.update(zip(np.frombuffer(a, np.int64).tolist(), np.frombuffer(b, np.int32).tolist(), strict=True))
                 else:
@@ -236,11 +236,12 @@ def _gather(shared: DataFrame, model: JaccardJoin, parts: int) -> DataFrame:
             if room <= 0:
                 continue
             mine, freq = hs[s:e], ns[s:e]
-            first = mine[np.lexsort((mine, freq))[:room]]
+            alone = n - int(e - s)
+            first = mine[np.lexsort((mine, freq))[: max(room, -(-n // 2) - alone)]]
             mine = np.sort(mine)
             at = np.searchsorted((mine >> np.uint64(48)).astype(np.int64) * cuts // parts, np.arange(cuts + 1))
             signed = mine.view(np.int64)
-            rows.append((None, name, n, n - int(e - s), [signed[at[k] : at[k + 1]] for k in range(cuts)], first.view(np.int64)))
+            rows.append((None, name, n, alone, room, [signed[at[k] : at[k + 1]] for k in range(cuts)], first.view(np.int64)))
             if len(rows) >= 500:
                 yield out(*map(list, zip(*rows, strict=True)))
                 rows = []
@@ -314,22 +315,22 @@ def _open_pairs(sets: DataFrame, roots: DataFrame, model: JaccardJoin) -> DataFr
     least = F.ceil(model.percent * (F.col("na") + F.col("nb")) / (100 + model.percent))
     may = (F.col("ata") <= F.col("na") - least) & (F.col("atb") <= F.col("nb") - least)
     pairs = left.join(right, (left["shingle"] == right["shingle"]) & (F.col("ra") < F.col("rb")) & may)
-    return _by_prefix(pairs.select("a", "b").distinct(), sets, model.percent)
+    return _by_head(pairs.select("a", "b").distinct(), sets, model.percent)
 
 
-def _by_prefix(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose whole prefixes have enough in common.
+def _by_head(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs with enough in common in their heads, the rarer half of each set.
 
-    Of the two prefixes take the one that ends first: its shingles that the other text
-    has lie in the other's prefix, and after it at most ceil(percent of its size) - 1
-    shingles follow.
+    Of the two heads take the one that ends first in the order of frequency: its
+    shingles that the other text has lie in the other's head, and at most the other
+    half of its own set comes after it.
     """
-    one = sets.select(F.col("class").alias("first"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
-    two = sets.select(F.col("class").alias("second"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
+    one = sets.select(F.col("class").alias("first"), F.col("n").alias("na"), F.col("head").alias("ha"))
+    two = sets.select(F.col("class").alias("second"), F.col("n").alias("nb"), F.col("head").alias("hb"))
     both = pairs.select(F.col("a").alias("first"), F.col("b").alias("second")).join(one, "first").join(two, "second")
     least = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    after = F.ceil(percent * F.greatest("na", "nb") / 100) - 1
-    return both.where(F.size(F.array_intersect("pa", "pb")) >= least - after).select(F.col("first").alias("a"), F.col("second").alias("b"))
+    after = F.floor(F.greatest("na", "nb") / 2)
+    return both.where(F.size(F.array_intersect("ha", "hb")) >= least - after).select(F.col("first").alias("a"), F.col("second").alias("b"))
 
 
 def jaccard_components(docs: DataFrame, model: JaccardJoin | None = None) -> DataFrame:
@@ -338,12 +339,12 @@ def jaccard_components(docs: DataFrame, model: JaccardJoin | None = None) -> Dat
     parts = shuffle_partitions(docs.sparkSession)
     gathered = materialize(_gather(_shared(_pack(docs, model, parts), parts), model, parts), "jaccard")
     members = gathered.where(F.col("segments").isNull()).select("doc_id", "class", "n")
-    sets = gathered.where(F.col("segments").isNotNull()).select("class", "n", "alone", "segments", "prefix")
+    sets = gathered.where(F.col("segments").isNotNull()).select("class", "n", "alone", F.slice("head", F.lit(1), F.col("room")).alias("prefix"), "head", "segments")
     links, roots = None, None
     for heads, crowd, tries in model.rounds:
         found = materialize(_verify(_stars(sets, roots, model, heads, crowd, tries), sets, model.percent), "jaccard-stars")
         links = found if links is None else links.union(found)
-        roots = components(links, "jaccard-components").withColumnsRenamed({"node": "class", "label": "root"})
+        roots = components(links, "jaccard-components", rounds=3).withColumnsRenamed({"node": "class", "label": "root"})
     more = _verify(materialize(_open_pairs(sets, roots, model), "jaccard-pairs"), sets, model.percent)
     links = links.union(materialize(more, "jaccard-links"))
     joined = components(links, "jaccard-components").withColumnsRenamed({"node": "class", "label": "root"})

@@ -86,7 +86,7 @@ def write_text_detections(rows: DataFrame, path: str) -> None:
 
 #: How a text archive of detections writes key and first feature, and each feature.
 ARCHIVE_KEY = r"([0-9]+) (-?[0-9]+) (?:0 0 )?[0-9]+ 0 (?:0 0 )?[0-9]+ [A-Za-z]"
-ARCHIVE_FEATURE = r"[0-9]+ ([A-Za-z_]+) ([0-9]+) 0((?: -?[0-9][-+.e0-9]*)*)"
+ARCHIVE_FEATURE = r"(?<![:A-Za-z_])([A-Za-z_]+) ([0-9]+) 0((?: -?[0-9][-+.e0-9]*)*)"
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:

@@ -37,12 +37,13 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the long strings that a document with a smaller id has, too; emptied texts go."""
-    cut = suffixes.remove_repeats(docs).select("doc_id", "spans", "kept")
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text", "n_chars")]
+    cut = suffixes.remove_repeats(docs, carry=rest)
     # bytes are cut inside characters at times; what is left of such a character goes
     text = F.when(F.size("spans") > 0, F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))).otherwise(F.col("kept").cast("string"))
-    left = cut.select("doc_id", text.alias("text")).where(F.rlike("text", F.lit(r"[^\x09-\x0D\x20]")))
-    rest = docs.drop("text", "n_chars")
-    return left.join(rest, "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in rest)
+    left = cut.select("doc_id", text.alias("text"), F.from_json("carried", kinds).alias("c")).select("doc_id", "text", "c.*")
+    return left.where(F.rlike("text", F.lit(r"[^\x09-\x0D\x20]"))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

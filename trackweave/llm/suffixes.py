@@ -134,43 +134,45 @@ SCHEMA = "part int, kind int, blob binary"
 WHOLE, ASKED = 0, 1
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, bytes]]]:
-    """Rows in packs of bounded size (a single text may be larger)."""
-    pack: list[tuple[int | None, bytes]] = []
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, bytes, bytes]]]:
+    """Rows (doc_id, text, what is carried along) in packs of bounded size (a single text may be larger)."""
+    pack: list[tuple[int | None, bytes, bytes]] = []
     size = 0
     for batch in batches:
-        for doc, text in zip(batch.column(0), batch.column(1).cast(pa.large_binary()), strict=True):
-            data = text.as_py() or b""
+        more = batch.column(2) if batch.num_columns > 2 else [None] * batch.num_rows
+        for doc, text, extra in zip(batch.column(0), batch.column(1), more, strict=True):
+            data = (text.as_py() or "").encode("utf-8", "surrogatepass")
             if pack and (size + len(data) > PACK_BYTES or len(pack) >= PACK_DOCS):
                 yield pack
                 pack, size = [], 0
-            pack.append((doc.as_py(), data))
+            pack.append((doc.as_py(), data, extra.as_py().encode() if extra is not None else b""))
             size += len(data)
     if pack:
         yield pack
 
 
-def _texts(docs: DataFrame, buckets: int) -> DataFrame:
-    """Documents packed by bucket and compressed."""
+def _texts(docs: DataFrame, buckets: int, carry: list[str]) -> DataFrame:
+    """Documents packed by bucket and compressed, with the columns to carry along as JSON."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for pack in _pieces(batches):
-            by: dict[int, list[tuple[int | None, bytes, int]]] = {}
-            for doc, data in pack:
+            by: dict[int, list[tuple[int | None, bytes, int, bytes]]] = {}
+            for doc, data, extra in pack:
                 key = row_key(doc or 0, data)
-                by.setdefault(key % buckets, []).append((doc, data, key))
+                by.setdefault(key % buckets, []).append((doc, data, key, extra))
             rows = []
             for bucket, own in by.items():
-                ids = np.array([d or 0 for d, _, _ in own], np.int64)
-                missing = np.array([d is None for d, _, _ in own], np.uint8)
-                keys = np.array([k for _, _, k in own], np.int64)
-                lens = np.array([len(x) for _, x, _ in own], np.int64)
-                body = np.frombuffer(b"".join(x for _, x, _ in own), np.uint8)
-                rows.append((bucket, WHOLE, press.compress(_dump(ids, missing, keys, lens, body))))
+                ids = np.array([x[0] or 0 for x in own], np.int64)
+                missing = np.array([x[0] is None for x in own], np.uint8)
+                keys = np.array([x[2] for x in own], np.int64)
+                lens, more = (np.array([len(x[k]) for x in own], np.int64) for k in (1, 3))
+                body, extra = (np.frombuffer(b"".join(x[k] for x in own), np.uint8) for k in (1, 3))
+                rows.append((bucket, WHOLE, press.compress(_dump(ids, missing, keys, lens, body, more, extra))))
             yield _batch(rows)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    extra = [F.to_json(F.struct(*carry)).alias("carried")] if carry else []
+    return docs.select(F.col("doc_id").cast("long"), F.col("text"), *extra).mapInArrow(run, SCHEMA)
 
 
 def _anchors(docs: DataFrame, model: LongRepeats, parts: int) -> DataFrame:
@@ -179,7 +181,7 @@ def _anchors(docs: DataFrame, model: LongRepeats, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack in _pieces(batches):
-            known = [(d, x) for d, x in pack if d is not None and len(x) >= model.length]
+            known = [(d, x) for d, x, _ in pack if d is not None and len(x) >= model.length]
             keys = np.array([row_key(d, x) for d, x in known], np.int64)
             ids = np.array([d for d, _ in known], np.int64)
             whole = sum(len(x) for _, x in known)
@@ -268,16 +270,15 @@ def _load_split(blob: bytes) -> list[np.ndarray]:
     return [name, body, ids[row], keys[row], place, count]
 
 
-def _unpack(table: pa.Table) -> dict[int, tuple[int | None, bytes, int]]:
-    """key -> (doc_id, text, number of equal rows) of a bucket."""
-    out: dict[int, tuple[int | None, bytes, int]] = {}
+def _unpack(table: pa.Table) -> dict[tuple[int, bool], tuple[int | None, bytes, list[bytes]]]:
+    """(key, null id) -> (doc_id, text, what each equal row carries) of a bucket."""
+    out: dict[tuple[int, bool], tuple[int | None, bytes, list[bytes]]] = {}
     press = zstandard.ZstdDecompressor()
     for blob in table.column("blob").to_pylist():
-        ids, missing, keys, lens, body = _load(press.decompress(blob))
-        ends, data = np.cumsum(lens), body.tobytes()
-        for i, m, k, e, n in zip(ids.tolist(), missing.tolist(), keys.tolist(), ends.tolist(), lens.tolist(), strict=True):
-            key = (k, bool(m))
-            out[key] = (None if m else i, data[e - n : e], out.get(key, (0, b"", 0))[2] + 1)
+        ids, missing, keys, lens, body, more, extra = _load(press.decompress(blob))
+        cut = lambda sizes, whole: [whole[e - n : e] for e, n in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)]
+        for i, m, k, data, own in zip(ids.tolist(), missing.tolist(), keys.tolist(), cut(lens, body.tobytes()), cut(more, extra.tobytes()), strict=True):
+            out.setdefault((k, bool(m)), (None if m else i, data, []))[2].append(own)
     return out
 
 
@@ -451,35 +452,38 @@ def _suffixes(fetched: DataFrame, model: LongRepeats, parts: int, buckets: int)
     return fetched.repartitionById(parts, F.col("part")).mapInArrow(run, SCHEMA)
 
 
-RESULT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
+RESULT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, carried string"
 
 
 def _cut(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    kinds = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
+    kinds = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()), ("carried", pa.string())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         by: dict[int, list[tuple[int, int]]] = {}
         if right.num_rows:
             for k, s, e in zip(*(x.tolist() for x in merged(*_join(right.column("blob").to_pylist()))), strict=True):
                 by.setdefault(k, []).append((s, e))
-        ids, sizes, cuts, kept = [], [], [], []
+        ids, sizes, cuts, kept, extra = [], [], [], [], []
         for (key, missing), (doc, data, copies) in _unpack(left).items():
             own = [] if missing else by.get(key, [])
             rest = b"".join(data[a:b] for a, b in zip([0, *(e for _, e in own)], [*(s for s, _ in own), len(data)], strict=True)) if own else data
-            for _ in range(copies):
-                ids.append(doc), sizes.append(len(data)), kept.append(rest)
+            for one in copies:
+                ids.append(doc), sizes.append(len(data)), kept.append(rest), extra.append(one.decode() if one else None)
                 cuts.append([{"start": s, "end": e} for s, e in own])
-        return pa.table([ids, sizes, cuts, kept], schema=kinds)
+        return pa.table([ids, sizes, cuts, kept, extra], schema=kinds)
 
     return texts.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(run, RESULT)
 
 
-def remove_repeats(docs: DataFrame, model: LongRepeats | None = None) -> DataFrame:
-    """(doc_id, n_bytes, spans removed, bytes kept) of every row of docs(doc_id, text)."""
+def remove_repeats(docs: DataFrame, model: LongRepeats | None = None, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_bytes, spans removed, bytes kept, carried) of every row of docs(doc_id, text).
+
+    ``carried`` is a JSON object of the columns ``carry``, which so need no later join.
+    """
     model = model or LongRepeats()
     parts = shuffle_partitions(docs.sparkSession)
     buckets = parts
-    texts = _texts(docs, buckets)
+    texts = _texts(docs, buckets, carry or [])
     found = _compare(_anchors(docs, model, parts), parts, buckets)
     spans = _suffixes(_fetch(texts, found, model, parts), model, parts, buckets)
     return _cut(texts, spans)

@@ -117,6 +117,17 @@ def test_events_without_divisions_and_statistics(spark):
         events.events(nodes, three).collect()
 
 
+def test_multi_frame_moves_of_any_length(spark):
+    last = 130
+    nodes = spark.createDataFrame([(t, 1, 9 if 0 < t < last else None) for t in range(last + 1)] + [(0, 2, None), (1, 3, 9)], "timestep int, id long, origin long")
+    arcs = spark.createDataFrame([(t, 1, t + 1, 1) for t in range(last)] + [(0, 2, 1, 3)], "src_t int, src long, dst_t int, dst long")
+    assert [tuple(r) for r in events.multi_frame_moves(nodes, arcs, 0).collect()] == [(last, "MultiFrameMove", [1, 1, 0])]
+    assert events.multi_frame_moves(nodes.where("origin IS NULL"), arcs, 0).count() == 0
+    loop = spark.createDataFrame([(0, 1, 1, 1), (1, 1, 2, 1), (2, 1, 1, 1)], arcs.schema)
+    with pytest.raises(RuntimeError, match="settle"):
+        events.multi_frame_moves(nodes, loop, 0, 4)
+
+
 def test_merger_split_of_three_and_two(spark):
     nodes = spark.createDataFrame([(1, 11, 3, 3.0), (2, 21, 2, 3.0), (2, 22, 1, 6.0)], "timestep int, id long, n_objects int, x double").withColumns({"y": F.lit(0.0), "z": F.lit(0.0)})
     packed = spark.createDataFrame([(1, 11, 3, [*map(float, (3, 0, 0, 1, 0, 0, 6, 0, 0, 1, 0, 0, 3, 0, 0, 6, 0, 0))]), (2, 21, 2, [*map(float, (3, 0, 0, 3, 0, 0, 6, 0, 0, 1, 0, 0, 3, 0, 0, 6, 0, 0))])], "timestep int, id long, n_objects int, possible_coms array<double>")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackweave.operators import graph
+
 #: Order of the types.
 TYPES = ["Move", "Division", "Appearance", "Disappearance", "Merger", "MultiFrameMove", "ResolvedTo", "Void"]
 COUNTED = ["Move", "Division", "Appearance", "Disappearance"]
@@ -65,24 +67,31 @@ def multi_frame_moves(nodes: DataFrame, arcs: DataFrame, earliest: int, most_rou
     """Moves across resolved nodes: from the node before them to the first unresolved one after.
 
     nodes(timestep, id, origin); the first successor is the one with the least id.
+    Pointers double each round, so any number of frames may lie between; a way that
+    ends at a resolved node gives no move, and a cycle is an error.
     """
     first = arcs.groupBy("src_t", "src").agg(F.min(F.struct("dst_t", "dst")).alias("n"))
     resolved = nodes.where("origin IS NOT NULL").select("timestep", "id")
     hit = resolved.select(F.col("timestep").alias("dst_t"), F.col("id").alias("dst"))
     start = arcs.join(hit, ["dst_t", "dst"], "left_semi")
     start = start.join(resolved.select(F.col("timestep").alias("src_t"), F.col("id").alias("src")), ["src_t", "src"], "left_anti")
-    now = start.select(F.col("src_t").alias("t0"), F.col("src").alias("from"), F.col("dst_t").alias("t"), F.col("dst").alias("at"))
-    done: DataFrame | None = None
     steps = first.select(F.col("src_t").alias("t"), F.col("src").alias("at"), F.col("n.dst_t").alias("nt"), F.col("n.dst").alias("nat"))
-    flags = resolved.select(F.col("timestep").alias("nt"), F.col("id").alias("nat"), F.lit(True).alias("inside"))
+    inside = resolved.select(F.col("timestep").alias("t"), F.col("id").alias("at"))
+    flags = inside.withColumnsRenamed({"t": "nt", "at": "nat"}).withColumn("inside", F.lit(True))
+    # each resolved node's pointer along first successors; one that ends inside leads nowhere
+    now = steps.join(inside, ["t", "at"], "left_semi").join(flags, ["nt", "nat"], "left").select("t", "at", "nt", "nat", "inside")
+    now = graph.cut_lineage(now, "frames")
     for _ in range(most_rounds):
-        moved = now.join(steps, ["t", "at"]).join(flags, ["nt", "nat"], "left").select("t0", "from", F.col("nt").alias("t"), F.col("nat").alias("at"), "inside")
-        ended = moved.where("inside IS NULL").drop("inside")
-        done = ended if done is None else done.unionByName(ended)
-        now = moved.where("inside").drop("inside")
-        if now.isEmpty():
+        if now.where("inside").isEmpty():
             break
-    return done.select(_event(F.col("t") - earliest, "MultiFrameMove", F.array(F.col("from"), F.col("at"), F.col("t0") - earliest)).alias("e")).select("e.*")
+        up = now.select(F.col("t").alias("nt"), F.col("at").alias("nat"), F.col("nt").alias("t2"), F.col("nat").alias("at2"), F.col("inside").alias("inside2"))
+        ahead = now.where("inside").join(up, ["nt", "nat"]).select("t", "at", F.col("t2").alias("nt"), F.col("at2").alias("nat"), F.col("inside2").alias("inside"))
+        now = graph.cut_lineage(now.where("inside IS NULL").unionByName(ahead), "frames")
+    else:
+        raise RuntimeError("multi-frame moves did not settle")
+    begun = start.select(F.col("src_t").alias("t0"), F.col("src").alias("from"), F.col("dst_t").alias("t"), F.col("dst").alias("at"))
+    done = begun.join(now, ["t", "at"])
+    return done.select(_event(F.col("nt") - earliest, "MultiFrameMove", F.array(F.col("from"), F.col("nat"), F.col("t0") - earliest)).alias("e")).select("e.*")
 
 
 def merge(a: DataFrame, b: DataFrame) -> DataFrame:

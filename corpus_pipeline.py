@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackweave.llm import bpe, jaccard, langid, mixing, suffixes
@@ -28,11 +28,27 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
+def row_key() -> Column:
+    """A name of a whole row; only exact repeats share it."""
+    # null fields are left out of the JSON, so a null differs from an empty string
+    return F.md5(F.to_json(F.struct(*[c for c in COLUMNS if c != "text"], F.md5(F.col("text").cast("binary")).alias("text"))).cast("binary"))
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one the group is named after."""
-    groups = jaccard.jaccard_components(docs)
-    first = groups.where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi").select(*COLUMNS)
+    """One document of each group of near duplicates, once: the one the group is named after.
+
+    Rows without doc_id come last in their groups. Different rows that share a doc_id
+    stay or go together.
+    """
+    # in place of a missing id one above all others, alike for exact repeats only
+    own = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(row_key()), 2)
+    named = docs.withColumn("name", F.coalesce("doc_id", F.when(F.col("doc_id").isNull(), own)))
+    groups = jaccard.jaccard_components(named.select(F.col("name").alias("doc_id"), "text"))
+    first = groups.groupBy(F.col("doc_id").alias("name")).agg(F.count(F.lit(1)).alias("rows"), F.max(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).alias("first")).where("first")
+    kept = named.join(first.select("name", "rows"), "name")
+    order = Window.partitionBy("name", "key").orderBy("name")
+    once = kept.where("rows > 1").withColumn("key", row_key()).withColumn("r", F.row_number().over(order)).where("r = 1")
+    return kept.where("rows = 1").select(*COLUMNS).unionByName(once.select(*COLUMNS))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +64,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix uses them: once at least, small sources up to twice."""
-    uses = mixing.mix(docs).groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("uses"))
-    many = docs.join(uses, "doc_id")
+    keyed = docs.withColumn("key", row_key())
+    uses = mixing.mix(keyed, carry=("key",)).groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("uses"))
+    # the uses of exact repeats are summed, so one row of them stands for all
+    order = Window.partitionBy("key").orderBy("key")
+    once = keyed.withColumn("r", F.row_number().over(order)).where("r = 1")
+    many = once.join(uses, "key")
     return many.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("uses")))).select(*COLUMNS)
 
 

@@ -68,8 +68,8 @@ def exponent(sources: DataFrame, model: Mixing) -> float:
     return high if model.entropy is None else low
 
 
-def mix(docs: DataFrame, model: Mixing | None = None) -> DataFrame:
-    """One row for each use of a row of docs(doc_id, text, source).
+def mix(docs: DataFrame, model: Mixing | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each use of a row of docs(doc_id, text, source), with its columns ``carry``.
 
     Returns doc_id, source, n_tokens, weight (of the source in the mix), epoch (pass),
     block, block_rank (its place in the pass) and order_key, by which sorting
@@ -77,7 +77,7 @@ def mix(docs: DataFrame, model: Mixing | None = None) -> DataFrame:
     """
     model = model or Mixing()
     name = F.coalesce("source", F.lit(""))
-    meta = docs.select("doc_id", name.alias("source"), F.size(words(F.col("text"))).cast("long").alias("n_tokens"))
+    meta = docs.select("doc_id", name.alias("source"), F.size(words(F.col("text"))).cast("long").alias("n_tokens"), *carry)
     meta = materialize(meta, "mixing")
     counted = meta.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     total = counted.agg(F.sum("tokens")).first()[0] or 0
@@ -121,12 +121,12 @@ def mix(docs: DataFrame, model: Mixing | None = None) -> DataFrame:
         F.struct("epoch", "block_rank", "weight", key.alias("order_key"), F.when(~fits, F.col("rest") - begin).alias("room")).alias("use"),
     )
     plan = plan.groupBy("source", "block").agg(F.sort_array(F.collect_list("use")).alias("uses"))  # at most repeats + 1 in each
-    used = salted_join(dealt, plan, ["source", "block"]).select("doc_id", "source", "n_tokens", "block", F.explode("uses").alias("use"))
-    used = used.select("doc_id", "source", "n_tokens", "block", "use.*")
+    used = salted_join(dealt, plan, ["source", "block"]).select("doc_id", "source", "n_tokens", *carry, "block", F.explode("uses").alias("use"))
+    used = used.select("doc_id", "source", "n_tokens", *carry, "block", "use.*")
     # the one block of each source in which its budget ends
-    by_doc = Window.partitionBy("source", "block").orderBy(_hash(seed, F.col("doc_id").cast("string"), F.lit("last")), "doc_id", "n_tokens")
+    by_doc = Window.partitionBy("source", "block").orderBy(_hash(seed, F.col("doc_id").cast("string"), F.lit("last")), "doc_id", "n_tokens", *carry)
     partial = used.where("room IS NOT NULL").withColumn("upto", F.sum("n_tokens").over(by_doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    columns = ["doc_id", "source", "n_tokens", "weight", "epoch", "block", "block_rank", "order_key"]
+    columns = ["doc_id", "source", "n_tokens", "weight", "epoch", "block", "block_rank", "order_key", *carry]
     return used.where("room IS NULL").select(*columns).unionByName(partial.where("upto <= room").select(*columns))
 
 

@@ -10,6 +10,7 @@ from trackweave.functions import energies as en
 from trackweave.functions.geometry import COM, INTENSITY_MAXIMUM, FieldOfView, Locator, angle, distance
 from trackweave.operators import candidates, detections, events, graph, mergers
 from trackweave.plans.trackers import ConservationTracker
+from trackweave.queries import QUERIES
 from trackweave.sources import graphs
 
 BASE = ConservationTracker(appearance_cost=1500, disappearance_cost=1500)
@@ -140,6 +141,20 @@ def test_merger_split_of_three_and_two(spark):
     assert len(used) == 3 and len({r.src for r in used}) == 3 and len({r.dst for r in used}) == 3
 
 
+def test_resolve_mergers_query_resolves_every_detection(spark, tmp_path):
+    frames = 4
+    r = __import__("random").Random(2)
+    rows = [(k, [r.random() for _ in range(8)], 0) for k in range(50 * frames)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = QUERIES["resolve_mergers"](spark, str(tmp_path)).collect()
+    # 25 pairs of frames' detections: 2 x 1 + 2 x 2 + 1 x 2 arcs, of which the three objects use three
+    assert len(found) == 25 * 8 * (frames - 1)
+    used = [x for x in found if x.active]
+    assert len(used) == 25 * 3 * (frames - 1) and len({(x.src_t, x.src) for x in used}) == len(used) == len({(x.dst_t, x.dst) for x in used})
+    kept = {x.src for x in found if x.src < 50 and x.src_t == 0} | {x.dst for x in found if x.dst_t == 1 and x.dst < 100}
+    assert kept == {k for k in range(100) if (k // 50 + k) % 2 == 0}
+
+
 def test_round_trips(spark, tmp_path):
     nodes = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "node long, timestep int")
     arcs = spark.createDataFrame([(1, 2), (1, 3)], "src long, dst long")

@@ -561,15 +561,21 @@ def chaingraph_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("resolve_mergers")
 def resolve_mergers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every second detection of a chain of frames holds two objects; split and link them."""
-    rows = emb(spark, sf_dir).where("id % 50 < 2").select("timestep", "id", "x", "y", "z")
-    merged = rows.where("id % 50 = 0 AND timestep % 2 = 1")
+    """All detections, in pairs of which one holds two objects, the other one in each frame, in turn; split and link them.
+
+    Of the three objects of a pair one moves between its two detections from frame to
+    frame, so a pair is one component over all frames. A pair that lacks a detection in
+    a frame has no links there.
+    """
+    rows = emb(spark, sf_dir).select("timestep", "id", "x", "y", "z", F.floor(F.col("id") / 2).alias("pair"), (1 + (F.col("timestep") + F.col("id")) % 2).alias("n"))
     centre = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.array(F.col("x") + 2 * k - 1, F.col("y"), F.col("z")).alias("centre")) for k in (0, 1)]))
-    parts = mergers.split(rows, merged.select("timestep", "id", centre.alias("c")).select("timestep", "id", "c.*"))
-    others = rows.where("id % 50 = 1 AND timestep % 2 = 0").unionByName(rows.where("id % 50 = 0 AND timestep % 2 = 0"))
-    links = others.alias("p").join(merged.alias("q"), F.expr("q.timestep = p.timestep + 1"))
-    links = links.select(F.col("p.timestep").alias("src_t"), F.col("p.id").alias("src"), F.col("q.timestep").alias("dst_t"), F.col("q.id").alias("dst"))
-    return mergers.resolve(rows, links, parts)
+    parts = mergers.split(rows, rows.where("n = 2").select("timestep", "id", centre.alias("c")).select("timestep", "id", "c.*"))
+    whole = rows.groupBy("timestep", "pair").agg(F.sort_array(F.collect_list(F.struct("n", "id"))).alias("of")).where("size(of) = 2")
+    links = whole.alias("p").join(whole.alias("q"), F.expr("q.timestep = p.timestep + 1 AND q.pair = p.pair + 25"))
+    # from the one object to where two are next, from the two to both
+    ends = F.array(*[F.struct(F.get("p.of", F.lit(i))["id"].alias("src"), F.get("q.of", F.lit(j))["id"].alias("dst")) for i, j in ((0, 1), (1, 0), (1, 1))])
+    links = links.select(F.col("p.timestep").alias("src_t"), F.col("q.timestep").alias("dst_t"), F.inline(ends))
+    return mergers.resolve(rows.select("timestep", "id", "x", "y", "z"), links, parts)
 
 
 @register("merger_centres")

@@ -257,6 +257,38 @@ def test_wide_nodes_become_wildcards(spark):
     assert {out[k] for k in range(60)} == {"/user/*/posts"} and {out[100 + k] for k in range(30)} == {"/user/popular/posts"}
 
 
+def brute_templates(pages, model):
+    """Templates of paths without forms, node by node."""
+    out = {}
+
+    def walk(at, below):
+        n = Counter(s[0] for _, s in below if s)
+        step = lambda c: "*" if len(n) > model.fanout and n[c] < model.support else c
+        groups = defaultdict(list)
+        for k, s in below:
+            if s:
+                groups[f"{at}/{step(s[0])}"].append((k, s[1:]))
+            else:
+                out[k] = at
+        for name, some in groups.items():
+            walk(name, some)
+
+    walk("", [(k, [x for x in p.split("/") if x]) for k, p in pages])
+    return out
+
+
+def test_templates_of_any_depth(spark):
+    rows = [(k, f"/a/b/c/d/{'good' if k % 2 else 'spam'}/x{k % 7}y") for k in range(120)]
+    rows += [(200 + k, f"/a/b/c/d/e/f/g/user/name{k}z/posts/p{k % 3}q/end") for k in range(60)] + [(300 + k, "/a/b/c/d/e/f/g/user/popular/posts") for k in range(30)]
+    rows += [(400, "/s" * 90), (401, "/s" * 91), (402, ""), (403, "/a/b/c/d"), (404, "/a/b/c/d/e")]
+    model = urls.TemplateTree()
+    paths = spark.createDataFrame([("h", k, p) for k, p in rows], "host string, page_id long, path string")
+    assert {r.page_id: r.template for r in urls.templates(paths, model).collect()} == brute_templates(rows, model)
+    labels = spark.createDataFrame([(k, bool(k % 2)) for k in range(120)], "page_id long, good boolean")
+    pages = spark.createDataFrame([(k, f"http://h.test{p}") for k, p in rows[:120]], "page_id long, url string")
+    assert all(r.verdict == ("allow" if r.page_id % 2 else "block") for r in urls.judge_urls(pages, labels).collect())
+
+
 # 8 long repeats
 
 

@@ -2,7 +2,8 @@
 
 Each host is the root of a tree of path segments. Segments that look like numbers,
 hashes or dates become wildcards by their form; where a node has more than ``fanout``
-different children, the rare ones become wildcards, too. Branches of one parent whose
+different children, the rare ones become wildcards, too. The tree is as deep as the
+longest path. Branches of one parent whose
 labelled purities do not differ significantly are merged. A template (or merged
 branch) is rejected if its purity, smoothed towards its host's and the corpus's, is
 below ``least_purity``.
@@ -41,7 +42,9 @@ FORMS = [
     (r"^[0-9a-fA-F]{8,}$", "{hash}"),
     (r"^[0-9a-fA-F]{8}-[0-9a-fA-F-]{27}$", "{uuid}"),
 ]
-#: Host, path and the segments of the path, for both engines.
+#: Levels of the tree in one plan.
+LEVELS = 4
+#: Levels that the SQL spells out; it is the oracle of paths of no more segments.
 DEPTH = 4
 
 
@@ -70,21 +73,42 @@ def rule(host: Column, path: Column) -> tuple[Column, Column]:
 
 
 def templates(paths: DataFrame, model: TemplateTree) -> DataFrame:
-    """Add ``template`` to paths(host, path, ...)."""
+    """Add ``template`` to paths(host, path, ...), whatever their depth.
+
+    Every ``LEVELS`` levels the paths that end are set aside, and so are those below a
+    node with at most ``fanout`` different rests: no node there is wide, so they keep
+    their segments.
+    """
     form = lambda s: F.coalesce(*[F.when(F.rlike(s, F.lit(p)), F.lit(w)) for p, w in FORMS], s)
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
+    names = [*paths.columns, "template"]
     out = paths.withColumn("_s", F.transform(segments, form)).withColumn("template", F.lit(""))
-    for level in range(DEPTH):
-        # the distinct children of every node: a table of nodes, not of pages
-        out = out.withColumn("_c", F.get("_s", F.lit(level)))
-        nodes = out.where(F.col("_c").isNotNull()).groupBy("host", "template", "_c").agg(F.count(F.lit(1)).alias("n"))
-        wide = nodes.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"))
-        rare = salted_join(nodes, wide, ["host", "template"]).where((F.col("children") > model.fanout) & (F.col("n") < model.support))
-        rare = rare.select("host", "template", "_c", F.lit(True).alias("_rare"))
-        out = salted_join(out, rare, ["host", "template", "_c"], "left")
-        step = F.when(F.col("_c").isNull(), F.lit("")).when(F.col("_rare"), F.lit("/*")).otherwise(F.concat(F.lit("/"), F.col("_c")))
-        out = out.withColumn("template", F.concat("template", step)).drop("_rare")
-    return out.withColumn("template", F.concat("template", F.when(F.size("_s") > DEPTH, "/**").otherwise(""))).drop("_s", "_c")
+    ended = []
+    while True:
+        deepest = out.agg(F.max(F.size("_s"))).first()[0] or 0
+        for _ in range(min(LEVELS, deepest)):
+            # the distinct children of every node: a table of nodes, not of pages
+            out = out.withColumn("_c", F.get("_s", F.lit(0)))
+            nodes = out.where(F.col("_c").isNotNull()).groupBy("host", "template", "_c").agg(F.count(F.lit(1)).alias("n"))
+            wide = nodes.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"))
+            rare = salted_join(nodes, wide, ["host", "template"]).where((F.col("children") > model.fanout) & (F.col("n") < model.support))
+            rare = rare.select("host", "template", "_c", F.lit(True).alias("_rare"))
+            out = salted_join(out, rare, ["host", "template", "_c"], "left")
+            step = F.when(F.col("_c").isNull(), F.lit("")).when(F.col("_rare"), F.lit("/*")).otherwise(F.concat(F.lit("/"), F.col("_c")))
+            out = out.withColumn("template", F.concat("template", step)).withColumn("_s", F.slice("_s", 2, F.greatest(F.size("_s"), F.lit(1)))).drop("_rare", "_c")
+        if deepest <= LEVELS:
+            break
+        out = materialize(out, "url-levels")
+        ended.append(out.where(F.size("_s") == 0).select(*names))
+        going = out.where(F.size("_s") > 0)
+        few = going.select("host", "template", "_s").distinct().groupBy("host", "template").agg((F.count(F.lit(1)) <= model.fanout).alias("_few"))
+        going = materialize(salted_join(going, few, ["host", "template"]), "url-levels")
+        ended.append(going.where("_few").withColumn("template", F.concat("template", F.lit("/"), F.array_join("_s", "/"))).select(*names))
+        out = going.where(~F.col("_few")).drop("_few")
+    out = out.select(*names)
+    for more in ended:
+        out = out.unionByName(more)
+    return out
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, model: TemplateTree | None = None) -> DataFrame:

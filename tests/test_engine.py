@@ -52,6 +52,18 @@ def test_scenes(spark, rows, tracker, energy, counts):
     assert {r.type: r["count"] for r in found.groupBy("type").count().collect()} == counts
 
 
+def test_tracker_resolves_mergers(spark):
+    rows = [(*r, [0.0] * 3 + ([*map(float, at)] if (at := {10: (2, 2, 2, 0, 0, 0), 11: (0, 0, 0, 2, 2, 2)}.get(r[1])) else [0.0] * 6)) for r in scene("1@1(0,0,0) 3@1(2,2,2) 10@2(1,1,1) 11@3(1,1,1) 12@4(0,0,0) 13@4(2,2,2)")]
+    det = spark.createDataFrame(rows, SCHEMA + ", possible_coms array<double>")
+    _, labelled, used = BASE.track(*BASE.build_graph(det))
+    got = lambda found: sorted((r.slot, r.type, *r.traxel_ids) for r in found.collect())
+    moves = [(3, "MultiFrameMove", 1, 12, 0), (3, "MultiFrameMove", 3, 13, 0)]
+    whole = got(BASE.run(det, mergers.centres_from_packed))
+    assert [r for r in whole if r[1] == "MultiFrameMove"] == moves and [r for r in whole if r[1] == "Merger"] == [(1, "Merger", 10, 2), (2, "Merger", 11, 2)]
+    resolved = got(BASE.resolve_mergers(labelled, used, mergers.centres_from_packed, False))
+    assert resolved == [(1, "Move", 1, 12), (1, "Move", 3, 11), (1, "ResolvedTo", 10, 11, 12), (2, "Move", 11, 13), (2, "Move", 12, 12), (2, "ResolvedTo", 11, 12, 13), (3, "Move", 12, 12), (3, "Move", 13, 13)]
+
+
 def test_scalars(spark):
     p = lambda *v: tuple(F.lit(float(x)) for x in v)
     fov = FieldOfView((3, 1, 1, 1), (5, 10, 12, 6))

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from trackweave.functions import energies as en
 from trackweave.functions.geometry import FieldOfView, point
-from trackweave.operators import candidates, events, graph
+from trackweave.operators import candidates, events, graph, mergers
 from trackweave.plans import chaingraph, conservation
 
+#: From labelled mergers to their (timestep, id, k, centre).
+Centres = Callable[[DataFrame], DataFrame]
 DETECTION_WEIGHT = 10.0
 CHAINGRAPH_RADIUS = 50.0
 
@@ -92,15 +94,45 @@ class ConservationTracker:
         """(events, labelled nodes, labelled arcs) of a built graph; each call starts afresh."""
         ends = nodes.agg(F.min("timestep").alias("a"), F.max("timestep").alias("b")).first()
         labelled, used = self.infer(nodes, arcs)
-        alive, going = graph.prune(labelled, used.select("src_t", "src", "dst_t", "dst", "active", F.col("a"), F.col("b")).drop("src", "dst").withColumnsRenamed({"a": "src", "b": "dst"}))
-        back = F.shiftright("src", graph.ID_BITS).cast("int"), F.shiftright("dst", graph.ID_BITS).cast("int")
-        mask = F.lit((1 << graph.ID_BITS) - 1)
-        going = going.select(back[0].alias("src_t"), F.col("src").bitwiseAND(mask).alias("src"), back[1].alias("dst_t"), F.col("dst").bitwiseAND(mask).alias("dst"))
+        alive, going = self.active(labelled, used)
         found = events.events(alive.select("timestep", "id", "n_objects", "divides"), going, ends.a or 0, ends.b or 0)
         return found, labelled, used
 
-    def run(self, detections: DataFrame) -> DataFrame:
-        return self.track(*self.build_graph(detections))[0]
+    def active(self, labelled: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What is active of a labelled graph: nodes, and arcs(src_t, src, dst_t, dst)."""
+        alive, going = graph.prune(labelled, used.select("src_t", "src", "dst_t", "dst", "active", F.col("a"), F.col("b")).drop("src", "dst").withColumnsRenamed({"a": "src", "b": "dst"}))
+        back = F.shiftright("src", graph.ID_BITS).cast("int"), F.shiftright("dst", graph.ID_BITS).cast("int")
+        mask = F.lit((1 << graph.ID_BITS) - 1)
+        return alive, going.select(back[0].alias("src_t"), F.col("src").bitwiseAND(mask).alias("src"), back[1].alias("dst_t"), F.col("dst").bitwiseAND(mask).alias("dst"))
+
+    def resolve_mergers(self, labelled: DataFrame, used: DataFrame, centres: Centres, multi_frame_moves: bool = True) -> DataFrame:
+        """Events of a labelled graph whose mergers are split at their centres and linked again.
+
+        With ``multi_frame_moves``, those of the labelled graph and the moves across its
+        mergers; without, those of the resolved graph.
+        """
+        ends = labelled.agg(F.min("timestep").alias("a"), F.max("timestep").alias("b")).first()
+        first, last = ends.a or 0, ends.b or 0
+        alive, going = self.active(labelled, used)
+        merged = alive.where("n_objects > 1")
+        # ids go on after the largest of all detections of the frame
+        parts = graph.cut_lineage(mergers.split(labelled, centres(merged)), "parts")
+        links = mergers.resolve(alive, going, parts, self.transition_weight, self.alpha, self.gap, self.tracklets)
+        src, dst = (merged.select(F.col("timestep").alias(f"{end}_t"), F.col("id").alias(end)) for end in ("src", "dst"))
+        stay = going.join(src, ["src_t", "src"], "left_anti").join(dst, ["dst_t", "dst"], "left_anti")
+        arcs = stay.select(*going.columns).unionByName(links.where("active").drop("active"))
+        one = F.lit(1).alias("n_objects")
+        rows = alive.where("n_objects = 1").select("timestep", "id", one, "divides", F.lit(None).cast("long").alias("origin"))
+        rows = rows.unionByName(parts.select("timestep", "id", one, F.lit(False).alias("divides"), "origin"))
+        if not multi_frame_moves:
+            return events.events(rows, arcs, first, last)
+        found = events.events(alive.select("timestep", "id", "n_objects", "divides"), going, first, last)
+        return events.merge(found, events.multi_frame_moves(rows, graph.cut_lineage(arcs, "arcs"), first))
+
+    def run(self, detections: DataFrame, centres: Centres | None = None) -> DataFrame:
+        """Events; with ``centres``, such as of operators.mergers, mergers are resolved, too."""
+        found, labelled, used = self.track(*self.build_graph(detections))
+        return found if centres is None or self.max_objects == 1 else self.resolve_mergers(labelled, used, centres)
 
     def detections(self, labelled: DataFrame) -> DataFrame:
         """(slot, id, active) of every detection of a labelled graph."""

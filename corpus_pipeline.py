@@ -55,8 +55,11 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Texts without the long strings that a document with a smaller id has, too; emptied texts go."""
     rest = [c for c in COLUMNS if c not in ("doc_id", "text", "n_chars")]
     cut = suffixes.remove_repeats(docs, carry=rest)
-    # bytes are cut inside characters at times; what is left of such a character goes
-    text = F.when(F.size("spans") > 0, F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))).otherwise(F.col("kept").cast("string"))
+    # bytes are cut inside characters at times; what is left of such a character goes, and
+    # a U+FFFD of the text is written as \x01b meanwhile (\x01 as \x01a)
+    put = lambda c, *pairs: c if not pairs else put(F.replace(c, F.lit(pairs[0][0]), F.lit(pairs[0][1])), *pairs[1:])
+    whole = put(F.make_valid_utf8(put(F.col("kept").cast("string"), ("\x01", "\x01a"), ("\ufffd", "\x01b"))), ("\ufffd", ""), ("\x01b", "\ufffd"), ("\x01a", "\x01"))
+    text = F.when(F.size("spans") > 0, whole).otherwise(F.col("kept").cast("string"))
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in rest)
     left = cut.select("doc_id", text.alias("text"), F.from_json("carried", kinds).alias("c")).select("doc_id", "text", "c.*")
     return left.where(F.rlike("text", F.lit(r"[^\x09-\x0D\x20]"))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)

@@ -67,6 +67,13 @@ def test_without_repeats(spark, odd):
     assert Counter(rows(pipeline.without_repeats(spark, odd, ""))) == brute_rest(rows(odd))
 
 
+def test_without_repeats_keeps_replacement_characters_of_the_text(spark):
+    passage = "".join(chr(0x4E00 + k) for k in range(40))
+    docs = [(1, "é" + passage + "è", "en", "s", 1), (2, "\ufffd a\x01b \x01a è" + passage + "ê \ufffd\x01", "en", "s", 1)]
+    got = {r[0]: r[1] for r in rows(pipeline.without_repeats(spark, spark.createDataFrame(docs, SCHEMA), ""))}
+    assert got == {1: docs[0][1], 2: "\ufffd a\x01b \x01a è \ufffd\x01"}
+
+
 def test_mixed_keeps_null_ids_and_each_row_has_its_own_uses(spark, odd):
     mixed = rows(pipeline.mixed(spark, odd, ""))
     check_mixed(rows(odd), mixed)

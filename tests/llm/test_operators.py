@@ -196,6 +196,44 @@ def test_jaccard_odd_rows(odd_docs):
     assert got == Counter([((False, k), *want[k]) for k in want] + [((False, 6), *want[6])] * 2 + [((True, 0), passage, 6), ((True, 0), 0, None)])
 
 
+def test_jaccard_words_may_hold_any_other_character(spark):
+    texts = {1: "a\0b c", 2: "a b\0c", 3: "a\0b  c", 4: "A\u00a0b c", 5: "a\u00a0b c", 6: "a b c"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
+    assert got == brute_components(texts)
+    assert got[2][1] == 2 and got[5][1] == 4
+
+
+@pytest.mark.parametrize("rounds", [(), ((1, 2, 1), (8, 16, 8))])
+def test_jaccard_group_of_near_copies_around_the_threshold(spark, rounds):
+    r = random.Random(7)
+    base = [f"w{k}" for k in range(120)]
+    texts = {}
+    for k in range(160):
+        own = list(base)
+        for at in r.sample(range(120), r.randint(1, 6)):
+            own[at] = f"x{k}-{at}"
+        texts[k] = " ".join(own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_components(texts)
+    assert 3 < len({c for _, c in want.values()}) < 150
+    # tiles of a few classes each
+    got = jaccard.jaccard_components(docs, jaccard.JaccardJoin(rounds=rounds, block=2000)).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
+
+
+def test_overlaps_of_several_groups_in_slices(monkeypatch):
+    r = np.random.default_rng(5)
+    group = np.sort(r.integers(0, 5, 40))
+    asks = r.random(40) < 0.5
+    sets = [np.unique(r.integers(0, 30, r.integers(0, 20))) for _ in range(40)]
+    values, row = np.concatenate(sets), np.repeat(np.arange(40), [len(x) for x in sets])
+    monkeypatch.setattr(jaccard, "MATCHES", 50)
+    got = {(int(a), int(b)): int(k) for x in jaccard.overlaps(group, asks, values, row) for a, b, k in zip(*x, strict=True)}
+    each = [(a, b, len(np.intersect1d(sets[a], sets[b]))) for a in range(40) for b in range(40) if asks[a] and not asks[b] and group[a] == group[b]]
+    assert got == {(a, b): k for a, b, k in each if k}
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     r = random.Random(1)
     name = list(range(300))

@@ -218,7 +218,7 @@ def test_jaccard_group_of_near_copies_around_the_threshold(spark, rounds):
     want = brute_components(texts)
     assert 3 < len({c for _, c in want.values()}) < 150
     # tiles of a few classes each
-    got = jaccard.jaccard_components(docs, jaccard.JaccardJoin(rounds=rounds, block=2000)).collect()
+    got = jaccard.jaccard_components(docs, jaccard.JaccardJoin(rounds=rounds, block=2000, chunk=1000)).collect()
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
 
 

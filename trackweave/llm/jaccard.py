@@ -54,7 +54,8 @@ class JaccardJoin:
     sample: int = 16  # lists of each class for candidates of the first kind, times heads
     #: Heads of a list, least length of a list, candidates of a class, for each round.
     rounds: tuple[tuple[int, int, int], ...] = ((1, 2, 1), (8, 16, 8))
-    block: int = 400_000  # shingles of either side of a tile
+    block: int = 100_000  # shingles of the asked classes of a tile
+    chunk: int = 50_000  # and of the asking ones
 
 
 class _WordHash(dict):
@@ -355,10 +356,10 @@ PARTIAL = "home long, block int, chunk int, class long, n int, root long, size l
 def _dealt(rows: DataFrame, asks: DataFrame, asked: DataFrame, model: JaccardJoin) -> DataFrame:
     """Rows of classes at homes, dealt to tiles of a block of asked and a chunk of asking classes each.
 
-    A tile's two sides have some ``block`` shingles each, so no tile grows with its list.
+    A tile's sides have some ``block`` and ``chunk`` shingles, so no tile grows with its list.
     """
-    pieces = lambda df, name: df.groupBy("home").agg(F.ceil(F.sum("n") / model.block).cast("int").alias(name))
-    sizes = pieces(asked, "blocks").join(pieces(asks, "chunks"), "home")
+    pieces = lambda df, size, name: df.groupBy("home").agg(F.ceil(F.sum("n") / size).cast("int").alias(name))
+    sizes = pieces(asked, model.block, "blocks").join(pieces(asks, model.chunk, "chunks"), "home")
     number = lambda of: F.pmod(F.xxhash64("class"), F.col(of)).cast("int")
     each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     one = salted_join(asked, sizes, "home").withColumn("block", number("blocks")).withColumn("chunk", each("chunks")).withColumn("asks", F.lit(False))
@@ -411,7 +412,7 @@ def _lists(owner: np.ndarray, n: int, values: np.ndarray, kind: pa.DataType) ->
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), pa.array(values, kind))
 
 
-MATCHES = 4_000_000
+MATCHES = 500_000
 
 
 def overlaps(group: np.ndarray, asks: np.ndarray, values: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -492,7 +493,7 @@ def _summed(partial: DataFrame, percent: int) -> DataFrame:
     """The links(a, b) of each tile, one to a component: partial overlaps summed per pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, TILE, 2000):
+        for table in _groups(batches, TILE, 500):
             group = _ids(table, TILE)
             name, theirs = _flat(table, "names")
             n, root, size = (_flat(table, c)[0] for c in ("sizes", "roots", "weights"))
@@ -505,10 +506,15 @@ def _summed(partial: DataFrame, percent: int) -> DataFrame:
             new = np.concatenate(([True], (group[1:] != group[:-1]) | (own["class"][1:] != own["class"][:-1])))
             asker = np.cumsum(new) - 1
             lead = np.flatnonzero(new)
-            b = begin[group[row]] + at
-            pair, back = np.unique(asker[row].astype(np.int64) * max(1, len(name)) + b, return_inverse=True)
-            total = np.bincount(back, weights=k, minlength=len(pair)).astype(np.int64) if len(pair) else np.empty(0, np.int64)
-            a, b = lead[pair // max(1, len(name))], pair % max(1, len(name))
+            # a cell for each asking and asked class of a tile, tile by tile
+            asked = np.diff(np.append(begin, len(name)))[group[lead]]
+            cell = np.concatenate(([0], np.cumsum(asked)))
+            total = np.bincount(cell[asker[row]] + at, weights=k, minlength=cell[-1])
+            pair = np.flatnonzero(total)
+            total = total[pair].astype(np.int64)
+            a = np.searchsorted(cell, pair, side="right") - 1
+            b = begin[group[lead[a]]] + pair - cell[a]
+            a = lead[a]
             smaller = (own["size"][a] < size[b]) | (own["size"][a] == size[b]) & (own["root"][a] < root[b])
             good = smaller & (100 * total >= percent * (own["n"][a].astype(np.int64) + n[b] - total))
             a, b = a[good], b[good]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from trackweave.operators import graph
 
 #: Order of the types.
-TYPES = ["Move", "Division", "Appearance", "Disappearance", "Merger", "MultiFrameMove", "ResolvedTo", "Void"]
+TYPES = ["Move", "Division", "Appearance", "Disappearance", "Merger", "ResolvedTo", "MultiFrameMove", "Void"]
 COUNTED = ["Move", "Division", "Appearance", "Disappearance"]
 
 

@@ -21,6 +21,8 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="trackweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -95,6 +97,35 @@ def tracklets(nodes: DataFrame, arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return contracted, placed.where("src_head <> dst_head").select("src_head", "dst_head", "src", "dst", "distance")
 
 
+def active_tracklets(nodes: DataFrame, arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Contracted graph (head, members) of paths of active arcs, and arcs between them (src, dst).
+
+    nodes(node[, members]) and arcs(src, dst, active). A path goes on along its one
+    active arc; a node with two active arcs out or in is an error. All arcs out of a
+    path's last node that lead to the first node of a path remain. The result can be
+    contracted again: ``members`` are then strung together.
+    """
+    on = arcs.where("active").select("src", "dst")
+    for end in ("src", "dst"):
+        n = on.groupBy(end).agg(F.count(F.lit(1)).alias("n"))
+        twice = F.when(F.col("n") > 1, F.raise_error(F.lit("more than one active arc"))).otherwise(True).cast("boolean")
+        on = on.join(n.where(twice).select(end), end).select("src", "dst")
+    of = chains(nodes, cut_lineage(on, "active"))
+    own = F.col("members") if "members" in nodes.columns else F.array("node")
+    placed = of.join(nodes.select("node", own.alias("own")), "node")
+    strung = F.transform(F.sort_array(F.collect_list(F.struct("place", "node", "own"))), lambda s: s["own"])
+    paths = placed.groupBy("head").agg(F.flatten(strung).alias("members"), F.max_by("node", "place").alias("last"))
+    ends = paths.select(F.col("last").alias("src"), F.col("head").alias("from"))
+    between = arcs.join(ends, "src").join(paths.select(F.col("head").alias("dst")), "dst").select(F.col("from").alias("src"), "dst")
+    return paths.select("head", "members"), between
+
+
+def require(rows: DataFrame, *columns: str) -> None:
+    """A missing property is an error that names it."""
+    if missing := [c for c in columns if c not in rows.columns]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+
+
 def prune(nodes: DataFrame, arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Drop inactive arcs, then inactive nodes; an active arc at a dropped node is an error.
 

@@ -18,6 +18,18 @@ POINT = 3  # coordinates of a centre
 COVARIANCE_FLOOR = 1e-6
 
 
+def centres_of(points: np.ndarray, labels: np.ndarray, k: int) -> np.ndarray:
+    """The mean of the points of each label; not a number where a label has none."""
+    total = np.zeros((k, points.shape[1]))
+    np.add.at(total, labels, points)
+    n = np.bincount(labels, minlength=k)[:, None]
+    return np.divide(total, n, out=np.full_like(total, np.nan), where=n > 0)
+
+
+def nearest_label(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((points[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+
+
 def kmeans(points: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
     """Centres of k clusters; starts from the points that lie furthest apart, so that it is deterministic."""
     centres = [points[np.lexsort(points.T[::-1])[0]]]
@@ -26,21 +38,39 @@ def kmeans(points: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
         centres.append(points[int(np.argmax(gap))])
     now = np.array(centres, float)
     for _ in range(rounds):
-        label = ((points[:, None] - now[None]) ** 2).sum(axis=2).argmin(axis=1)
-        new = np.array([points[label == j].mean(axis=0) if (label == j).any() else now[j] for j in range(k)])
+        new = centres_of(points, nearest_label(points, now), k)
+        new = np.where(np.isnan(new), now, new)
         if np.allclose(new, now):
             break
         now = new
     return now[np.lexsort(now.T[::-1])]
 
 
-def mixture(points: np.ndarray, k: int, means: np.ndarray | None = None, rounds: int = 30, tolerance: float = 1e-6) -> tuple[np.ndarray, float]:
-    """(centres, log-likelihood) of a Gaussian mixture by expectation-maximisation."""
+def mixture(points: np.ndarray, k: int, means: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """(centres, log-likelihood) of a Gaussian mixture."""
+    return labelled_mixture(points, k, means)[:2]
+
+
+def labelled_mixture(
+    points: np.ndarray,
+    k: int,
+    means: np.ndarray | None = None,
+    covariances: np.ndarray | None = None,
+    weights: np.ndarray | None = None,
+    rounds: int = 30,
+    tolerance: float = 1e-6,
+) -> tuple[np.ndarray, float, np.ndarray]:
+    """(centres, log-likelihood, labels) of a Gaussian mixture by expectation-maximisation.
+
+    Given means start with unit covariances and equal weights unless those are given, too.
+    """
     n, d = points.shape
-    centre = kmeans(points, k) if means is None else np.array(means, float)
+    centre = kmeans(points, k) if means is None else np.array(means, float)[:, :d]
     spread = np.cov(points.T).reshape(d, d) if n > 1 else np.zeros((d, d))
-    cov = np.array([spread + COVARIANCE_FLOOR * np.eye(d)] * k) if means is None else np.array([np.eye(d)] * k)
-    weight, last, score = np.full(k, 1 / k), -np.inf, -np.inf
+    start = spread + COVARIANCE_FLOOR * np.eye(d) if means is None else np.eye(d)
+    cov = np.array([start] * k) if covariances is None else np.array(covariances, float)
+    weight, last, score = np.full(k, 1 / k) if weights is None else np.array(weights, float), -np.inf, -np.inf
+    share = np.zeros((n, k))
     for _ in range(rounds):
         off = points[:, None] - centre[None]
         inverse, (_, logdet) = np.linalg.inv(cov), np.linalg.slogdet(cov)
@@ -56,7 +86,22 @@ def mixture(points: np.ndarray, k: int, means: np.ndarray | None = None, rounds:
         if abs(score - last) < tolerance * abs(score):
             break
         last = score
-    return centre, score
+    return centre, score, share.argmax(axis=1)
+
+
+def fitted(points: np.ndarray, k: int, seeds: np.ndarray | None = None, method: str = "mixture") -> tuple[np.ndarray, np.ndarray]:
+    """(centres, labels) of k objects; where a mixture fails or leaves one without a point, those of clusters."""
+    if len(points) < k:
+        raise ValueError(f"{len(points)} points can't hold {k} objects")
+    if method == "mixture":
+        try:
+            centre, _, labels = labelled_mixture(points, k, seeds)
+            if np.isfinite(centre).all() and len(np.unique(labels)) == k:
+                return centre, labels
+        except np.linalg.LinAlgError:
+            pass
+    centre = kmeans(points, k)
+    return centre, nearest_label(points, centre)
 
 
 def bic(score: float, n: int, k: int, weight: float) -> float:
@@ -64,21 +109,76 @@ def bic(score: float, n: int, k: int, weight: float) -> float:
     return score / n - weight * k
 
 
-def centres(pixels: DataFrame, n_dim: int = 3, method: str = "mixture") -> DataFrame:
-    """(timestep, id, k, centre) of mergers from pixels(timestep, id, n_objects, pixel array<double>)."""
+FITTED = "timestep int, id long, k int, centre array<double>, pixels array<array<double>>"
+
+
+def fit(pixels: DataFrame, n_dim: int = 3, method: str = "mixture") -> DataFrame:
+    """(timestep, id, k, centre, pixels) of mergers from pixels(timestep, id, n_objects, pixel[, seeds]).
+
+    Each object gets the pixels that are most likely its own. With ``seeds``
+    (array<array<double>>, null: none) the mixture starts there. A merger's pixels are
+    one group; more objects than pixels are an error.
+    """
+    seeded = "seeds" in pixels.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        points = np.array(pdf.pixel.tolist(), float)[:, :n_dim]
-        points = points[np.lexsort(points.T[::-1])]
-        k = min(int(pdf.n_objects.iloc[0]), len(points))
-        found = kmeans(points, k) if method == "kmeans" else mixture(points, k)[0]
-        if not np.isfinite(found).all():
-            found = kmeans(points, k)
+        whole = np.array(pdf.pixel.tolist(), float)
+        whole = whole[np.lexsort(whole.T[::-1])]
+        points = whole[:, :n_dim]
+        k, first = int(pdf.n_objects.iloc[0]), pdf.seeds.iloc[0] if seeded else None
+        starts = np.array([list(x)[:n_dim] for x in first], float) if first is not None and len(first) == k else None
+        found, labels = fitted(points, k, starts, method)
         found = np.hstack([found, np.zeros((k, POINT - n_dim))])
         t, i = int(pdf.timestep.iloc[0]), int(pdf.id.iloc[0])
-        return pd.DataFrame([(t, i, j, c.tolist()) for j, c in enumerate(found)], columns=["timestep", "id", "k", "centre"])
+        return pd.DataFrame([(t, i, j, c.tolist(), whole[labels == j].tolist()) for j, c in enumerate(found)], columns=["timestep", "id", "k", "centre", "pixels"])
+
+    return pixels.groupBy("timestep", "id").applyInPandas(run, FITTED)
+
+
+def centres(pixels: DataFrame, n_dim: int = 3, method: str = "mixture") -> DataFrame:
+    """(timestep, id, k, centre) of mergers from pixels(timestep, id, n_objects, pixel array<double>)."""
+    return fit(pixels, n_dim, method).drop("pixels")
+
 
-    return pixels.groupBy("timestep", "id").applyInPandas(run, "timestep int, id long, k int, centre array<double>")
+def seeded_fit(pixels: DataFrame, nodes: DataFrame, arcs: DataFrame, n_dim: int = 3) -> DataFrame:
+    """As :func:`fit`, each mixture starting at what came before: positions of predecessors, centres of merged ones.
+
+    nodes(timestep, id, n_objects, x, y, z) and arcs(src_t, src, dst_t, dst) are active,
+    pixels(timestep, id, pixel) those of mergers; a merger without pixels is an error.
+    Mergers that follow mergers wait for them, so the number of rounds is the length of
+    the longest run of mergers. Without as many seeds as objects a mixture starts afresh.
+    """
+    key = ["timestep", "id"]
+    rows = pixels.select(*key, "pixel").join(nodes.where("n_objects > 1").select(*key, "n_objects"), key, "right")
+    rows = graph.cut_lineage(rows.withColumn("pixel", F.when(F.col("pixel").isNull(), F.raise_error(F.lit("a merger without pixels"))).otherwise(F.col("pixel"))), "pixels")
+    waiting = graph.cut_lineage(nodes.where("n_objects > 1").select(*key), "waiting")
+    into = arcs.join(waiting.withColumnsRenamed({"timestep": "dst_t", "id": "dst"}), ["dst_t", "dst"], "left_semi")
+    at = F.array(*[F.col(c).cast("double") for c in "xyz"])
+    alone = nodes.where("n_objects = 1").select(*key, F.lit(0).alias("k"), at.alias("centre"))
+    done = None
+    while not waiting.isEmpty():
+        before = into.join(waiting.withColumnsRenamed({"timestep": "src_t", "id": "src"}), ["src_t", "src"], "left_semi")
+        ready = waiting.join(before.select(F.col("dst_t").alias("timestep"), F.col("dst").alias("id")), key, "left_anti")
+        known = alone if done is None else alone.unionByName(done.select(*alone.columns))
+        met = into.join(known.withColumnsRenamed({"timestep": "src_t", "id": "src"}), ["src_t", "src"])
+        seeds = met.groupBy(F.col("dst_t").alias("timestep"), F.col("dst").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("src", "k", "centre"))), lambda s: s["centre"]).alias("seeds"))
+        found = graph.cut_lineage(fit(rows.join(ready, key).join(seeds, key, "left"), n_dim), "centres")
+        done = found if done is None else done.unionByName(found)
+        left = graph.cut_lineage(waiting.join(found.select(*key).distinct(), key, "left_anti"), "waiting")
+        if left.count() == waiting.count():
+            raise RuntimeError("mergers wait for each other")
+        waiting = left
+    return done if done is not None else nodes.sparkSession.createDataFrame([], FITTED)
+
+
+def reassigned(pixels: DataFrame, parts: DataFrame, found: DataFrame) -> DataFrame:
+    """pixels(timestep, id, pixel) with those of mergers under the ids of their parts.
+
+    ``found`` is what :func:`fit` returns and ``parts`` what :func:`split` makes of it.
+    """
+    of = parts.select("timestep", F.col("id").alias("part"), F.col("origin").alias("id"), "k")
+    moved = found.join(of, ["timestep", "id", "k"]).select("timestep", F.col("part").alias("id"), F.explode("pixels").alias("pixel"))
+    return pixels.select("timestep", "id", "pixel").join(of.select("timestep", "id").distinct(), ["timestep", "id"], "left_anti").unionByName(moved)
 
 
 def priors_and_centres(points: DataFrame, k_max: int, weight: float, n_dim: int = 3) -> DataFrame:
@@ -118,11 +218,11 @@ def centres_from_list(mergers: DataFrame, column: str = "merger_coms") -> DataFr
 
 
 def split(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """Replacement detections (timestep, id, origin, x, y, z); ids go on after the frame's largest."""
+    """Replacement detections (timestep, id, origin, x, y, z, k); ids go on after the frame's largest."""
     largest = nodes.groupBy("timestep").agg(F.max("id").alias("max_id"))
     order = Window.partitionBy("timestep").orderBy("id", "k")
     ranked = found.withColumn("r", F.row_number().over(order)).join(largest, "timestep")
-    return ranked.select("timestep", (F.col("max_id") + F.col("r")).cast("long").alias("id"), F.col("id").alias("origin"), *[F.get("centre", F.lit(k)).alias(a) for k, a in enumerate("xyz")])
+    return ranked.select("timestep", (F.col("max_id") + F.col("r")).cast("long").alias("id"), F.col("id").alias("origin"), *[F.get("centre", F.lit(k)).alias(a) for k, a in enumerate("xyz")], F.col("k").cast("int").alias("k"))
 
 
 def replacement_arcs(nodes: DataFrame, arcs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -133,7 +233,7 @@ def replacement_arcs(nodes: DataFrame, arcs: DataFrame, parts: DataFrame) -> Dat
     at = nodes.select("timestep", "id", F.lit(None).cast("long").alias("origin"), "x", "y", "z")
 
     def ends(t: str, key: str, prefix: str) -> DataFrame:
-        both = at.withColumn("old", F.col("id")).unionByName(parts.withColumn("old", F.col("origin")))
+        both = at.withColumn("old", F.col("id")).unionByName(parts.select(*at.columns, F.col("origin").alias("old")))
         merged = parts.select("timestep", F.col("origin").alias("id")).distinct()
         stay = both.join(merged.withColumn("origin_is_merger", F.lit(True)), ["timestep", "id"], "left").where("origin_is_merger IS NULL OR origin IS NOT NULL")
         return stay.select(F.col("timestep").alias(t), F.col("old").alias(key), F.col("id").alias(f"{prefix}id"), F.col("origin").isNotNull().alias(f"{prefix}new"), *[F.col(a).alias(f"{prefix}{a}") for a in "xyz"])
@@ -142,14 +242,31 @@ def replacement_arcs(nodes: DataFrame, arcs: DataFrame, parts: DataFrame) -> Dat
     return whole.where("anew OR bnew").select("src_t", F.col("aid").alias("src"), "dst_t", F.col("bid").alias("dst"), distance(point("a"), point("b")).alias("distance"))
 
 
+def split_divisions(links: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """Links plus those of a clone of each dividing node whose daughters lie in two mergers.
+
+    Such a node has two objects to give, but holds one. Its clone (node -a - 1) gives
+    the other: to the parts of the first merger. links(a, b, dst_t, dst, ...).
+    """
+    if "divides" not in nodes.columns:
+        return links
+    mothers = nodes.where("divides").select(graph.node_key(F.col("timestep"), F.col("id")).alias("a"))
+    origin = parts.select(F.col("timestep").alias("dst_t"), F.col("id").alias("dst"), "origin")
+    met = links.join(mothers, "a", "left_semi").join(origin, ["dst_t", "dst"])
+    two = met.groupBy("a").agg(F.min("origin").alias("origin"), F.max("origin").alias("other")).where("origin < other").select("a", "origin")
+    cloned = met.join(two, ["a", "origin"]).withColumn("a", -F.col("a") - 1)
+    return links.unionByName(cloned.select(*links.columns))
+
+
 def resolve(nodes: DataFrame, arcs: DataFrame, parts: DataFrame, weight: float = 10.0, alpha: float = 5.0, gap: float = 0.01, tracklets: bool = False) -> DataFrame:
     """(src_t, src, dst_t, dst, active) of the replacements' arcs by a second exact labelling.
 
-    Every detection holds one object, and nothing appears or disappears on the way.
+    Every detection holds one object, and nothing appears or disappears on the way. A
+    dividing node (column ``divides``) whose daughters lie in two mergers is solved as two.
     """
     links = replacement_arcs(nodes, arcs, parts).withColumns({"a": graph.node_key(F.col("src_t"), F.col("src")), "b": graph.node_key(F.col("dst_t"), F.col("dst"))})
     links = graph.cut_lineage(links, "resolve")
-    flows = links.select(F.col("a").alias("src"), F.col("b").alias("dst"), en.transition_energies(F.col("distance"), weight, alpha, 1).alias("e"))
+    flows = split_divisions(links, nodes, parts).select(F.col("a").alias("src"), F.col("b").alias("dst"), en.transition_energies(F.col("distance"), weight, alpha, 1).alias("e"))
     names = flows.select(F.col("src").alias("node")).union(flows.select("dst")).distinct()
     of = graph.components(names, flows)
     certain = en.detection_energies(F.array(F.lit(0.0), F.lit(1.0)), weight)
@@ -157,4 +274,7 @@ def resolve(nodes: DataFrame, arcs: DataFrame, parts: DataFrame, weight: float =
     costs = of.select("node", "component", certain.alias("e"), zero.alias("app"), zero.alias("dis"), zero.alias("div0"), zero.alias("div1"), F.lit(False).alias("alone"))
     model = replace(conservation.ConservationModel(), states=1, divisions=False, misdetections=False, appearance=False, disappearance=False, gap=gap, tracklets=tracklets)
     _, used = conservation.infer(costs, flows.join(of.withColumnRenamed("node", "src"), "src"), model)
-    return links.join(used.withColumnsRenamed({"src": "a", "dst": "b"}), ["a", "b"]).select("src_t", "src", "dst_t", "dst", (F.col("flow") > 0).alias("active"))
+    # what a clone uses, its node uses
+    mine = F.when(F.col("src") < 0, -F.col("src") - 1).otherwise(F.col("src"))
+    used = used.groupBy(mine.alias("a"), F.col("dst").alias("b")).agg((F.max("flow") > 0).alias("active"))
+    return links.join(used, ["a", "b"]).select("src_t", "src", "dst_t", "dst", "active")

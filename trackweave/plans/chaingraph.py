@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackweave.operators.graph import cut_lineage
 from trackweave.plans.solver import INFINITY, Problem, add_running_sum, solve
 
 
@@ -78,7 +79,7 @@ def solve_component(nodes: pd.DataFrame, arcs: pd.DataFrame, pairs: dict[tuple[i
     nothing = np.zeros(len(problem.sizes), int)
     if options.fixed_detections or not options.detection_variables:
         nothing[list(detected.values())] = 1
-    cost, labels, gap = solve(problem, nothing, gap=options.gap, limit=200_000, rounds=1)
+    cost, labels, gap = solve(problem, nothing, gap=options.gap, limit=options.limit, rounds=1, seconds=options.time_limit)
     return cost, gap, {n: bool(labels[v]) for n, v in detected.items()}, {k: bool(labels[v]) for k, v in used.items()}
 
 
@@ -109,6 +110,7 @@ def infer(nodes: DataFrame, arcs: DataFrame, pairs: DataFrame, options: Any) ->
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).alias("bucket")
     linked = placed.where("tied").drop("tied")
     solved = linked.groupBy(bucket("component")).cogroup(both.withColumnRenamed("component", "part").groupBy(bucket("part"))).applyInPandas(run, RESULT)
+    solved = cut_lineage(solved, "solved")  # both results read it
     # a detection without arcs is on if that is cheaper, or if it must be
     on, off = F.col("det") + F.col("app") + F.col("dis"), F.col("non") + F.col("opp")
     must = F.lit(options.fixed_detections or not options.detection_variables)
@@ -116,8 +118,3 @@ def infer(nodes: DataFrame, arcs: DataFrame, pairs: DataFrame, options: Any) ->
     labelled = solved.where("dst IS NULL").select("node", "active", "cost", "gap").unionByName(alone)
     return labelled, solved.where("dst IS NOT NULL").select(F.col("node").alias("src"), "dst", "active")
 
-
-def factor_tables(nodes: DataFrame, arcs: DataFrame) -> tuple[int, int]:
-    """Numbers of variables (nodes and arcs) and factors (three a node) of the explicit model."""
-    n, a = nodes.count(), arcs.count()
-    return n + a, 3 * n

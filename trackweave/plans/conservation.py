@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackweave.operators.graph import cut_lineage
 from trackweave.plans.solver import INFINITY, Problem, add_running_flags, add_running_sum, solve
 
 FORBIDDEN = 0.0 + INFINITY
@@ -30,6 +31,8 @@ class ConservationModel:
     disappearance: bool = True
     gap: float = 0.01
     limit: int = 2_000_000
+    #: Seconds after which a component that is too wide for an exact labelling is improved no more.
+    time_limit: float = 1e75
 
 
 def node_table(model: ConservationModel, e: np.ndarray, app: float, dis: float, div: tuple[float, float] | None, has_in: bool, has_out: bool) -> np.ndarray:
@@ -160,7 +163,7 @@ def solve_component(nodes: pd.DataFrame, arcs: pd.DataFrame, model: Conservation
                 if o < table.shape[1]:
                     joint[i, s] = table[i, o, flag]
         problem.add((total, both), joint)
-    cost, labels, gap = solve(problem, np.zeros(len(problem.sizes), int), model.limit, model.gap)
+    cost, labels, gap = solve(problem, np.zeros(len(problem.sizes), int), model.limit, model.gap, seconds=model.time_limit)
     if cost >= INFINITY / 2:
         raise RuntimeError("no labelling satisfies the constraints")
     result = Solution(cost, gap, {}, {}, {k: int(labels[v]) for k, v in flow.items()})
@@ -205,6 +208,7 @@ def infer(nodes: DataFrame, arcs: DataFrame, model: ConservationModel) -> tuple[
     buckets = 4 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).alias("bucket")
     solved = linked.groupBy(bucket("component")).cogroup(flows.groupBy(bucket("part"))).applyInPandas(run, RESULT)
+    solved = cut_lineage(solved, "solved")  # both results read it
     # a detection without arcs: both sides are free, so the cheapest number of objects
     usable = F.col("e") if model.misdetections and model.appearance and model.disappearance else F.transform("e", lambda x, i: F.when(i == 0, F.lit(INFINITY)).otherwise(x))
     least = F.array_min(usable)

@@ -9,6 +9,7 @@ improved by solving small neighbourhoods exactly, and the gap between both is re
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -110,8 +111,8 @@ def eliminate(problem: Problem, limit: int = 2_000_000, fixed: dict[int, int] |
     return base, labels, exact
 
 
-def _improve(problem: Problem, labels: np.ndarray, rounds: int, size: int) -> np.ndarray:
-    """Solve small neighbourhoods of the factor graph exactly, the rest fixed, until none helps."""
+def _improve(problem: Problem, labels: np.ndarray, rounds: int, size: int, until: float) -> np.ndarray:
+    """Solve small neighbourhoods of the factor graph exactly, the rest fixed, until none helps or time is up."""
     near: dict[int, set[int]] = {v: set() for v in range(len(problem.sizes))}
     for vs, _ in problem.factors:
         for v in vs:
@@ -120,6 +121,8 @@ def _improve(problem: Problem, labels: np.ndarray, rounds: int, size: int) -> np
     for _ in range(rounds):
         before = value
         for start in range(0, len(problem.sizes), max(1, size // 4)):
+            if time.monotonic() > until:
+                return labels
             block, edge = {start}, [start]
             while edge and len(block) < size:
                 edge = sorted({u for v in edge for u in near[v]} - block)[: size - len(block)]
@@ -133,8 +136,9 @@ def _improve(problem: Problem, labels: np.ndarray, rounds: int, size: int) -> np
     return labels
 
 
-def solve(problem: Problem, feasible: np.ndarray, limit: int = 2_000_000, gap: float = 0.0, rounds: int = 3) -> tuple[float, np.ndarray, float]:
+def solve(problem: Problem, feasible: np.ndarray, limit: int = 2_000_000, gap: float = 0.0, rounds: int = 3, seconds: float = 1e75) -> tuple[float, np.ndarray, float]:
     """(cost, labels, gap to the bound). ``feasible`` is a labelling to fall back on."""
+    until = time.monotonic() + seconds
     bound, labels, exact = eliminate(problem, limit)
     if exact:
         return bound, labels, 0.0
@@ -142,7 +146,7 @@ def solve(problem: Problem, feasible: np.ndarray, limit: int = 2_000_000, gap: f
     if value >= INFINITY / 2:
         labels, value = feasible, problem.value(feasible)
     if value - bound > gap * max(abs(value), 1e-9):
-        labels = _improve(problem, labels, rounds, 24)
+        labels = _improve(problem, labels, rounds, 24, until)
         value = problem.value(labels)
     return value, labels, (value - bound) / max(abs(value), 1e-9)
 

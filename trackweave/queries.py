@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackweave.functions import calculators as calc
@@ -90,6 +91,10 @@ def shown(found: DataFrame) -> DataFrame:
     return found.select("slot", "type", F.array_join("traxel_ids", ",").alias("ids"))
 
 
+def shown_with(found: DataFrame, *more: str) -> DataFrame:
+    return found.select("slot", "type", F.array_join("traxel_ids", ",").alias("ids"), *more)
+
+
 SHOWN = "SELECT slot, type, array_to_string(ids, ',') AS ids FROM ev"
 
 
@@ -368,6 +373,10 @@ def _keyed(rows: DataFrame, arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select(key(F.col("timestep"), F.col("id")).alias("node")), arcs.select(key(F.col("src_t"), F.col("src")).alias("src"), key(F.col("dst_t"), F.col("dst")).alias("dst"), "distance")
 
 
+def _id(node: str) -> Column:
+    return F.col(node).bitwiseAND(F.lit((1 << graph.ID_BITS) - 1))
+
+
 KEYED = f"WITH RECURSIVE {GRAPH}, n AS (SELECT (timestep::BIGINT << 32) + id AS node FROM det), e AS (SELECT (src_t::BIGINT << 32) + src AS src, (dst_t::BIGINT << 32) + dst AS dst, distance FROM arcs)"
 
 
@@ -402,6 +411,50 @@ def prune_inactive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("timestep", "id")
 
 
+@register("prune_inactive_arcs", f"{KEYED} SELECT src, dst FROM e WHERE (src & 4294967295) % 10 < 8 AND (dst & 4294967295) % 10 < 8")
+def prune_inactive_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = det(spark, sf_dir).withColumn("active", F.col("id") % 10 < 8)
+    nodes, links = _keyed(rows, arcs_of(rows))
+    nodes = nodes.withColumn("active", _id("node") % 10 < 8)
+    return graph.prune(nodes, links.withColumn("active", (_id("src") % 10 < 8) & (_id("dst") % 10 < 8)))[1].select("src", "dst")
+
+
+@register("tracklet_arcs", f"{KEYED}, l AS (SELECT src, dst FROM e WHERE src IN (SELECT src FROM e GROUP BY 1 HAVING count(*) = 1) AND dst IN (SELECT dst FROM e GROUP BY 1 HAVING count(*) = 1)), r AS (SELECT node AS head, node FROM n WHERE node NOT IN (SELECT dst FROM l) UNION ALL SELECT r.head, l.dst FROM r JOIN l ON l.src = r.node) SELECT a.head AS src_head, b.head AS dst_head, src, dst, round(distance, 6) AS distance FROM e JOIN r a ON a.node = src JOIN r b ON b.node = dst WHERE a.head <> b.head")
+def tracklet_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = det(spark, sf_dir)
+    return rounded(graph.tracklets(*_keyed(rows, arcs_of(rows)))[1], "distance")
+
+
+ACTIVE = f"{KEYED}, l AS (SELECT src, dst FROM e WHERE src IN (SELECT src FROM e GROUP BY 1 HAVING count(*) = 1) AND dst IN (SELECT dst FROM e GROUP BY 1 HAVING count(*) = 1) AND (src + dst) % 3 <> 0), r AS (SELECT node AS head, node, 0 AS place FROM n WHERE node NOT IN (SELECT dst FROM l) UNION ALL SELECT r.head, l.dst, place + 1 FROM r JOIN l ON l.src = r.node), p AS (SELECT head, list(node ORDER BY place) AS members, arg_max(node, place) AS last FROM r GROUP BY 1)"
+
+
+def _active_paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Paths of some arcs that are the only ones at both their ends."""
+    rows = det(spark, sf_dir)
+    nodes, links = _keyed(rows, arcs_of(rows))
+    links = graph.cut_lineage(links, "links")
+    once = lambda end: links.groupBy(end).agg(F.count(F.lit(1)).alias(f"{end}_n"))
+    links = links.join(once("src"), "src").join(once("dst"), "dst")
+    return graph.active_tracklets(nodes, links.select("src", "dst", ((F.col("src_n") == 1) & (F.col("dst_n") == 1) & ((F.col("src") + F.col("dst")) % 3 != 0)).alias("active")))
+
+
+@register("active_tracklets", f"{ACTIVE} SELECT head, members FROM p")
+def active_tracklets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _active_paths(spark, sf_dir)[0]
+
+
+@register("active_tracklet_arcs", f"{ACTIVE} SELECT a.head AS src, b.head AS dst FROM e JOIN p a ON a.last = src JOIN p b ON b.head = dst")
+def active_tracklet_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _active_paths(spark, sf_dir)[1]
+
+
+@register("subset_arcs", f"{KEYED} SELECT src, dst FROM e WHERE (src + dst) % 5 = 0")
+def subset_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = det(spark, sf_dir)
+    nodes, links = _keyed(rows, arcs_of(rows))
+    return graph.subset(nodes.withColumn("chosen", F.lit(False)), links.withColumn("chosen", (F.col("src") + F.col("dst")) % 5 == 0), "chosen", "chosen")[1].select("src", "dst")
+
+
 @register("subset_graph", f"WITH {GRAPH} SELECT timestep, id FROM det WHERE id % 17 = 0 UNION SELECT src_t, src FROM arcs WHERE (src + dst) % 5 = 0 UNION SELECT dst_t, dst FROM arcs WHERE (src + dst) % 5 = 0")
 def subset_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = det(spark, sf_dir).withColumn("node", graph.node_key(F.col("timestep"), F.col("id"))).withColumn("chosen", F.col("id") % 17 == 0)
@@ -429,6 +482,32 @@ def merge_event_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(events.merge(found, found.where("type = 'Merger'")))
 
 
+RANKED = f"WITH {LABELLED}, k AS (SELECT *, list_position({events.TYPES!r}, type) AS rank FROM ev)"
+
+
+@register("event_order", f"{RANKED} SELECT slot, type, array_to_string(ids, ',') AS ids, row_number() OVER (PARTITION BY slot ORDER BY rank, ids[1], coalesce(ids[2], -1)) AS place FROM k")
+def event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event's place in its slot, by type and ids."""
+    order = Window.partitionBy("slot").orderBy(*events.order_key())
+    return shown_with(found_events(det(spark, sf_dir)).withColumn("place", F.row_number().over(order).cast("long")), "place")
+
+
+@register("nested_events", f"{RANKED} SELECT s.slot::INT AS slot, coalesce(list(type || ': ' || array_to_string(ids, ', ') ORDER BY rank, ids) FILTER (type IS NOT NULL), []) AS events FROM (SELECT unnest(range(1 + (SELECT max(timestep) - min(timestep) FROM det))) AS slot) s LEFT JOIN k USING (slot) GROUP BY 1")
+def nested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One list of rendered events a slot, empty ones included."""
+    rows = det(spark, sf_dir)
+    ends = detections.time_range(rows).first()
+    found = events.nested(found_events(rows), ends.latest - ends.earliest + 1)
+    text = F.transform("events", lambda e: F.concat(e["type"], F.lit(": "), F.array_join(e["traxel_ids"], ", ")))
+    return found.select("slot", text.alias("events"))
+
+
+@register("added_statistics", f"WITH {LABELLED} SELECT slot, 2 * count(*) AS n_total, " + ", ".join(f"2 * count(*) FILTER (type = '{t}') AS n_{t.lower()}" for t in events.COUNTED) + " FROM ev WHERE type IN ('Move', 'Division', 'Appearance', 'Disappearance') GROUP BY 1")
+def added_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = events.statistics(found_events(det(spark, sf_dir)), ignore_unknown=True)
+    return events.add_statistics(one, one)
+
+
 @register("event_energy", "SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda e: e::DOUBLE * e::DOUBLE)), 6) AS energy FROM embeddings")
 def event_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
@@ -492,7 +571,7 @@ sp AS (SELECT s.timestep, max_id + row_number() OVER (PARTITION BY s.timestep OR
 @register("merger_split", f"WITH {SPLIT} SELECT * FROM sp")
 def merger_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _mergers(spark, sf_dir)
-    return mergers.split(rows, mergers.centres_from_packed(rows.where("n_objects > 1")))
+    return mergers.split(rows, mergers.centres_from_packed(rows.where("n_objects > 1"))).drop("k")
 
 
 @register("replacement_arcs", f"""WITH {SPLIT}, a AS (SELECT p.timestep AS src_t, p.id AS src, q.timestep AS dst_t, q.id AS dst FROM m p JOIN m q ON q.id = p.id + 50),
@@ -539,27 +618,135 @@ def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emb(spark, sf_dir).select("id", F.transform(v, lambda x: F.round(x, 6)).alias("v"))
 
 
-# trackers and clustering: no SQL for exact labellings
+# trackers: the oracle tries every labelling of each component, which is small at this radius
 
 TRACKER = ConservationTracker(radius=RADIUS)
 
 
-@register("ctrack_events")
+def _log(p: str) -> str:
+    return f"(-10.0 * ln(greatest({p}, {en.PROBABILITY_FLOOR!r})))"
+
+
+#: Components of arcs ``t`` (src, dst and what they cost), with their arcs numbered.
+PARTS = """n AS (SELECT (timestep::BIGINT << 32) + id AS node, * FROM det), t0 AS (SELECT min(timestep) AS a, max(timestep) AS b FROM det),
+b AS (SELECT src, dst FROM t UNION SELECT dst, src FROM t),
+r AS (SELECT node, node AS c FROM n UNION SELECT b.dst, r.c FROM r JOIN b ON b.src = r.node WHERE r.c < b.dst),
+comp AS (SELECT node, min(c) AS c FROM r GROUP BY 1),
+num AS (SELECT t.*, c, row_number() OVER (PARTITION BY c ORDER BY src, dst) AS k FROM t JOIN comp ON comp.node = t.src),
+most AS (SELECT c, max(k) AS m FROM num GROUP BY 1),"""
+KEYED_ARC = "(src_t::BIGINT << 32) + src AS src, (dst_t::BIGINT << 32) + dst AS dst, distance AS d"
+CTRACK = f"""WITH RECURSIVE {DET}, {pairs_sql().split("divs AS")[0].rstrip().rstrip(",")},
+t AS (SELECT DISTINCT {KEYED_ARC} FROM (SELECT src_t, src, dst_t, dst, sqrt(d2) AS distance FROM fwd WHERE r <= CASE WHEN p > 0.3 THEN 2 ELSE 1 END UNION SELECT src_t, src, dst_t, dst, sqrt(d2) FROM bwd WHERE r = 1)),
+{PARTS}
+flow AS (SELECT c, 0 AS k, []::INT[] AS y FROM most UNION ALL SELECT f.c, f.k + 1, list_append(f.y, v) FROM flow f JOIN most USING (c), (VALUES (0), (1), (2)) s(v) WHERE f.k < m),
+way AS (SELECT f.c, f.y FROM flow f JOIN most USING (c) WHERE f.k = m),
+used AS (SELECT w.c, w.y, src, dst, y[k] AS v, CASE WHEN y[k] = 0 THEN {_log("1 - exp(-d / 5.0)")} ELSE {_log("exp(-d / 5.0)")} END AS e FROM way w JOIN num USING (c)),
+o AS (SELECT c, y, src AS node, sum(v) AS o, max(v) AS top, count(*) AS arcs FROM used GROUP BY ALL), i AS (SELECT c, y, dst AS node, sum(v) AS i FROM used GROUP BY ALL),
+pick AS (SELECT way.c, way.y, comp.node, s.a, s.b, s.d, [{_log("0.09")}, {_log("0.7")}, {_log("0.21")}][1 + greatest(s.a, s.b)] + CASE WHEN s.b = 0 AND s.a > 0 AND timestep > t0.a THEN 100.0 * s.a ELSE 0 END + CASE WHEN s.a = 0 AND s.b > 0 AND timestep < t0.b THEN 100.0 * s.b ELSE 0 END
+    + CASE WHEN coalesce(o.arcs, 0) < 2 THEN 0 WHEN s.d = 1 THEN {_log("div_prob")} ELSE {_log("1 - div_prob")} END AS e
+  FROM way JOIN comp USING (c) JOIN n ON n.node = comp.node CROSS JOIN t0 LEFT JOIN o ON o.c = way.c AND o.y = way.y AND o.node = comp.node LEFT JOIN i ON i.c = way.c AND i.y = way.y AND i.node = comp.node,
+    (SELECT a, b, d FROM range(3) x(a), range(3) z(b), range(2) w(d) WHERE a = b OR a = 0 OR b = 0) s
+  WHERE (o.o IS NULL OR o.o = s.a + s.d) AND (i.i IS NULL OR i.i = s.b) AND (s.d = 0 OR (o.arcs > 1 AND o.o = 2 AND o.top = 1))),
+state AS (SELECT c, y, node, a, b, d, e FROM pick QUALIFY row_number() OVER (PARTITION BY c, y, node ORDER BY round(e, 9), d, a, b) = 1),
+total AS (SELECT c, y, sum(e) AS e, count(*) AS nodes FROM state GROUP BY ALL), arcsum AS (SELECT c, y, sum(e) AS e FROM used GROUP BY ALL),
+best AS (SELECT c, y, total.e + arcsum.e AS e FROM total JOIN arcsum USING (c, y) JOIN (SELECT c, count(*) AS size FROM comp GROUP BY 1) z USING (c) WHERE nodes = size QUALIFY row_number() OVER (PARTITION BY c ORDER BY round(total.e + arcsum.e, 9), y) = 1),
+single AS (SELECT node, 1 AS n_objects, FALSE AS divides, {_log("0.7")} AS e FROM comp WHERE c NOT IN (SELECT c FROM most)),
+lab AS (SELECT node, CASE WHEN a = 0 THEN b ELSE a END AS n_objects, d = 1 AS divides FROM state JOIN best USING (c, y) UNION ALL SELECT node, n_objects, divides FROM single),
+go AS (SELECT src, dst FROM used JOIN best USING (c, y) WHERE v > 0),
+deg AS (SELECT n.timestep, n.id, n_objects, divides, t0.a AS t0, t0.b AS t1, coalesce(o.n, 0) AS o, coalesce(i.n, 0) AS i, o.next FROM lab JOIN n USING (node) CROSS JOIN t0
+  LEFT JOIN (SELECT src, count(*) AS n, list(dst & 4294967295 ORDER BY dst DESC) AS next FROM go GROUP BY 1) o ON o.src = node LEFT JOIN (SELECT dst, count(*) AS n FROM go GROUP BY 1) i ON i.dst = node WHERE n_objects > 0),
+ev AS (SELECT (timestep - t0 + 1)::INT AS slot, 'Move' AS type, [id, unnest(next)] AS ids FROM deg WHERE timestep < t1 AND o > 0 AND NOT (o = 2 AND divides)
+  UNION ALL SELECT timestep - t0 + 1, 'Division', list_concat([id], next) FROM deg WHERE timestep < t1 AND o = 2 AND divides
+  UNION ALL SELECT timestep - t0 + 1, 'Disappearance', [id] FROM deg WHERE timestep < t1 AND o = 0
+  UNION ALL SELECT timestep - t0, 'Appearance', [id] FROM deg WHERE timestep > t0 AND i = 0
+  UNION ALL SELECT timestep - t0, 'Merger', [id, n_objects] FROM deg WHERE n_objects > 1)"""
+COUNTS = ", ".join(f"count(*) FILTER (type = '{t}') AS n_{t.lower()}" for t in events.COUNTED)
+
+
+@register("ctrack_events", f"{CTRACK} {SHOWN}")
 def ctrack_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(TRACKER.run(det(spark, sf_dir)))
 
 
-@register("ctrack_statistics")
+@register("ctrack_statistics", f"{CTRACK} SELECT slot, count(*) AS n_total, {COUNTS} FROM ev WHERE type IN ('Move', 'Division', 'Appearance', 'Disappearance') GROUP BY 1")
 def ctrack_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.statistics(TRACKER.run(det(spark, sf_dir)), ignore_unknown=True)
 
 
-@register("chaingraph_events")
+@register("ctrack_costs", f"{CTRACK} SELECT c AS node, round(e, 6) AS cost, 0.0::DOUBLE AS gap FROM best UNION ALL SELECT node, round(e, 6), 0.0 FROM single")
+def ctrack_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least cost of each component, at its least node, and the gap to the proven bound."""
+    tracker = TRACKER
+    labelled, _ = tracker.infer(*tracker.build_graph(det(spark, sf_dir)))
+    return rounded(labelled.where("cost <> 0").select("node", "cost", "gap"), "cost")
+
+
+CHAIN = ChaingraphTracker(radius=RADIUS, appearance=30, disappearance=30, misdetection=100)
+CHAINED = f"""WITH RECURSIVE {DET}, {pairs_sql().split("divs AS")[0].rstrip().rstrip(",")},
+t AS (SELECT {KEYED_ARC} FROM (SELECT src_t, src, dst_t, dst, sqrt(d2) AS distance FROM fwd WHERE r <= {CHAIN.neighbours})),
+{PARTS}
+flow AS (SELECT c, 0 AS k, []::INT[] AS y, []::BIGINT[] AS srcs, []::BIGINT[] AS dsts FROM most
+  UNION ALL SELECT f.c, f.k + 1, list_append(f.y, v), CASE WHEN v = 1 THEN list_append(srcs, src) ELSE srcs END, CASE WHEN v = 1 THEN list_append(dsts, dst) ELSE dsts END
+  FROM flow f JOIN num ON num.c = f.c AND num.k = f.k + 1, (VALUES (0), (1)) s(v)
+  WHERE v = 0 OR (NOT list_contains(dsts, dst) AND len(list_filter(srcs, lambda x: x = src)) < 2)),
+way AS (SELECT f.c, f.y FROM flow f JOIN most USING (c) WHERE f.k = m),
+used AS (SELECT w.c, w.y, src, dst, d FROM way w JOIN num USING (c) WHERE y[k] = 1),
+o AS (SELECT c, y, src AS node, count(*) AS o, CASE WHEN count(*) = 1 THEN sum(d) ELSE sum((d - 10.0) * (d - 10.0)) END AS e FROM used GROUP BY ALL), i AS (SELECT c, y, dst AS node, count(*) AS i FROM used GROUP BY ALL),
+state AS (SELECT way.c, way.y, comp.node, CASE WHEN o.o IS NULL AND i.i IS NULL THEN least(70.0, 100.0) ELSE 10.0 + coalesce(o.e, 30.0) + CASE WHEN i.i IS NULL THEN 30.0 ELSE 0 END END AS e
+  FROM way JOIN comp USING (c) LEFT JOIN o ON o.c = way.c AND o.y = way.y AND o.node = comp.node LEFT JOIN i ON i.c = way.c AND i.y = way.y AND i.node = comp.node),
+total AS (SELECT c, y, sum(e) AS e FROM state GROUP BY ALL),
+best AS (SELECT * FROM total QUALIFY row_number() OVER (PARTITION BY c ORDER BY round(e, 9), y) = 1),
+go AS (SELECT src, dst FROM used JOIN best USING (c, y)),
+deg AS (SELECT n.timestep, n.id, t0.a AS t0, t0.b AS t1, coalesce(o.n, 0) AS o, coalesce(i.n, 0) AS i, o.next FROM n CROSS JOIN t0
+  LEFT JOIN (SELECT src, count(*) AS n, list(dst & 4294967295 ORDER BY dst DESC) AS next FROM go GROUP BY 1) o ON o.src = node LEFT JOIN (SELECT dst, count(*) AS n FROM go GROUP BY 1) i ON i.dst = node),
+ev AS (SELECT (timestep - t0 + 1)::INT AS slot, 'Move' AS type, [id, unnest(next)] AS ids FROM deg WHERE timestep < t1 AND o = 1
+  UNION ALL SELECT timestep - t0 + 1, 'Division', list_concat([id], next) FROM deg WHERE timestep < t1 AND o = 2
+  UNION ALL SELECT timestep - t0 + 1, 'Disappearance', [id] FROM deg WHERE timestep < t1 AND o = 0
+  UNION ALL SELECT timestep - t0, 'Appearance', [id] FROM deg WHERE timestep > t0 AND i = 0)"""
+
+
+@register("chaingraph_events", f"{CHAINED} {SHOWN}")
 def chaingraph_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(ChaingraphTracker(radius=RADIUS, neighbours=2, appearance=30, disappearance=30, misdetection=100).run(det(spark, sf_dir)))
+    return shown(CHAIN.run(det(spark, sf_dir)))
+
+
+@register("chaingraph_costs", f"{CHAINED} SELECT c AS node, round(e, 6) AS cost, 0.0::DOUBLE AS gap FROM best UNION ALL SELECT node, 70.0, 0.0 FROM comp WHERE c NOT IN (SELECT c FROM most)")
+def chaingraph_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least cost of each component, at its least node, and the gap to the proven bound."""
+    labelled, _ = CHAIN.infer(*CHAIN.build_graph(det(spark, sf_dir)))
+    return rounded(labelled.where("cost <> 0").select("node", "cost", "gap"), "cost")
+
+
+FORBIDDEN = 1000.0
+
+
+@register("chaingraph_factors", f"""WITH {GRAPH}, n AS (SELECT (timestep::BIGINT << 32) + id AS node FROM det), e AS (SELECT {KEYED_ARC} FROM fwd_),
+o AS (SELECT src, count(*) AS k, sum(d) AS d FROM e GROUP BY 1), i AS (SELECT dst, count(*) AS k FROM e GROUP BY 1),
+two AS (SELECT p.src, sum((p.d - 10.0) ** 2 + (q.d - 10.0) ** 2) AS d, count(*) AS k FROM e p JOIN e q ON q.src = p.src AND p.dst < q.dst GROUP BY 1)
+SELECT 'detection:' || node AS factor, 2 AS entries, 110.0::DOUBLE AS total FROM n
+UNION ALL SELECT 'outgoing:' || node, (2 ** (1 + coalesce(o.k, 0)))::BIGINT, round(30.0 + coalesce(o.d, 0) + coalesce(two.d, 0) + {FORBIDDEN} * (2 ** (1 + coalesce(o.k, 0)) - 2 - coalesce(o.k, 0) - coalesce(two.k, 0)), 4) FROM n LEFT JOIN o ON o.src = node LEFT JOIN two ON two.src = node
+UNION ALL SELECT 'incoming:' || node, (2 ** (1 + coalesce(i.k, 0)))::BIGINT, 30.0 + {FORBIDDEN} * (2 ** (1 + coalesce(i.k, 0)) - 2 - coalesce(i.k, 0)) FROM n LEFT JOIN i ON i.dst = node""".replace("FROM fwd_", "FROM (SELECT src_t, src, dst_t, dst, sqrt(d2) AS distance FROM fwd WHERE r <= 6)"))
+def chaingraph_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and sum of every explicit table of the model."""
+    tracker = replace(CHAIN, forbidden=FORBIDDEN)
+    _, entries = tracker.explicit_tables(*tracker.build_graph(det(spark, sf_dir)))
+    return entries.groupBy("factor").agg(F.count(F.lit(1)).alias("entries"), F.round(F.sum("value"), 4).alias("total"))
+
+
+#: What :func:`resolve_mergers` links: parts and single objects of a pair's frames, three on each side.
+RESOLVED = """rows_ AS (SELECT (vec_id // 50)::INT AS t, vec_id AS id, 100.0 * embedding[1]::DOUBLE AS x, 100.0 * embedding[2]::DOUBLE AS y, 100.0 * embedding[3]::DOUBLE AS z, vec_id // 2 AS pair, 1 + (vec_id // 50 + vec_id) % 2 AS n FROM embeddings),
+mx AS (SELECT t, max(id) AS top FROM rows_ GROUP BY 1),
+obj AS (SELECT t, id AS old, id, pair, x, y, z, 1 AS n FROM rows_ WHERE n = 1 UNION ALL
+  SELECT t, id, top + row_number() OVER (PARTITION BY t ORDER BY id, k), pair, x + 2 * k - 1, y, z, 2 FROM rows_ JOIN mx USING (t), range(2) a(k) WHERE n = 2),
+full_ AS (SELECT t, pair FROM rows_ GROUP BY ALL HAVING count(*) = 2),
+arc AS (SELECT a.t AS src_t, a.pair, a.id AS src, b.t AS dst_t, b.id AS dst, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d, dense_rank() OVER (PARTITION BY a.t, a.pair ORDER BY a.id) AS s
+  FROM obj a JOIN obj b ON b.t = a.t + 1 AND b.pair = a.pair + 25 AND (a.n = 2 OR b.n = 2) JOIN full_ p ON p.t = a.t AND p.pair = a.pair JOIN full_ q ON q.t = b.t AND q.pair = b.pair)"""
 
 
-@register("resolve_mergers")
+@register("resolve_mergers", f"""WITH {RESOLVED}, cost AS (SELECT *, {_log("exp(-d / 5.0)")} - {_log("1 - exp(-d / 5.0)")} AS e FROM arc),
+way AS (SELECT a.src_t, a.pair, [a.dst, b.dst, c.dst] AS to_ FROM cost a JOIN cost b ON b.src_t = a.src_t AND b.pair = a.pair AND b.s = 2 JOIN cost c ON c.src_t = a.src_t AND c.pair = a.pair AND c.s = 3
+  WHERE a.s = 1 AND a.dst <> b.dst AND a.dst <> c.dst AND b.dst <> c.dst QUALIFY row_number() OVER (PARTITION BY a.src_t, a.pair ORDER BY round(a.e + b.e + c.e, 9), a.dst, b.dst) = 1)
+SELECT src_t, src, dst_t, dst, coalesce(to_[s] = dst, FALSE) AS active FROM arc LEFT JOIN way USING (src_t, pair)""")
 def resolve_mergers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All detections, in pairs of which one holds two objects, the other one in each frame, in turn; split and link them.
 

@@ -343,7 +343,7 @@ def brute_repeats(texts, length=50):
     return out
 
 
-@pytest.mark.parametrize("model", [suffixes.LongRepeats(), suffixes.LongRepeats(length=30, anchor=17, batch=64)])
+@pytest.mark.parametrize("model", [suffixes.LongRepeats(), suffixes.LongRepeats(length=30, anchor=17, batch=64), suffixes.LongRepeats(length=300, batch=64), suffixes.LongRepeats(length=400)])
 def test_repeats_match_brute_force(made, model):
     got = {r.doc_id: (r.n_bytes, len(r.spans), bytes(r.kept)) for r in suffixes.remove_repeats(made, model).collect()}
     assert got == brute_repeats({r.doc_id: r.text for r in made.collect()}, model.length)
@@ -364,7 +364,6 @@ def test_texts_larger_than_a_pack(spark, monkeypatch):
     got = {}
     model = suffixes.LongRepeats()
     # the map side alone: every window is in one run, at its place in the text
-    starts = defaultdict(set)
     data = texts[20].encode()
     most = (1 << suffixes.PLACE) - 4 * model.length
     for at in range(0, len(data), most):
@@ -374,23 +373,70 @@ def test_texts_larger_than_a_pack(spark, monkeypatch):
             for p in range(f + at, f + at + c):
                 assert p not in got
                 got[p] = True
-    assert sorted(got) == list(range(len(data) - model.length + 1)) and starts == {}
+    assert sorted(got) == list(range(len(data) - model.length + 1))
+
+
+def test_repeats_in_texts_of_several_packs_and_pages(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "PAGE", 6)
+    texts = {k: t for k, t in enumerate(made_docs(9, 20))} | {20: " ".join(made_docs(9, 20)) * 2}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    packed = suffixes._anchors(docs, suffixes.LongRepeats(), 3).collect()
+    place = {}
+    for r in packed:
+        name, body, doc, key, at, count = suffixes._load_split(r.blob, r.part)
+        assert (suffixes._home(name, 3) == r.part).all()
+        for d, p, c in zip(doc.tolist(), at.tolist(), count.tolist(), strict=True):
+            place.setdefault(d, []).extend(range(p, p + c))
+    n = {k: len(t.encode()) - 49 for k, t in texts.items()}
+    assert {k: sorted(v) for k, v in place.items()} == {k: list(range(m)) for k, m in n.items() if m > 0}
 
 
 def test_suffix_family_keeps_geometric_levels():
     r = np.random.default_rng(2)
     family, seen = suffixes.SuffixFamily(), {}
     for k in range(9):
-        words = r.integers(0, 6, (40, 3)).astype(np.uint64)
+        strings = r.integers(0, 6, (40, 3)).astype(np.uint8).view("S3").ravel()
         doc = np.sort(r.integers(0, 1000, 40) + 1000 * k)
-        got = family.add(words, doc)
-        for w, d in zip(map(tuple, words.tolist()), doc.tolist(), strict=True):
+        got = family.add(strings, doc)
+        for w, d in zip(strings.tolist(), doc.tolist(), strict=True):
             seen[w] = min(seen.get(w, d), d)
-        assert got.tolist() == [seen[tuple(w)] for w in words.tolist()]
+        assert got.tolist() == [seen[w] for w in strings.tolist()]
         sizes = [len(x) for x, _ in family.levels]
         assert sizes == sorted(sizes, reverse=True)
 
 
+def test_many_batches_make_several_levels(made, monkeypatch):
+    found = []
+    plain = suffixes.match_windows
+
+    def watched(*args):
+        family = suffixes.SuffixFamily()
+        out = plain(*args, family)
+        found.append((sum(len(x) for x, _ in family.levels), len(family.levels)))
+        return out
+
+    rows = made.collect()
+    model = suffixes.LongRepeats(batch=20)
+    names, docs_, counts_, contexts = [], [], [], []
+    texts = {r.doc_id: (r.text or "").encode() for r in rows}
+    length, width = model.length, 2 * model.length - model.anchor
+    for doc, data in sorted(texts.items()):
+        name, first, count = suffixes.runs(data, np.array([0]), np.array([len(data)]), model)
+        for n, f, c in zip(name, first, count, strict=True):
+            piece = data[f : f + c + length - 1]
+            names.append(n), docs_.append(doc), counts_.append(c), contexts.append(np.frombuffer(piece + bytes(width - len(piece)), np.uint8))
+    row, window = watched(np.array(names), np.array(docs_), np.array(counts_), np.array(contexts), model)
+    assert found[0][1] > 1 and found[0][0] > 9 * model.batch
+    hits = {(docs_[r], contexts[r][w : w + length].tobytes()) for r, w in zip(row, window, strict=True)}
+    seen: dict = {}
+    want = set()
+    for doc, data in sorted(texts.items()):
+        for p in range(len(data) - length + 1):
+            if seen.setdefault(data[p : p + length], doc) < doc:
+                want.add((doc, data[p : p + length]))
+    assert hits == want
+
+
 # 9 sharding
 
 

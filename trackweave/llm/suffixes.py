@@ -6,8 +6,9 @@ documents. The work is done in fragments of the suffix space and in three rounds
 
 1. Each such string (window) has an anchor: its least ``anchor``-byte string by a
    hash. Neighbouring windows with the same anchor form a run. Runs go to a fragment
-   by their anchor's hash; where runs of two documents are equal, the later one is
-   removed as a whole, which settles the inside of every match.
+   by their anchor's hash; where runs of two documents are equal (in two independent
+   hashes of 48 and 64 bits), the later one is removed as a whole, which settles the
+   inside of every match.
 2. Runs that share an anchor but differ (the ends of matches) fetch their bytes.
 3. In each fragment the windows of those runs are suffixes, cut to ``length`` bytes,
    of an index family: batches in doc_id order get suffix arrays, are merge-scanned
@@ -47,7 +48,7 @@ PLACE = 24  # bits for a position in a pack
 class LongRepeats:
     length: int = 50
     anchor: int = 20
-    batch: int = 1 << 18
+    batch: int = 1 << 12  # windows that join a family at a time
 
     def __post_init__(self) -> None:
         if not 16 <= self.anchor <= min(24, self.length):  # three loads of 8 bytes must cover an anchor
@@ -60,8 +61,10 @@ def row_key(doc_id: int, data: bytes) -> int:
 
 
 def runs(data: bytes, starts: np.ndarray, ends: np.ndarray, model: LongRepeats) -> tuple[np.ndarray, ...]:
-    """Anchor hash (32 bits), first window and number of windows of every run in pieces of ``data``."""
+    """Anchor hash (64 bits), first window and number of windows of every run in pieces of ``data``."""
     n, k, length = len(data), model.anchor, model.length
+    if n < length:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     padded = data + bytes(k + length + 8)
     load = lambda at: np.ndarray((n,), "<u8", padded, at, (1,))
     h = load(0) * ODD[0]
@@ -85,17 +88,32 @@ def runs(data: bytes, starts: np.ndarray, ends: np.ndarray, model: LongRepeats)
     np.add.at(valid, ends[long] - length + 1, -1)
     window = np.flatnonzero(np.cumsum(valid[:n]) > 0)
     if not len(window):
-        return (np.empty(0, np.uint32), window, window)
+        return (np.empty(0, np.uint64), window, window)
     at = anchor[window]
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     count = np.diff(np.append(first, len(at)))
     name = h[at[first]]
-    name = ((name ^ (name >> np.uint64(31))) * ODD[0]) >> np.uint64(32)
-    return name.astype(np.uint32), window[first], count
+    name = (name ^ (name >> np.uint64(31))) * ODD[0]
+    return name, window[first], count
+
+
+#: Up to so many fragments their number stands for the upper 16 of a name's 64 bits; beyond, all 64 are sent.
+SHORT_PARTS = 1 << 15
+PAGE = 16  # bits for a position in a page of a text
 
 
 def _fragment(name: np.ndarray, n: int) -> np.ndarray:
-    return (name.astype(np.int64) * n) >> 32
+    return ((name >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def _home(name: np.ndarray, n: int) -> np.ndarray:
+    """The fragment of names as :func:`_load_split` reads them."""
+    return (name >> np.uint64(48)).astype(np.int64) if n <= SHORT_PARTS else _fragment(name, n)
+
+
+def _small(values: np.ndarray, most: int) -> np.ndarray:
+    """The values as the shortest unsigned numbers that hold ``most``."""
+    return values.astype(np.min_scalar_type(most))
 
 
 def _parts(by: np.ndarray, n: int, *arrays: np.ndarray) -> Iterator[tuple]:
@@ -178,6 +196,7 @@ def _texts(docs: DataFrame, buckets: int, carry: list[str]) -> DataFrame:
 def _anchors(docs: DataFrame, model: LongRepeats, parts: int) -> DataFrame:
     """Round 1, map side: every run, packed by fragment."""
     most = (1 << PLACE) - 4 * model.length
+    upper_kind = np.uint16 if parts <= SHORT_PARTS else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack in _pieces(batches):
@@ -201,11 +220,15 @@ def _anchors(docs: DataFrame, model: LongRepeats, parts: int) -> DataFrame:
                 digest = xxhash.xxh3_64_intdigest
                 stop = first + count + model.length - 1
                 body = np.fromiter((digest(data[s:e]) for s, e in zip(first.tolist(), stop.tolist(), strict=True)), np.uint64, len(first))
-                row = np.array([k for k, _, _ in group], np.int64)[piece]
+                pages = int(place.max() >> PAGE) + 1 if len(place) else 1
+                row = np.array([k for k, _, _ in group], np.int64)[piece] * pages + (place >> PAGE)
+                place = (place & ((1 << PAGE) - 1)).astype(np.uint16)
+                count = _small(count, model.length - model.anchor + 1)
                 rows = []
                 for p, nm, bd, rw, pl, ct in _parts(_fragment(name, parts), parts, name, body, row, place, count):
                     used, at = np.unique(rw, return_inverse=True)
-                    rows.append((p, WHOLE, _dump(nm, bd, at.astype(np.uint16), pl.astype(np.uint32 if whole <= most else np.uint64), ct.astype(np.uint8)) + b"|" + _dump(ids[used], keys[used])))
+                    upper = (nm >> np.uint64(32)).astype(upper_kind)
+                    rows.append((p, WHOLE, _dump(nm.astype(np.uint32), upper, bd, _small(at, len(used)), pl, ct) + b"|" + _dump(ids[used // pages], keys[used // pages], used % pages)))
                 yield _batch(rows)
         release_memory()
 
@@ -218,9 +241,8 @@ def _compare(anchors: DataFrame, parts: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns: list[list[np.ndarray]] = []
         for batch in batches:
-            for blob in batch.column(2).to_pylist():
-                arrays = _load_split(blob)
-                columns.append(arrays)
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                columns.append(_load_split(blob, part))
         if not columns:
             return
         name, body, doc, key, place, count = (np.concatenate(x) for x in zip(*columns, strict=True))
@@ -257,17 +279,19 @@ def _compare(anchors: DataFrame, parts: int, buckets: int) -> DataFrame:
     return anchors.repartitionById(parts, F.col("part")).mapInArrow(run, SCHEMA)
 
 
-def _load_split(blob: bytes) -> list[np.ndarray]:
+def _load_split(blob: bytes, part: int) -> list[np.ndarray]:
     """Arrays of one packed row of runs: name, body, doc, key, place, count."""
     arrays, at = [], 0
-    for _ in range(5):
+    for _ in range(6):
         kind, n = blob[at : at + 4].decode().strip(), int(blob[at + 4 : at + 16])
         dtype = np.dtype("<" + kind)
         arrays.append(np.frombuffer(blob, dtype, n, at + 16))
         at += 16 + n * dtype.itemsize
-    ids, keys = _load(blob[at + 1 :])
-    name, body, row, place, count = arrays
-    return [name, body, ids[row], keys[row], place, count]
+    ids, keys, pages = _load(blob[at + 1 :])
+    lower, upper, body, row, place, count = arrays
+    above = np.uint64(part << 48 if upper.dtype.itemsize == 2 else 0)
+    name = above | upper.astype(np.uint64) << np.uint64(32) | lower
+    return [name, body, ids[row], keys[row], (pages[row] << PAGE) + place, count]
 
 
 def _unpack(table: pa.Table) -> dict[tuple[int, bool], tuple[int | None, bytes, list[bytes]]]:
@@ -321,7 +345,7 @@ def _fetch(texts: DataFrame, found: DataFrame, model: LongRepeats, parts: int) -
             ids = np.array([own[k][0] for k in keys.tolist()], np.int64)
             data = np.frombuffer(b"".join(own[k][1] for k in keys.tolist()) + bytes(width), np.uint8)
             at = np.searchsorted(keys, key)
-            for p, nm, ky, pl, ct, row in _parts(_fragment(name, parts), parts, name, key, place, count, at):
+            for p, nm, ky, pl, ct, row in _parts(_home(name, parts), parts, name, key, place, count, at):
                 context = data[(begin[row] + pl)[:, None] + np.arange(width)]
                 context[np.arange(width) >= (ct.astype(np.int64) + length - 1)[:, None]] = 0
                 rows.append((p, ASKED, _dump(nm, ky, ids[row], pl, ct, context.ravel())))
@@ -333,45 +357,39 @@ def _fetch(texts: DataFrame, found: DataFrame, model: LongRepeats, parts: int) -
 class SuffixFamily:
     """Suffix arrays of geometric sizes over byte strings of one length.
 
-    A level holds distinct strings in byte order, as big-endian words, each with the
-    smallest doc_id that has it.
+    A level holds distinct strings in byte order, each with the smallest doc_id that
+    has it. A batch gets its own suffix array, is merge-scanned against all levels and
+    joins them as the least; levels of equal size (or a smaller one above a larger)
+    merge, so that their number grows with the logarithm of the number of batches.
     """
 
     def __init__(self) -> None:
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
     @staticmethod
-    def sort(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Order of the suffixes and, in that order, the number of each distinct one."""
-        order = np.lexsort((doc, *words.T[::-1]))
-        ranked = words[order]
-        new = np.concatenate(([True], (ranked[1:] != ranked[:-1]).any(axis=1)))
-        return order, np.cumsum(new) - 1
-
-    def add(self, words: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """The smallest doc_id known for each of the batch's strings, itself included."""
-        order, group = self.sort(words, doc)
-        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        keys, least = words[order][first], doc[order][first]
-        for level_words, level_doc in self.levels:
-            # merge-scan: equal strings of the level and the batch become neighbours
-            both, docs = np.concatenate((level_words, keys)), np.concatenate((level_doc, least))
-            scan, rank = self.sort(both, docs)
-            smallest = docs[scan][np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1])))][rank]
-            back = np.empty(len(both), np.int64)
-            back[scan] = smallest
-            least = back[len(level_words) :]
-        level = (keys, least)
-        while self.levels and len(self.levels[-1][0]) <= len(level[0]):
-            old = self.levels.pop()
-            both, docs = np.concatenate((old[0], level[0])), np.concatenate((old[1], level[1]))
-            scan, rank = self.sort(both, docs)
-            head = np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1])))
-            level = (both[scan][head], docs[scan][head])
-        self.levels.append(level)
-        out = np.empty(len(doc), np.int64)
-        out[order] = least[group]
-        return out
+    def array(strings: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct strings in order, their smallest doc_id, and the place of each string among them."""
+        keys, place = np.unique(strings, return_inverse=True)
+        least = np.full(len(keys), np.iinfo(np.int64).max)
+        np.minimum.at(least, place, doc)
+        return keys, least, place
+
+    def add(self, strings: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """The smallest doc_id known for each of the batch's strings (bytes), itself included."""
+        keys, own, place = self.array(strings, doc)
+        least = own.copy()
+        for level, docs in self.levels:
+            at = np.minimum(np.searchsorted(level, keys), len(level) - 1)
+            least = np.where(level[at] == keys, np.minimum(least, docs[at]), least)
+        new = (keys, own)
+        while self.levels and len(self.levels[-1][0]) <= len(new[0]):
+            new = self.merge(self.levels.pop(), new)
+        self.levels.append(new)
+        return least[place]
+
+    @classmethod
+    def merge(cls, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return cls.array(np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1])))[:2]
 
 
 def window_hashes(context: np.ndarray, length: int) -> np.ndarray:
@@ -386,11 +404,11 @@ def window_hashes(context: np.ndarray, length: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def match_windows(name: np.ndarray, doc: np.ndarray, count: np.ndarray, context: np.ndarray, model: LongRepeats) -> tuple[np.ndarray, np.ndarray]:
+def match_windows(name: np.ndarray, doc: np.ndarray, count: np.ndarray, context: np.ndarray, model: LongRepeats, family: SuffixFamily | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(row, window) of the windows that also start in a document with a smaller doc_id."""
     length = model.length
     order = np.lexsort((name, doc))
-    family = SuffixFamily()
+    family = family or SuffixFamily()
     hashes = window_hashes(context, length)
     row, window = np.nonzero(np.arange(hashes.shape[1]) < count[:, None])
     value = hashes[row, window]
@@ -406,12 +424,10 @@ def match_windows(name: np.ndarray, doc: np.ndarray, count: np.ndarray, context:
     by_doc = np.argsort(place[row], kind="stable")
     row, window = row[by_doc], window[by_doc]
     hits = np.zeros(len(row), bool)
-    n_words = -(-length // 8)
     for s in range(0, len(row), model.batch):
         r, w = row[s : s + model.batch], window[s : s + model.batch]
-        text = np.zeros((len(r), n_words * 8), np.uint8)
-        text[:, :length] = context[r[:, None], w[:, None] + np.arange(length)]
-        hits[s : s + model.batch] = family.add(text.view(">u8").astype(np.uint64), doc[r]) < doc[r]
+        text = np.ascontiguousarray(context[r[:, None], w[:, None] + np.arange(length)])
+        hits[s : s + model.batch] = family.add(text.view(f"S{length}").ravel(), doc[r]) < doc[r]
     return row[hits], window[hits]
 
 

@@ -2,8 +2,8 @@
 
 A header is any line of the whole text that holds a license word; a licence file
 (by its name) is compared as a whole, too. Both become sparse TF-IDF vectors, whose
-cosine to each template decides: the best template counts if it reaches
-``threshold``. A file without a license of its own takes that of the nearest
+cosine to each template decides: of the several templates of all licenses the best
+counts if it reaches ``threshold``. A file without a license of its own takes that of the nearest
 directory above it that holds a licence file with one.
 
 Null or empty texts have no license of their own. Of several licence files in one
@@ -22,20 +22,66 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.llm.common import NO_GAP, materialize
+from trackweave.llm.graphs import salted_join
 
-#: Short notices by which the licenses are stated.
+#: How the licenses state themselves, by title, tag, notice and, if short, whole text.
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "MIT": "Released under the MIT License",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3",
-    "MPL-2.0": "This source code form is subject to the terms of the Mozilla Public License, version 2.0",
-    "BSD-3-Clause": "Redistribution and use under the BSD 3-Clause License is permitted",
-    "ISC": "Permission to use under the ISC License is granted",
-    "CC-BY-4.0": "Licensed under CC BY 4.0",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "Proprietary": "Copyright. All rights reserved",
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0",
+        "Apache License",
+        "Apache License Version 2.0, January 2004",
+        "SPDX-License-Identifier: Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ],
+    "MIT": [
+        "Released under the MIT License",
+        "MIT License",
+        "The MIT License (MIT)",
+        "SPDX-License-Identifier: MIT",
+        "MIT License Copyright (c) Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy",
+    ],
+    "GPL-3.0": [
+        "This work is licensed under the GNU General Public License, version 3",
+        "GNU GENERAL PUBLIC LICENSE",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "SPDX-License-Identifier: GPL-3.0-only",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "it under the terms of the GNU General Public License as published by",
+    ],
+    "LGPL-3.0": [
+        "This library is licensed under the GNU Lesser General Public License, version 3",
+        "GNU LESSER GENERAL PUBLIC LICENSE",
+        "SPDX-License-Identifier: LGPL-3.0-only",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+        "under the terms of the GNU Lesser General Public License as published by",
+    ],
+    "MPL-2.0": [
+        "This source code form is subject to the terms of the Mozilla Public License, version 2.0",
+        "Mozilla Public License Version 2.0",
+        "SPDX-License-Identifier: MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ],
+    "BSD-3-Clause": [
+        "Redistribution and use under the BSD 3-Clause License is permitted",
+        "BSD 3-Clause License",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistribution and use in source and binary forms, with or without",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    ],
+    "ISC": [
+        "Permission to use under the ISC License is granted",
+        "ISC License",
+        "SPDX-License-Identifier: ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0", "SPDX-License-Identifier: CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0", "SPDX-License-Identifier: CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "SPDX-License-Identifier: CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "Proprietary": ["Copyright. All rights reserved", "All rights reserved"],
 }
 CUE = "(?i)licen[sc]e|copyright|rights reserved|spdx|redistribution|permission"
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
@@ -46,44 +92,54 @@ def terms(text: str) -> list[str]:
     return re.findall(TERM, text.lower())
 
 
-def idf(templates: dict[str, str]) -> dict[str, float]:
-    seen = Counter(t for text in templates.values() for t in set(terms(text)))
-    return {t: 1 + math.log((1 + len(templates)) / (1 + n)) for t, n in sorted(seen.items())}
+Templates = dict[str, list[str]]
 
 
-def unseen_idf(templates: dict[str, str]) -> float:
-    return 1 + math.log(1 + len(templates))
+def every(templates: Templates) -> list[tuple[str, int, str]]:
+    """(license, number, text) of all templates."""
+    return [(name, k, text) for name, texts in sorted(templates.items()) for k, text in enumerate(texts)]
 
 
-def template_weights(templates: dict[str, str]) -> list[tuple[str, str, float, float]]:
-    """(license, term, normed weight, idf) of every template: as many rows as terms."""
+def idf(templates: Templates) -> dict[str, float]:
+    texts = every(templates)
+    seen = Counter(t for _, _, text in texts for t in set(terms(text)))
+    return {t: 1 + math.log((1 + len(texts)) / (1 + n)) for t, n in sorted(seen.items())}
+
+
+def unseen_idf(templates: Templates) -> float:
+    return 1 + math.log(1 + len(every(templates)))
+
+
+def template_weights(templates: Templates) -> list[tuple[str, int, str, float, float]]:
+    """(license, number, term, normed weight, idf) of every template: as many rows as terms."""
     known, out = idf(templates), []
-    for name, text in sorted(templates.items()):
+    for name, k, text in every(templates):
         count = Counter(terms(text))
         norm = math.sqrt(sum((n * known[t]) ** 2 for t, n in count.items()))
-        out += [(name, t, n * known[t] / norm, known[t]) for t, n in sorted(count.items())]
+        out += [(name, k, t, n * known[t] / norm, known[t]) for t, n in sorted(count.items())]
     return out
 
 
-def own_licenses(files: DataFrame, threshold: float = 0.7, templates: dict[str, str] | None = None) -> DataFrame:
+def own_licenses(files: DataFrame, threshold: float = 0.7, templates: Templates | None = None) -> DataFrame:
     """(doc_id, path, own_license, own_score) of the rows of files(doc_id, path, text) that state one."""
     spark: SparkSession = files.sparkSession
     templates = templates or TEMPLATES
-    weights = spark.createDataFrame(template_weights(templates), "license string, term string, weight double, idf double")
+    weights = spark.createDataFrame(template_weights(templates), "license string, template int, term string, weight double, idf double")
     text = F.coalesce(F.col("text"), F.lit(""))
     headers = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(CUE)))
-    units = F.when(F.rlike(F.col("path"), F.lit(LICENSE_FILE)) & F.rlike(text, F.lit(NO_GAP)), F.concat(headers, F.array(text))).otherwise(headers)
-    each = files.where(F.rlike(text, F.lit(CUE))).select("doc_id", "path", F.explode(F.array_distinct(units)).alias("text"))
+    by_name = F.coalesce(F.rlike(F.col("path"), F.lit(LICENSE_FILE)), F.lit(False))
+    units = F.when(by_name & F.rlike(text, F.lit(NO_GAP)), F.concat(headers, F.array(text))).otherwise(headers)
+    each = files.where(by_name | F.rlike(text, F.lit(CUE))).select("doc_id", "path", F.explode(F.array_distinct(units)).alias("text"))
     # a unit goes by the hash of its text, which is not shuffled with every term
     word = each.select("doc_id", "path", F.md5(F.col("text").cast("binary")).alias("unit"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
     tf = word.groupBy("doc_id", "path", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
     vocabulary = weights.select("term", "idf").distinct()
-    # the templates' terms: a fixed table of about a hundred rows
+    # the templates' terms: a table as small as the given templates
     known = tf.join(F.broadcast(vocabulary), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen_idf(templates))))
     unit = ["doc_id", "path", "unit"]
     bags = known.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "w")).alias("terms"))
     matched = bags.select(*unit, "norm", F.inline("terms")).join(F.broadcast(weights.drop("idf")), "term")
-    dots = matched.groupBy(*unit, "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.first("norm").alias("norm"))
+    dots = matched.groupBy(*unit, "license", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.first("norm").alias("norm"))
     score = F.round(F.col("dot") / F.col("norm"), 6)
     scored = dots.select("doc_id", "path", "license", score.alias("score")).where(F.col("score") >= threshold)
     best = F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("l")))
@@ -95,7 +151,7 @@ def folder(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def license_scan(files: DataFrame, threshold: float = 0.7, templates: dict[str, str] | None = None, salts: int = 16) -> DataFrame:
+def license_scan(files: DataFrame, threshold: float = 0.7, templates: Templates | None = None, salts: int = 16) -> DataFrame:
     """Own and inherited license of every row of files(doc_id, path, text).
 
     Returns doc_id, path, own_license, own_score, license, inherited_from (the
@@ -111,7 +167,8 @@ def license_scan(files: DataFrame, threshold: float = 0.7, templates: dict[str,
     parts = F.split("dir", "/")
     ancestors = F.concat(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")), F.array(F.lit("")))
     up = folders.select("dir", F.explode(F.array_distinct(ancestors)).alias("above"))
-    nearest = up.join(licensed, "above").groupBy("dir").agg(F.max(F.struct(F.length("above").alias("n"), "above", "l")).alias("near"))
+    # a directory at the top is above any share of the others
+    nearest = salted_join(up, licensed, "above", salts=salts).groupBy("dir").agg(F.max(F.struct(F.length("above").alias("n"), "above", "l")).alias("near"))
     nearest = nearest.select("dir", F.col("near.above").alias("from_dir"), F.col("near.l").alias("dir_license"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     salted = files.select("doc_id", "path", folder(F.col("path")).alias("dir"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
     inherited = salted.join(nearest, ["dir", "salt"], "left")
@@ -148,20 +205,20 @@ def corpus_files(docs: DataFrame) -> DataFrame:
 
 def oracle(threshold: float = 0.7) -> str:
     """DuckDB SQL for ``license_scan(corpus_files(documents))``."""
-    rows = ", ".join(f"('{a}', '{t}', {w!r}, {i!r})" for a, t, w, i in template_weights(TEMPLATES))
+    rows = ", ".join(f"('{a}', {k}, '{t}', {w!r}::DOUBLE, {i!r}::DOUBLE)" for a, k, t, w, i in template_weights(TEMPLATES))
     cue, name = CUE.removeprefix("(?i)"), LICENSE_FILE.removeprefix("(?i)")
     return f"""
-WITH t(license, term, weight, idf) AS (VALUES {rows}),
+WITH t(license, template, term, weight, idf) AS (VALUES {rows}),
 f AS (SELECT doc_id, text, CASE WHEN doc_id % 100 = 0 THEN high || '/LICENSE.' || doc_id WHEN doc_id % 10 = 0 THEN deep || '/LICENSE.' || doc_id ELSE deep || '/' || doc_id || '.txt' END AS path
   FROM (SELECT *, high || '/' || (doc_id // 500 % 10) AS deep FROM (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, 'unknown') || '/' || (doc_id // 5000) AS high FROM documents))),
 u AS (SELECT DISTINCT doc_id, path, unit FROM (
   SELECT doc_id, path, unnest(string_split(text, chr(10))) AS unit, TRUE AS header FROM f WHERE regexp_matches(text, '{cue}', 'i')
-  UNION ALL SELECT doc_id, path, text, FALSE FROM f WHERE regexp_matches(text, '{cue}', 'i') AND regexp_matches(path, '{name}', 'i'))
+  UNION ALL SELECT doc_id, path, text, FALSE FROM f WHERE regexp_matches(text, '[^\\x09-\\x0D\\x20]') AND regexp_matches(path, '{name}', 'i'))
   WHERE NOT header OR regexp_matches(unit, '{cue}', 'i')),
 w AS (SELECT doc_id, path, unit, term, count(*) AS tf FROM (SELECT *, unnest(regexp_extract_all(lower(unit), '{TERM}')) AS term FROM u) GROUP BY ALL),
-k AS (SELECT w.*, tf * coalesce(idf, {unseen_idf(TEMPLATES)!r}) AS v FROM w LEFT JOIN (SELECT DISTINCT term, idf FROM t) USING (term)),
+k AS (SELECT w.*, tf * coalesce(idf, {unseen_idf(TEMPLATES)!r}::DOUBLE) AS v FROM w LEFT JOIN (SELECT DISTINCT term, idf FROM t) USING (term)),
 n AS (SELECT doc_id, path, unit, sqrt(sum(v * v)) AS norm FROM k GROUP BY ALL),
-s AS (SELECT doc_id, path, license, round(sum(v * weight) / any_value(norm), 6) AS score FROM k JOIN t USING (term) JOIN n USING (doc_id, path, unit) GROUP BY doc_id, path, unit, license),
+s AS (SELECT doc_id, path, license, round(sum(v * weight) / any_value(norm), 6) AS score FROM k JOIN t USING (term) JOIN n USING (doc_id, path, unit) GROUP BY doc_id, path, unit, license, template),
 o AS (SELECT doc_id, path, license AS own_license, score AS own_score FROM s WHERE score >= {threshold} QUALIFY row_number() OVER (PARTITION BY doc_id, path ORDER BY score DESC, license) = 1),
 l AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS above, own_license AS l FROM o WHERE regexp_matches(path, '{name}', 'i') QUALIFY row_number() OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY own_score DESC, doc_id) = 1),
 m AS (SELECT f.doc_id, f.path, l.above, l.l FROM f JOIN l ON starts_with(f.path, l.above || '/') QUALIFY row_number() OVER (PARTITION BY f.doc_id, f.path ORDER BY length(l.above) DESC) = 1)

@@ -128,6 +128,45 @@ def test_nearest_directory_wins(spark):
     }
 
 
+@pytest.mark.parametrize(
+    "line,want",
+    [
+        ("MIT License", "MIT"),
+        ("The MIT License (MIT)", "MIT"),
+        ("Apache License", "Apache-2.0"),
+        ("                                 Apache License", "Apache-2.0"),
+        ("GNU GENERAL PUBLIC LICENSE", "GPL-3.0"),
+        ("GNU LESSER GENERAL PUBLIC LICENSE", "LGPL-3.0"),
+        ("// SPDX-License-Identifier: MIT", "MIT"),
+        ("# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+        ("/* SPDX-License-Identifier: GPL-3.0-or-later */", "GPL-3.0"),
+        ("Redistribution and use in source and binary forms, with or without", "BSD-3-Clause"),
+        ("BSD 3-Clause License", "BSD-3-Clause"),
+        ("Copyright (c) 2020 Acme. All rights reserved.", None),
+        ("The licence of the shop was given back", None),
+        ("a driving license is not a software license", None),
+    ],
+)
+def test_headers_state_licenses(line, want):
+    known, unseen = licenses.idf(licenses.TEMPLATES), licenses.unseen_idf(licenses.TEMPLATES)
+    count = Counter(licenses.terms(line))
+    weight = {t: n * known.get(t, unseen) for t, n in count.items()}
+    norm = math.sqrt(sum(w * w for w in weight.values()))
+    dots = defaultdict(float)
+    for name, k, term, w, _ in licenses.template_weights(licenses.TEMPLATES):
+        dots[name, k] += w * weight.get(term, 0) / norm
+    best = max(dots, key=lambda x: (dots[x], x))
+    assert (best[0] if dots[best] >= 0.7 else None) == want or (want is None and best[0] == "Proprietary")
+
+
+def test_whole_licence_files(spark):
+    whole = "MIT License\n\nCopyright (c) 2024 Some One\n\n" + licenses.TEMPLATES["MIT"][4].removeprefix("MIT License Copyright (c) ")
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"
+    rows = [(1, "a/LICENSE", whole), (2, "a/x.c", "int x;"), (3, "b/COPYING.txt", isc), (4, "b/c/d/y.c", ""), (5, "c/LICENSE", "no such words"), (6, "c/z.c", "")]
+    out = {r.doc_id: r.license for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert out == {1: "MIT", 2: "MIT", 3: "ISC", 4: "ISC", 5: None, 6: None}
+
+
 # 4 media
 
 
@@ -258,7 +297,7 @@ def test_bpe_equals_the_library(spark, odd_docs):
 
 def test_bpe_on_random_strings():
     tokenizers = pytest.importorskip("tokenizers")
-    library, codec = tokenizers.Tokenizer.from_file(vocabulary()), bpe.BytePairCodec(vocabulary())
+    library, codec = tokenizers.Tokenizer.from_file(vocabulary()), bpe.BytePairCodec(bpe.vocabulary_text(vocabulary()))
     r = random.Random(1)
     pool = [" ", "\n", "\t", "\x1c", "\x85", "\xa0", "  ", "'s", "'", "<|endoftext|>", "a", "é", "中", "1", "²", "!", "the ", "\u200b", "😀", "\x00", "İ"]
     for _ in range(3000):

@@ -96,7 +96,7 @@ def test_known_language(spark, odd):
 def test_encoded(spark, odd):
     import hashlib
 
-    codec = bpe.BytePairCodec(vocabulary())
+    codec = bpe.BytePairCodec(bpe.vocabulary_text(vocabulary()))
     got = Counter((r.doc_id, r.n_tokens, r.decoded_sha256) for r in pipeline.encoded(spark, odd, "").collect())
     want = Counter()
     for r in rows(odd):

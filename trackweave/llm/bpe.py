@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -53,10 +54,22 @@ class _Pieces(dict):
         return packed
 
 
+#: A vocabulary file goes to every executor; larger ones are an error.
+MOST_VOCABULARY = 64_000_000
+
+
+def vocabulary_text(path: str) -> str:
+    if os.path.getsize(path) > MOST_VOCABULARY:
+        raise ValueError(f"a vocabulary of more than {MOST_VOCABULARY} bytes")
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
 class BytePairCodec:
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    """Encoder and decoder of a vocabulary file's text (see :func:`vocabulary_text`)."""
+
+    def __init__(self, text: str):
+        spec = json.loads(text)
         to_byte = printable_bytes()
         ids = spec["model"]["vocab"]
         self.strings = {i: bytes(map(to_byte.__getitem__, s)) for s, i in ids.items() if all(c in to_byte for c in s)}
@@ -124,9 +137,11 @@ def bpe_encode(docs: DataFrame, path: str, decoded: bool = True) -> DataFrame:
     integers) and, if asked for, decoded (string).
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    # executors need not see the driver's file
+    spec = docs.sparkSession.sparkContext.broadcast(vocabulary_text(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = BytePairCodec(path)
+        codec = BytePairCodec(spec.value)
         for batch in batches:
             for part in (batch.slice(k, 1000) for k in range(0, batch.num_rows, 1000)):
                 packed = [codec.encode_packed(x or "") for x in part.column(1).to_pylist()]

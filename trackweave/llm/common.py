@@ -19,9 +19,11 @@ NO_GAP = r"[^\x09-\x0D\x20]"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set."""
+    """The cluster's shared folder; a folder of our own only where none is set and all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="trackweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -3,6 +3,11 @@
 A row goes only if a stage's rule says so: texts without a letter or in no known
 language, all but the first document of each group of near duplicates, and texts of
 which nothing is left. Mixing repeats documents of small sources and drops none.
+
+Stages read and return the columns of ``documents``; further columns are dropped. Null
+and empty texts are in no language and go in the first stage; an empty table stays
+empty. Rows without doc_id come last in their groups, lose no bytes and are mixed like
+others.
 """
 
 from __future__ import annotations
@@ -77,9 +82,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and the text that they decode to."""
+    """Token ids of every text (little-endian unsigned 32-bit), and hashes of them and of the text that they decode to."""
     coded = bpe.bpe_encode(docs, vocabulary())
-    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

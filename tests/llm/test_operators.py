@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -549,3 +550,129 @@ def test_empty_and_odd_tables(name, odd_docs, no_docs):
     assert {key(r) for r in out} == {key(r) for r in odd_docs.collect()}
     if name != "mixing":
         assert len(out) == odd_docs.count()
+
+
+# 10 language ID against a version with counters
+
+
+def brute_ranks(counts, size):
+    return sorted(counts, key=lambda g: (-counts[g], len(g), [ord(c) for c in g]))[:size]
+
+
+def test_language_of_every_row_matches_brute_force(spark):
+    r = random.Random(4)
+    letters = {"aa": "etaoin shrdlu", "bb": "äöüß enirs tk", "cc": "жизнь мира но"}
+    rows = []
+    for k in range(90):
+        lang = ["aa", "bb", "cc"][k % 3]
+        text = "".join(r.choice(letters[lang]) for _ in range(r.randint(0, 60)))
+        rows.append((k, text, lang if k % 7 else None))
+    rows += [(90, None, "aa"), (91, "12 34 !!", "bb"), (92, "", "cc"), (93, "e", None), (94, "Ж", "cc"), (None, "tea", "aa")]
+    model = langid.Profiles(size=30)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 4 == 2
+    total = defaultdict(Counter)
+    for k, text, lang in rows:
+        if lang is not None and text is not None and not held(k):
+            total[lang].update(brute_grams(text))
+    profiles = {lang: {g: k for k, g in enumerate(brute_ranks(c, 30))} for lang, c in total.items()}
+    want = {}
+    for k, text, _ in rows:
+        top = brute_ranks(brute_grams(text), 30) if any(c.isalpha() for c in text or "") else []
+        far = {lang: sum(min(abs(p[g] - i), 30) if g in p else 30 for i, g in enumerate(top)) for lang, p in profiles.items()}
+        best = min(far, key=lambda x: (far[x], x))
+        want[k] = (held(k), best, pytest.approx(1 - far[best] / (30 * len(top)), abs=1e-6)) if top else (held(k), "und", 0.0)
+    got = {x.doc_id: (x.held_out, x.lang_pred, x.score) for x in langid.identify(docs, model).collect()}
+    assert got == want
+    assert len({x[1] for x in got.values()}) == 4
+
+
+# 4 media: the query's columns, odd tables and faults that pass
+
+
+def brute_feature(payload):
+    n, total, squares = len(payload), sum(payload), sum(b * b for b in payload)
+    edges = [k * n // 64 for k in range(65)]
+    bits = "".join("1" if sum(payload[a:b]) * n > total * (b - a) else "0" for a, b in zip(edges, edges[1:], strict=False))
+    return f"{n // 192}:{1000 * total // n}:{1000 * (squares * n - total * total) // n**2}:{int(bits, 2):016x}"
+
+
+def test_media_query_matches_brute_force(spark, odd_docs, tmp_path):
+    from trackweave.llm.queries import op4_media
+
+    odd_docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    want = Counter()
+    for row in odd_docs.collect():
+        data = (row.text or "").encode()
+        payload = data.ljust(max(192, -(-len(data) // 192) * 192), b" ")
+        want[(row.doc_id, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), brute_feature(payload))] += 1
+    rows = op4_media(spark, str(tmp_path)).collect()
+    assert Counter((x.doc_id, x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32, x.feature) for x in rows) == want
+    # equal texts have equal forms, and different ones different forms
+    assert len({x.media_sha256 for x in rows}) == len({x.payload_sha256 for x in rows}) and all(x.media_bytes > 0 for x in rows)
+
+
+def test_media_of_an_empty_table(spark, no_docs, tmp_path):
+    media.write_archives(no_docs, f"file://{tmp_path}/none")
+    assert media.with_features(media.read_archives(spark, f"file://{tmp_path}/none")).collect() == []
+
+
+def test_a_fault_that_passes_is_read_again(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(k, f"text {k} " * 40) for k in range(6)], "doc_id long, text string").coalesce(1)
+    path = f"file://{tmp_path}/m"
+    media.write_archives(docs, path)
+    reader = media._ArchiveReader(path, 8 << 20, 3)
+    (part,) = reader.partitions()
+    store, root = media.fs.FileSystem.from_uri(path)
+    opened, again = [], []
+
+    class Faulty:
+        """The first pass over the file gets one member wrong; the next look at it is right."""
+
+        def open_input_file(self, name):
+            opened.append(name)
+            whole = store.open_input_file(name)
+            return Flaky(whole) if len(opened) == 1 else whole
+
+    class Flaky:
+        def __init__(self, f):
+            self.f, self.reads = f, 0
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+        def __getattr__(self, name):
+            return getattr(self.f, name)
+
+        def read(self, n=None):
+            self.reads += 1
+            data = self.f.read(n)
+            return bytes(len(data)) if self.reads == 7 else data
+
+    monkeypatch.setattr(media, "fs", SimpleNamespace(FileSystem=SimpleNamespace(from_uri=lambda _: (Faulty(), root))))
+    plain = reader.member
+    monkeypatch.setattr(reader, "member", lambda *a: again.append(a[2]) or plain(*a))
+    found = [x for b in reader.read(part) for x in b.to_pylist()]
+    assert sorted(x["doc_id"] for x in found) == list(range(6)) and len(again) == 1 and len(opened) == 2
+    assert all(media.decode_png(x["media"])[: x["n_bytes"]].decode() == f"text {x['doc_id']} " * 40 for x in found)
+
+
+# 7 urls: odd tables
+
+
+def test_urls_of_odd_pages(spark):
+    long = "http://a.test/" + "x/" * 30
+    rows = [(1, None), (2, ""), (3, "no scheme"), (4, "HTTP://A.Test"), (5, "http://a.test?q=/x"), (6, "ftp://a.test/x#y/z"), (7, long), (7, long), (None, "http://net/"), (8, "http://x.NET/é/\n"), (9, "://h/p"), (10, "http://h/a://b")]
+    pages = spark.createDataFrame([(*r, "t", "h", 3) for r in rows], "page_id long, url string, template string, host string, n int")
+    labels = spark.createDataFrame([(1, True), (7, None), (None, False)], "page_id long, good boolean")
+    out = urls.judge_urls(pages, labels).collect()
+    got = Counter((x.page_id, x.host, x.path, x.rule) for x in out)
+    assert got == Counter(
+        [(1, "", "", None), (2, "", "", None), (3, "", "", None), (4, "a.test", "", None), (5, "a.test", "", None), (6, "a.test", "/x", None), (7, "a.test", "/" + "x/" * 30, None), (7, "a.test", "/" + "x/" * 30, None)]
+        + [(None, "net", "/", "net/"), (8, "x.net", "/é/\n", "net/"), (9, "h", "/p", None), (10, "h", "/a://b", None)]
+    )
+    assert all(x.verdict == "block" for x in out if x.rule) and all(x.verdict in ("allow", "block") for x in out)
+    assert urls.judge_urls(pages.limit(0), labels).collect() == [] and len(urls.judge_urls(pages, labels.limit(0)).collect()) == len(rows)

@@ -180,7 +180,9 @@ class _ArchiveReader(DataSourceReader):
                 time.sleep(0.1 * attempt)
         raise OSError(f"member at {path}:{offset} could not be read in {self.attempts} attempts") from problem
 
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: InputPartition | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # an archive without members has no ranges
+            return
         store, root = fs.FileSystem.from_uri(self.path)
         path = f"{root}/{partition.file}"
         names = ["doc_id", "n_bytes", "file", "offset", "media"]

@@ -676,3 +676,52 @@ def test_urls_of_odd_pages(spark):
     )
     assert all(x.verdict == "block" for x in out if x.rule) and all(x.verdict in ("allow", "block") for x in out)
     assert urls.judge_urls(pages.limit(0), labels).collect() == [] and len(urls.judge_urls(pages, labels.limit(0)).collect()) == len(rows)
+
+
+def brute_branches(stats, corpus, model):
+    """(branch, pooled purity) of each node, from {(host, steps): (n, k)}."""
+    m = model.strength
+    nodes = defaultdict(lambda: [0, 0])
+    for (host, steps), (n, k) in stats.items():
+        for i in range(len(steps) + 1):
+            nodes[host, steps[:i]][0] += n
+            nodes[host, steps[:i]][1] += k
+    out = {x: (0, (k + m * corpus) / (n + m)) for x, (n, k) in nodes.items() if not x[1]}
+    for depth in range(1, 1 + max(len(s) for _, s in nodes)):
+        for host, parent in {(h, s[:-1]) for h, s in nodes if len(s) == depth}:
+            p = out[host, parent][1]
+            kids = sorted((((k + m * p) / (n + m)), n, k, s) for (h, s), (n, k) in nodes.items() if h == host and len(s) == depth and s[:-1] == parent)
+            groups = [[kids[0]]]
+            for a, b in zip(kids, kids[1:], strict=False):
+                var = a[0] * (1 - a[0]) / (a[1] + m) + b[0] * (1 - b[0]) / (b[1] + m)
+                if (a[1], a[2]) != (b[1], b[2]) and b[0] - a[0] > model.z * math.sqrt(var):
+                    groups.append([])
+                groups[-1].append(b)
+            for g, members in enumerate(groups):
+                pooled = (sum(x[2] for x in members) + m * p) / (sum(x[1] for x in members) + m)
+                for x in members:
+                    out[host, x[3]] = (g, pooled)
+    return out
+
+
+def test_branches_of_subtrees_match_brute_force(spark):
+    r = random.Random(8)
+    stats = {}
+    for _ in range(60):
+        steps = tuple(f"/{r.choice('abc')}" for _ in range(r.randint(0, 4)))
+        n = r.choice([0, 0, 3, 40, 200])
+        stats[r.choice("gh"), steps] = (n, r.choice([0, n // 2, n]))
+    rows = [(h, "".join(s), list(s), n, k) for (h, s), (n, k) in stats.items()]
+    model = urls.TemplateTree()
+    got = urls.branches(spark.createDataFrame(rows, "host string, template string, steps array<string>, n long, k long"), 0.7, model)
+    want = {(h, "".join(s)): (g, pytest.approx(p)) for (h, s), (g, p) in brute_branches(stats, 0.7, model).items()}
+    assert {(x.host, x.node): (x.branch, x.pooled) for x in got.collect()} == want
+    assert any(g > 0 for g, _ in want.values())
+
+
+def test_a_bad_branch_taints_its_rare_templates(spark):
+    rows = [(k, f"http://h.test/{'good' if k % 2 else 'bad'}/{k % 40}x/{k}") for k in range(400)]
+    pages = spark.createDataFrame([*rows, (400, "http://h.test/bad/new/page"), (401, "http://h.test/good/new/page")], "page_id long, url string")
+    labels = spark.createDataFrame([(k, bool(k % 2)) for k in range(400)], "page_id long, good boolean")
+    out = {x.page_id: x.verdict for x in urls.judge_urls(pages, labels).collect()}
+    assert out[400] == "block" and out[401] == "allow"

@@ -3,10 +3,10 @@
 Each host is the root of a tree of path segments. Segments that look like numbers,
 hashes or dates become wildcards by their form; where a node has more than ``fanout``
 different children, the rare ones become wildcards, too. The tree is as deep as the
-longest path. Branches of one parent whose
-labelled purities do not differ significantly are merged. A template (or merged
-branch) is rejected if its purity, smoothed towards its host's and the corpus's, is
-below ``least_purity``.
+longest path. A node counts the labels of its whole subtree; from the top down,
+branches of one parent whose purities do not differ significantly are merged. A
+template is rejected if the purity of its merged branch, smoothed towards that of the
+branch above and so on up to its host's and the corpus's, is below ``least_purity``.
 
 Null urls and urls without ``://`` have an empty host and path and are judged alike.
 Rows of ``labels`` that repeat a page count each; pages without a label count only as
@@ -73,16 +73,16 @@ def rule(host: Column, path: Column) -> tuple[Column, Column]:
 
 
 def templates(paths: DataFrame, model: TemplateTree) -> DataFrame:
-    """Add ``template`` to paths(host, path, ...), whatever their depth.
+    """Add ``template`` and its ``steps`` down the tree to paths(host, path, ...), whatever their depth.
 
     Every ``LEVELS`` levels the paths that end are set aside, and so are those below a
     node with at most ``fanout`` different rests: no node there is wide, so they keep
-    their segments.
+    their segments, as one step.
     """
     form = lambda s: F.coalesce(*[F.when(F.rlike(s, F.lit(p)), F.lit(w)) for p, w in FORMS], s)
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    names = [*paths.columns, "template"]
-    out = paths.withColumn("_s", F.transform(segments, form)).withColumn("template", F.lit(""))
+    names = [*paths.columns, "template", "steps"]
+    out = paths.withColumns({"_s": F.transform(segments, form), "template": F.lit(""), "steps": F.array().cast("array<string>")})
     ended = []
     while True:
         deepest = out.agg(F.max(F.size("_s"))).first()[0] or 0
@@ -95,7 +95,9 @@ def templates(paths: DataFrame, model: TemplateTree) -> DataFrame:
             rare = rare.select("host", "template", "_c", F.lit(True).alias("_rare"))
             out = salted_join(out, rare, ["host", "template", "_c"], "left")
             step = F.when(F.col("_c").isNull(), F.lit("")).when(F.col("_rare"), F.lit("/*")).otherwise(F.concat(F.lit("/"), F.col("_c")))
-            out = out.withColumn("template", F.concat("template", step)).withColumn("_s", F.slice("_s", 2, F.greatest(F.size("_s"), F.lit(1)))).drop("_rare", "_c")
+            out = out.withColumn("_step", step)
+            steps = F.when(F.col("_step") == "", F.col("steps")).otherwise(F.array_append("steps", F.col("_step")))
+            out = out.withColumns({"template": F.concat("template", "_step"), "steps": steps, "_s": F.slice("_s", 2, F.greatest(F.size("_s"), F.lit(1)))}).drop("_rare", "_c", "_step")
         if deepest <= LEVELS:
             break
         out = materialize(out, "url-levels")
@@ -103,7 +105,8 @@ def templates(paths: DataFrame, model: TemplateTree) -> DataFrame:
         going = out.where(F.size("_s") > 0)
         few = going.select("host", "template", "_s").distinct().groupBy("host", "template").agg((F.count(F.lit(1)) <= model.fanout).alias("_few"))
         going = materialize(salted_join(going, few, ["host", "template"]), "url-levels")
-        ended.append(going.where("_few").withColumn("template", F.concat("template", F.lit("/"), F.array_join("_s", "/"))).select(*names))
+        rest = F.concat(F.lit("/"), F.array_join("_s", "/"))
+        ended.append(going.where("_few").withColumns({"template": F.concat("template", rest), "steps": F.array_append("steps", rest)}).select(*names))
         out = going.where(~F.col("_few")).drop("_few")
     out = out.select(*names)
     for more in ended:
@@ -111,6 +114,41 @@ def templates(paths: DataFrame, model: TemplateTree) -> DataFrame:
     return out
 
 
+def branches(stats: DataFrame, corpus: float, model: TemplateTree) -> DataFrame:
+    """(host, node, branch, pooled) of every node of the tree, from stats(host, template, steps, n, k).
+
+    A node counts the labels of its whole subtree. From the top down, siblings whose
+    purities, smoothed by their parent's, do not differ significantly from one to the
+    next are merged to one branch, whose pooled purity smooths that of their children.
+    Siblings with equal counts are one row before they are sorted, so a task sorts the
+    different counts under a parent, however many siblings there are.
+    """
+    m = model.strength
+    upto = lambda i: F.array_join(F.slice("steps", F.lit(1), i), "")
+    above = F.transform(F.sequence(F.lit(0), F.size("steps")), lambda i: F.struct(i.alias("depth"), upto(i).alias("node"), upto(F.greatest(i - 1, F.lit(0))).alias("parent")))
+    nodes = stats.select("host", "n", "k", F.inline(above)).groupBy("host", "node", "parent", "depth").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    nodes = materialize(nodes, "url-nodes")
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    level = nodes.where("depth = 0").select("host", "node", F.lit(0).alias("branch"), ((F.col("k") + m * F.lit(corpus)) / (F.col("n") + m)).alias("pooled"))
+    out = level
+    key = ["host", "parent"]
+    for depth in range(1, deepest + 1):
+        known = level.select("host", F.col("node").alias("parent"), F.col("pooled").alias("p"))
+        now = nodes.where(F.col("depth") == depth).select("host", "node", "parent", "n", "k")
+        now = salted_join(now, known, key).withColumn("purity", (F.col("k") + m * F.col("p")) / (F.col("n") + m))
+        alike = now.groupBy(*key, "n", "k").agg(F.first("p").alias("p"), F.first("purity").alias("purity"), F.count(F.lit(1)).alias("c"))
+        order = Window.partitionBy(*key).orderBy("purity", "n")
+        var = F.col("purity") * (1 - F.col("purity")) / (F.col("n") + m)
+        apart = F.col("purity") - F.lag("purity").over(order) > model.z * F.sqrt(var + F.lag(var).over(order))
+        begins = alike.withColumn("begins", F.when(F.coalesce(apart, F.lit(False)), 1).otherwise(0))
+        merged = begins.withColumn("branch", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int"))
+        pooled = merged.groupBy(*key, "branch").agg(((F.sum(F.col("k") * F.col("c")) + m * F.first("p")) / (F.sum(F.col("n") * F.col("c")) + m)).alias("pooled"))
+        found = salted_join(merged.select(*key, "n", "k", "branch"), pooled, [*key, "branch"])
+        level = materialize(salted_join(now.select(*key, "node", "n", "k"), found, [*key, "n", "k"]).select("host", "node", "branch", "pooled"), "url-branches")
+        out = out.unionByName(level)
+    return out
+
+
 def judge_urls(pages: DataFrame, labels: DataFrame, model: TemplateTree | None = None) -> DataFrame:
     """Verdict on every row of pages(page_id, url), given labels(page_id, good boolean).
 
@@ -122,24 +160,12 @@ def judge_urls(pages: DataFrame, labels: DataFrame, model: TemplateTree | None =
     placed = materialize(placed, "urls")
     marks = labels.groupBy("page_id").agg(F.count("good").alias("labelled"), F.count_if("good").alias("good"))
     marked = placed.join(marks, "page_id", "left")
-    stats = marked.groupBy("host", "template").agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"))
+    stats = marked.groupBy("host", "template").agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"), F.first("steps").alias("steps"))
     stats = materialize(stats, "url-templates")
     every = stats.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     corpus = ((every.k or 0) + model.strength * model.prior) / ((every.n or 0) + model.strength)
-    by_host = stats.groupBy("host").agg(((F.sum("k") + model.strength * F.lit(corpus)) / (F.sum("n") + model.strength)).alias("p"))
-    smooth = (F.col("k") + model.strength * F.col("p")) / (F.col("n") + model.strength)
-    parent = F.regexp_replace("template", "/[^/]*$", "")
-    known = salted_join(stats, by_host, "host").select("host", "template", parent.alias("parent"), "n", "k", "p", smooth.alias("purity"))
-    # siblings by purity: one that is significantly above the one before begins a branch
-    siblings = Window.partitionBy("host", "parent").orderBy("purity", "template")
-    var = F.col("purity") * (1 - F.col("purity")) / (F.col("n") + model.strength)
-    gap = F.col("purity") - F.lag("purity").over(siblings)
-    apart = gap > model.z * F.sqrt(var + F.lag(var).over(siblings))
-    branch = F.sum(F.when(F.coalesce(apart, F.lit(False)), 1).otherwise(0)).over(siblings)
-    grouped = known.withColumn("branch", branch.cast("int"))
-    pooled = grouped.groupBy("host", "parent", "branch").agg(((F.sum("k") + model.strength * F.first("p")) / (F.sum("n") + model.strength)).alias("pooled"))
-    judged = grouped.join(pooled, ["host", "parent", "branch"]).select("host", "template", "branch", F.round("pooled", 6).alias("purity"))
-    whole = salted_join(placed, judged, ["host", "template"])
+    judged = branches(stats, corpus, model).select("host", F.col("node").alias("template"), "branch", F.round("pooled", 6).alias("purity"))
+    whole = salted_join(placed.drop("steps"), judged, ["host", "template"])
     fits, fixed = rule(F.col("host"), F.col("path"))
     verdict = F.coalesce(fixed, F.when(F.col("purity") < model.least_purity, "block").otherwise("allow"))
     return whole.select("page_id", "host", "path", fits.alias("rule"), verdict.alias("verdict"), "template", "branch", "purity")
@@ -167,6 +193,15 @@ WITH t0 AS MATERIALIZED (SELECT *, '' AS template, list_transform(list_filter(st
 r{k} AS (SELECT host, template, c FROM n{k} JOIN (SELECT host, template, count(*) AS children FROM n{k} GROUP BY ALL) USING (host, template) WHERE children > {model.fanout} AND n < {model.support}),
 t{k + 1} AS MATERIALIZED (SELECT page_id, t.host, path, segs, t.template || CASE WHEN segs[{k + 1}] IS NULL THEN '' WHEN r.c IS NOT NULL THEN '/*' ELSE '/' || segs[{k + 1}] END AS template
   FROM t{k} t LEFT JOIN r{k} r ON r.host = t.host AND r.template = t.template AND r.c = t.segs[{k + 1}])""")
+    levels = ",\n".join(
+        f"""c{d} AS (SELECT x.host, x.node, v.node AS parent, x.n, x.k, pooled AS p, (x.k + {m} * pooled) / (x.n + {m}) AS purity FROM x JOIN v{d - 1} v ON v.host = x.host AND v.node = regexp_replace(x.node, '/[^/]*$', '') WHERE d = {d}),
+e{d} AS (SELECT host, parent, n, k, any_value(p) AS p, any_value(purity) AS purity, count(*) AS c FROM c{d} GROUP BY host, parent, n, k),
+b{d} AS (SELECT *, purity - lag(purity) OVER w > {model.z} * sqrt(purity * (1 - purity) / (n + {m}) + lag(purity * (1 - purity) / (n + {m})) OVER w) AS apart FROM e{d} WINDOW w AS (PARTITION BY host, parent ORDER BY purity, n)),
+h{d} AS (SELECT *, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY host, parent ORDER BY purity, n)::INT AS branch FROM b{d}),
+q{d} AS (SELECT host, parent, branch, (sum(k * c) + {m} * any_value(p)) / (sum(n * c) + {m}) AS pooled FROM h{d} GROUP BY host, parent, branch),
+v{d} AS (SELECT host, node, branch, pooled FROM c{d} JOIN h{d} USING (host, parent, n, k) JOIN q{d} USING (host, parent, branch))"""
+        for d in range(1, DEPTH + 2)
+    )
     return (
         ",\n".join(parts)
         + f""",
@@ -174,12 +209,10 @@ p AS MATERIALIZED (SELECT page_id, host, path, template || CASE WHEN len(segs) >
 l AS (SELECT doc_id AS page_id, count((quality = 1 AND toxic = 0)) AS n, count(*) FILTER (quality = 1 AND toxic = 0) AS k FROM labels GROUP BY 1),
 s AS MATERIALIZED (SELECT host, template, coalesce(sum(n), 0)::BIGINT AS n, coalesce(sum(k), 0)::BIGINT AS k FROM p LEFT JOIN l USING (page_id) GROUP BY ALL),
 g AS (SELECT (coalesce(sum(k), 0) + {m * model.prior}) / (coalesce(sum(n), 0) + {m}) AS corpus FROM s),
-h AS (SELECT host, (sum(k) + {m} * any_value(corpus)) / (sum(n) + {m}) AS p FROM s, g GROUP BY 1),
-a AS (SELECT host, template, regexp_replace(template, '/[^/]*$', '') AS parent, n, k, p, (k + {m} * p) / (n + {m}) AS purity FROM s JOIN h USING (host)),
-b AS (SELECT *, purity - lag(purity) OVER w > {model.z} * sqrt(purity * (1 - purity) / (n + {m}) + lag(purity * (1 - purity) / (n + {m})) OVER w) AS apart FROM a WINDOW w AS (PARTITION BY host, parent ORDER BY purity, template)),
-c AS (SELECT *, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY host, parent ORDER BY purity, template)::INT AS branch FROM b),
-d AS (SELECT host, parent, branch, (sum(k) + {m} * any_value(p)) / (sum(n) + {m}) AS pooled FROM c GROUP BY ALL),
-j AS (SELECT host, template, branch, round(pooled, 6) AS purity FROM c JOIN d USING (host, parent, branch))
+x AS MATERIALIZED (SELECT host, node, d, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM (SELECT host, n, k, d, array_to_string(string_split(template, '/')[1:d + 1], '/') AS node FROM (SELECT *, unnest(range(len(string_split(template, '/')))) AS d FROM s)) GROUP BY ALL),
+v0 AS (SELECT host, node, 0 AS branch, (k + {m} * corpus) / (n + {m}) AS pooled FROM x, g WHERE d = 0),
+{levels},
+j AS (SELECT host, node AS template, branch, round(pooled, 6) AS purity FROM ({" UNION ALL ".join(f"SELECT * FROM v{d}" for d in range(DEPTH + 2))}))
 SELECT page_id, host, path, CASE {name} END AS rule, coalesce(CASE {fixed} END, CASE WHEN purity < {model.least_purity} THEN 'block' ELSE 'allow' END) AS verdict, template, branch, purity
 FROM p JOIN j USING (host, template)"""
     )

@@ -7,12 +7,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trackweave.functions import energies as en
 from trackweave.functions.geometry import FieldOfView
-from trackweave.operators import candidates, detections, events, graph, loglinear, mergers
+from trackweave.operators import candidates, detections, events, graph, loglinear, mergers, pixels
 from trackweave.operators.hypotheses import HypothesesGraph
 from trackweave.plans import factors
 from trackweave.plans.trackers import ChaingraphTracker, ConservationTracker
-from trackweave.sources import stores
+from trackweave.sources import graphs, stores
 
 BASE = ConservationTracker(radius=99999.0, division_threshold=0.1, gap=0.05, tracklets=True, appearance_cost=1500, disappearance_cost=1500)
 SCHEMA = "timestep int, id long, x double, y double, z double, x_corr double, y_corr double, z_corr double, div_prob double, count double, det_prob array<double>"
@@ -380,3 +381,56 @@ def test_crowded_cells_and_flat_scenes(spark):
     want = {(k, 10 + j) for k in range(6) for j in sorted(range(6), key=lambda j: (abs(j - k), j))[:2] if abs(j - k) <= 1}
     want |= {(j, 10 + k) for k in range(6) for j in sorted(range(6), key=lambda j: (abs(j - k), j))[:2] if abs(j - k) <= 1}
     assert {(r.src, r.dst) for r in arcs.collect()} == want
+
+
+def test_graph_text_with_detections(spark, tmp_path):
+    nodes = spark.createDataFrame([(k, k // 3, 100 + k) for k in range(9)], "node long, timestep int, traxel long")
+    arcs = spark.createDataFrame([(0, 3), (1, 4), (3, 8)], "src long, dst long")
+    path = f"file://{tmp_path}/g"
+    graphs.write_lgf(nodes, arcs, path)
+    a, b = graphs.read_lgf(spark, path, traxels=True)
+    assert sorted(map(tuple, a.collect())) == [(k, k // 3, 100 + k) for k in range(9)] and sorted(map(tuple, b.collect())) == [(0, 3), (1, 4), (3, 8)]
+    whole = "".join(p.read_text() for p in sorted((tmp_path / "g").glob("part-*")))
+    lines = whole.splitlines()
+    assert lines[:3] == ["@nodes", "label\ttimestep\ttraxel\t", "0\t0\t100\t"] and lines[11] == "@arcs" and [x.split("\t")[3:5] for x in lines[13:]] == [["0", "1"], ["0", "1"], ["1", "2"]]
+    (tmp_path / "one.lgf").write_text(whole)
+    assert [x.count() for x in graphs.read_lgf(spark, f"file://{tmp_path}/one.lgf")] == [9, 3]
+
+
+def test_neighbours_in_three_dimensions_and_with_corrections(spark):
+    r = np.random.default_rng(3)
+    rows = [(t, 100 * t + k, *map(float, r.uniform(0, 10, 3)), *map(float, r.uniform(0, 10, 3))) for t in range(3) for k in range(25)]
+    det = spark.createDataFrame(rows, "timestep int, id long, x double, y double, z double, x_corr double, y_corr double, z_corr double")
+    for radius, k in ((3.0, 1), (3.0, 2), (50.0, 2)):
+        got = {(x.src, x.dst) for x in candidates.arcs(det, candidates.Candidates(k, radius, True)).collect()}
+        want = set()
+        for a in rows:
+            near = sorted((np.hypot.reduce(np.subtract(a[5:8], b[2:5])), b[1]) for b in rows if b[0] == a[0] + 1)
+            want |= {(a[1], i) for d, i in [x for x in near if x[0] <= radius][:k]}
+        for b in rows:
+            near = sorted((np.hypot.reduce(np.subtract(a[5:8], b[2:5])), a[1]) for a in rows if b[0] == a[0] + 1)
+            want |= {(i, b[1]) for d, i in [x for x in near if x[0] <= radius][:k]}
+        assert got == want
+
+
+def test_division_cost_of_distance_and_angle(spark):
+    p = lambda *v: tuple(F.lit(float(x)) for x in v)
+    near = en.division_by_geometry(p(0, 0, 0), p(3, 0, 0), p(0, 4, 0), 2.0, 0.4)
+    narrow = en.division_by_geometry(p(0, 0, 0), p(3, 0, 0), p(0, 4, 0), 2.0, 0.6)
+    row = spark.range(1).select(near.alias("a"), narrow.alias("b")).first()
+    assert row.a == pytest.approx(1 + 4) and row.b == pytest.approx(1e13 + 5)
+
+
+def test_pixels_of_one_object_in_three_dimensions(spark):
+    labels = [[[0, 1], [2, 0]], [[1, 0], [0, 2]]]
+    rows = pixels.pixel_rows(spark.createDataFrame([(7, labels)], "image long, labels array<array<array<int>>>"), 3)
+    found = pixels.extract_one(rows, 7, [10, 20, 30], 4, 1, 2)
+    assert sorted(r.pixel for r in found.collect()) == [[10, 20, 31], [11, 20, 30]]
+    with pytest.raises(Exception, match="not the count"):
+        pixels.extract_one(rows, 7, [0, 0, 0], 4, 1, 3).collect()
+    # one pixel of the object lies outside of the image
+    moved = found.withColumn("id", F.lit(9).cast("long")).unionByName(spark.createDataFrame([(4, 9, [99, 99, 99])], "timestep int, id long, pixel array<int>"))
+    out = {tuple(r.pos): r.label for r in pixels.update_one(rows, moved, [10, 20, 30], 4, 9).collect()}
+    assert out == {(i, j, k): 9 if labels[i][j][k] == 1 else labels[i][j][k] for i in (0, 1) for j in (0, 1) for k in (0, 1)}
+    with pytest.raises(KeyError):
+        pixels.update_one(rows, moved, [0, 0, 0], 4, 8)

@@ -1,8 +1,9 @@
 """Candidate arcs: nearest neighbours within a radius in the next or previous frame.
 
 The join key is the frame and a grid cell as wide as the radius: a query row goes to
-its own cell and the 26 around it, so that each pair in range meets once and no frame
-is compared with itself as a whole. Distances on the radius count; ties go by id.
+its own cell and those around it, so that each pair in range meets once and no frame
+is compared with itself as a whole. Axes along which all detections lie within the
+radius need no grid. Distances on the radius count; ties go by id.
 """
 
 from __future__ import annotations
@@ -24,10 +25,19 @@ class Candidates:
     division_threshold: float = 0.5
 
 
-def in_range(queries: DataFrame, targets: DataFrame, radius: float, shift: int, reverse: bool = False) -> DataFrame:
+def wide_axes(rows: DataFrame, radius: float) -> tuple[int, ...]:
+    """The axes along which detections, corrected or not, lie further apart than the radius."""
+    ends = [f(F.least(p, q) if f is F.min else F.greatest(p, q)) for p, q in zip(point(), point(suffix="_corr"), strict=True) for f in (F.min, F.max)]
+    found = rows.agg(*ends).first()
+    # not a number counts as far
+    return tuple(k for k in range(3) if found[2 * k] is not None and not found[2 * k + 1] - found[2 * k] <= radius)
+
+
+def in_range(queries: DataFrame, targets: DataFrame, radius: float, shift: int, reverse: bool = False, axes: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
     """Pairs (timestep, id, other_timestep, other, d2) of queries and targets ``shift`` frames on.
 
-    Forward, a query stands at its corrected position; in reverse, the targets do.
+    Forward, a query stands at its corrected position; in reverse, the targets do. The
+    grid has cells along ``axes`` only.
     """
     if radius < 0:
         raise ValueError("a radius is not negative")
@@ -36,11 +46,11 @@ def in_range(queries: DataFrame, targets: DataFrame, radius: float, shift: int,
     to: Point = point(suffix="_corr") if reverse else point()
     cell = lambda v: F.floor(v / size)
     q = queries.select("timestep", "id", *[c.alias(f"q{k}") for k, c in enumerate(at)], (F.col("timestep") + shift).alias("other_timestep"))
-    for k in range(3):
+    for k in axes:
         q = q.withColumn(f"c{k}", F.explode(F.sequence(cell(F.col(f"q{k}")) - 1, cell(F.col(f"q{k}")) + 1)))
-    t = targets.select(F.col("timestep").alias("other_timestep"), F.col("id").alias("other"), *[c.alias(f"t{k}") for k, c in enumerate(to)], *[cell(c).alias(f"c{k}") for k, c in enumerate(to)])
+    t = targets.select(F.col("timestep").alias("other_timestep"), F.col("id").alias("other"), *[c.alias(f"t{k}") for k, c in enumerate(to)], *[cell(to[k]).alias(f"c{k}") for k in axes])
     d2 = squared_distance(tuple(F.col(f"q{k}") for k in range(3)), tuple(F.col(f"t{k}") for k in range(3)))
-    pairs = q.join(t, ["other_timestep", "c0", "c1", "c2"]).withColumn("d2", d2)
+    pairs = q.join(t, ["other_timestep", *[f"c{k}" for k in axes]]).withColumn("d2", d2)
     return pairs.where(F.col("d2") <= radius * radius).select("timestep", "id", "other_timestep", "other", "d2")
 
 
@@ -64,7 +74,9 @@ def arcs(detections: DataFrame, options: Candidates | None = None) -> DataFrame:
     o = options or Candidates()
     rows = _with_corrected(detections)
     k: Column | int = o.neighbours
-    forward = in_range(rows, rows, o.radius, 1)
+    # one table of pairs for both directions: either way a row stands at its corrected
+    # position against the next frame's plain ones
+    forward = in_range(rows, rows, o.radius, 1, axes=wide_axes(rows, o.radius))
     if o.divisions and o.neighbours < 2:
         if "div_prob" not in rows.columns:
             raise ValueError("division-aware neighbours need div_prob")
@@ -72,11 +84,13 @@ def arcs(detections: DataFrame, options: Candidates | None = None) -> DataFrame:
         # a frame's rows meet their pairs again by key
         forward = forward.join(rows.select("timestep", "id", F.when(p > o.division_threshold, 2).otherwise(o.neighbours).alias("k")), ["timestep", "id"])
         k = F.col("k")
-    found = nearest(forward, k).select(F.col("timestep").alias("src_t"), F.col("id").alias("src"), F.col("other_timestep").alias("dst_t"), F.col("other").alias("dst"), "d2")
+    ahead = F.row_number().over(Window.partitionBy("timestep", "id").orderBy("d2", "other")) <= k
     if o.forward_backward:
-        back = nearest(in_range(rows, rows, o.radius, -1, reverse=True), o.neighbours)
-        back = back.select(F.col("other_timestep").alias("src_t"), F.col("other").alias("src"), F.col("timestep").alias("dst_t"), F.col("id").alias("dst"), "d2")
-        found = found.unionByName(back).dropDuplicates(["src_t", "src", "dst_t", "dst"])
+        behind = F.row_number().over(Window.partitionBy("other_timestep", "other").orderBy("d2", "id")) <= o.neighbours
+        chosen = forward.withColumns({"_ahead": ahead, "_behind": behind}).where("_ahead OR _behind")
+    else:
+        chosen = forward.withColumn("_ahead", ahead).where("_ahead")
+    found = chosen.select(F.col("timestep").alias("src_t"), F.col("id").alias("src"), F.col("other_timestep").alias("dst_t"), F.col("other").alias("dst"), "d2")
     return found.withColumn("distance", F.sqrt("d2")).drop("d2")
 
 

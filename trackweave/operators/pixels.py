@@ -30,3 +30,17 @@ def update(rows: DataFrame, pixels: DataFrame, offsets: list[int], id_: int) ->
     shift = F.array(*map(F.lit, offsets))
     new = pixels.select(F.zip_with("pixel", shift, lambda a, b: (a - b).cast("int")).alias("pos")).distinct().withColumn("new", F.lit(id_).cast("long"))
     return rows.join(new, "pos", "left").select("image", "pos", F.coalesce("new", "label").alias("label"))
+
+
+def extract_one(rows: DataFrame, image: int, offsets: list[int], timestep: int, id_: int, count: int) -> DataFrame:
+    """(timestep, id, pixel) of one object of an image, given its frame, id and number of pixels."""
+    one = rows.sparkSession.createDataFrame([(image, timestep, id_, count)], "image long, timestep int, id long, count long")
+    return extract(rows, one, offsets)
+
+
+def update_one(rows: DataFrame, coordinates: DataFrame, offsets: list[int], timestep: int, id_: int) -> DataFrame:
+    """Write an object's id at its pixels in coordinates(timestep, id, pixel); an unknown object is an error."""
+    mine = coordinates.where((F.col("timestep") == timestep) & (F.col("id") == id_))
+    if mine.isEmpty():
+        raise KeyError(f"no object {id_} in frame {timestep}")
+    return update(rows, mine.select("pixel"), offsets, id_)

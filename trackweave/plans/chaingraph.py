@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.operators.graph import cut_lineage
-from trackweave.plans.solver import INFINITY, Problem, add_running_sum, solve
+from trackweave.plans.solver import INFINITY, Problem, add_running_sum, calls, solve
 
 
 def outgoing_table(move: list[float], division: dict[tuple[int, int], float], dis: float, opp: float, forbidden: float, divisions: bool) -> np.ndarray:
@@ -106,7 +106,7 @@ def infer(nodes: DataFrame, arcs: DataFrame, pairs: DataFrame, options: Any) ->
 
     ends = arcs.select(F.col("src").alias("node")).union(arcs.select("dst")).distinct().withColumn("tied", F.lit(True))
     placed = nodes.join(ends, "node", "left")
-    buckets = 4 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    buckets = calls(nodes)
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).alias("bucket")
     linked = placed.where("tied").drop("tied")
     solved = linked.groupBy(bucket("component")).cogroup(both.withColumnRenamed("component", "part").groupBy(bucket("part"))).applyInPandas(run, RESULT)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.operators.graph import cut_lineage
-from trackweave.plans.solver import INFINITY, Problem, add_running_flags, add_running_sum, solve
+from trackweave.plans.solver import INFINITY, Problem, add_running_flags, add_running_sum, calls, solve
 
 FORBIDDEN = 0.0 + INFINITY
 
@@ -205,7 +205,7 @@ def infer(nodes: DataFrame, arcs: DataFrame, model: ConservationModel) -> tuple[
     linked = nodes.where(~F.col("alone"))
     flows = arcs.withColumnRenamed("component", "part")
     # many components go to one call, which is where most of the time of small ones would go
-    buckets = 4 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    buckets = calls(nodes)
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).alias("bucket")
     solved = linked.groupBy(bucket("component")).cogroup(flows.groupBy(bucket("part"))).applyInPandas(run, RESULT)
     solved = cut_lineage(solved, "solved")  # both results read it

@@ -13,8 +13,17 @@ import time
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.sql import DataFrame
 
 INFINITY = 1e300
+#: Nodes in one solver call, components kept whole.
+CALL_NODES = 20_000
+
+
+def calls(nodes: DataFrame) -> int:
+    """Into how many calls a table of nodes is cut: some for each task, more if they are large."""
+    each = 4 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(each, nodes.count() // CALL_NODES + 1)
 
 
 @dataclass

@@ -21,23 +21,36 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def write_lgf(nodes: DataFrame, arcs: DataFrame, path: str) -> None:
-    """One text file with a section of nodes(node, timestep) and one of arcs(src, dst), streamed in order."""
-    store, place = fs.FileSystem.from_uri(path)
-    with store.open_output_stream(place) as f:
-        f.write(b"@nodes\nlabel\ttimestep\t\n")
-        for r in nodes.select("node", "timestep").orderBy("node").toLocalIterator():
-            f.write(f"{r.node}\t{r.timestep}\t\n".encode())
-        f.write(b"@arcs\n\t\tlabel\t\n")
-        for k, r in enumerate(arcs.select("src", "dst").orderBy("src", "dst").toLocalIterator()):
-            f.write(f"{r.src}\t{r.dst}\t{k}\t\n".encode())
-
-
-def read_lgf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes(node, timestep), arcs(src, dst)) of a file that :func:`write_lgf` made."""
-    text = spark.read.text(path, wholetext=True).select(F.split("value", "@arcs\n").alias("half"))
-    rows = lambda k: text.select(F.explode(F.split(F.get("half", F.lit(k)), "\n")).alias("line")).select(F.split("line", "\t").alias("c")).where(F.rlike(F.get("c", F.lit(0)), F.lit("^-?[0-9]+$")))
-    two = lambda d, a, b, kind: d.select(F.get("c", F.lit(0)).cast("long").alias(a), F.get("c", F.lit(1)).cast(kind).alias(b))
-    return two(rows(0), "node", "timestep", "int"), two(rows(1), "src", "dst", "long")
+    """Text files that make one file in the graph format if put one after the other.
+
+    A section of nodes(node, timestep[, traxel]) and one of arcs(src, dst) with the
+    frames of both ends. Written in parallel; arc labels are distinct and rise.
+    """
+    held = ["traxel"] if "traxel" in nodes.columns else []
+    line = lambda *cells: F.concat(F.array_join(F.array(*[F.coalesce(c.cast("string"), F.lit("")) for c in cells]), "\t"), F.lit("\t"))
+    frame = lambda end: nodes.select(F.col("node").alias(end), F.col("timestep").alias(f"{end}_t"))
+    placed = arcs.select("src", "dst").join(frame("src"), "src", "left").join(frame("dst"), "dst", "left")
+    zero = F.lit(0).cast("long")
+    heads = nodes.sparkSession.createDataFrame([(0, "@nodes"), (1, "\t".join(["label", "timestep", *held, ""])), (3, "@arcs"), (4, "\t\tlabel\tfrom_timestep\tto_timestep\t")], "part int, line string")
+    rows = nodes.select(F.lit(2).alias("part"), F.col("node").cast("long").alias("a"), zero.alias("b"), line(F.col("node"), F.col("timestep"), *map(F.col, held)).alias("line"))
+    label = F.monotonically_increasing_id()
+    links = placed.select("src", "dst", line(F.col("src"), F.col("dst"), label, F.col("src_t"), F.col("dst_t")).alias("line"))
+    rows = rows.unionByName(links.select(F.lit(5).alias("part"), F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("b"), "line"))
+    rows = rows.unionByName(heads.select("part", zero.alias("a"), zero.alias("b"), "line"))
+    rows.orderBy("part", "a", "b").select("line").write.mode("overwrite").text(path)
+
+
+def read_lgf(spark: SparkSession, path: str, traxels: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(nodes(node, timestep[, traxel]), arcs(src, dst)) of a file or a folder in that format.
+
+    Every line tells by its number of cells what it is, so files of any size are read in
+    parallel.
+    """
+    cells = spark.read.text(path).select(F.split("value", "\t").alias("c")).where(F.rlike(F.get("c", F.lit(0)), F.lit("^-?[0-9]+$")))
+    cell = lambda k, kind, name: F.get("c", F.lit(k)).cast(kind).alias(name)
+    more = [cell(2, "long", "traxel")] if traxels else []
+    nodes = cells.where(F.size("c") <= 4).select(cell(0, "long", "node"), cell(1, "int", "timestep"), *more)
+    return nodes, cells.where(F.size("c") > 4).select(cell(0, "long", "src"), cell(1, "long", "dst"))
 
 
 class TextDetections(DataSource):

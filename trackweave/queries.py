@@ -765,15 +765,79 @@ def resolve_mergers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mergers.resolve(rows.select("timestep", "id", "x", "y", "z"), links, parts)
 
 
-@register("merger_centres")
+#: Rounds that the SQL of clusters spells out; assignments settle long before.
+SETTLED = 20
+
+
+def clusters_sql(k: int) -> str:
+    """CTEs that end in ``km{k}`` (g, j, x, y, z): the sorted centres of k clusters of pt(g, i, x, y, z), numbered from 0."""
+    far = lambda p, c: f"({p}.x - {c}.x) * ({p}.x - {c}.x) + ({p}.y - {c}.y) * ({p}.y - {c}.y) + ({p}.z - {c}.z) * ({p}.z - {c}.z)"
+    parts = [f"s{k}_1 AS (SELECT g, 0 AS j, x, y, z FROM pt WHERE i = 0)"]
+    for n in range(1, k):
+        pick = f"SELECT p.g, p.i, min({far('p', 'c')}) AS gap FROM pt p JOIN s{k}_{n} c USING (g) GROUP BY ALL"
+        parts.append(f"s{k}_{n + 1} AS (SELECT * FROM s{k}_{n} UNION ALL SELECT g, {n}, x, y, z FROM (SELECT g, i FROM ({pick}) QUALIFY row_number() OVER (PARTITION BY g ORDER BY gap DESC, i) = 1) JOIN pt USING (g, i))")
+    parts.append(f"c{k}_0 AS MATERIALIZED (SELECT * FROM s{k}_{k})")
+    for n in range(SETTLED):
+        near = f"SELECT p.g, p.i, p.x, p.y, p.z, c.j FROM pt p JOIN c{k}_{n} c USING (g) QUALIFY row_number() OVER (PARTITION BY p.g, p.i ORDER BY {far('p', 'c')}, c.j) = 1"
+        mean = f"SELECT g, j, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM ({near}) GROUP BY g, j"
+        parts.append(f"c{k}_{n + 1} AS MATERIALIZED (SELECT g, j, coalesce(m.x, c.x) AS x, coalesce(m.y, c.y) AS y, coalesce(m.z, c.z) AS z FROM c{k}_{n} c LEFT JOIN ({mean}) m USING (g, j))")
+    parts.append(f"km{k} AS MATERIALIZED (SELECT g, row_number() OVER (PARTITION BY g ORDER BY x, y, z) - 1 AS j, x, y, z FROM c{k}_{SETTLED})")
+    return ",\n".join(parts)
+
+
+def mixture_sql(k: int, rounds: int = 30, tolerance: float = 1e-6) -> str:
+    """CTEs that end in ``mix{k}`` (g, j, x, y, z, score, ended): a mixture of pt(g, i, x, y, z) that starts at km{k}."""
+    pairs = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
+    cov = ", ".join(f"{'covar_pop'}({a}, {b}) * count(*) / greatest(count(*) - 1, 1) + {mergers.COVARIANCE_FLOOR if a == b else 0.0!r} AS {a}{b}" for a, b in pairs)
+    names = ", ".join(a + b for a, b in pairs)
+    parts = [f"spread{k} AS (SELECT g, count(*) AS n, {cov} FROM pt GROUP BY g)", f"m{k}_0 AS MATERIALIZED (SELECT g, j, x, y, z, n, 1.0 / {k} AS w, {names}, NULL::DOUBLE AS score, FALSE AS done, 0 AS labels FROM km{k} JOIN spread{k} USING (g))"]
+    det = "(xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz))"
+    quad = "((yy * zz - yz * yz) * a * a + (xx * zz - xz * xz) * b * b + (xx * yy - xy * xy) * c * c + 2 * (xz * yz - xy * zz) * a * b + 2 * (xy * yz - xz * yy) * a * c + 2 * (xy * xz - xx * yz) * b * c)"
+    for r in range(rounds):
+        old, new = f"m{k}_{r}", f"m{k}_{r + 1}"
+        off = f"SELECT p.g, p.i, m.j, m.w, {names}, p.x AS px, p.y AS py, p.z AS pz, p.x - m.x AS a, p.y - m.y AS b, p.z - m.z AS c FROM pt p JOIN {old} m USING (g) WHERE NOT done"
+        parts.append(f"l{k}_{r} AS (SELECT g, i, j, px, py, pz, ln(w) - 0.5 * (3 * ln(2 * pi()) + ln({det}) + {quad} / {det}) AS l FROM ({off}))")
+        parts.append(f"e{k}_{r} AS MATERIALIZED (SELECT *, top + ln(sum(exp(l - top)) OVER (PARTITION BY g, i)) AS each FROM (SELECT *, max(l) OVER (PARTITION BY g, i) AS top FROM l{k}_{r}))")
+        parts.append(f"t{k}_{r} AS (SELECT g, sum(each) FILTER (j = 0) AS score FROM e{k}_{r} GROUP BY g)")
+        parts.append(f"b{k}_{r} AS (SELECT g, count(DISTINCT j) AS labels FROM (SELECT g, j FROM e{k}_{r} QUALIFY row_number() OVER (PARTITION BY g, i ORDER BY l DESC, j) = 1) GROUP BY g)")
+        parts.append(f"u{k}_{r} AS (SELECT g, j, sum(exp(l - each)) + 1e-300 AS tot, sum(exp(l - each) * px) / (sum(exp(l - each)) + 1e-300) AS x, sum(exp(l - each) * py) / (sum(exp(l - each)) + 1e-300) AS y, sum(exp(l - each) * pz) / (sum(exp(l - each)) + 1e-300) AS z FROM e{k}_{r} GROUP BY g, j)")
+        again = ", ".join(f"sum(exp(l - each) * (p{a} - u.{a}) * (p{b} - u.{b})) / any_value(tot) + {mergers.COVARIANCE_FLOOR if a == b else 0.0!r} AS {a}{b}" for a, b in pairs)
+        parts.append(f"v{k}_{r} AS (SELECT g, j, {again} FROM e{k}_{r} JOIN u{k}_{r} u USING (g, j) GROUP BY g, j)")
+        values = ", ".join(f"CASE WHEN o.done THEN o.{c} ELSE {t}.{c} END AS {c}" for c, t in [*[(c, "u") for c in "xyz"], *[(a + b, "v") for a, b in pairs]])
+        parts.append(f"{new} AS MATERIALIZED (SELECT g, j, {values}, o.n, CASE WHEN o.done THEN o.w ELSE tot / o.n END AS w, CASE WHEN o.done THEN o.score ELSE t.score END AS score, o.done OR coalesce(abs(t.score - o.score) < {tolerance!r} * abs(t.score), FALSE) AS done, coalesce(bb.labels, o.labels) AS labels FROM {old} o LEFT JOIN u{k}_{r} u USING (g, j) LEFT JOIN v{k}_{r} v USING (g, j) LEFT JOIN t{k}_{r} t USING (g) LEFT JOIN b{k}_{r} bb USING (g))")
+    parts.append(f"mix{k} AS (SELECT g, j, x, y, z, n, score, labels FROM m{k}_{rounds})")
+    return ",\n".join(parts)
+
+
+CENTRES = "SELECT (g // 5)::INT AS timestep, g % 5 AS id, j::INT AS k, [round(x, 4), round(y, 4), round(z, 4)] AS centre"
+TENS = f"{EMB}, pt AS MATERIALIZED (SELECT timestep * 5 + id % 5 AS g, row_number() OVER (PARTITION BY timestep, id % 5 ORDER BY x, y, z) - 1 AS i, x, y, z FROM emb)"
+
+
+def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emb(spark, sf_dir).select("timestep", (F.col("id") % 5).alias("id"), F.lit(2).alias("n_objects"), F.array("x", "y", "z").alias("pixel"))
+
+
+def _centres(found: DataFrame) -> DataFrame:
+    return found.withColumn("centre", F.transform("centre", lambda v: F.round(v, 4)))
+
+
+@register("merger_clusters", f"WITH {TENS}, {clusters_sql(2)} {CENTRES} FROM km2")
+def merger_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _centres(mergers.centres(_pixels(spark, sf_dir), method="kmeans"))
+
+
+@register("merger_centres", f"WITH {TENS}, {clusters_sql(2)}, {mixture_sql(2)} {CENTRES} FROM (SELECT g, j, x, y, z FROM mix2 WHERE labels = 2 UNION ALL SELECT g, km2.j, km2.x, km2.y, km2.z FROM km2 WHERE g IN (SELECT g FROM mix2 WHERE labels < 2))")
 def merger_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = emb(spark, sf_dir).select("timestep", (F.col("id") % 5).alias("id"), F.lit(2).alias("n_objects"), F.array("x", "y", "z").alias("pixel"))
-    return mergers.centres(points)
+    return _centres(mergers.centres(_pixels(spark, sf_dir)))
 
 
-@register("gmm_bic")
+FIFTIES = f"{EMB}, pt AS MATERIALIZED (SELECT timestep AS g, row_number() OVER (PARTITION BY timestep ORDER BY x, y, z) - 1 AS i, x, y, z FROM emb)"
+
+
+@register("gmm_bic", f"WITH {FIFTIES}, {', '.join(f'{clusters_sql(k)}, {mixture_sql(k)}' for k in (1, 2, 3))} " + " UNION ALL ".join(f'SELECT g::BIGINT AS "group", {k} AS k, round(any_value(score) / any_value(n) - 0.5 * {k}, 4) AS bic, flatten(list([round(x, 3), round(y, 3), round(z, 3)] ORDER BY j)) AS centres FROM mix{k} GROUP BY g' for k in (1, 2, 3)))
 def gmm_bic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mergers.priors_and_centres(emb(spark, sf_dir).select(F.col("timestep").cast("long").alias("group"), F.array("x", "y", "z").alias("pixel")), 3, 0.5)
+    found = mergers.priors_and_centres(emb(spark, sf_dir).select(F.col("timestep").cast("long").alias("group"), F.array("x", "y", "z").alias("pixel")), 3, 0.5)
+    return found.select("group", "k", F.round("bic", 4).alias("bic"), F.transform("centres", lambda v: F.round(v, 3)).alias("centres"))
 
 
 @register("rf_cellness")

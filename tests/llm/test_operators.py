@@ -725,3 +725,31 @@ def test_a_bad_branch_taints_its_rare_templates(spark):
     labels = spark.createDataFrame([(k, bool(k % 2)) for k in range(400)], "page_id long, good boolean")
     out = {x.page_id: x.verdict for x in urls.judge_urls(pages, labels).collect()}
     assert out[400] == "block" and out[401] == "allow"
+
+
+# 1 mixing: a budget, and rows without ids
+
+
+def test_mixing_to_a_budget(spark):
+    rows = [(k, "w " * (1 + k % 5), "big" if k % 4 else f"s{k % 8}") for k in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    tokens = Counter()
+    for _, text, source in rows:
+        tokens[source] += len(text.split())
+    for budget in (300, 5000):
+        out = mixing.mix(docs, mixing.Mixing(budget=budget, block_tokens=40)).collect()
+        used, weight = Counter(), {}
+        for r in out:
+            used[r.source] += r.n_tokens
+            weight[r.source] = r.weight
+        assert set(used) == set(tokens)
+        # each source meets its share of the budget to less than one document
+        assert all(weight[s] * budget - 5 <= used[s] <= weight[s] * budget + 1 for s in tokens)
+        passes = Counter((r.doc_id, r.epoch) for r in out)
+        assert max(passes.values()) == 1
+
+
+def test_rows_without_ids_fill_many_blocks(spark):
+    docs = spark.createDataFrame([(None, f"text number {k}", "s") for k in range(200)], "doc_id long, text string, source string")
+    out = mixing.mix(docs, mixing.Mixing(block_tokens=30), carry=("text",)).collect()
+    assert len(out) == 200 and len({r.text for r in out}) == 200 and len({r.block for r in out}) > 10

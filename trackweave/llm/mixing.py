@@ -31,6 +31,7 @@ from trackweave.llm.graphs import salted_join
 class Mixing:
     repeats: float = 2.0
     entropy: float | None = None  # share of ln(number of sources); if set, it is the target
+    budget: int | None = None  # tokens of the whole mix; else as few as use every document once
     block_tokens: int = 50_000
     most_blocks: int = 65_536
     grid: int = 16
@@ -77,7 +78,10 @@ def mix(docs: DataFrame, model: Mixing | None = None, carry: tuple[str, ...] = (
     """
     model = model or Mixing()
     name = F.coalesce("source", F.lit(""))
-    meta = docs.select("doc_id", name.alias("source"), F.size(words(F.col("text"))).cast("long").alias("n_tokens"), *carry)
+    # rows without doc_id are dealt by their text
+    lost = F.when(F.col("doc_id").isNull(), F.concat(F.lit("null|"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.col("lost"))
+    meta = docs.select("doc_id", name.alias("source"), F.size(words(F.col("text"))).cast("long").alias("n_tokens"), lost.alias("lost"), *carry)
     meta = materialize(meta, "mixing")
     counted = meta.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     total = counted.agg(F.sum("tokens")).first()[0] or 0
@@ -91,8 +95,8 @@ def mix(docs: DataFrame, model: Mixing | None = None, carry: tuple[str, ...] = (
         "source",
         "tokens",
         F.round(F.col("power") / norm, 9).alias("weight"),
-        # the source used least, by its tokens, is used once
-        F.when(F.col("tokens") > 0, F.round(F.col("power") / F.lit(least)).cast("long")).otherwise(0).alias("budget"),
+        # without a budget, the source used least, by its tokens, is used once
+        F.when(F.col("tokens") > 0, F.round(F.col("power") * F.lit(model.budget / norm) if model.budget else F.col("power") / F.lit(least)).cast("long")).otherwise(0).alias("budget"),
         F.greatest(F.lit(1), F.least(F.lit(model.most_blocks), F.ceil(F.col("tokens") / model.block_tokens))).cast("long").alias("blocks"),
     ).select(
         "*",
@@ -101,7 +105,7 @@ def mix(docs: DataFrame, model: Mixing | None = None, carry: tuple[str, ...] = (
     sources = sources.withColumn("rest", F.greatest(F.col("budget") - F.col("full") * F.col("tokens"), F.lit(0)))
     seed = F.lit(model.seed)
     dealt = salted_join(meta, sources.select("source", "blocks"), "source")
-    dealt = dealt.withColumn("block", F.pmod(_number(_hash(seed, F.col("doc_id").cast("string"))), F.col("blocks"))).drop("blocks")
+    dealt = dealt.withColumn("block", F.pmod(_number(_hash(seed, key)), F.col("blocks"))).drop("blocks")
     blocks = dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens"))
     passes = blocks.join(sources, "source").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full"))).alias("epoch"))
     passes = passes.where((F.col("epoch") < F.col("full")) | (F.col("rest") > 0))
@@ -114,17 +118,17 @@ def mix(docs: DataFrame, model: Mixing | None = None, carry: tuple[str, ...] = (
     last = F.col("epoch") == F.col("full")
     begin = F.col("until") - F.col("block_tokens")
     fits = ~last | (F.col("until") <= F.col("rest"))
-    key = F.round((F.col("epoch") + F.col("block_rank") / F.col("blocks")) / F.greatest(F.lit(1.0), F.col("budget") / F.greatest("tokens", F.lit(1))), 9)
+    rank_key = F.round((F.col("epoch") + F.col("block_rank") / F.col("blocks")) / F.greatest(F.lit(1.0), F.col("budget") / F.greatest("tokens", F.lit(1))), 9)
     plan = ranked.where(fits | (begin < F.col("rest"))).select(
         "source",
         "block",
-        F.struct("epoch", "block_rank", "weight", key.alias("order_key"), F.when(~fits, F.col("rest") - begin).alias("room")).alias("use"),
+        F.struct("epoch", "block_rank", "weight", rank_key.alias("order_key"), F.when(~fits, F.col("rest") - begin).alias("room")).alias("use"),
     )
     plan = plan.groupBy("source", "block").agg(F.sort_array(F.collect_list("use")).alias("uses"))  # at most repeats + 1 in each
-    used = salted_join(dealt, plan, ["source", "block"]).select("doc_id", "source", "n_tokens", *carry, "block", F.explode("uses").alias("use"))
-    used = used.select("doc_id", "source", "n_tokens", *carry, "block", "use.*")
+    used = salted_join(dealt, plan, ["source", "block"]).select("doc_id", "lost", "source", "n_tokens", *carry, "block", F.explode("uses").alias("use"))
+    used = used.select("doc_id", "lost", "source", "n_tokens", *carry, "block", "use.*")
     # the one block of each source in which its budget ends
-    by_doc = Window.partitionBy("source", "block").orderBy(_hash(seed, F.col("doc_id").cast("string"), F.lit("last")), "doc_id", "n_tokens", *carry)
+    by_doc = Window.partitionBy("source", "block").orderBy(_hash(seed, key, F.lit("last")), "doc_id", "n_tokens", *carry)
     partial = used.where("room IS NOT NULL").withColumn("upto", F.sum("n_tokens").over(by_doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     columns = ["doc_id", "source", "n_tokens", "weight", "epoch", "block", "block_rank", "order_key", *carry]
     return used.where("room IS NULL").select(*columns).unionByName(partial.where("upto <= room").select(*columns))
@@ -135,7 +139,7 @@ def oracle(model: Mixing | None = None) -> str:
     model = model or Mixing()
     n = model.grid
     steps = [f"""
-WITH m AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS n_tokens FROM documents),
+WITH m AS MATERIALIZED (SELECT doc_id, coalesce(doc_id::VARCHAR, 'null|' || md5(coalesce(text, ''))) AS key, coalesce(source, '') AS source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS n_tokens FROM documents),
 c AS MATERIALIZED (SELECT source, sum(n_tokens)::BIGINT AS tokens, (SELECT sum(n_tokens) FROM m)::BIGINT AS total FROM m GROUP BY 1),
 r0 AS (SELECT 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi)"""]
     for i in range(model.rounds):
@@ -152,7 +156,7 @@ s AS (SELECT source, tokens, round(power / s, 9) AS weight, CASE WHEN tokens > 0
   greatest(1, least({model.most_blocks}, ceil(tokens / {model.block_tokens})))::BIGINT AS blocks FROM p, z),
 t AS (SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END AS epochs FROM s),
 u AS (SELECT *, greatest(budget - epochs * tokens, 0) AS rest FROM t),
-d AS (SELECT m.*, ('0x' || substr(md5('{model.seed}|' || doc_id), 1, 12))::BIGINT % blocks AS block FROM m JOIN u USING (source)),
+d AS (SELECT m.*, ('0x' || substr(md5('{model.seed}|' || key), 1, 12))::BIGINT % blocks AS block FROM m JOIN u USING (source)),
 b AS (SELECT source, block, sum(n_tokens)::BIGINT AS block_tokens FROM d GROUP BY ALL),
 e AS (SELECT * FROM (SELECT b.*, u.* EXCLUDE (source), unnest(range(0, epochs + 1)) AS epoch FROM b JOIN u USING (source)) WHERE epoch < epochs OR rest > 0),
 k AS (SELECT *, row_number() OVER w - 1 AS block_rank, sum(block_tokens) OVER (w ROWS UNBOUNDED PRECEDING) AS until FROM e
@@ -160,7 +164,7 @@ k AS (SELECT *, row_number() OVER w - 1 AS block_rank, sum(block_tokens) OVER (w
 q AS (SELECT *, round((epoch + block_rank / blocks) / greatest(1.0, budget / greatest(tokens, 1)), 9) AS order_key,
   CASE WHEN epoch = epochs AND until > rest THEN rest - (until - block_tokens) END AS room FROM k),
 f AS (SELECT d.doc_id, d.source, d.n_tokens, weight, epoch, d.block, block_rank, order_key, room,
-  sum(d.n_tokens) OVER (PARTITION BY d.source, d.block, epoch ORDER BY md5('{model.seed}|' || doc_id || '|last'), doc_id, d.n_tokens ROWS UNBOUNDED PRECEDING) AS upto
+  sum(d.n_tokens) OVER (PARTITION BY d.source, d.block, epoch ORDER BY md5('{model.seed}|' || key || '|last'), doc_id, d.n_tokens ROWS UNBOUNDED PRECEDING) AS upto
   FROM d JOIN q ON q.source = d.source AND q.block = d.block WHERE room IS NULL OR room > 0)
 SELECT doc_id, source, n_tokens, weight, epoch, block, block_rank, order_key FROM f WHERE room IS NULL OR upto <= room"""
     )

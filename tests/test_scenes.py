@@ -11,7 +11,7 @@ from trackweave.functions import energies as en
 from trackweave.functions.geometry import FieldOfView
 from trackweave.operators import candidates, detections, events, graph, loglinear, mergers, pixels
 from trackweave.operators.hypotheses import HypothesesGraph
-from trackweave.plans import factors
+from trackweave.plans import factors, learning
 from trackweave.plans.trackers import ChaingraphTracker, ConservationTracker
 from trackweave.sources import graphs, stores
 
@@ -434,3 +434,37 @@ def test_pixels_of_one_object_in_three_dimensions(spark):
     assert out == {(i, j, k): 9 if labels[i][j][k] == 1 else labels[i][j][k] for i in (0, 1) for j in (0, 1) for k in (0, 1)}
     with pytest.raises(KeyError):
         pixels.update_one(rows, moved, [0, 0, 0], 4, 8)
+
+
+# learning
+
+
+def test_smallest_weights():
+    # one constraint 2 w >= 4, and a cheaper way out if violation costs little
+    assert learning.smallest_weights(np.array([[2.0]]), np.array([4.0]), 100.0).tolist() == pytest.approx([2.0])
+    assert learning.smallest_weights(np.array([[2.0]]), np.array([4.0]), 0.5).tolist() == pytest.approx([1.0])
+    two = learning.smallest_weights(np.array([[1.0, 0.0], [0.0, 1.0]]), np.array([3.0, 5.0]), 100.0)
+    assert two.tolist() == pytest.approx([3.0, 5.0])
+
+
+def test_learned_weights_give_the_true_labelling(spark):
+    rows = [(t, 10 * t + k, 5.0 * k + 0.3 * t, 0.0, 0.0) for t in range(3) for k in range(3)]
+    det = spark.createDataFrame([*rows, (1, 99, 2.5, 0.0, 0.0)], "timestep int, id long, x double, y double, z double")
+    tracker = ChaingraphTracker(appearance=1, disappearance=1, detection=1, misdetection=1, opportunity=1, neighbours=2, radius=4.0, mean_division_distance=1.0)
+    nodes, arcs = (graph.cut_lineage(x, "built") for x in tracker.build_graph(det))
+    true_active = nodes.where("id <> 99").select("node")
+    true_used = arcs.where("dst = src + 10").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    assert true_used.count() == 6 and arcs.count() > 6
+    weights, rounds = learning.train(tracker, nodes, arcs, true_active, true_used)
+    assert 1 <= rounds < 30
+    plain = tracker.energies(nodes, arcs)
+    of = graph.components(nodes.select("node"), plain[1])
+    w = np.array([weights[n] for n in loglinear.WEIGHTS])
+    active, used = learning.infer(learning.weighted(*plain, w), of, tracker)
+    assert learning.hamming(active, used, true_active, true_used) == 0
+    # features agree with those of the explicit tables
+    _, entries = tracker.explicit_tables(nodes, arcs)
+    on, go = {r.node for r in true_active.collect()}, {(r.src, r.dst) for r in true_used.collect()}
+    labels = [(f"n{r.node}", int(r.node in on)) for r in nodes.collect()] + [(f"a{r.a}-{r.b}", int((r.a, r.b) in go)) for r in arcs.collect()]
+    sums = {r.weight: r.total for r in factors.feature_sums(entries, spark.createDataFrame(labels, "var string, state int")).collect()}
+    assert learning.features(*plain, true_active, true_used).tolist() == pytest.approx([sums[n] for n in loglinear.WEIGHTS])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trackweave.functions import energies as en
 from trackweave.functions.geometry import FieldOfView
-from trackweave.operators import candidates, detections, events, graph, loglinear, mergers, pixels
+from trackweave.operators import candidates, classifier, detections, events, graph, loglinear, mergers, pixels
 from trackweave.operators.hypotheses import HypothesesGraph
 from trackweave.plans import factors, learning
 from trackweave.plans.trackers import ChaingraphTracker, ConservationTracker
@@ -468,3 +468,16 @@ def test_learned_weights_give_the_true_labelling(spark):
     labels = [(f"n{r.node}", int(r.node in on)) for r in nodes.collect()] + [(f"a{r.a}-{r.b}", int((r.a, r.b) in go)) for r in arcs.collect()]
     sums = {r.weight: r.total for r in factors.feature_sums(entries, spark.createDataFrame(labels, "var string, state int")).collect()}
     assert learning.features(*plain, true_active, true_used).tolist() == pytest.approx([sums[n] for n in loglinear.WEIGHTS])
+
+
+def test_weights_and_features_by_hand(spark):
+    weights = loglinear.weight_table(spark, [2.0, 3.0], ["a", "b"])
+    features = loglinear.with_feature(spark.createDataFrame([("a", "x", 0, 1.0)], "weight string, variable string, label int, value double"), weights, "b", "x", 0, 5.0)
+    sums = loglinear.weighted_sums(features, spark.createDataFrame([("x", 0)], "variable string, label int"))
+    assert loglinear.energy(sums, weights).first()[0] == 2 * 1 + 3 * 5
+    with pytest.raises(ValueError, match="no weight c"):
+        loglinear.with_feature(features, weights, "c", "x", 0, 1.0)
+    with pytest.raises(ValueError, match="6 weights"):
+        loglinear.weight_table(spark, [1.0])
+    rows = spark.sql("SELECT map('cellness', array(0.7f)) AS features UNION ALL SELECT map('cellness', array(0.2f))")
+    assert classifier.count_above(rows) == 1

@@ -27,3 +27,8 @@ def predict(rows: DataFrame, model: RandomForestClassificationModel, names: list
     p = F.array(F.get(vector_to_array("probability"), F.lit(cls)).cast("float"))
     rest = F.map_filter("features", lambda k, _: k != output)
     return scored.withColumn("features", F.map_concat(rest, F.create_map(F.lit(output), p))).select(*rows.columns)
+
+
+def count_above(rows: DataFrame, least: float = 0.5, name: str = "cellness") -> int:
+    """How many rows have a predicted probability of at least ``least``."""
+    return rows.where(F.get(F.col("features").getItem(name), F.lit(0)) >= least).count()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Weight ids of the trainable chaingraph model, in order.
@@ -19,6 +19,21 @@ def hamming(label: Column, truth: Column) -> Column:
     return F.when(label == truth, 0.0).otherwise(-1.0)
 
 
+def weight_table(spark: SparkSession, values: list[float], names: list[str] | None = None) -> DataFrame:
+    """weights(weight, w) of a value for each name; another number of values is an error."""
+    names = WEIGHTS if names is None else names
+    if len(values) != len(names):
+        raise ValueError(f"{len(names)} weights, but {len(values)} values")
+    return spark.createDataFrame(list(zip(names, map(float, values), strict=True)), "weight string, w double")
+
+
+def with_feature(features: DataFrame, weights: DataFrame, weight: str, variable: str, label: int, value: float) -> DataFrame:
+    """Features with one more, of a weight that is there."""
+    if weights.where(F.col("weight") == weight).isEmpty():
+        raise ValueError(f"no weight {weight}")
+    return features.unionByName(features.sparkSession.createDataFrame([(weight, variable, label, float(value))], "weight string, variable string, label int, value double"))
+
+
 def weighted_sums(features: DataFrame, labels: DataFrame) -> DataFrame:
     """(weight, total) of features(weight, variable, label, value) at labels(variable, label)."""
     hit = features.join(labels, ["variable", "label"], "left_semi")

@@ -319,7 +319,8 @@ def _visits(sets: DataFrame, roots: DataFrame | None, model: JaccardJoin) -> tup
     A list that holds classes of several components is open. Each class is asked at one
     place, its home: the longest of its open lists. It asks at the homes of all larger
     components' classes that share an open list with it, once at each, so a pair never
-    becomes a row. Of two sizes x and y that link at least ``least`` shingles are shared,
+    becomes a row. Homes are longer than the list they are met in, so a list knows at most
+    as many as the root of the number of postings. Of two sizes x and y that link at least ``least`` shingles are shared,
     so one of them is among the first x - least + 1 of the one, in the order of frequency.
     """
     percent = model.percent

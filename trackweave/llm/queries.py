@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.llm import bpe, jaccard, langid, licenses, media, mixing, quality, sharding, suffixes, urls
+from trackweave.llm import audit, bpe, decontaminate, divergence, jaccard, langid, licenses, media, mixing, quality, sharding, suffixes, urls
 from trackweave.llm.common import scratch_path, table
 
 SHARDS = sharding.regular_tree(40)
@@ -76,6 +76,21 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_tree(table(spark, sf_dir, "documents"), SHARDS, sharding.grow(SHARDS))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = decontaminate.hit_words()
+    names = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
+    return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), names.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
@@ -87,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_sharding": op9_sharding,
     "op10_langid": op10_langid,
+    "op11_audit": op11_audit,
+    "op12_divergence": op12_divergence,
+    "op13_decontamination": op13_decontamination,
 }
 
 ORACLES: dict[str, str] = {
@@ -95,4 +113,7 @@ ORACLES: dict[str, str] = {
     "op3_licenses": licenses.oracle(),
     "op7_urls": urls.oracle(),
     "op9_sharding": sharding.oracle(SHARDS, sharding.grow(SHARDS)),
+    "op11_audit": audit.oracle(),
+    "op12_divergence": divergence.oracle(),
+    "op13_decontamination": decontaminate.oracle(),
 }

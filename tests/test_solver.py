@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,8 @@ from trackweave.operators.mergers import bic, kmeans, mixture
 from trackweave.plans.chaingraph import incoming_table, outgoing_table
 from trackweave.plans.chaingraph import solve_component as solve_chain
 from trackweave.plans.conservation import ConservationModel, solve_component
-from trackweave.plans.solver import Problem, eliminate, solve
+from trackweave.plans.relaxation import Relaxation
+from trackweave.plans.solver import INFINITY, Problem, eliminate, solve
 from trackweave.plans.trackers import ChaingraphTracker
 
 
@@ -86,6 +88,73 @@ def test_chaingraph_matches_enumeration(seed):
     assert cost == pytest.approx(best) and gap == 0
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_relaxation_and_branching_match_enumeration(seed):
+    """With tables of a few entries at most, only the relaxation and its branches can prove the optimum."""
+    r = random.Random(seed)
+    m, n = r.choice([1, 2]), 5
+    nodes = pd.DataFrame([dict(node=k, e=[r.uniform(0, 5) for _ in range(m + 1)], app=r.uniform(0, 5), dis=r.uniform(0, 5), div0=r.uniform(0, 2), div1=r.uniform(-3, 3)) for k in range(n)])
+    pairs = [(a, b) for a in range(n) for b in range(a + 1, n)]
+    r.shuffle(pairs)
+    arcs = pd.DataFrame([dict(arc=k, src=a, dst=b, e=[r.uniform(0, 2)] + [r.uniform(-3, 3)] * m) for k, (a, b) in enumerate(pairs[:7])])
+    best = enumerate_conservation(nodes, arcs, m, True)
+    found = solve_component(nodes, arcs, ConservationModel(states=m, limit=4, gap=1e-4))
+    assert best - 1e-6 <= found.cost <= best + 1e-4 * abs(found.cost) + 1e-6 and found.gap <= 1e-4
+    loose = solve_component(nodes, arcs, ConservationModel(states=m, limit=4, gap=0.2))
+    assert best - 1e-6 <= loose.cost and loose.cost - loose.gap * abs(loose.cost) <= best + 1e-6
+
+
+def test_bounds_never_pass_the_optimum():
+    r = np.random.default_rng(5)
+    for _ in range(10):
+        p = Problem()
+        v = [p.variable(int(r.integers(1, 4))) for _ in range(6)]
+        for a, b, c in [(0, 1, 2), (2, 3, 4), (4, 5, 0), (1, 3, 5)]:
+            table = r.normal(size=[p.sizes[v[a]], p.sizes[v[b]], p.sizes[v[c]]])
+            table[r.random(table.shape) < 0.2] = INFINITY
+            p.add((v[a], v[b], v[c]), table)
+        best = min(p.value(np.array(x)) for x in itertools.product(*map(range, p.sizes)))
+        relaxed, last = Relaxation(p.sizes, p.factors), -np.inf
+        for _ in range(8):
+            last = max(last, relaxed.improve(50)[0])
+        assert last <= best + 1e-9
+        if best < INFINITY / 2:
+            value, labels, gap = solve(p, np.zeros(6, int), limit=2, gap=1e-3)
+            assert value == pytest.approx(p.value(labels)) and gap <= 1e-3 and value <= best + 1e-3 * abs(value) + 1e-9
+
+
+def test_a_gap_that_is_left_is_an_error():
+    r = random.Random(2)
+    nodes = pd.DataFrame([dict(node=k, det=r.uniform(0, 5), non=r.uniform(3, 9), app=4.0, dis=4.0, opp=0.0) for k in range(30)])
+    arcs = pd.DataFrame([dict(src=a, dst=b, move=r.uniform(-6, 3)) for a in range(30) for b in range(30) if a // 6 + 1 == b // 6])
+    pairs = {(a, b, c): r.uniform(-9, 9) for a in range(24) for b, c in itertools.combinations(range(6 * (a // 6 + 1), 6 * (a // 6 + 2)), 2)}
+    tracker = ChaingraphTracker(limit=50, gap=0.01)
+    cost, gap, _, _ = solve_chain(nodes, arcs, pairs, tracker)
+    assert gap <= 0.01
+    near, less, _, _ = solve_chain(nodes, arcs, pairs, ChaingraphTracker(limit=50, gap=1e-4))
+    assert less <= 1e-4 and near - less * abs(near) - 1e-6 <= cost and cost - gap * abs(cost) <= near + 1e-6
+    with pytest.raises(RuntimeError, match="gap"):
+        solve_chain(nodes, arcs, pairs, ChaingraphTracker(limit=50, time_limit=0.0))
+    _, left, _, _ = solve_chain(nodes, arcs, pairs, ChaingraphTracker(limit=50, time_limit=0.0, unproven=True))
+    assert left > 0.01
+
+
+def test_elimination_grows_in_proportion_to_a_chain():
+    def chain(n):
+        p, r = Problem(), np.random.default_rng(0)
+        on, used = [p.variable(2) for _ in range(n)], [p.variable(2) for _ in range(n - 1)]
+        for k in range(n):
+            scope = (*used[max(0, k - 1) : k], on[k], *used[k : k + 1])
+            p.add(scope, r.normal(size=[2] * len(scope)))
+        began = time.process_time()
+        value, labels, exact = eliminate(p)
+        assert exact and value == pytest.approx(p.value(labels))
+        return time.process_time() - began
+
+    chain(100)
+    assert chain(4000) < 12 * chain(1000)
+
+
 def test_explicit_tables():
     table = incoming_table(3, 3.0, 8.0)
     assert all(table[x] == 8 for x in itertools.product((0, 1), repeat=4) if sum(x[:-1]) > 1 or (sum(x[:-1]) and not x[-1]))

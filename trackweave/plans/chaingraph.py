@@ -15,36 +15,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.operators.graph import cut_lineage
-from trackweave.plans.solver import INFINITY, Problem, add_running_sum, calls, solve
+from trackweave.plans.solver import INFINITY, Problem, add_running_sum, calls, require_gap, solve
 
 
 def outgoing_table(move: list[float], division: dict[tuple[int, int], float], dis: float, opp: float, forbidden: float, divisions: bool) -> np.ndarray:
     """Costs over (detected, arc 1, ..., arc k)."""
     k = len(move)
     table = np.full([2] * (k + 1), forbidden)
-    for x in np.ndindex(*table.shape):
-        on = [i for i in range(k) if x[i + 1]]
-        if not x[0]:
-            if not on:
-                table[x] = opp
-        elif not on:
-            table[x] = dis
-        elif len(on) == 1:
-            table[x] = move[on[0]]
-        elif len(on) == 2 and divisions:
-            table[x] = division[on[0], on[1]]
+    at = lambda *on: (1, *(int(i in on) for i in range(k)))
+    table[(0,) * (k + 1)], table[at()] = opp, dis
+    for i in range(k):
+        table[at(i)] = move[i]
+    if divisions:
+        for (i, j), cost in division.items():
+            table[at(i, j)] = cost
     return table
 
 
 def incoming_table(k: int, app: float, forbidden: float) -> np.ndarray:
     """Costs over (arc 1, ..., arc k, detected)."""
     table = np.full([2] * (k + 1), forbidden)
-    for x in np.ndindex(*table.shape):
-        on = sum(x[:-1])
-        if on == 0:
-            table[x] = app if x[-1] else 0.0
-        elif on == 1 and x[-1]:
-            table[x] = 0.0
+    table[(0,) * (k + 1)], table[(*[0] * k, 1)] = 0.0, app
+    for i in range(k):
+        table[(*(int(j == i) for j in range(k)), 1)] = 0.0
     return table
 
 
@@ -59,13 +52,16 @@ def solve_component(nodes: pd.DataFrame, arcs: pd.DataFrame, pairs: dict[tuple[i
         problem.add((v,), np.array([off, float(r.det) if options.detection_variables else 0.0]))
     used = {}
     move = {}
+    outs_of: dict[int, list[tuple[int, int]]] = {n: [] for n in detected}
+    ins_of: dict[int, list[tuple[int, int]]] = {n: [] for n in detected}
     for r in sorted(arcs.itertuples(), key=lambda r: (r.src, r.dst)):
         used[int(r.src), int(r.dst)] = problem.variable(2)
         move[int(r.src), int(r.dst)] = float(r.move)
+        outs_of[int(r.src)].append((int(r.src), int(r.dst)))
+        ins_of[int(r.dst)].append((int(r.src), int(r.dst)))
     for r in nodes.itertuples():
         n = int(r.node)
-        outs = [k for k in used if k[0] == n]
-        ins = [k for k in used if k[1] == n]
+        outs, ins = outs_of[n], ins_of[n]
         if not outs:
             problem.add((detected[n],), np.array([float(r.opp), float(r.dis)]))
         else:
@@ -79,7 +75,8 @@ def solve_component(nodes: pd.DataFrame, arcs: pd.DataFrame, pairs: dict[tuple[i
     nothing = np.zeros(len(problem.sizes), int)
     if options.fixed_detections or not options.detection_variables:
         nothing[list(detected.values())] = 1
-    cost, labels, gap = solve(problem, nothing, gap=options.gap, limit=options.limit, rounds=1, seconds=options.time_limit)
+    cost, labels, gap = solve(problem, nothing, gap=options.gap, limit=options.limit, seconds=options.time_limit)
+    require_gap(cost, gap, options)
     return cost, gap, {n: bool(labels[v]) for n, v in detected.items()}, {k: bool(labels[v]) for k, v in used.items()}
 
 

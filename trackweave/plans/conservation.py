@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.operators.graph import cut_lineage
-from trackweave.plans.solver import INFINITY, Problem, add_running_flags, add_running_sum, calls, solve
+from trackweave.plans.solver import INFINITY, Problem, add_running_flags, add_running_sum, calls, require_gap, solve
 
 FORBIDDEN = 0.0 + INFINITY
 
@@ -33,6 +33,8 @@ class ConservationModel:
     limit: int = 2_000_000
     #: Seconds after which a component that is too wide for an exact labelling is improved no more.
     time_limit: float = 1e75
+    #: Take such a labelling though its gap is larger than the one asked for.
+    unproven: bool = False
 
 
 def node_table(model: ConservationModel, e: np.ndarray, app: float, dis: float, div: tuple[float, float] | None, has_in: bool, has_out: bool) -> np.ndarray:
@@ -164,8 +166,7 @@ def solve_component(nodes: pd.DataFrame, arcs: pd.DataFrame, model: Conservation
                     joint[i, s] = table[i, o, flag]
         problem.add((total, both), joint)
     cost, labels, gap = solve(problem, np.zeros(len(problem.sizes), int), model.limit, model.gap, seconds=model.time_limit)
-    if cost >= INFINITY / 2:
-        raise RuntimeError("no labelling satisfies the constraints")
+    require_gap(cost, gap, model)
     result = Solution(cost, gap, {}, {}, {k: int(labels[v]) for k, v in flow.items()})
     for n, members in chain.items():
         e, app, dis, div, into, out = parts[n]

@@ -1,20 +1,27 @@
-"""Exact minimisation of sums of small tables by variable elimination.
+"""Minimisation of sums of small tables with a proven gap.
 
 A problem is a list of variables (numbers of states) and factors (variables, costs).
 Variables are eliminated by least table size; each leaves the table of its best states,
-from which the labelling is read backwards, ties by the least state. Tables beyond
-``limit`` are split (mini-buckets): the value is then a lower bound, the labelling is
-improved by solving small neighbourhoods exactly, and the gap between both is returned.
+from which the labelling is read backwards, ties by the least state. That is exact.
+
+Where a table would have more than ``limit`` entries, the linear program of local choices
+(:mod:`relaxation`) gives a rising bound and shares of states. Variables with clear shares
+are fixed and the others eliminated, which gives labellings; what still lies further apart
+than the asked gap is branched, least bound first.
 """
 
 from __future__ import annotations
 
+import heapq
 import time
 from dataclasses import dataclass, field
+from typing import Any
 
 import numpy as np
 from pyspark.sql import DataFrame
 
+from trackweave.plans.relaxation import Relaxation
+
 INFINITY = 1e300
 #: Nodes in one solver call, components kept whole.
 CALL_NODES = 20_000
@@ -53,111 +60,139 @@ def _sum(factors: list[tuple[tuple[int, ...], np.ndarray]], scope: tuple[int, ..
     return np.minimum(total, INFINITY)
 
 
-def eliminate(problem: Problem, limit: int = 2_000_000, fixed: dict[int, int] | None = None) -> tuple[float, np.ndarray, bool]:
-    """(value, labels, exact). Without ``exact`` the value is a lower bound only."""
+def elimination_order(sizes: list[int], scopes: list[tuple[int, ...]], limit: float, skip: set[int] | dict[int, int]) -> list[int] | None:
+    """Variables, the one with the least table first; none if a table has more than ``limit`` entries."""
+    near: dict[int, set[int]] = {v: {v} for v in range(len(sizes)) if v not in skip}
+    for scope in scopes:
+        for v in scope:
+            near[v].update(scope)
+    entries = lambda v: float(np.prod([float(sizes[u]) for u in near[v]]))
+    cost = {v: entries(v) for v in near}
+    heap = [(c, v) for v, c in cost.items()]
+    heapq.heapify(heap)
+    order: list[int] = []
+    while heap:
+        c, v = heapq.heappop(heap)
+        if v not in near or c != cost[v]:
+            continue  # stale
+        if c > limit:
+            return None
+        order.append(v)
+        rest = near.pop(v) - {v}
+        for u in rest:
+            near[u] |= rest
+            near[u].discard(v)
+            if (now := entries(u)) != cost[u]:
+                cost[u] = now
+                heapq.heappush(heap, (now, u))
+    return order
+
+
+def eliminate(problem: Problem, limit: float = 2_000_000, fixed: dict[int, int] | None = None) -> tuple[float, np.ndarray, bool]:
+    """(value, labels, exact); without ``exact`` a table would pass the limit, and nothing is known."""
     sizes, fixed = problem.sizes, fixed or {}
+    labels = np.zeros(len(sizes), int)
+    for v, s in fixed.items():
+        labels[v] = s
     live: list[tuple[tuple[int, ...], np.ndarray]] = []
     base = 0.0
     for vs, table in problem.factors:
-        rest = tuple(v for v in vs if v not in fixed)
-        table = table[tuple(fixed.get(v, slice(None)) for v in vs)]
+        rest = vs
+        if fixed and any(v in fixed for v in vs):
+            rest = tuple(v for v in vs if v not in fixed)
+            table = table[tuple(fixed.get(v, slice(None)) for v in vs)]
         if rest:
             live.append((rest, table))
         else:
             base += float(table)
-    of: dict[int, set[int]] = {v: set() for v in range(len(sizes)) if v not in fixed}
-    for k, (vs, _) in enumerate(live):
-        for v in vs:
-            of[v].add(k)
-    tables: dict[int, tuple[tuple[int, ...], np.ndarray]] = dict(enumerate(live))
-    fresh, exact = len(live), True
-    trail: list[tuple[int, list[tuple[tuple[int, ...], np.ndarray]]]] = []
-
-    def scope_of(v: int) -> set[int]:
-        return {u for k in of[v] for u in tables[k][0]}
-
-    cost = {v: float(np.prod([float(sizes[u]) for u in scope_of(v)] or [1.0])) for v in of}
-    while of:
-        v = min(of, key=lambda u: (cost[u], u))
-        mine = sorted(of[v], key=lambda k: (-tables[k][1].size, k))
-        buckets: list[tuple[set[int], list[int]]] = []
-        for k in mine:
-            for scope, members in buckets:
-                both = scope | set(tables[k][0])
-                if np.prod([float(sizes[u]) for u in both]) <= limit:
-                    scope |= set(tables[k][0])
-                    members.append(k)
-                    break
-            else:
-                buckets.append((set(tables[k][0]), [k]))
-        exact &= len(buckets) <= 1
-        trail.append((v, [tables[k] for k in mine]))
-        touched: set[int] = set()
-        for scope, members in buckets:
-            others = tuple(sorted(scope - {v}))
-            best = _sum([tables[k] for k in members], (*others, v), sizes).min(axis=-1)
-            for k in members:
-                for u in tables[k][0]:
-                    if u != v:
-                        of[u].discard(k)
-                        touched.add(u)
-                del tables[k]
-            if others:
-                tables[fresh] = (others, best)
-                for u in others:
-                    of[u].add(fresh)
-                fresh += 1
-            else:
-                base += float(best)
-        del of[v]
-        for u in touched:
-            cost[u] = float(np.prod([float(sizes[w]) for w in scope_of(u)] or [1.0]))
-    labels = np.zeros(len(sizes), int)
-    for v, s in fixed.items():
-        labels[v] = s
-    for v, factors in reversed(trail):
-        labels[v] = int(np.argmin(_sum([(tuple([v]), t[tuple(slice(None) if u == v else labels[u] for u in vs)]) for vs, t in factors], (v,), sizes)))
-    return base, labels, exact
-
-
-def _improve(problem: Problem, labels: np.ndarray, rounds: int, size: int, until: float) -> np.ndarray:
-    """Solve small neighbourhoods of the factor graph exactly, the rest fixed, until none helps or time is up."""
-    near: dict[int, set[int]] = {v: set() for v in range(len(problem.sizes))}
-    for vs, _ in problem.factors:
-        for v in vs:
-            near[v].update(vs)
-    value = problem.value(labels)
-    for _ in range(rounds):
-        before = value
-        for start in range(0, len(problem.sizes), max(1, size // 4)):
-            if time.monotonic() > until:
-                return labels
-            block, edge = {start}, [start]
-            while edge and len(block) < size:
-                edge = sorted({u for v in edge for u in near[v]} - block)[: size - len(block)]
-                block.update(edge)
-            fixed = {v: int(labels[v]) for v in near if v not in block}
-            _, found, exact = eliminate(problem, fixed=fixed)
-            if exact and (better := problem.value(found)) < value - 1e-12:
-                labels, value = found, better
-        if value >= before - 1e-12:
-            break
-    return labels
-
-
-def solve(problem: Problem, feasible: np.ndarray, limit: int = 2_000_000, gap: float = 0.0, rounds: int = 3, seconds: float = 1e75) -> tuple[float, np.ndarray, float]:
-    """(cost, labels, gap to the bound). ``feasible`` is a labelling to fall back on."""
+    order = elimination_order(sizes, [vs for vs, _ in live], limit, fixed)
+    if order is None:
+        return -np.inf, labels, False
+    place = {v: k for k, v in enumerate(order)}
+    buckets: list[list[tuple[tuple[int, ...], np.ndarray]]] = [[] for _ in order]
+    for vs, table in live:
+        buckets[min(place[v] for v in vs)].append((vs, table))
+    for v, mine in zip(order, buckets, strict=True):
+        others = tuple(sorted({u for vs, _ in mine for u in vs} - {v}))
+        best = _sum(mine, (*others, v), sizes).min(axis=-1)
+        if others:
+            buckets[min(place[u] for u in others)].append((others, best))
+        else:
+            base += float(best)
+    for v, mine in zip(reversed(order), reversed(buckets), strict=True):
+        labels[v] = int(np.argmin(_sum([((v,), t[tuple(slice(None) if u == v else labels[u] for u in vs)]) for vs, t in mine], (v,), sizes)))
+    return base, labels, True
+
+
+#: Looks at a bound that rose by less than this share of the gap to go; after so many, branch.
+SLOW, PATIENCE = 0.02, 4
+
+
+def solve(problem: Problem, feasible: np.ndarray, limit: float = 2_000_000, gap: float = 0.0, seconds: float = 1e75) -> tuple[float, np.ndarray, float]:
+    """(cost, labels, gap to the bound), the gap at most ``gap`` unless time is up.
+
+    ``feasible`` is a labelling to start from; a cost of ``INFINITY`` or more says that no
+    labelling is allowed, or that none was found in time.
+    """
     until = time.monotonic() + seconds
-    bound, labels, exact = eliminate(problem, limit)
+    value, labels, exact = eliminate(problem, limit)
     if exact:
-        return bound, labels, 0.0
-    value = problem.value(labels)
-    if value >= INFINITY / 2:
-        labels, value = feasible, problem.value(feasible)
-    if value - bound > gap * max(abs(value), 1e-9):
-        labels = _improve(problem, labels, rounds, 24, until)
-        value = problem.value(labels)
-    return value, labels, (value - bound) / max(abs(value), 1e-9)
+        return value, labels, 0.0
+    best, labels = problem.value(feasible), np.array(feasible)
+    allowed = sum(float(np.abs(t[t < INFINITY / 2]).sum()) for _, t in problem.factors)  # no labelling costs more
+    root = Relaxation(problem.sizes, problem.factors)
+    queue: list[tuple[float, int, Relaxation]] = [(-np.inf, 0, root)]
+    born, floor = 0, np.inf  # floor: the least bound of what is not in the queue any more
+    while queue:
+        bound, _, relaxed = heapq.heappop(queue)
+        close = lambda: best - bound <= max(gap, 1e-9) * abs(best)  # noqa: B023, E731
+        idle, look = 0, 0
+        while not close() and bound <= allowed and idle < PATIENCE and time.monotonic() < until:
+            found, apart = relaxed.improve()
+            to_go = best - bound if best < INFINITY / 2 and bound > -np.inf else np.inf
+            idle = idle + 1 if found - bound < SLOW * (to_go - gap * abs(best)) or apart < 1e-6 else 0
+            bound = max(bound, found)
+            look += 1
+            if look % 2 == 0 or idle:
+                value, found_labels = rounded(problem, relaxed, limit)
+                if value < best:
+                    best, labels = value, found_labels
+        if close() or bound > allowed or time.monotonic() >= until:
+            if bound <= allowed:
+                floor = min(floor, bound)
+            if time.monotonic() >= until:
+                floor = min([floor, *(b for b, _, _ in queue)])
+                break
+            continue
+        state, clear = relaxed.states()
+        open_ = [v for v in range(len(state)) if v not in relaxed.fixed and problem.sizes[v] > 1]
+        if not open_:
+            floor = min(floor, bound)
+            continue
+        v = min(open_, key=lambda u: clear[u])
+        for s in range(problem.sizes[v]):
+            born += 1
+            heapq.heappush(queue, (bound, born, relaxed.with_fixed(v, s)))
+    return best, labels, max(0.0, best - floor) / max(abs(best), 1e-9) if best < INFINITY / 2 else np.inf
+
+
+def require_gap(cost: float, gap: float, options: Any) -> None:
+    """An error if no labelling is allowed, or if the best one found is not proven to be within the gap."""
+    if cost >= INFINITY / 2:
+        raise RuntimeError("no labelling satisfies the constraints")
+    if gap > options.gap + 1e-9 and not options.unproven:
+        raise RuntimeError(f"a gap of {gap} is left after {options.time_limit} seconds, {options.gap} was asked for")
+
+
+def rounded(problem: Problem, relaxed: Relaxation, limit: float) -> tuple[float, np.ndarray]:
+    """The best labelling with the clearest variables fixed, the others free as far as the limit lets them."""
+    state, clear = relaxed.states()
+    for least in (0.9, 0.7, 0.5, 0.3, 0.1):
+        fixed = relaxed.fixed | {v: int(state[v]) for v in range(len(state)) if clear[v] > least}
+        value, labels, exact = eliminate(problem, min(limit, 200_000), fixed)
+        if exact and value < INFINITY / 2:
+            return value, labels
+    return np.inf, state
 
 
 def add_running_sum(problem: Problem, variables: list[int], most: int) -> int:

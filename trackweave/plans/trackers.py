@@ -43,8 +43,9 @@ class ConservationTracker:
     """Options of conservation tracking. ``average_size`` above 0 makes a prior from sizes.
 
     A given det_prob always wins over the prior of sizes. ``limit`` is the number of
-    table entries up to which a component is solved exactly; beyond, the labelled nodes
-    show the gap to a bound, and ``time_limit`` bounds the seconds spent on closing it.
+    table entries up to which a component is solved exactly; beyond, its labelling is
+    proven to lie within ``gap`` of the best one. A component that is not after
+    ``time_limit`` seconds is an error, or with ``unproven`` a larger gap at its nodes.
     Without ``constraints`` the model is written to the shared folder and an error follows:
     only the constrained model can be solved.
     """
@@ -69,6 +70,7 @@ class ConservationTracker:
     allow_disappearance: bool = True
     limit: int = 2_000_000
     time_limit: float = 1e75
+    unproven: bool = False
     constraints: bool = True
 
     def build_graph(self, detections: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -88,7 +90,7 @@ class ConservationTracker:
         return nodes, found.withColumns({"a": graph.node_key(F.col("src_t"), F.col("src")), "b": graph.node_key(F.col("dst_t"), F.col("dst"))})
 
     def model(self) -> conservation.ConservationModel:
-        return conservation.ConservationModel(self.max_objects, self.divisions, self.tracklets, self.misdetections, self.allow_appearance, self.allow_disappearance, self.gap, self.limit, self.time_limit)
+        return conservation.ConservationModel(self.max_objects, self.divisions, self.tracklets, self.misdetections, self.allow_appearance, self.allow_disappearance, self.gap, self.limit, self.time_limit, self.unproven)
 
     def energies(self, nodes: DataFrame, arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The model as tables: costs of nodes by number of objects, and of arcs by flow."""
@@ -212,6 +214,7 @@ class ChaingraphTracker:
     gap: float = 0.01
     limit: int = 200_000
     time_limit: float = 1e75
+    unproven: bool = False
 
     def build_graph(self, detections: DataFrame) -> tuple[DataFrame, DataFrame]:
         nodes = detections.withColumn("node", graph.node_key(F.col("timestep"), F.col("id")))

@@ -9,9 +9,11 @@ import pandas as pd
 import pytest
 
 from trackweave.operators.mergers import bic, kmeans, mixture
+from trackweave.plans.chaingraph import build as build_chain
 from trackweave.plans.chaingraph import incoming_table, outgoing_table
 from trackweave.plans.chaingraph import solve_component as solve_chain
-from trackweave.plans.conservation import ConservationModel, solve_component
+from trackweave.plans.conservation import ConservationModel, build, single_objects, solve_component
+from trackweave.plans.flow import match
 from trackweave.plans.relaxation import Relaxation
 from trackweave.plans.solver import INFINITY, Problem, eliminate, solve
 from trackweave.plans.trackers import ChaingraphTracker
@@ -155,6 +157,60 @@ def test_elimination_grows_in_proportion_to_a_chain():
     assert chain(4000) < 12 * chain(1000)
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_flow_matches_enumeration(seed):
+    """One object a detection without divisions is a flow, whatever may be forbidden."""
+    r = random.Random(seed)
+    n = r.randint(2, 6)
+    nodes = pd.DataFrame([dict(node=k, e=[r.uniform(0, 9), r.uniform(0, 9)], app=r.uniform(4, 9), dis=r.uniform(4, 9), div0=0.0, div1=0.0) for k in range(n)])
+    pairs = [(a, b) for a in range(n) for b in range(a + 1, n)]
+    r.shuffle(pairs)
+    arcs = pd.DataFrame([dict(arc=k, src=a, dst=b, e=[r.uniform(0, 2), r.uniform(-9, 9)]) for k, (a, b) in enumerate(pairs[:8])])
+    model = ConservationModel(states=1, divisions=False, misdetections=r.random() < 0.5, appearance=r.random() < 0.7, disappearance=r.random() < 0.7, tracklets=r.random() < 0.3)
+    part = build(nodes, arcs, model)
+    exact, _, _ = eliminate(part.problem)
+    found = single_objects(part, {(a["src"], a["dst"]): np.array(a["e"]) for a in arcs.to_dict("records")}, model)
+    assert found and (found[0] == pytest.approx(exact) or (exact >= INFINITY / 2 and found[0] == np.inf))
+    if exact < INFINITY / 2:
+        assert part.problem.value(found[1]) == pytest.approx(exact)
+        assert solve_component(nodes, arcs, model).cost == pytest.approx(exact)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_flow_of_a_chaingraph_matches_elimination(seed):
+    r = random.Random(seed)
+    n = r.randint(2, 9)
+    nodes = pd.DataFrame([dict(node=k, det=r.uniform(-5, 5), non=r.uniform(-3, 9), app=r.uniform(0, 4), dis=r.uniform(0, 4), opp=r.uniform(0, 1)) for k in range(n)])
+    ends = [(a, b) for a in range(n) for b in range(a + 1, n) if r.random() < 0.6] or [(0, 1)]
+    arcs = pd.DataFrame([dict(src=a, dst=b, move=r.uniform(-6, 6)) for a, b in ends])
+    options = ChaingraphTracker(divisions=False, fixed_detections=r.random() < 0.3, detection_variables=r.random() < 0.8)
+    cost, gap, on, used = solve_chain(nodes, arcs, {}, options)
+    part = build_chain(nodes, arcs, {}, options)
+    assert gap == 0 and cost == pytest.approx(eliminate(part.problem)[0])
+    labels = np.zeros(len(part.problem.sizes), int)
+    for values, names in ((on, part.nodes), (used, part.arcs)):
+        for k, v in names.items():
+            labels[v] = values[k]
+    if len(labels) == len(part.nodes) + len(part.arcs):  # no running sums
+        assert part.problem.value(labels) == pytest.approx(cost)
+
+
+def test_flow_of_a_hundred_thousand_nodes():
+    r = np.random.default_rng(0)
+    frames, each = 100, 1000
+    ends = {(f, k): f * each + k for f in range(frames) for k in range(each)}
+    nodes = {v: (-20.0, 8.0, 8.0) for v in ends.values()}
+    arcs = {(ends[f, k], ends[f + 1, int(j)]): float(r.uniform(0, 10)) for f in range(frames - 1) for k in range(each) for j in (k + r.integers(-3, 4, size=3)) % each}
+    began = time.process_time()
+    cost, used, off = match(nodes, arcs, dict.fromkeys(nodes, 0.0))
+    assert time.process_time() - began < 60
+    # one arc in and out at most, and no better by taking or leaving any one arc
+    chosen = [k for k, x in used.items() if x]
+    assert len({a for a, _ in chosen}) == len(chosen) == len({b for _, b in chosen})
+    total = sum(arcs[k] for k in chosen) + sum(-20 for n in nodes if n not in off) + 8 * 2 * (len(nodes) - len(off)) - 16 * len(chosen)
+    assert cost == pytest.approx(total)
+
+
 def test_explicit_tables():
     table = incoming_table(3, 3.0, 8.0)
     assert all(table[x] == 8 for x in itertools.product((0, 1), repeat=4) if sum(x[:-1]) > 1 or (sum(x[:-1]) and not x[-1]))

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.operators.graph import cut_lineage
-from trackweave.plans.solver import INFINITY, Problem, add_running_sum, calls, require_gap, solve
+from trackweave.plans.flow import match
+from trackweave.plans.solver import INFINITY, Arc, Part, Problem, add_running_sum, calls, require_gap, solve
 
 
 def outgoing_table(move: list[float], division: dict[tuple[int, int], float], dis: float, opp: float, forbidden: float, divisions: bool) -> np.ndarray:
@@ -41,43 +42,78 @@ def incoming_table(k: int, app: float, forbidden: float) -> np.ndarray:
     return table
 
 
-def solve_component(nodes: pd.DataFrame, arcs: pd.DataFrame, pairs: dict[tuple[int, int, int], float], options: Any) -> tuple[float, float, dict[int, bool], dict[tuple[int, int], bool]]:
-    """(cost, gap, detected nodes, used arcs) of one component."""
+def build(nodes: pd.DataFrame, arcs: pd.DataFrame, pairs: dict[tuple[int, int, int], float], options: Any, unary: dict[Arc, np.ndarray] | None = None) -> Part:
+    """The problem of some nodes and all arcs that touch them; an arc's other end may be elsewhere.
+
+    ``unary`` are costs of arcs besides what their source's table holds.
+    """
     problem = Problem()
+    part = Part(problem)
     hard = INFINITY  # tables forbid by constraint, so that sums of forbidden costs can't win
-    detected = {}
     for r in sorted(nodes.itertuples(), key=lambda r: r.node):
-        v = detected[int(r.node)] = problem.variable(2)
+        v = part.nodes[int(r.node)] = problem.variable(2)
         off = INFINITY if options.fixed_detections or not options.detection_variables else float(r.non)
         problem.add((v,), np.array([off, float(r.det) if options.detection_variables else 0.0]))
-    used = {}
-    move = {}
-    outs_of: dict[int, list[tuple[int, int]]] = {n: [] for n in detected}
-    ins_of: dict[int, list[tuple[int, int]]] = {n: [] for n in detected}
+    move: dict[Arc, float] = {}
+    outs_of: dict[int, list[Arc]] = {n: [] for n in part.nodes}
+    ins_of: dict[int, list[Arc]] = {n: [] for n in part.nodes}
     for r in sorted(arcs.itertuples(), key=lambda r: (r.src, r.dst)):
-        used[int(r.src), int(r.dst)] = problem.variable(2)
-        move[int(r.src), int(r.dst)] = float(r.move)
-        outs_of[int(r.src)].append((int(r.src), int(r.dst)))
-        ins_of[int(r.dst)].append((int(r.src), int(r.dst)))
+        k = (int(r.src), int(r.dst))
+        v = part.arcs[k] = problem.variable(2)
+        move[k] = float(r.move)
+        outs_of.get(k[0], []).append(k)
+        ins_of.get(k[1], []).append(k)
+        if unary and k in unary:
+            problem.add((v,), unary[k])
     for r in nodes.itertuples():
         n = int(r.node)
         outs, ins = outs_of[n], ins_of[n]
+        part.out_tables |= dict.fromkeys(outs, len(problem.factors))
         if not outs:
-            problem.add((detected[n],), np.array([float(r.opp), float(r.dis)]))
+            problem.add((part.nodes[n],), np.array([float(r.opp), float(r.dis)]))
         else:
             division = {(i, j): pairs.get((n, outs[i][1], outs[j][1]), hard) for i in range(len(outs)) for j in range(i + 1, len(outs))}
-            problem.add((detected[n], *[used[k] for k in outs]), outgoing_table([move[k] for k in outs], division, float(r.dis), float(r.opp), hard, options.divisions))
+            problem.add((part.nodes[n], *[part.arcs[k] for k in outs]), outgoing_table([move[k] for k in outs], division, float(r.dis), float(r.opp), hard, options.divisions))
+        first = len(problem.factors)
         if len(ins) <= 8:
-            problem.add((*[used[k] for k in ins], detected[n]), incoming_table(len(ins), float(r.app), hard))
+            part.in_tables |= dict.fromkeys(ins, first)
+            problem.add((*[part.arcs[k] for k in ins], part.nodes[n]), incoming_table(len(ins), float(r.app), hard))
         else:
-            total = add_running_sum(problem, [used[k] for k in ins], 1)
-            problem.add((total, detected[n]), np.array([[0.0, float(r.app)], [hard, 0.0]]))
-    nothing = np.zeros(len(problem.sizes), int)
+            part.in_tables |= {k: first + i for i, k in enumerate(ins)}
+            total = add_running_sum(problem, [part.arcs[k] for k in ins], 1)
+            problem.add((total, part.nodes[n]), np.array([[0.0, float(r.app)], [hard, 0.0]]))
+    return part
+
+
+def nothing(part: Part, options: Any) -> np.ndarray:
+    """The labelling without arcs and, if that is allowed, without detections."""
+    labels = np.zeros(len(part.problem.sizes), int)
     if options.fixed_detections or not options.detection_variables:
-        nothing[list(detected.values())] = 1
-    cost, labels, gap = solve(problem, nothing, gap=options.gap, limit=options.limit, seconds=options.time_limit)
+        labels[list(part.nodes.values())] = 1
+    return labels
+
+
+def without_divisions(nodes: pd.DataFrame, arcs: pd.DataFrame, options: Any) -> tuple[float, dict[int, bool], dict[Arc, bool]]:
+    """The best labelling of a component whose nodes never divide, as a matching of sources to targets."""
+    always = options.fixed_detections or not options.detection_variables
+    ends, loops = {}, {}
+    for r in nodes.itertuples():
+        n, det = int(r.node), float(r.det) if options.detection_variables else 0.0
+        ends[n] = (det, float(r.dis), float(r.app))
+        loops[n] = None if always else float(r.non) + float(r.opp)
+    cost, used, off = match(ends, {(int(r.src), int(r.dst)): float(r.move) for r in arcs.itertuples()}, loops)
+    return cost, {n: n not in off for n in ends}, used
+
+
+def solve_component(nodes: pd.DataFrame, arcs: pd.DataFrame, pairs: dict[tuple[int, int, int], float], options: Any) -> tuple[float, float, dict[int, bool], dict[Arc, bool]]:
+    """(cost, gap, detected nodes, used arcs) of one component."""
+    if not options.divisions:
+        cost, on, used = without_divisions(nodes, arcs, options)
+        return cost, 0.0, on, used
+    part = build(nodes, arcs, pairs, options)
+    cost, labels, gap = solve(part.problem, nothing(part, options), gap=options.gap, limit=options.limit, seconds=options.time_limit)
     require_gap(cost, gap, options)
-    return cost, gap, {n: bool(labels[v]) for n, v in detected.items()}, {k: bool(labels[v]) for k, v in used.items()}
+    return cost, gap, {n: bool(labels[v]) for n, v in part.nodes.items()}, {k: bool(labels[v]) for k, v in part.arcs.items()}
 
 
 RESULT = "node long, dst long, active boolean, cost double, gap double"

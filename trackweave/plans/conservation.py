@@ -8,7 +8,7 @@ given flows in and out, appearance, disappearance and division of a node follow.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.operators.graph import cut_lineage
-from trackweave.plans.solver import INFINITY, Problem, add_running_flags, add_running_sum, calls, require_gap, solve
+from trackweave.plans.flow import match
+from trackweave.plans.solver import INFINITY, Arc, Part, Problem, add_running_flags, add_running_sum, calls, require_gap, solve
 
 FORBIDDEN = 0.0 + INFINITY
 
@@ -102,52 +103,61 @@ class Solution:
     flow: dict[int, int]
 
 
-def solve_component(nodes: pd.DataFrame, arcs: pd.DataFrame, model: ConservationModel) -> Solution:
-    """Exact labels of one component of nodes(node, e, app, dis, div0, div1) and arcs(arc, src, dst, e)."""
+@dataclass
+class Tracks(Part):
+    """A part with the chains that are solved as one node, by their first node."""
+
+    chains: dict[int, list[int]] = field(default_factory=dict)
+    ends: dict[int, tuple] = field(default_factory=dict)  # costs and arcs of a chain
+    inner: dict[int, Arc] = field(default_factory=dict)  # the arc out of a node inside its chain
+    tables: dict[int, np.ndarray] = field(default_factory=dict)
+
+
+def build(nodes: pd.DataFrame, arcs: pd.DataFrame, model: ConservationModel, unary: dict[Arc, np.ndarray] | None = None) -> Tracks:
+    """The problem of some nodes and all arcs that touch them; an arc's other end may be elsewhere.
+
+    ``unary`` are costs of arcs in place of their own.
+    """
     m = model.states
     node = {int(r.node): r for r in nodes.itertuples()}
-    arc = {int(r.arc): (int(r.src), int(r.dst), np.asarray(r.e, float)) for r in arcs.itertuples()}
-    ins: dict[int, list[int]] = {n: [] for n in node}
-    outs: dict[int, list[int]] = {n: [] for n in node}
+    arc = {(int(r.src), int(r.dst)): np.asarray(r.e, float) for r in arcs.itertuples()}
+    ins: dict[int, list[Arc]] = {n: [] for n in node}
+    outs: dict[int, list[Arc]] = {n: [] for n in node}
     for k in sorted(arc):
-        outs[arc[k][0]].append(k)
-        ins[arc[k][1]].append(k)
+        outs.get(k[0], []).append(k)
+        ins.get(k[1], []).append(k)
+    part = Tracks(Problem())
     # with tracklets: a node joins its only predecessor if it is that one's only successor
-    head: dict[int, int] = {n: n for n in node}
-    after: dict[int, tuple[int, int]] = {}
+    after: dict[int, int] = {}
     if model.tracklets:
-        for k, (a, b, _) in arc.items():
-            if len(outs[a]) == 1 and len(ins[b]) == 1:
-                after[a] = (b, k)
-        for n in sorted(set(node) - {b for b, _ in after.values()}):
-            at = n
-            while at in after:
-                at = after[at][0]
-                head[at] = n
-    chain: dict[int, list[int]] = {}
-    for n in node:
-        if head[n] == n:
-            chain[n] = [n]
-            while chain[n][-1] in after:
-                chain[n].append(after[chain[n][-1]][0])
-    inner = {k for _, k in after.values()}
-    problem = Problem()
-    flow = {k: problem.variable(m + 1) for k in sorted(arc) if k not in inner}
-    for k, v in flow.items():
-        problem.add((v,), arc[k][2])
-    parts: dict[int, tuple] = {}
-    for n, members in chain.items():
+        for k in arc:
+            if len(outs[k[0]]) == 1 and len(ins[k[1]]) == 1:
+                after[k[0]], part.inner[k[0]] = k[1], k
+    for n in sorted(set(node) - set(after.values())):
+        part.chains[n] = [n]
+        while part.chains[n][-1] in after:
+            part.chains[n].append(after[part.chains[n][-1]])
+    problem, inside = part.problem, set(part.inner.values())
+    for k in sorted(arc):
+        if k not in inside:
+            v = part.arcs[k] = problem.variable(m + 1)
+            problem.add((v,), unary.get(k, arc[k]) if unary else arc[k])
+    for n, members in part.chains.items():
         e = np.sum([np.asarray(node[x].e, float) for x in members], axis=0)
-        e = e + np.sum([arc[after[x][1]][2] for x in members[:-1]], axis=0) if len(members) > 1 else e
+        e = e + np.sum([arc[part.inner[x]] for x in members[:-1]], axis=0) if len(members) > 1 else e
         first, last = node[members[0]], node[members[-1]]
-        into, out = [flow[k] for k in ins[members[0]]], [flow[k] for k in outs[members[-1]]]
+        in_arcs, out_arcs = ins[members[0]], outs[members[-1]]
+        into, out = [part.arcs[k] for k in in_arcs], [part.arcs[k] for k in out_arcs]
         div = (float(last.div0), float(last.div1)) if model.divisions and len(out) > 1 else None
-        parts[n] = (e, float(first.app), float(last.dis), div, into, out)
-        table = node_table(model, e, float(first.app), float(last.dis), div, bool(into), bool(out))
+        part.ends[n] = (e, float(first.app), float(last.dis), div, into, out)
+        table = part.tables[n] = node_table(model, e, float(first.app), float(last.dis), div, bool(into), bool(out))
+        at = len(problem.factors)
         if not into and not out:
             problem.add((), np.asarray(table.min()))
             continue
         if len(into) + len(out) <= 5:  # few arcs: one table over the flows
+            part.in_tables |= dict.fromkeys(in_arcs, at)
+            part.out_tables |= dict.fromkeys(out_arcs, at)
             shape = [m + 1] * (len(into) + len(out))
             full = np.full(shape, INFINITY)
             for x in np.ndindex(*shape):
@@ -156,6 +166,8 @@ def solve_component(nodes: pd.DataFrame, arcs: pd.DataFrame, model: Conservation
                     full[x] = table[i, o, int(any(y > 1 for y in x[len(into) :]))]
             problem.add((*into, *out), full)
             continue
+        part.in_tables |= {k: at + i for i, k in enumerate(in_arcs)}
+        part.out_tables |= {k: at + len(in_arcs) + i for i, k in enumerate(out_arcs)}
         total = add_running_sum(problem, into, m)
         both, width = add_running_flags(problem, out, m + 1)
         joint = np.full((problem.sizes[total], problem.sizes[both]), INFINITY)
@@ -165,18 +177,71 @@ def solve_component(nodes: pd.DataFrame, arcs: pd.DataFrame, model: Conservation
                 if o < table.shape[1]:
                     joint[i, s] = table[i, o, flag]
         problem.add((total, both), joint)
-    cost, labels, gap = solve(problem, np.zeros(len(problem.sizes), int), model.limit, model.gap, seconds=model.time_limit)
-    require_gap(cost, gap, model)
-    result = Solution(cost, gap, {}, {}, {k: int(labels[v]) for k, v in flow.items()})
-    for n, members in chain.items():
-        e, app, dis, div, into, out = parts[n]
+    return part
+
+
+def label_nodes(part: Tracks, labels: np.ndarray, model: ConservationModel) -> tuple[dict[int, int], dict[int, bool], dict[Arc, int]]:
+    """(objects, divides, flow) of all nodes and arcs by the labels of the part's problem."""
+    objects: dict[int, int] = {}
+    divides: dict[int, bool] = {}
+    flow = {k: int(labels[v]) for k, v in part.arcs.items()}
+    for n, members in part.chains.items():
+        e, app, dis, div, into, out = part.ends[n]
         flows = [int(labels[v]) for v in out]
-        n_objects, divides = node_labels(model, e, app, dis, div, sum(int(labels[v]) for v in into) if into else None, sum(flows) if out else None, int(any(f > 1 for f in flows)))
+        count, divided = node_labels(model, e, app, dis, div, sum(int(labels[v]) for v in into) if into else None, sum(flows) if out else None, int(any(f > 1 for f in flows)))
         for x in members:
-            result.objects[x], result.divides[x] = n_objects, divides and x == members[-1]
+            objects[x], divides[x] = count, divided and x == members[-1]
         for x in members[:-1]:
-            result.flow[after[x][1]] = n_objects
-    return result
+            flow[part.inner[x]] = count
+    return objects, divides, flow
+
+
+def single_objects(part: Tracks, arcs: dict[Arc, np.ndarray], model: ConservationModel) -> tuple[float, np.ndarray] | None:
+    """(cost, labels) where each detection holds one object at most and none divides, as a flow.
+
+    Nothing if that is no flow: if a detection without arcs in use may cost more than its
+    appearance and disappearance together.
+    """
+    if model.states != 1 or any(x[3] for x in part.ends.values()):
+        return None
+    at = {n: members[-1] for n, members in part.chains.items()}  # arcs leave a chain at its last node
+    back = {last: n for n, last in at.items()}
+    on: dict[int, tuple[float, float, float]] = {}
+    off: dict[int, float | None] = {}
+    base = 0.0
+    for n, table in part.tables.items():
+        f = np.where(table[..., 0] < INFINITY / 2, table[..., 0], np.inf)
+        into, out = f.shape[0] > 1, f.shape[1] > 1
+        if not into and not out:
+            base += float(f[0, 0])
+            continue
+        full = f[int(into), int(out)]
+        if not np.isfinite(full):
+            return None
+        end, start = f[int(into), 0] - full, f[0, int(out)] - full
+        if into and out and f[0, 0] > full + end + start + 1e-12:
+            return None
+        on[n] = (float(full), float(end), float(start))
+        off[n] = float(f[0, 0]) if into and out and np.isfinite(f[0, 0]) else None
+    cost, used, _ = match(on, {(back[a], b): float(arcs[a, b][1] - arcs[a, b][0]) for a, b in part.arcs}, off)
+    labels = np.zeros(len(part.problem.sizes), int)
+    for (a, b), v in part.arcs.items():
+        labels[v] = int(used[back[a], b])
+    return cost + base + sum(float(arcs[k][0]) for k in part.arcs), labels
+
+
+def solve_component(nodes: pd.DataFrame, arcs: pd.DataFrame, model: ConservationModel) -> Solution:
+    """Labels of one component of nodes(node, e, app, dis, div0, div1) and arcs(arc, src, dst, e)."""
+    part = build(nodes, arcs, model)
+    name = {(int(r.src), int(r.dst)): int(r.arc) for r in arcs.itertuples()}
+    found = single_objects(part, {(int(r.src), int(r.dst)): np.asarray(r.e, float) for r in arcs.itertuples()}, model)
+    if found:
+        (cost, labels), gap = found, 0.0
+    else:
+        cost, labels, gap = solve(part.problem, np.zeros(len(part.problem.sizes), int), model.limit, model.gap, seconds=model.time_limit)
+    require_gap(cost, gap, model)
+    objects, divides, flow = label_nodes(part, labels, model)
+    return Solution(cost, gap, objects, divides, {name[k]: f for k, f in flow.items()})
 
 
 RESULT = "component long, node long, dst long, value int, divides boolean, cost double, gap double"

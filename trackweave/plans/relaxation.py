@@ -35,7 +35,8 @@ class Relaxation:
         costs, groups = [unary], [np.repeat(np.arange(len(sizes)), sizes)]
         rows, columns, signs = [], [], []
         row = 0
-        for vs, table in factors:
+        self.at: dict[tuple[int, int], int] = {}  # of a table and a variable: the first of their multipliers, for state 1
+        for k, (vs, table) in enumerate(factors):
             if len(vs) < 2:
                 if vs:
                     unary[self.first[vs[0]] : self.first[vs[0] + 1]] += np.where(table < FORBIDDEN, table, np.inf)
@@ -49,6 +50,7 @@ class Relaxation:
             groups.append(np.full(len(entries), len(sizes) + len(groups) - 1))
             for p, v in enumerate(vs):
                 self.entries.setdefault(v, []).append((int(n - len(entries)), entries[:, p]))
+                self.at[k, v] = row
                 used = entries[:, p] > 0  # state 0 follows, as shares sum to one
                 many = sizes[v] - 1
                 rows += [row + entries[used, p] - 1, row + np.arange(many)]

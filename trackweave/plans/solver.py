@@ -49,6 +49,21 @@ class Problem:
         return float(sum(t[tuple(labels[list(v)])] for v, t in self.factors))
 
 
+#: Source and target of an arc.
+Arc = tuple[int, int]
+
+
+@dataclass
+class Part:
+    """The problem of some nodes and the arcs at them: its variables, and which tables hold an arc at either end."""
+
+    problem: Problem
+    nodes: dict[int, int] = field(default_factory=dict)
+    arcs: dict[Arc, int] = field(default_factory=dict)
+    out_tables: dict[Arc, int] = field(default_factory=dict)
+    in_tables: dict[Arc, int] = field(default_factory=dict)
+
+
 def _sum(factors: list[tuple[tuple[int, ...], np.ndarray]], scope: tuple[int, ...], sizes: list[int]) -> np.ndarray:
     total = np.zeros([sizes[v] for v in scope])
     for vs, table in factors:
@@ -178,7 +193,7 @@ def solve(problem: Problem, feasible: np.ndarray, limit: float = 2_000_000, gap:
 
 def require_gap(cost: float, gap: float, options: Any) -> None:
     """An error if no labelling is allowed, or if the best one found is not proven to be within the gap."""
-    if cost >= INFINITY / 2:
+    if not cost < INFINITY / 2:
         raise RuntimeError("no labelling satisfies the constraints")
     if gap > options.gap + 1e-9 and not options.unproven:
         raise RuntimeError(f"a gap of {gap} is left after {options.time_limit} seconds, {options.gap} was asked for")

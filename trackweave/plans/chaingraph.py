@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.operators.graph import cut_lineage
+from trackweave.plans import windows
 from trackweave.plans.flow import match
 from trackweave.plans.solver import INFINITY, Arc, Part, Problem, add_running_sum, calls, require_gap, solve
 
@@ -116,6 +117,16 @@ def solve_component(nodes: pd.DataFrame, arcs: pd.DataFrame, pairs: dict[tuple[i
     return cost, gap, {n: bool(labels[v]) for n, v in part.nodes.items()}, {k: bool(labels[v]) for k, v in part.arcs.items()}
 
 
+def windowed(options: Any) -> windows.Kind:
+    """The model as :mod:`windows` take it: arcs(..., move, divisions) hold the costs of pairs, too."""
+
+    def make(nodes: pd.DataFrame, arcs: pd.DataFrame, unary: dict[Arc, np.ndarray]) -> Part:
+        pairs = {(int(r.src), int(r.dst), int(x["d2"])): float(x["cost"]) for r in arcs.itertuples() for x in r.divisions}
+        return build(nodes, arcs, pairs, options, unary)
+
+    return windows.Kind(make, lambda row: np.zeros(2), lambda part, labels: {n: (int(labels[v]), False) for n, v in part.nodes.items()})
+
+
 RESULT = "node long, dst long, active boolean, cost double, gap double"
 
 
@@ -142,6 +153,13 @@ def infer(nodes: DataFrame, arcs: DataFrame, pairs: DataFrame, options: Any) ->
     buckets = calls(nodes)
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).alias("bucket")
     linked = placed.where("tied").drop("tied")
+    apart = windows.large(linked, options) if options.divisions else None
+    if apart is not None:
+        of = arcs.join(apart, "component", "left_semi").join(pairs.groupBy("src", F.col("d1").alias("dst")).agg(F.collect_list(F.struct("d2", F.col("division").alias("cost"))).alias("divisions")), ["src", "dst"], "left")
+        none = F.array().cast("array<struct<d2:bigint,cost:double>>")
+        ready = of.select("component", "src", "dst", "move", F.coalesce("divisions", none).alias("divisions"), F.array(F.lit(0.0), F.lit(0.0)).alias("share"), F.lit(0).alias("label"))
+        values, flows, found = windows.infer(linked.join(apart, "component", "left_semi"), ready, windowed(options), options)
+        linked, both = linked.join(apart, "component", "left_anti"), both.join(apart, "component", "left_anti")
     solved = linked.groupBy(bucket("component")).cogroup(both.withColumnRenamed("component", "part").groupBy(bucket("part"))).applyInPandas(run, RESULT)
     solved = cut_lineage(solved, "solved")  # both results read it
     # a detection without arcs is on if that is cheaper, or if it must be
@@ -149,5 +167,9 @@ def infer(nodes: DataFrame, arcs: DataFrame, pairs: DataFrame, options: Any) ->
     must = F.lit(options.fixed_detections or not options.detection_variables)
     alone = placed.where("tied IS NULL").select("node", (must | (on < off)).alias("active"), F.when(must, on).otherwise(F.least(on, off)).alias("cost"), F.lit(0.0).alias("gap"))
     labelled = solved.where("dst IS NULL").select("node", "active", "cost", "gap").unionByName(alone)
-    return labelled, solved.where("dst IS NOT NULL").select(F.col("node").alias("src"), "dst", "active")
+    used = solved.where("dst IS NOT NULL").select(F.col("node").alias("src"), "dst", "active")
+    if apart is not None:
+        labelled = labelled.unionByName(windows.labels(nodes, values, found).select("node", (F.col("value") > 0).alias("active"), "cost", "gap"))
+        used = used.unionByName(flows.select("src", "dst", (F.col("value") > 0).alias("active")))
+    return labelled, used
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.operators.graph import cut_lineage
+from trackweave.plans import windows
 from trackweave.plans.flow import match
 from trackweave.plans.solver import INFINITY, Arc, Part, Problem, add_running_flags, add_running_sum, calls, require_gap, solve
 
@@ -36,6 +37,9 @@ class ConservationModel:
     time_limit: float = 1e75
     #: Take such a labelling though its gap is larger than the one asked for.
     unproven: bool = False
+    #: Larger components are solved in windows of about so many nodes, in so many rounds at most.
+    window_nodes: int = 20_000
+    rounds: int = 20
 
 
 def node_table(model: ConservationModel, e: np.ndarray, app: float, dis: float, div: tuple[float, float] | None, has_in: bool, has_out: bool) -> np.ndarray:
@@ -244,6 +248,14 @@ def solve_component(nodes: pd.DataFrame, arcs: pd.DataFrame, model: Conservation
     return Solution(cost, gap, objects, divides, {name[k]: f for k, f in flow.items()})
 
 
+def windowed(model: ConservationModel) -> windows.Kind:
+    def named(part: Tracks, labels: np.ndarray) -> dict[int, tuple[int, bool]]:
+        objects, divides, _ = label_nodes(part, labels, model)
+        return {n: (objects[n], divides[n]) for n in objects}
+
+    return windows.Kind(lambda nodes, arcs, unary: build(nodes, arcs, model, unary), lambda row: np.asarray(row.e, float), named)
+
+
 RESULT = "component long, node long, dst long, value int, divides boolean, cost double, gap double"
 
 
@@ -269,7 +281,14 @@ def infer(nodes: DataFrame, arcs: DataFrame, model: ConservationModel) -> tuple[
         return pd.DataFrame(rows, columns=names).astype({"dst": "Int64", "divides": "boolean"})
 
     linked = nodes.where(~F.col("alone"))
-    flows = arcs.withColumnRenamed("component", "part")
+    # a flow is solved whole, and so are chains that windows would cut
+    apart = None if model.tracklets or (model.states == 1 and not model.divisions) else windows.large(linked, model)
+    small = arcs
+    if apart is not None:
+        ready = arcs.join(apart, "component", "left_semi").select("component", "src", "dst", "e", F.col("e").alias("share"), F.lit(0).alias("label"))
+        values, passed, found = windows.infer(linked.join(apart, "component", "left_semi"), ready, windowed(model), model)
+        linked, small = linked.join(apart, "component", "left_anti"), arcs.join(apart, "component", "left_anti")
+    flows = small.withColumnRenamed("component", "part")
     # many components go to one call, which is where most of the time of small ones would go
     buckets = calls(nodes)
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).alias("bucket")
@@ -279,5 +298,9 @@ def infer(nodes: DataFrame, arcs: DataFrame, model: ConservationModel) -> tuple[
     usable = F.col("e") if model.misdetections and model.appearance and model.disappearance else F.transform("e", lambda x, i: F.when(i == 0, F.lit(INFINITY)).otherwise(x))
     least = F.array_min(usable)
     single = nodes.where("alone").select(F.col("node"), (F.array_position(usable, least) - 1).cast("int").alias("n_objects"), F.lit(False).alias("divides"), least.alias("cost"), F.lit(0.0).alias("gap"))
-    labelled = solved.where("dst IS NULL").select("node", F.col("value").alias("n_objects"), "divides", "cost", "gap")
-    return labelled.unionByName(single), solved.where("dst IS NOT NULL").select(F.col("node").alias("src"), "dst", F.col("value").alias("flow"))
+    labelled = solved.where("dst IS NULL").select("node", F.col("value").alias("n_objects"), "divides", "cost", "gap").unionByName(single)
+    used = solved.where("dst IS NOT NULL").select(F.col("node").alias("src"), "dst", F.col("value").alias("flow"))
+    if apart is not None:
+        labelled = labelled.unionByName(windows.labels(nodes, values, found).withColumnRenamed("value", "n_objects"))
+        used = used.unionByName(passed.withColumnRenamed("value", "flow"))
+    return labelled, used

@@ -71,14 +71,15 @@ class Relaxation:
         self.shares = np.zeros(n)
         self.prices, self.sums = np.zeros(row), np.zeros(self.groups)
 
-    def with_fixed(self, v: int, state: int) -> Relaxation:
-        """A copy, with its shares and multipliers, in which a variable has one state."""
+    def with_fixed(self, states: dict[int, int]) -> Relaxation:
+        """A copy, with its shares and multipliers, in which some variables have one state."""
         other = copy.copy(self)
-        other.fixed, other.allowed = self.fixed | {v: state}, self.allowed.copy()
-        own = np.arange(self.first[v], self.first[v + 1])
-        other.allowed[own[own != self.first[v] + state]] = False
-        for at, states in self.entries.get(v, ()):
-            other.allowed[at + np.flatnonzero(states != state)] = False
+        other.fixed, other.allowed = self.fixed | states, self.allowed.copy()
+        for v, state in states.items():
+            own = np.arange(self.first[v], self.first[v + 1])
+            other.allowed[own[own != self.first[v] + state]] = False
+            for at, of in self.entries.get(v, ()):
+                other.allowed[at + np.flatnonzero(of != state)] = False
         return other
 
     def _reduced(self, prices: np.ndarray) -> np.ndarray:

@@ -187,7 +187,7 @@ def solve(problem: Problem, feasible: np.ndarray, limit: float = 2_000_000, gap:
         v = min(open_, key=lambda u: clear[u])
         for s in range(problem.sizes[v]):
             born += 1
-            heapq.heappush(queue, (bound, born, relaxed.with_fixed(v, s)))
+            heapq.heappush(queue, (bound, born, relaxed.with_fixed({v: s})))
     return best, labels, max(0.0, best - floor) / max(abs(best), 1e-9) if best < INFINITY / 2 else np.inf
 
 
@@ -203,7 +203,7 @@ def rounded(problem: Problem, relaxed: Relaxation, limit: float) -> tuple[float,
     """The best labelling with the clearest variables fixed, the others free as far as the limit lets them."""
     state, clear = relaxed.states()
     for least in (0.9, 0.7, 0.5, 0.3, 0.1):
-        fixed = relaxed.fixed | {v: int(state[v]) for v in range(len(state)) if clear[v] > least}
+        fixed = {v: int(state[v]) for v in range(len(state)) if clear[v] > least} | relaxed.fixed
         value, labels, exact = eliminate(problem, min(limit, 200_000), fixed)
         if exact and value < INFINITY / 2:
             return value, labels

@@ -46,6 +46,8 @@ class ConservationTracker:
     table entries up to which a component is solved exactly; beyond, its labelling is
     proven to lie within ``gap`` of the best one. A component that is not after
     ``time_limit`` seconds is an error, or with ``unproven`` a larger gap at its nodes.
+    Components of more than ``window_nodes`` nodes are solved in windows of frames, in up
+    to ``rounds`` rounds, see :mod:`windows`.
     Without ``constraints`` the model is written to the shared folder and an error follows:
     only the constrained model can be solved.
     """
@@ -71,6 +73,8 @@ class ConservationTracker:
     limit: int = 2_000_000
     time_limit: float = 1e75
     unproven: bool = False
+    window_nodes: int = 20_000
+    rounds: int = 20
     constraints: bool = True
 
     def build_graph(self, detections: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,7 +94,7 @@ class ConservationTracker:
         return nodes, found.withColumns({"a": graph.node_key(F.col("src_t"), F.col("src")), "b": graph.node_key(F.col("dst_t"), F.col("dst"))})
 
     def model(self) -> conservation.ConservationModel:
-        return conservation.ConservationModel(self.max_objects, self.divisions, self.tracklets, self.misdetections, self.allow_appearance, self.allow_disappearance, self.gap, self.limit, self.time_limit, self.unproven)
+        return conservation.ConservationModel(self.max_objects, self.divisions, self.tracklets, self.misdetections, self.allow_appearance, self.allow_disappearance, self.gap, self.limit, self.time_limit, self.unproven, self.window_nodes, self.rounds)
 
     def energies(self, nodes: DataFrame, arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The model as tables: costs of nodes by number of objects, and of arcs by flow."""
@@ -215,6 +219,8 @@ class ChaingraphTracker:
     limit: int = 200_000
     time_limit: float = 1e75
     unproven: bool = False
+    window_nodes: int = 20_000
+    rounds: int = 20
 
     def build_graph(self, detections: DataFrame) -> tuple[DataFrame, DataFrame]:
         nodes = detections.withColumn("node", graph.node_key(F.col("timestep"), F.col("id")))

@@ -7,7 +7,9 @@ import zlib
 from collections import Counter, defaultdict
 from types import SimpleNamespace
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from trackweave.llm import bpe, jaccard, langid, licenses, media, mixing, quality, sharding, suffixes, urls
@@ -753,3 +755,49 @@ def test_rows_without_ids_fill_many_blocks(spark):
     docs = spark.createDataFrame([(None, f"text number {k}", "s") for k in range(200)], "doc_id long, text string, source string")
     out = mixing.mix(docs, mixing.Mixing(block_tokens=30), carry=("text",)).collect()
     assert len(out) == 200 and len({r.text for r in out}) == 200 and len({r.block for r in out}) > 10
+
+
+# 7 urls: the same verdicts however many pages a branch has, and deep paths
+
+
+def sql_verdicts(pages, labels):
+    con = duckdb.connect()
+    con.register("p", pd.DataFrame(pages, columns=["page_id", "url"]))
+    con.register("l", pd.DataFrame(labels, columns=["doc_id", "quality", "toxic"]))
+    con.execute("CREATE VIEW pages AS SELECT * FROM p")
+    con.execute("CREATE VIEW labels AS SELECT * FROM l")
+    rows = con.execute(f"SELECT page_id, verdict, template, branch, purity FROM ({urls.oracle()})").fetchall()
+    return {r[0]: (r[1], r[2], r[3], round(r[4], 5)) for r in rows}
+
+
+def spark_verdicts(spark, pages, labels):
+    rows = urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), urls.page_labels(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))).collect()
+    return {r.page_id: (r.verdict, r.template, r.branch, round(r.purity, 5)) for r in rows}
+
+
+@pytest.mark.parametrize("deep", ["/a/b/c/d", ""])
+@pytest.mark.parametrize("each", [10, 20])
+def test_narrow_and_wide_branches_are_judged_alike(spark, deep, each):
+    pages, labels = [], []
+    for kind in ("spam", "good"):
+        for k in range(each):
+            pages.append((len(pages), f"http://h.test{deep}/{kind}/x{k}y"))
+            labels.append((len(pages) - 1, int(kind == "good"), 0))
+        pages.append((len(pages), f"http://h.test{deep}/{kind}/fresh"))
+    got = spark_verdicts(spark, pages, labels)
+    assert got == sql_verdicts(pages, labels)
+    assert [got[p][0] for p, u in pages if u.endswith("fresh")] == ["block", "allow"]
+
+
+def test_deep_paths_against_sql_one_level_a_segment(spark):
+    r = random.Random(11)
+    pages = [(k, "http://h.test/" + "/".join(r.choice("ab" if r.random() < 0.8 else "cdefg") for _ in range(r.randint(0, 8)))) for k in range(300)]
+    pages += [(300 + k, f"http://h.test/a/a/a/a/a/{r.choice('xyz')}/{r.choice('uv')}") for k in range(60)]
+    labels = [(k, int(len(u) % 3 > 0 or r.random() < 0.3), 0) for k, u in pages if r.random() < 0.7]
+    assert spark_verdicts(spark, pages, labels) == sql_verdicts(pages, labels)
+
+
+def test_a_very_deep_path_takes_few_rounds(spark):
+    pages = [(k, "http://h.test/" + "/".join(["s"] * 600 + [f"end{k}x"])) for k in range(3)] + [(9, "http://h.test/s/s")]
+    got = spark_verdicts(spark, pages, [(0, 0, 0), (1, 1, 0)])
+    assert set(got) == {0, 1, 2, 9}

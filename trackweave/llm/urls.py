@@ -3,7 +3,8 @@
 Each host is the root of a tree of path segments. Segments that look like numbers,
 hashes or dates become wildcards by their form; where a node has more than ``fanout``
 different children, the rare ones become wildcards, too. The tree is as deep as the
-longest path. A node counts the labels of its whole subtree; from the top down,
+longest path, one level a segment; where nodes follow each other as only children, their
+levels are reckoned at once. A node counts the labels of its whole subtree; from the top down,
 branches of one parent whose purities do not differ significantly are merged. A
 template is rejected if the purity of its merged branch, smoothed towards that of the
 branch above and so on up to its host's and the corpus's, is below ``least_purity``.
@@ -45,7 +46,7 @@ FORMS = [
 #: Levels of the tree in one plan.
 LEVELS = 4
 #: Levels that the SQL spells out; it is the oracle of paths of no more segments.
-DEPTH = 4
+DEPTH = 8
 
 
 @dataclass(frozen=True)
@@ -72,17 +73,28 @@ def rule(host: Column, path: Column) -> tuple[Column, Column]:
     return name, verdict
 
 
+def pieces(rest: Column, all_: Column) -> tuple[Column, Column]:
+    """The steps of ``rest``, cut where one of ``all_`` parts from it or ends, and how many segments each has."""
+    same = lambda other: F.array_position(F.zip_with(rest, other, lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False)) - 1
+    cuts = F.array_sort(F.array_distinct(F.filter(F.transform(all_, same), lambda n: n > 0)))
+    ends = F.array_distinct(F.array_append(cuts, F.size(rest).cast("long")))
+    begin = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(ends, i - 1))
+    levels = lambda end, i: (end - begin(i)).cast("int")
+    name = lambda end, i: F.concat(F.lit("/"), F.array_join(F.slice(rest, (begin(i) + 1).cast("int"), levels(end, i)), "/"))
+    return F.transform(ends, name), F.transform(ends, levels)
+
+
 def templates(paths: DataFrame, model: TemplateTree) -> DataFrame:
-    """Add ``template`` and its ``steps`` down the tree to paths(host, path, ...), whatever their depth.
+    """Add ``template``, its ``steps`` and their ``levels`` down the tree to paths(host, path, ...), whatever their depth.
 
     Every ``LEVELS`` levels the paths that end are set aside, and so are those below a
     node with at most ``fanout`` different rests: no node there is wide, so they keep
-    their segments, as one step.
+    their segments. Segments between two branchings are one step of several levels.
     """
     form = lambda s: F.coalesce(*[F.when(F.rlike(s, F.lit(p)), F.lit(w)) for p, w in FORMS], s)
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    names = [*paths.columns, "template", "steps"]
-    out = paths.withColumns({"_s": F.transform(segments, form), "template": F.lit(""), "steps": F.array().cast("array<string>")})
+    names = [*paths.columns, "template", "steps", "levels"]
+    out = paths.withColumns({"_s": F.transform(segments, form), "template": F.lit(""), "steps": F.array().cast("array<string>"), "levels": F.array().cast("array<int>")})
     ended = []
     while True:
         deepest = out.agg(F.max(F.size("_s"))).first()[0] or 0
@@ -97,16 +109,22 @@ def templates(paths: DataFrame, model: TemplateTree) -> DataFrame:
             step = F.when(F.col("_c").isNull(), F.lit("")).when(F.col("_rare"), F.lit("/*")).otherwise(F.concat(F.lit("/"), F.col("_c")))
             out = out.withColumn("_step", step)
             steps = F.when(F.col("_step") == "", F.col("steps")).otherwise(F.array_append("steps", F.col("_step")))
-            out = out.withColumns({"template": F.concat("template", "_step"), "steps": steps, "_s": F.slice("_s", 2, F.greatest(F.size("_s"), F.lit(1)))}).drop("_rare", "_c", "_step")
+            levels = F.when(F.col("_step") == "", F.col("levels")).otherwise(F.array_append("levels", F.lit(1)))
+            out = out.withColumns({"template": F.concat("template", "_step"), "steps": steps, "levels": levels, "_s": F.slice("_s", 2, F.greatest(F.size("_s"), F.lit(1)))}).drop("_rare", "_c", "_step")
         if deepest <= LEVELS:
             break
         out = materialize(out, "url-levels")
         ended.append(out.where(F.size("_s") == 0).select(*names))
         going = out.where(F.size("_s") > 0)
-        few = going.select("host", "template", "_s").distinct().groupBy("host", "template").agg((F.count(F.lit(1)) <= model.fanout).alias("_few"))
+        rests = materialize(going.groupBy("host", "template", "_s").agg(F.count(F.lit(1)).alias("n")), "url-rests")
+        few = rests.groupBy("host", "template").agg((F.count(F.lit(1)) <= model.fanout).alias("_few"))
         going = materialize(salted_join(going, few, ["host", "template"]), "url-levels")
+        # at most ``fanout`` rests a node
+        narrow = rests.join(few.where("_few"), ["host", "template"]).groupBy("host", "template").agg(F.collect_list("_s").alias("_all"))
         rest = F.concat(F.lit("/"), F.array_join("_s", "/"))
-        ended.append(going.where("_few").withColumns({"template": F.concat("template", rest), "steps": F.array_append("steps", rest)}).select(*names))
+        slow = salted_join(going.where("_few"), narrow, ["host", "template"])
+        more, levels = pieces(F.col("_s"), F.col("_all"))
+        ended.append(slow.withColumns({"template": F.concat("template", rest), "steps": F.concat("steps", more), "levels": F.concat("levels", levels)}).select(*names))
         out = going.where(~F.col("_few")).drop("_few")
     out = out.select(*names)
     for more in ended:
@@ -115,7 +133,7 @@ def templates(paths: DataFrame, model: TemplateTree) -> DataFrame:
 
 
 def branches(stats: DataFrame, corpus: float, model: TemplateTree) -> DataFrame:
-    """(host, node, branch, pooled) of every node of the tree, from stats(host, template, steps, n, k).
+    """(host, node, branch, pooled) of every node of the tree, from stats(host, template, steps, n, k[, levels]).
 
     A node counts the labels of its whole subtree. From the top down, siblings whose
     purities, smoothed by their parent's, do not differ significantly from one to the
@@ -125,8 +143,11 @@ def branches(stats: DataFrame, corpus: float, model: TemplateTree) -> DataFrame:
     """
     m = model.strength
     upto = lambda i: F.array_join(F.slice("steps", F.lit(1), i), "")
-    above = F.transform(F.sequence(F.lit(0), F.size("steps")), lambda i: F.struct(i.alias("depth"), upto(i).alias("node"), upto(F.greatest(i - 1, F.lit(0))).alias("parent")))
-    nodes = stats.select("host", "n", "k", F.inline(above)).groupBy("host", "node", "parent", "depth").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    if "levels" not in stats.columns:
+        stats = stats.withColumn("levels", F.transform("steps", lambda _: F.lit(1)))
+    levels = lambda i: F.when(i > 0, F.get("levels", i - 1)).otherwise(0)
+    above = F.transform(F.sequence(F.lit(0), F.size("steps")), lambda i: F.struct(i.alias("depth"), upto(i).alias("node"), upto(F.greatest(i - 1, F.lit(0))).alias("parent"), levels(i).alias("levels")))
+    nodes = stats.select("host", "n", "k", F.inline(above)).groupBy("host", "node", "parent", "depth", "levels").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     nodes = materialize(nodes, "url-nodes")
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
     level = nodes.where("depth = 0").select("host", "node", F.lit(0).alias("branch"), ((F.col("k") + m * F.lit(corpus)) / (F.col("n") + m)).alias("pooled"))
@@ -134,7 +155,7 @@ def branches(stats: DataFrame, corpus: float, model: TemplateTree) -> DataFrame:
     key = ["host", "parent"]
     for depth in range(1, deepest + 1):
         known = level.select("host", F.col("node").alias("parent"), F.col("pooled").alias("p"))
-        now = nodes.where(F.col("depth") == depth).select("host", "node", "parent", "n", "k")
+        now = nodes.where(F.col("depth") == depth).select("host", "node", "parent", "levels", "n", "k")
         now = salted_join(now, known, key).withColumn("purity", (F.col("k") + m * F.col("p")) / (F.col("n") + m))
         alike = now.groupBy(*key, "n", "k").agg(F.first("p").alias("p"), F.first("purity").alias("purity"), F.count(F.lit(1)).alias("c"))
         order = Window.partitionBy(*key).orderBy("purity", "n")
@@ -144,7 +165,12 @@ def branches(stats: DataFrame, corpus: float, model: TemplateTree) -> DataFrame:
         merged = begins.withColumn("branch", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int"))
         pooled = merged.groupBy(*key, "branch").agg(((F.sum(F.col("k") * F.col("c")) + m * F.first("p")) / (F.sum(F.col("n") * F.col("c")) + m)).alias("pooled"))
         found = salted_join(merged.select(*key, "n", "k", "branch"), pooled, [*key, "branch"])
-        level = materialize(salted_join(now.select(*key, "node", "n", "k"), found, [*key, "n", "k"]).select("host", "node", "branch", "pooled"), "url-branches")
+        placed = salted_join(now.select(*key, "node", "levels", "n", "k"), found, [*key, "n", "k"])
+        # further levels of a step are only children with the same counts, each smoothed by the one above
+        own = F.col("k") / F.greatest("n", F.lit(1))
+        down = F.when(F.col("n") == 0, F.col("pooled")).otherwise(own + (F.col("pooled") - own) * F.pow(m / (F.col("n") + m), F.col("levels") - 1))
+        longer = F.col("levels") > 1
+        level = materialize(placed.select("host", "node", F.when(longer, 0).otherwise(F.col("branch")).alias("branch"), F.when(longer, down).otherwise(F.col("pooled")).alias("pooled")), "url-branches")
         out = out.unionByName(level)
     return out
 
@@ -160,12 +186,12 @@ def judge_urls(pages: DataFrame, labels: DataFrame, model: TemplateTree | None =
     placed = materialize(placed, "urls")
     marks = labels.groupBy("page_id").agg(F.count("good").alias("labelled"), F.count_if("good").alias("good"))
     marked = placed.join(marks, "page_id", "left")
-    stats = marked.groupBy("host", "template").agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"), F.first("steps").alias("steps"))
+    stats = marked.groupBy("host", "template").agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"), F.first("steps").alias("steps"), F.first("levels").alias("levels"))
     stats = materialize(stats, "url-templates")
     every = stats.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     corpus = ((every.k or 0) + model.strength * model.prior) / ((every.n or 0) + model.strength)
     judged = branches(stats, corpus, model).select("host", F.col("node").alias("template"), "branch", F.round("pooled", 6).alias("purity"))
-    whole = salted_join(placed.drop("steps"), judged, ["host", "template"])
+    whole = salted_join(placed.drop("steps", "levels"), judged, ["host", "template"])
     fits, fixed = rule(F.col("host"), F.col("path"))
     verdict = F.coalesce(fixed, F.when(F.col("purity") < model.least_purity, "block").otherwise("allow"))
     return whole.select("page_id", "host", "path", fits.alias("rule"), verdict.alias("verdict"), "template", "branch", "purity")

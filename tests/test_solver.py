@@ -12,7 +12,8 @@ from trackweave.operators.mergers import bic, kmeans, mixture
 from trackweave.plans.chaingraph import build as build_chain
 from trackweave.plans.chaingraph import incoming_table, outgoing_table
 from trackweave.plans.chaingraph import solve_component as solve_chain
-from trackweave.plans.conservation import ConservationModel, build, single_objects, solve_component
+from trackweave.plans import windows
+from trackweave.plans.conservation import ConservationModel, build, single_objects, solve_component, windowed
 from trackweave.plans.flow import match
 from trackweave.plans.relaxation import Relaxation
 from trackweave.plans.solver import INFINITY, Problem, eliminate, solve
@@ -236,3 +237,36 @@ def test_kmeans_and_mixtures():
     centre, score = mixture(x, 2)
     assert sorted(centre[:, 0].round(6)) == [-5, 5] and np.isfinite(score)
     assert bic(score, 6, 2, 0.5) == pytest.approx(score / 6 - 1)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_windows_agree_with_the_whole(seed):
+    """Shares and labels passed from window to window close the gap to the best labelling of the whole."""
+    r = random.Random(seed)
+    frames, each, width = 12, 3, 4
+    at = lambda f, k: (f << 32) + k
+    nodes = pd.DataFrame([dict(node=at(f, k), e=[24.1, 3.6, 15.6], app=100.0 if f else 0.0, dis=100.0 if f < frames - 1 else 0.0, div0=r.uniform(0, 5), div1=r.uniform(0, 20)) for f in range(frames) for k in range(each)])
+    arcs = pd.DataFrame([dict(src=at(f, a), dst=at(f + 1, b), e=[r.uniform(0, 5), *[r.uniform(0, 40)] * 2]) for f in range(frames - 1) for a in range(each) for b in range(each) if a == b or r.random() < 0.4])
+    model = ConservationModel()
+    exact, _, ok = eliminate(build(nodes, arcs, model).problem)
+    assert ok
+    arcs["share"], arcs["label"], arcs["proposal"] = arcs.e, 0, 0
+    bound = -np.inf
+    for k in range(8):
+        place = lambda n, k=k: ((n >> 32) + k % 2 * (width // 2)) // width
+        solved = []
+        for w in sorted(set(map(place, nodes.node))):
+            own = nodes[[place(n) == w for n in nodes.node]]
+            near = arcs[[w in (place(a), place(b)) for a, b in zip(arcs.src, arcs.dst, strict=True)]]
+            solved.append((set(own.node), windows.solve_window(windowed(model), own, near, 0.001, 2e6)))
+        now, cost = sum(x.bound for _, x in solved), min(sum(x.better[0] for _, x in solved), sum(x.other[0] for _, x in solved))
+        other = cost < sum(x.better[0] for _, x in solved)
+        bound = max(bound, now)
+        assert now <= exact + 1e-6 <= cost + 2e-6
+        new = {a: (int((x.other if other else x.better)[1][v]), int(x.free[v]), x.shares.get(a)) for own, x in solved for a, v in x.part.arcs.items() if a[0] in own}
+        keys = list(zip(arcs.src, arcs.dst, strict=True))
+        arcs["label"], arcs["proposal"] = [new[a][0] for a in keys], [new[a][1] for a in keys]
+        arcs["share"] = [s if new[a][2] is None else list(new[a][2]) for a, s in zip(keys, arcs.share, strict=True)]
+        whole = build(nodes, arcs, model)
+        assert eliminate(whole.problem, np.inf, {whole.arcs[a]: new[a][0] for a in keys})[0] == pytest.approx(cost)
+    assert cost - bound <= 0.01 * abs(cost)

@@ -82,7 +82,7 @@ def ascend(part: Part, inside: dict[Arc, np.ndarray], costs: dict[Arc, np.ndarra
         if own > bound:  # shares go with the bound that they give
             shares = {k: paid(k, share) for k, share in inside.items()}
         rise, bound = found - bound, max(bound, own)
-        if apart < 1e-3 or 0 <= rise < 0.02 * gap * abs(bound):
+        if apart < 1e-3 or 0 <= rise < 0.1 * gap * abs(bound):
             break
     return bound, shares, relaxed
 

@@ -717,6 +717,51 @@ def chaingraph_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(labelled.where("cost <> 0").select("node", "cost", "gap"), "cost")
 
 
+#: Six neighbours within 50 make one component of all detections; the defaults of the tracker.
+WIDE = ChaingraphTracker()
+WIDE_ARCS = f"""{EMB}, pairs AS (SELECT a.timestep AS src_t, a.id AS src, b.timestep AS dst_t, b.id AS dst, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM emb a JOIN emb b ON b.timestep = a.timestep + 1),
+near AS (SELECT * FROM pairs WHERE d2 <= {WIDE.radius * WIDE.radius} QUALIFY row_number() OVER (PARTITION BY src_t, src ORDER BY d2, dst) <= {WIDE.neighbours}),
+e AS (SELECT (src_t::BIGINT << 32) + src AS src, (dst_t::BIGINT << 32) + dst AS dst FROM near),
+b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+r AS (SELECT node, node AS c FROM (SELECT (timestep::BIGINT << 32) + id AS node FROM emb) UNION SELECT b.dst, r.c FROM r JOIN b ON b.src = r.node WHERE r.c < b.dst),
+comp AS (SELECT node, min(c) AS component FROM r GROUP BY 1)"""
+
+
+def _wide(spark: SparkSession, sf_dir: str, **more: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(components, labelled nodes, labelled arcs) of all embeddings, labels proven to a gap of 0.01."""
+    tracker = replace(WIDE, **more)
+    nodes, arcs = tracker.build_graph(emb(spark, sf_dir))
+    labelled, used = tracker.infer(nodes, arcs)
+    links = used.select(F.col("a").alias("src"), F.col("b").alias("dst"), "active", "distance")
+    return graph.components(labelled.select("node"), links), labelled, links
+
+
+def _proofs(of: DataFrame, labelled: DataFrame, links: DataFrame) -> DataFrame:
+    """Size, cost and gap of each component, and whether its labels are allowed and have that cost."""
+    on = links.where("active")
+    out = on.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("o"), F.sum("distance").alias("d"), F.sum((F.col("distance") - WIDE.mean_division_distance) ** 2).alias("d2"))
+    into = on.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("i"))
+    met = labelled.select("node", "active", "cost", "gap").join(of, "node").join(out, "node", "left").join(into, "node", "left")
+    o, i = F.coalesce("o", F.lit(0)), F.coalesce("i", F.lit(0))
+    leaving = F.when(o == 0, WIDE.disappearance).when(o == 1, F.col("d")).otherwise(F.col("d2"))
+    own = F.when(F.col("active"), WIDE.detection + leaving + F.when(i == 0, WIDE.appearance).otherwise(0.0)).otherwise(WIDE.misdetection + WIDE.opportunity)
+    n_arcs = links.join(of.withColumnRenamed("node", "src"), "src").groupBy("component").agg(F.count(F.lit(1)).alias("n_arcs"))
+    found = met.groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("cost").alias("cost"), F.max("gap").alias("gap"), F.sum(own).alias("recounted"), F.bool_and((i <= 1) & (o <= 2) & (F.col("active") | ((i == 0) & (o == 0)))).alias("allowed"))
+    return found.join(n_arcs, "component", "left").select("component", "n_nodes", F.coalesce("n_arcs", F.lit(0)).alias("n_arcs"), "cost", "gap", ((F.col("gap") <= WIDE.gap) & (F.abs(F.col("recounted") - F.col("cost")) < 1e-6 * F.abs("cost"))).alias("proven"), "allowed")
+
+
+@register("chaingraph_wide")
+def chaingraph_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cost and gap of each component at six neighbours within 50."""
+    return rounded(_proofs(*_wide(spark, sf_dir)).drop("proven", "allowed"), "cost", "gap")
+
+
+@register("chaingraph_windows", f"WITH RECURSIVE {WIDE_ARCS} SELECT component, count(*) AS n_nodes, (SELECT count(*) FROM e JOIN comp x ON x.node = e.src WHERE x.component = comp.component) AS n_arcs, true AS proven, true AS allowed FROM comp GROUP BY component")
+def chaingraph_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same components in windows of about 250 detections: the gap is proven, the labels are allowed and cost what is said."""
+    return _proofs(*_wide(spark, sf_dir, window_nodes=250)).drop("cost", "gap")
+
+
 FORBIDDEN = 1000.0
 
 

@@ -1,5 +1,6 @@
 """Scenes with known energies and events, and the operators on small tables."""
 
+import random
 from dataclasses import replace
 
 import pytest
@@ -183,3 +184,39 @@ def test_round_trips(spark, tmp_path):
     (tmp_path / "a.txt").write_text("22 serialization::archive 9 0 2 2 0 0 0 0 1 0 0 0 2 0 0 0 3 com 3 0 1.5 2 3 5 count 1 0 7 3 1 0\n0 0 0 1 1 12.5 3 com 1 0\n1 2 4 2 0 3 com 3 0 -4 5e-1 6 5 count 1 0 8 3\n2 1 1 12.5 3 com\n")
     got = sorted((r.timestep, r.id, r.features) for r in graphs.read_archive(spark, str(tmp_path / "a.txt")).collect())
     assert got == [(0, 1, {"com": [1.5, 2.0, 3.0], "count": [7.0]}), (4, 2, {"com": [-4.0, 0.5, 6.0], "count": [8.0]})]
+
+
+@pytest.mark.parametrize("options", [candidates.Candidates(3, 5.0), candidates.Candidates(1, 5.0, True, True), candidates.Candidates(2, 50.0, True)])
+def test_crowded_frames_have_the_same_arcs(spark, options):
+    """Halved cells find what all pairs in range give: crowds, many at one place, ties, lone ones, null positions of nobody."""
+    r = random.Random(4)
+    rows = []
+    for t in range(3):
+        at = [(r.gauss(0, 0.3), r.gauss(0, 0.3), 0.0) for _ in range(260)] + [(1.0, 1.0, 0.0)] * 140 + [(r.uniform(-60, 60), r.uniform(-60, 60), 0.0) for _ in range(60)] + [(float(k % 5), float(k // 5), 0.0) for k in range(20)]
+        rows += [(t, k, *p, r.random()) for k, p in enumerate(at)]
+    table = spark.createDataFrame(rows, "timestep int, id long, x double, y double, z double, div_prob double")
+    key = lambda df: sorted((r.src_t, r.src, r.dst, round(r.distance, 9)) for r in df.collect())
+    assert candidates.crowded(table, tuple(F.col(c) for c in "xyz"), options.radius, max(2, options.neighbours), (0, 1)) > 0
+    found = key(candidates.arcs(table, options))
+    by_frame = {t: [x for x in rows if x[0] == t] for t in range(3)}
+    expected = set()
+    for t in range(2):
+        for turned in (False, True)[: 1 + options.forward_backward]:
+            near, far = (by_frame[t + 1], by_frame[t]) if turned else (by_frame[t], by_frame[t + 1])
+            for q in near:
+                k = options.neighbours if turned or not options.divisions or options.neighbours > 1 else 2 if q[5] > options.division_threshold else options.neighbours
+                d2 = sorted(((q[2] - p[2]) ** 2 + (q[3] - p[3]) ** 2, p[1]) for p in far)
+                for d, i in [x for x in d2 if x[0] <= options.radius**2][:k]:
+                    a, b = (i, q[1]) if turned else (q[1], i)
+                    expected.add((t, a, b, round(d**0.5, 9)))
+    assert found == sorted(expected)
+
+
+def test_a_crowded_frame_makes_few_pairs(spark):
+    n, k = 20_000, 6
+    rows = spark.range(2 * n).select((F.col("id") >= n).cast("int").alias("timestep"), "id", F.rand(1).alias("x"), F.rand(2).alias("y"), F.lit(0.0).alias("z"))
+    rows = graph.cut_lineage(rows, "crowd")
+    levels = candidates.crowded(rows, tuple(F.col(c) for c in "xyz"), 50.0, k, ())
+    found = candidates.nearest_in_range(rows, rows, tuple(F.col(c) for c in "xyz"), tuple(F.col(c) for c in "xyz"), 50.0, 1, k, k, levels)
+    out = graph.cut_lineage(found, "found")
+    assert out.count() == n * k and out.agg(F.max("d2")).first()[0] < 0.01

@@ -4,6 +4,10 @@ The join key is the frame and a grid cell as wide as the radius: a query row goe
 its own cell and those around it, so that each pair in range meets once and no frame
 is compared with itself as a whole. Axes along which all detections lie within the
 radius need no grid. Distances on the radius count; ties go by id.
+
+Where a cell holds many detections, nearest neighbours are not sought among all pairs in
+range: cells are halved until a query's own cell holds just enough, the distance to its
+k-th there bounds the search, and only cells within that distance are met.
 """
 
 from __future__ import annotations
@@ -59,6 +63,54 @@ def nearest(pairs: DataFrame, k: Column | int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Times ``k`` that a cell may hold before its frames are searched by halved cells.
+CROWD = 32
+#: Cells are halved so often at most.
+MOST_LEVELS = 40
+
+
+def crowded(targets: DataFrame, at: Point, radius: float, k: int, axes: tuple[int, ...]) -> int:
+    """How often cells of the radius should be halved, by the fullest one; 0 if all pairs in range are few enough."""
+    size = radius or 1.0
+    cells = targets.groupBy("timestep", *[F.floor(at[a] / size).alias(f"c{a}") for a in axes]).agg(F.count(F.lit(1)).alias("n"))
+    most = cells.agg(F.max("n")).first()[0] or 0
+    return 0 if most <= CROWD * max(k, 1) else min(MOST_LEVELS, (most // max(k, 1)).bit_length() + 1)
+
+
+def nearest_in_range(queries: DataFrame, targets: DataFrame, at: Point, to: Point, radius: float, shift: int, k: Column | int, most: int, levels: int) -> DataFrame:
+    """(timestep, id, other_timestep, other, d2, rank) of up to ``k`` (``most`` at most) nearest targets in range of each query.
+
+    ``levels`` as :func:`crowded` says. Of targets at one place only the first ``most`` by
+    id can be among the nearest of any query.
+    """
+    size = radius or 1.0
+    width = lambda level: F.lit(size) / F.pow(F.lit(2.0), level)
+    cells = lambda prefix: [f"{prefix}{a}" for a in range(3)]
+    place = [f"t{a}" for a in range(3)]
+    t = targets.select(F.col("timestep").alias("other_timestep"), F.col("id").alias("other"), *[c.alias(n) for n, c in zip(place, to, strict=True)])
+    t = t.withColumn("_r", F.row_number().over(Window.partitionBy("other_timestep", *place).orderBy("other"))).where(F.col("_r") <= most).drop("_r")
+    q = queries.select("timestep", "id", (F.col("timestep") + shift).alias("other_timestep"), *[c.alias(f"q{a}") for a, c in enumerate(at)], (F.lit(k) if isinstance(k, int) else k).alias("k"))
+    at_level = lambda rows, p: rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumns({f"c{a}": F.floor(F.col(f"{p}{a}") / width(F.col("level"))) for a in range(3)})
+    key = ["other_timestep", "level", *cells("c")]
+    counts = at_level(t, "t").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 1)
+    # the smallest cell of a query that holds enough targets
+    own = at_level(q, "q").join(counts, key).where(F.col("n") >= F.col("k")).groupBy("timestep", "id").agg(F.max("level").alias("level"))
+    placed = q.join(own, ["timestep", "id"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    # targets are needed in cells of the levels in use only
+    used = placed.select("other_timestep", "level").distinct()
+    t = at_level(t, "t").join(used, ["other_timestep", "level"], "left_semi")
+    d2 = squared_distance(tuple(F.col(f"q{a}") for a in range(3)), tuple(F.col(f"t{a}") for a in range(3)))
+    here = placed.where(F.col("level") > 0).withColumns({f"c{a}": F.floor(F.col(f"q{a}") / width(F.col("level"))) for a in range(3)}).join(t, key)
+    first = Window.partitionBy("timestep", "id").orderBy("d2", "other")
+    reach = here.withColumn("d2", d2).withColumn("r", F.row_number().over(first)).where(F.col("r") == F.col("k")).select("timestep", "id", F.least("d2", F.lit(radius * radius)).alias("reach2"))
+    near = placed.join(reach, ["timestep", "id"], "left").withColumn("reach2", F.coalesce("reach2", F.lit(radius * radius)))
+    for a in range(3):  # a little more, so that rounding leaves no cell out
+        far, w = F.sqrt("reach2") * (1 + 1e-9), width(F.col("level"))
+        near = near.withColumn(f"c{a}", F.explode(F.sequence(F.floor((F.col(f"q{a}") - far) / w), F.floor((F.col(f"q{a}") + far) / w))))
+    met = near.join(t, key).withColumn("d2", d2).where(F.col("d2") <= F.col("reach2"))
+    return met.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= F.col("k")).select("timestep", "id", "other_timestep", "other", "d2", "rank")
+
+
 def count_in_range(queries: DataFrame, targets: DataFrame, radius: float, shift: int = 1, reverse: bool = False) -> DataFrame:
     n = in_range(queries, targets, radius, shift, reverse).groupBy("timestep", "id").agg(F.count(F.lit(1)).alias("n"))
     return queries.select("timestep", "id").join(n, ["timestep", "id"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
@@ -76,13 +128,26 @@ def arcs(detections: DataFrame, options: Candidates | None = None) -> DataFrame:
     k: Column | int = o.neighbours
     # one table of pairs for both directions: either way a row stands at its corrected
     # position against the next frame's plain ones
-    forward = in_range(rows, rows, o.radius, 1, axes=wide_axes(rows, o.radius))
+    axes = wide_axes(rows, o.radius)
     if o.divisions and o.neighbours < 2:
         if "div_prob" not in rows.columns:
             raise ValueError("division-aware neighbours need div_prob")
         p = F.when(F.col("div_prob").isNull(), F.raise_error(F.lit("no feature divProb"))).otherwise(F.col("div_prob"))
+        k = F.when(p > o.division_threshold, 2).otherwise(o.neighbours)
+    most = max(2, o.neighbours) if isinstance(k, Column) else k
+    # many detections in one cell: each side seeks its nearest, not all pairs in range
+    if levels := crowded(rows, point(), o.radius, most, axes):
+        plain, shifted = point(), point(suffix="_corr")
+        chosen = nearest_in_range(rows, rows, shifted, plain, o.radius, 1, k, most, levels).drop("rank")
+        if o.forward_backward:
+            behind = nearest_in_range(rows, rows, plain, shifted, o.radius, -1, o.neighbours, o.neighbours, levels)
+            turned = behind.select(F.col("other_timestep").alias("timestep"), F.col("other").alias("id"), F.col("timestep").alias("other_timestep"), F.col("id").alias("other"), "d2")
+            chosen = chosen.unionByName(turned).dropDuplicates(["timestep", "id", "other_timestep", "other"])
+        return _found(chosen)
+    forward = in_range(rows, rows, o.radius, 1, axes=axes)
+    if isinstance(k, Column):
         # a frame's rows meet their pairs again by key
-        forward = forward.join(rows.select("timestep", "id", F.when(p > o.division_threshold, 2).otherwise(o.neighbours).alias("k")), ["timestep", "id"])
+        forward = forward.join(rows.select("timestep", "id", k.alias("k")), ["timestep", "id"])
         k = F.col("k")
     ahead = F.row_number().over(Window.partitionBy("timestep", "id").orderBy("d2", "other")) <= k
     if o.forward_backward:
@@ -90,7 +155,11 @@ def arcs(detections: DataFrame, options: Candidates | None = None) -> DataFrame:
         chosen = forward.withColumns({"_ahead": ahead, "_behind": behind}).where("_ahead OR _behind")
     else:
         chosen = forward.withColumn("_ahead", ahead).where("_ahead")
-    found = chosen.select(F.col("timestep").alias("src_t"), F.col("id").alias("src"), F.col("other_timestep").alias("dst_t"), F.col("other").alias("dst"), "d2")
+    return _found(chosen)
+
+
+def _found(pairs: DataFrame) -> DataFrame:
+    found = pairs.select(F.col("timestep").alias("src_t"), F.col("id").alias("src"), F.col("other_timestep").alias("dst_t"), F.col("other").alias("dst"), "d2")
     return found.withColumn("distance", F.sqrt("d2")).drop("d2")
 
 

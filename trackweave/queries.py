@@ -213,6 +213,16 @@ def arcs_divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(divisions_of(det(spark, sf_dir)), "distance")
 
 
+@register("arcs_crowded", f"""WITH {DET}, day AS (SELECT timestep // 24 AS timestep, id, x / 1000 AS x, y / 1000 AS y FROM det),
+pairs AS (SELECT a.timestep AS src_t, a.id AS src, b.timestep AS dst_t, b.id AS dst, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM day a JOIN day b ON b.timestep = a.timestep + 1),
+near AS (SELECT * FROM pairs WHERE d2 <= 2500 QUALIFY row_number() OVER (PARTITION BY src_t, src ORDER BY d2, dst) <= 3)
+SELECT src_t, src, dst_t, dst, round(sqrt(d2), 6) AS distance FROM near""")
+def arcs_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three nearest of the next day, of hundreds within the radius."""
+    rows = det(spark, sf_dir).withColumns({"timestep": F.floor(F.col("timestep") / 24).cast("int"), "x": F.col("x") / 1000, "y": F.col("y") / 1000})
+    return rounded(candidates.arcs(rows, candidates.Candidates(3, 50.0)), "distance")
+
+
 @register("degrees", f"WITH {GRAPH} SELECT timestep, id, (SELECT count(*) FROM arcs WHERE dst_t = timestep AND dst = id) AS in_degree, (SELECT count(*) FROM arcs WHERE src_t = timestep AND src = id) AS out_degree FROM det")
 def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = det(spark, sf_dir)

@@ -3,6 +3,7 @@
 import random
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,3 +221,19 @@ def test_a_crowded_frame_makes_few_pairs(spark):
     found = candidates.nearest_in_range(rows, rows, tuple(F.col(c) for c in "xyz"), tuple(F.col(c) for c in "xyz"), 50.0, 1, k, k, levels)
     out = graph.cut_lineage(found, "found")
     assert out.count() == n * k and out.agg(F.max("d2")).first()[0] < 0.01
+
+
+def test_archives_keep_names_scales_and_positions(spark, tmp_path):
+    rows = [(t, 10 * t + k, {"com": [1.5 + k, -2.0, 0.25], "feature2": [3.0], "a b": [], "count": [7e-05]} | ({"intmaxpos": [9.0, 1.0, 2.0, 3.0]} if k else {}), "intmaxpos" if k else "com", [1.0, 2.0, 12.3]) for t in range(3) for k in range(4)]
+    table = spark.createDataFrame(rows, "timestep int, id long, features map<string,array<float>>, locator string, scale array<double>")
+    for files in (1, 3):
+        path = str(tmp_path / f"archive{files}")
+        graphs.write_archive(table, path, files)
+        got = sorted((r.timestep, r.id, r.features, r.locator, r.scale, r.x, r.y, r.z) for r in graphs.read_archive(spark, path + "/*").collect())
+        single = lambda x: [float(np.float32(v)) for v in x]
+        expected = [(t, i, {n: single(v) for n, v in f.items()}, w, s, *((1.0, 4.0, 3 * 12.3) if w == "intmaxpos" else (f["com"][0], -4.0, 0.25 * 12.3))) for t, i, f, w, s in rows]
+        assert [x[:5] for x in got] == [x[:5] for x in expected]
+        assert [x[5:] for x in got] == [pytest.approx(x[5:]) for x in expected]
+    plain = str(tmp_path / "plain")
+    graphs.write_archive(table.select("timestep", "id", "features"), plain)
+    assert {(r.locator, tuple(r.scale)) for r in graphs.read_archive(spark, plain + "/*").collect()} == {("com", (1.0, 1.0, 1.0))}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -97,16 +99,84 @@ def write_text_detections(rows: DataFrame, path: str) -> None:
     rows.select(F.concat_ws(" ", F.col("timestep").cast("string"), F.col("id").cast("string"), F.array_join(pairs, " "))).write.mode("overwrite").text(path)
 
 
-#: How a text archive of detections writes key and first feature, and each feature.
-ARCHIVE_KEY = r"([0-9]+) (-?[0-9]+) (?:0 0 )?[0-9]+ 0 (?:0 0 )?[0-9]+ [A-Za-z]"
-ARCHIVE_FEATURE = r"(?<![:A-Za-z_])([A-Za-z_]+) ([0-9]+) 0((?: -?[0-9][-+.e0-9]*)*)"
+#: What a text archive starts with, and how it writes a detection up to its
+#: features (number, id, frame, number of features), the first one and others, and the scales of its position.
+ARCHIVE_HEAD = "22 serialization::archive 9 0 2 {} 0 0 0 0 "
+ARCHIVE_FIRST = r"22 serialization::archive [0-9]+ [0-9]+ [0-9]+ [0-9]+ 0 0 0 ([0-9]+) ([0-9]+) (-?[0-9]+) 0 0 ([0-9]+) 0 (?:0 0 )?"
+ARCHIVE_DETECTION = r"([0-9]+) ([0-9]+) (-?[0-9]+) ([0-9]+) 0 "
+ARCHIVE_LOCATOR = r"([0-9]+) (?:0 0 )?([^ ]+) ([^ ]+) ([^ ]+) [0-9]+ ([^ ]+)"
+#: Which values of a feature are its position.
+POSITIONS = {"com": 0, "com_corrected": 0, "intmaxpos": 1}
+ARCHIVED = "file string, number long, timestep int, id long, features map<string,array<float>>, scale array<double>, locator string"
+
+
+def archived(line: str) -> tuple | None:
+    """(number, timestep, id, features, scale, locator) of a line: a detection or, with null features, its locator."""
+    if found := re.match(ARCHIVE_FIRST, line) or re.match(ARCHIVE_DETECTION, line):
+        number, id_, timestep, many = map(int, found.groups())
+        at, features = found.end(), {}
+        for _ in range(many):  # the length says where a name ends, so any name can be read
+            length, _, rest = line[at:].partition(" ")
+            name = rest[: int(length)]
+            at += len(length) + 1 + int(length) + 1
+            n = line[at:].partition(" ")[0]
+            at += len(n) + 3  # a version, 0, stands before the values
+            values = line[at:].split(" ", int(n))[: int(n)]
+            at += sum(map(len, values)) + len(values)
+            features[name] = [float(x) for x in values]
+        # the locator's number is one more, but for the first
+        return number + (number > 0), timestep, id_, features, None, None
+    if found := re.match(ARCHIVE_LOCATOR, line):
+        number, *scale, name = found.groups()
+        return int(number), None, None, None, [float(x) for x in scale], name
+    return None
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Detections (timestep, id, features) of a text archive, one line a detection."""
-    lines = spark.read.text(path).where(F.rlike("value", F.lit(ARCHIVE_KEY)))
-    part = lambda k: F.regexp_extract_all("value", F.lit(ARCHIVE_FEATURE), F.lit(k))
-    values = F.transform(F.arrays_zip(part(2).alias("n"), part(3).alias("v")), lambda s: F.slice(F.split(F.trim(s["v"]), " "), F.lit(1), s["n"].cast("int")).cast("array<float>"))
-    features = F.map_from_arrays(part(1), values)
-    key = lambda k: F.regexp_extract("value", ARCHIVE_KEY, k)
-    return lines.select(key(2).cast("int").alias("timestep"), key(1).cast("long").alias("id"), features.alias("features"))
+    """Detections (timestep, id, features, locator, scale, x, y, z) of text archives, positions scaled as they say.
+
+    A detection's line is followed by that of its locator; both carry numbers that belong
+    together, so lines of large files can be read apart.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(file, *found) for file, line in zip(*map(pa.Array.to_pylist, batch.columns), strict=True) if (found := archived(line))]
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            features = pa.array([None if x is None else list(x.items()) for x in columns[4]], pa.map_(pa.string(), pa.list_(pa.float32())))
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), None, pa.list_(pa.float64()), pa.string()]
+            yield pa.RecordBatch.from_arrays([features if kind is None else pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], [x.split()[0] for x in ARCHIVED.split(", ")])
+
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), "value")
+    found = lines.mapInArrow(run, ARCHIVED)
+    # both lines of a detection in one row
+    whole = found.groupBy("file", "number").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("timestep", "id", "features", "locator", "scale")]).where("features IS NOT NULL")
+    start = F.coalesce(*[F.when(F.col("locator") == n, F.lit(k)) for n, k in POSITIONS.items()], F.lit(0))
+    value = lambda k: F.get(F.col("features")[F.col("locator")], start + k).cast("double") * F.get("scale", F.lit(k))
+    return whole.select("timestep", "id", "features", "locator", "scale", *[value(k).alias(axis) for k, axis in enumerate("xyz")])
+
+
+def write_archive(rows: DataFrame, path: str, files: int = 1) -> None:
+    """Text archives of rows(timestep, id, features[, locator, scale]), each detection in one of ``files`` files by hash.
+
+    Without a locator positions are ``com``, without scales they are 1.
+    """
+    locator = F.coalesce(F.col("locator"), F.lit("com")) if "locator" in rows.columns else F.lit("com")
+    scale = F.coalesce(F.col("scale"), F.array(*[F.lit(1.0)] * 3)) if "scale" in rows.columns else F.array(*[F.lit(1.0)] * 3)
+    written = lambda v: F.regexp_replace(v.cast("string"), r"\.0$", "")
+    text = lambda name: F.concat_ws(" ", F.length(name).cast("string"), name)
+    pair = lambda e: F.concat_ws(" ", text(e["key"]), F.size(e["value"]).cast("string"), F.lit("0"), F.when(F.size(e["value"]) > 0, F.array_join(F.transform(e["value"], written), " ")))
+    features = F.array_join(F.transform(F.array_sort(F.map_entries("features")), pair), " ")  # empty values leave no gap
+    file = F.pmod(F.xxhash64("timestep", "id"), F.lit(files)).cast("int")
+    placed = rows.select(file.alias("file"), "timestep", "id", features.alias("f"), F.size("features").cast("string").alias("n"), locator.alias("l"), F.array_join(F.transform(scale, written), " ").alias("s"))
+    of = Window.partitionBy("file")
+    placed = placed.withColumns({"r": F.row_number().over(of.orderBy("timestep", "id")), "all": F.count(F.lit(1)).over(of)})
+    first, number = F.col("r") == 1, 2 * F.col("r") - 3
+    key = lambda *more: F.concat_ws(" ", *[c if isinstance(c, Column) else F.lit(c) for c in more])
+    id_, t = F.col("id").cast("string"), F.col("timestep").cast("string")
+    before, after = ARCHIVE_HEAD.split("{}")
+    head = F.concat(F.lit(before), F.col("all").cast("string"), F.lit(after), key(id_, t, "0 0", F.col("n"), "0 0 0", F.col("f"), "3 1 0"))
+    line = F.when(first, head).otherwise(key(number.cast("string"), id_, t, F.col("n"), "0", F.col("f"), "3"))
+    where = F.when(first, key("0 0 0", F.col("s"), text(F.col("l")), "1 0")).otherwise(key((number + 1).cast("string"), F.col("s"), text(F.col("l"))))
+    lines = placed.select("file", "r", F.posexplode(F.array(line, where)).alias("p", "value"))
+    lines.repartition(files, "file").sortWithinPartitions("file", "r", "p").select("file", "value").write.partitionBy("file").text(path)

@@ -481,3 +481,50 @@ def test_weights_and_features_by_hand(spark):
         loglinear.weight_table(spark, [1.0])
     rows = spark.sql("SELECT map('cellness', array(0.7f)) AS features UNION ALL SELECT map('cellness', array(0.2f))")
     assert classifier.count_above(rows) == 1
+
+
+def test_trials_are_never_less_likely_and_the_same_however_dealt(spark):
+    r = np.random.default_rng(3)
+    spots = [(0, 0, 0), (1.5, 0, 0), (0.7, 1.2, 0)]
+    rows = [(g, [float(v) for v in r.normal(c, 0.5)]) for g in range(3) for c in spots for _ in range(15)]
+    points = spark.createDataFrame(rows, "group long, pixel array<double>")
+    one, many = ({(x.group, x.k): x.bic for x in mergers.priors_and_centres(points.repartition(n), 3, 0.1, 2, t).collect()} for n, t in ((3, 1), (3, 5)))
+    again = {(x.group, x.k): x.bic for x in mergers.priors_and_centres(points.repartition(1), 3, 0.1, 2, 5).collect()}
+    assert set(one) == set(many) and all(many[g] >= one[g] - 1e-9 for g in one) and many == again
+    assert any(many[g] > one[g] + 1e-6 for g in one)
+    pixels = points.select(F.lit(1).alias("timestep"), F.col("group").alias("id"), F.lit(3).alias("n_objects"), "pixel")
+
+    def likelihood(found):
+        out = {}
+        for x in found.collect():
+            out.setdefault(x.id, []).extend(map(tuple, x.pixels))
+        return {k: len(v) for k, v in out.items()}
+
+    assert likelihood(mergers.fit(pixels, 2, trials=4)) == {0: 45, 1: 45, 2: 45}
+    first, second = (sorted((x.id, x.k, tuple(x.centre)) for x in mergers.fit(pixels.repartition(n), 2, trials=4).collect()) for n in (1, 4))
+    assert first == second
+
+
+def test_a_long_run_of_mergers_takes_as_many_jobs_as_a_short_one(spark):
+    def jobs(length):
+        nodes = [(0, 1, 1, 0.0, 0.0, 0.0), (0, 2, 1, 9.0, 0.0, 0.0)] + [(t, 5, 2, 4.5, 0.0, 0.0) for t in range(1, length)]
+        arcs = [(0, 1, 1, 5), (0, 2, 1, 5)] + [(t, 5, t + 1, 5) for t in range(1, length - 1)]
+        pixels = [(t, 5, [x + d, 0.0, 0.0]) for t in range(1, length) for x in (0.0, 9.0) for d in (0.0, 0.5)]
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+        found = mergers.seeded_fit(spark.createDataFrame(pixels, "timestep int, id long, pixel array<double>"), spark.createDataFrame(nodes, "timestep int, id long, n_objects int, x double, y double, z double"), spark.createDataFrame(arcs, "src_t int, src long, dst_t int, dst long"))
+        rows = found.collect()
+        assert {(r.timestep, r.k): round(r.centre[0], 6) for r in rows} == {(t, k): 9.0 * k + 0.25 for t in range(1, length) for k in (0, 1)}
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before
+
+    short, long = jobs(4), jobs(60)
+    assert long <= short + 40  # rounds of components grow with the logarithm
+
+
+def test_ids_go_into_their_own_images(spark):
+    images = spark.createDataFrame([(t, [[0, t, t], [0, 0, 7]]) for t in (1, 2)], "image long, labels array<array<long>>")
+    rows = pixels.pixel_rows(images, 2)
+    where = spark.createDataFrame([(1, 9, [11, 20]), (1, 8, [11, 20]), (2, 5, [10, 22]), (2, 6, [99, 99])], "image long, id long, pixel array<int>")
+    got = {(r.image, *r.pos): r.label for r in pixels.update_many(rows, where, [10, 20]).collect()}
+    assert got == {(1, 0, 0): 0, (1, 0, 1): 1, (1, 0, 2): 1, (1, 1, 0): 9, (1, 1, 1): 0, (1, 1, 2): 7, (2, 0, 0): 0, (2, 0, 1): 2, (2, 0, 2): 5, (2, 1, 0): 0, (2, 1, 1): 0, (2, 1, 2): 7}
+    one = pixels.update(rows, where.where("image = 2").select("image", "pixel"), [10, 20], 4)
+    assert {(r.image, *r.pos) for r in one.where("label = 4").collect()} == {(2, 0, 2)}

@@ -110,34 +110,67 @@ def bic(score: float, n: int, k: int, weight: float) -> float:
 
 
 FITTED = "timestep int, id long, k int, centre array<double>, pixels array<array<double>>"
+TRIED = "timestep int, id long, trial int, score double, parts array<struct<k:int,centre:array<double>,pixels:array<array<double>>>>"
 
 
-def fit(pixels: DataFrame, n_dim: int = 3, method: str = "mixture") -> DataFrame:
+def drawn(points: np.ndarray, k: int, *seed: int) -> np.ndarray:
+    """``k`` of the points to start from, the same for the same seed and points."""
+    return points[np.random.default_rng([abs(x) for x in seed]).choice(len(points), k, replace=False)]
+
+
+def parted(pixels: np.ndarray, k: int, n_dim: int, seeds: np.ndarray | None, method: str) -> list[tuple[int, list, list]]:
+    """(number, centre, pixels) of each of k objects of sorted pixels."""
+    found, labels = fitted(pixels[:, :n_dim], k, seeds, method)
+    found = np.hstack([found, np.zeros((k, POINT - n_dim))])
+    return [(j, c.tolist(), pixels[labels == j].tolist()) for j, c in enumerate(found)]
+
+
+def fit(pixels: DataFrame, n_dim: int = 3, method: str = "mixture", trials: int = 1) -> DataFrame:
     """(timestep, id, k, centre, pixels) of mergers from pixels(timestep, id, n_objects, pixel[, seeds]).
 
     Each object gets the pixels that are most likely its own. With ``seeds``
     (array<array<double>>, null: none) the mixture starts there. A merger's pixels are
-    one group; more objects than pixels are an error.
+    one group; more objects than pixels are an error. With several ``trials`` further mixtures
+    start at pixels drawn by the merger's key, in groups of their own, and the most likely one counts.
     """
     seeded = "seeds" in pixels.columns
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def start(pdf: pd.DataFrame) -> tuple[np.ndarray, int, np.ndarray | None]:
         whole = np.array(pdf.pixel.tolist(), float)
-        whole = whole[np.lexsort(whole.T[::-1])]
-        points = whole[:, :n_dim]
         k, first = int(pdf.n_objects.iloc[0]), pdf.seeds.iloc[0] if seeded else None
         starts = np.array([list(x)[:n_dim] for x in first], float) if first is not None and len(first) == k else None
-        found, labels = fitted(points, k, starts, method)
-        found = np.hstack([found, np.zeros((k, POINT - n_dim))])
+        return whole[np.lexsort(whole.T[::-1])], k, starts
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole, k, starts = start(pdf)
+        rows = parted(whole, k, n_dim, starts, method)
         t, i = int(pdf.timestep.iloc[0]), int(pdf.id.iloc[0])
-        return pd.DataFrame([(t, i, j, c.tolist(), whole[labels == j].tolist()) for j, c in enumerate(found)], columns=["timestep", "id", "k", "centre", "pixels"])
+        return pd.DataFrame([(t, i, *x) for x in rows], columns=["timestep", "id", "k", "centre", "pixels"])
+
+    def attempt(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole, k, starts = start(pdf)
+        t, i, trial = int(pdf.timestep.iloc[0]), int(pdf.id.iloc[0]), int(pdf.trial.iloc[0])
+        if trial:
+            starts = drawn(whole[:, :n_dim], k, t, i, trial) if len(whole) >= k else None
+        score, parts = -np.inf, parted(whole, k, n_dim, starts, method) if not trial or starts is not None else []
+        try:
+            centre, likely, labels = labelled_mixture(whole[:, :n_dim], k, starts)
+            if np.isfinite(centre).all() and len(np.unique(labels)) == k:
+                score = likely
+        except np.linalg.LinAlgError:
+            pass
+        return pd.DataFrame([(t, i, trial, score, [dict(zip(("k", "centre", "pixels"), x, strict=True)) for x in parts])], columns=["timestep", "id", "trial", "score", "parts"])
 
-    return pixels.groupBy("timestep", "id").applyInPandas(run, FITTED)
+    if trials == 1 or method != "mixture":
+        return pixels.groupBy("timestep", "id").applyInPandas(run, FITTED)
+    tried = pixels.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).groupBy("timestep", "id", "trial").applyInPandas(attempt, TRIED)
+    best = tried.groupBy("timestep", "id").agg(F.max_by("parts", F.struct("score", -F.col("trial"))).alias("parts"))
+    return best.select("timestep", "id", F.inline("parts"))
 
 
-def centres(pixels: DataFrame, n_dim: int = 3, method: str = "mixture") -> DataFrame:
+def centres(pixels: DataFrame, n_dim: int = 3, method: str = "mixture", trials: int = 1) -> DataFrame:
     """(timestep, id, k, centre) of mergers from pixels(timestep, id, n_objects, pixel array<double>)."""
-    return fit(pixels, n_dim, method).drop("pixels")
+    return fit(pixels, n_dim, method, trials).drop("pixels")
 
 
 def seeded_fit(pixels: DataFrame, nodes: DataFrame, arcs: DataFrame, n_dim: int = 3) -> DataFrame:
@@ -145,30 +178,40 @@ def seeded_fit(pixels: DataFrame, nodes: DataFrame, arcs: DataFrame, n_dim: int
 
     nodes(timestep, id, n_objects, x, y, z) and arcs(src_t, src, dst_t, dst) are active,
     pixels(timestep, id, pixel) those of mergers; a merger without pixels is an error.
-    Mergers that follow mergers wait for them, so the number of rounds is the length of
-    the longest run of mergers. Without as many seeds as objects a mixture starts afresh.
+    Mergers that follow each other are one run, which one task walks in the order of frames:
+    the number of jobs does not grow with its length. Without as many seeds as objects a
+    mixture starts afresh.
     """
     key = ["timestep", "id"]
-    rows = pixels.select(*key, "pixel").join(nodes.where("n_objects > 1").select(*key, "n_objects"), key, "right")
-    rows = graph.cut_lineage(rows.withColumn("pixel", F.when(F.col("pixel").isNull(), F.raise_error(F.lit("a merger without pixels"))).otherwise(F.col("pixel"))), "pixels")
-    waiting = graph.cut_lineage(nodes.where("n_objects > 1").select(*key), "waiting")
-    into = arcs.join(waiting.withColumnsRenamed({"timestep": "dst_t", "id": "dst"}), ["dst_t", "dst"], "left_semi")
+    merged = nodes.where("n_objects > 1").select(*key, "n_objects", graph.node_key(F.col("timestep"), F.col("id")).alias("node"))
+    rows = pixels.select(*key, "pixel").join(merged, key, "right")
+    rows = rows.withColumn("pixel", F.when(F.col("pixel").isNull(), F.raise_error(F.lit("a merger without pixels"))).otherwise(F.col("pixel")))
+    ends = {e: (F.col(f"{e}_t").alias("timestep"), F.col(e).alias("id")) for e in ("src", "dst")}
+    into = arcs.join(merged.select(F.col("timestep").alias("dst_t"), F.col("id").alias("dst")), ["dst_t", "dst"], "left_semi")
     at = F.array(*[F.col(c).cast("double") for c in "xyz"])
-    alone = nodes.where("n_objects = 1").select(*key, F.lit(0).alias("k"), at.alias("centre"))
-    done = None
-    while not waiting.isEmpty():
-        before = into.join(waiting.withColumnsRenamed({"timestep": "src_t", "id": "src"}), ["src_t", "src"], "left_semi")
-        ready = waiting.join(before.select(F.col("dst_t").alias("timestep"), F.col("dst").alias("id")), key, "left_anti")
-        known = alone if done is None else alone.unionByName(done.select(*alone.columns))
-        met = into.join(known.withColumnsRenamed({"timestep": "src_t", "id": "src"}), ["src_t", "src"])
-        seeds = met.groupBy(F.col("dst_t").alias("timestep"), F.col("dst").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("src", "k", "centre"))), lambda s: s["centre"]).alias("seeds"))
-        found = graph.cut_lineage(fit(rows.join(ready, key).join(seeds, key, "left"), n_dim), "centres")
-        done = found if done is None else done.unionByName(found)
-        left = graph.cut_lineage(waiting.join(found.select(*key).distinct(), key, "left_anti"), "waiting")
-        if left.count() == waiting.count():
-            raise RuntimeError("mergers wait for each other")
-        waiting = left
-    return done if done is not None else nodes.sparkSession.createDataFrame([], FITTED)
+    alone = nodes.where("n_objects = 1").select(F.col("timestep").alias("src_t"), F.col("id").alias("src"), at.alias("centre"))
+    # predecessors of a merger: single ones with their positions, mergers without
+    before = into.join(alone, ["src_t", "src"], "left").join(merged.select(F.col("timestep").alias("src_t"), F.col("id").alias("src"), F.lit(True).alias("merger")), ["src_t", "src"], "left")
+    before = graph.cut_lineage(before.where("centre IS NOT NULL OR merger"), "before")
+    known = before.groupBy(*ends["dst"]).agg(F.collect_list(F.struct("src_t", "src", "centre")).alias("before"))
+    links = before.where("merger").select(graph.node_key(F.col("src_t"), F.col("src")).alias("src"), graph.node_key(F.col("dst_t"), F.col("dst")).alias("dst"))
+    of = graph.components(merged.select("node"), links).withColumnRenamed("component", "run")
+    whole = rows.join(of, "node").join(known, key, "left")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        done: dict[tuple[int, int], list[tuple[int, list, list]]] = {}
+        for (t, i), own in sorted(iter(pdf.groupby(key)), key=lambda x: x[0]):
+            points = np.array(own.pixel.tolist(), float)
+            points = points[np.lexsort(points.T[::-1])]
+            k, seeds = int(own.n_objects.iloc[0]), []
+            for x in own.before.iloc[0] if own.before.iloc[0] is not None else []:
+                parts = done[int(x["src_t"]), int(x["src"])] if x["centre"] is None else [(0, list(x["centre"]))]
+                seeds += [(int(x["src"]), p[0], list(p[1])) for p in parts]
+            starts = np.array([c[:n_dim] for _, _, c in sorted(seeds)], float) if len(seeds) == k else None
+            done[int(t), int(i)] = parted(points, k, n_dim, starts, "mixture")
+        return pd.DataFrame([(*name, *x) for name, parts in done.items() for x in parts], columns=["timestep", "id", "k", "centre", "pixels"])
+
+    return graph.cut_lineage(whole.groupBy("run").applyInPandas(walk, FITTED), "centres")
 
 
 def reassigned(pixels: DataFrame, parts: DataFrame, found: DataFrame) -> DataFrame:
@@ -181,20 +224,23 @@ def reassigned(pixels: DataFrame, parts: DataFrame, found: DataFrame) -> DataFra
     return pixels.select("timestep", "id", "pixel").join(of.select("timestep", "id").distinct(), ["timestep", "id"], "left_anti").unionByName(moved)
 
 
-def priors_and_centres(points: DataFrame, k_max: int, weight: float, n_dim: int = 3) -> DataFrame:
-    """(group, k, bic, centres) for 1..k_max components of points(group, pixel)."""
-    tried = points.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(k_max))))
+def priors_and_centres(points: DataFrame, k_max: int, weight: float, n_dim: int = 3, trials: int = 1) -> DataFrame:
+    """(group, k, bic, centres) for 1..k_max components of points(group, pixel), the most likely of some trials."""
+    tried = points.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(k_max)))).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.array(pdf.pixel.tolist(), float)[:, :n_dim]
         x = x[np.lexsort(x.T[::-1])]
-        k = int(pdf.k.iloc[0])
+        k, trial, group = int(pdf.k.iloc[0]), int(pdf.trial.iloc[0]), int(pdf.group.iloc[0])
+        names = ["group", "k", "trial", "bic", "centres"]
         if len(x) < k:
-            return pd.DataFrame(columns=["group", "k", "bic", "centres"])
-        found, score = mixture(x, k)
-        return pd.DataFrame([(int(pdf.group.iloc[0]), k, bic(score, len(x), k, weight), found.ravel().tolist())], columns=["group", "k", "bic", "centres"])
+            return pd.DataFrame(columns=names)
+        found, score = mixture(x, k, drawn(x, k, group, k, trial) if trial else None)
+        return pd.DataFrame([(group, k, trial, bic(score, len(x), k, weight), found.ravel().tolist())], columns=names)
 
-    return tried.groupBy("group", "k").applyInPandas(run, "group long, k int, bic double, centres array<double>")
+    all_ = tried.groupBy("group", "k", "trial").applyInPandas(run, "group long, k int, trial int, bic double, centres array<double>")
+    best = F.struct(F.when(F.isnan("bic"), F.lit(float("-inf"))).otherwise(F.col("bic")), -F.col("trial"))
+    return all_.drop("trial") if trials == 1 else all_.groupBy("group", "k").agg(F.max_by("bic", best).alias("bic"), F.max_by("centres", best).alias("centres"))
 
 
 def triangle_offset(k: Column) -> Column:

@@ -26,12 +26,25 @@ def extract(rows: DataFrame, objects: DataFrame, offsets: list[int]) -> DataFram
 
 
 def update(rows: DataFrame, pixels: DataFrame, offsets: list[int], id_: int) -> DataFrame:
-    """Write an id at pixels(pixel) less the offsets; pixels outside of the image are dropped."""
+    """Write an id at pixels(pixel) less the offsets; pixels outside of the image are dropped.
+
+    Pixels with an ``image`` go into that one; without, into every image of ``rows``.
+    """
+    if "image" in pixels.columns:
+        return update_many(rows, pixels.select("image", "pixel", F.lit(id_).alias("id")), offsets)
     shift = F.array(*map(F.lit, offsets))
     new = pixels.select(F.zip_with("pixel", shift, lambda a, b: (a - b).cast("int")).alias("pos")).distinct().withColumn("new", F.lit(id_).cast("long"))
     return rows.join(new, "pos", "left").select("image", "pos", F.coalesce("new", "label").alias("label"))
 
 
+def update_many(rows: DataFrame, pixels: DataFrame, offsets: list[int]) -> DataFrame:
+    """Write the ids of many objects, pixels(image, id, pixel), each into its own image; where two meet, the larger id."""
+    shift = F.array(*map(F.lit, offsets))
+    at = F.zip_with("pixel", shift, lambda a, b: (a - b).cast("int"))
+    new = pixels.select("image", at.alias("pos"), F.col("id").cast("long").alias("new")).groupBy("image", "pos").agg(F.max("new").alias("new"))
+    return rows.join(new, ["image", "pos"], "left").select("image", "pos", F.coalesce("new", "label").alias("label"))
+
+
 def extract_one(rows: DataFrame, image: int, offsets: list[int], timestep: int, id_: int, count: int) -> DataFrame:
     """(timestep, id, pixel) of one object of an image, given its frame, id and number of pixels."""
     one = rows.sparkSession.createDataFrame([(image, timestep, id_, count)], "image long, timestep int, id long, count long")

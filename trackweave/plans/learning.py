@@ -109,7 +109,10 @@ def smallest_weights(apart: np.ndarray, loss: np.ndarray, penalty: float, rounds
 
 
 def train(tracker: ChaingraphTracker, nodes: DataFrame, arcs: DataFrame, true_active: DataFrame, true_used: DataFrame, training: Training | None = None) -> tuple[dict[str, float], int]:
-    """(weights by name, rounds) from a built graph and what is on in truth: true_active(node), true_used(src, dst)."""
+    """(weights by name, rounds) from a built graph and what is on in truth: true_active(node), true_used(src, dst).
+
+    Weights that do not settle in ``training.rounds`` rounds are an error.
+    """
     training = training or Training()
     plain = tuple(graph.cut_lineage(x, "training") for x in tracker.energies(nodes, arcs))
     of = graph.cut_lineage(graph.components(plain[0].select("node"), plain[1]), "components")
@@ -124,4 +127,4 @@ def train(tracker: ChaingraphTracker, nodes: DataFrame, arcs: DataFrame, true_ac
             return dict(zip(WEIGHTS, w.tolist(), strict=True)), done
         apart, loss = np.vstack([apart, found]), np.append(loss, wrong)
         w = smallest_weights(apart, loss, training.penalty)
-    return dict(zip(WEIGHTS, w.tolist(), strict=True)), training.rounds
+    raise RuntimeError(f"weights did not settle in {training.rounds} rounds")

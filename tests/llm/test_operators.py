@@ -170,6 +170,55 @@ def test_whole_licence_files(spark):
     assert out == {1: "MIT", 2: "MIT", 3: "ISC", 4: "ISC", 5: None, 6: None}
 
 
+#: Title lines, tag and opening line of licenses as they are written, and their family.
+REAL = {
+    "Apache-2.0": ("Apache", ["Apache License", "Version 2.0, January 2004"], "Licensed under the Apache License, Version 2.0 (the \"License\");"),
+    "MIT": ("", ["MIT License"], "Permission is hereby granted, free of charge, to any person obtaining a copy"),
+    "GPL-1.0": ("GPL", ["GNU GENERAL PUBLIC LICENSE", "Version 1, February 1989"], "it under the terms of the GNU General Public License as published by"),
+    "GPL-2.0": ("GPL", ["GNU GENERAL PUBLIC LICENSE", "Version 2, June 1991"], "it under the terms of the GNU General Public License as published by"),
+    "GPL-3.0": ("GPL", ["GNU GENERAL PUBLIC LICENSE", "Version 3, 29 June 2007"], "it under the terms of the GNU General Public License as published by"),
+    "LGPL-2.1": ("LGPL", ["GNU LESSER GENERAL PUBLIC LICENSE", "Version 2.1, February 1999"], "under the terms of the GNU Lesser General Public License as published by"),
+    "LGPL-3.0": ("LGPL", ["GNU LESSER GENERAL PUBLIC LICENSE", "Version 3, 29 June 2007"], "under the terms of the GNU Lesser General Public License as published by"),
+    "AGPL-3.0": ("AGPL", ["GNU AFFERO GENERAL PUBLIC LICENSE", "Version 3, 19 November 2007"], "it under the terms of the GNU Affero General Public License as published by"),
+    "MPL-1.1": ("MPL", ["MOZILLA PUBLIC LICENSE", "Version 1.1"], "The contents of this file are subject to the Mozilla Public License Version 1.1"),
+    "MPL-2.0": ("MPL", ["Mozilla Public License Version 2.0"], "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    "BSD-2-Clause": ("BSD", ["BSD 2-Clause License"], "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    "BSD-3-Clause": ("BSD", ["BSD 3-Clause License"], "Redistribution and use in source and binary forms, with or without"),
+    "ISC": ("", ["ISC License"], "Permission to use, copy, modify, and/or distribute this software for any"),
+    "0BSD": ("", ["BSD Zero Clause License"], "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    "CC0-1.0": ("", ["Creative Commons Legal Code", "CC0 1.0 Universal"], "CC0 1.0 Universal"),
+    "CC-BY-4.0": ("", ["Creative Commons Attribution 4.0 International License"], "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    "CC-BY-SA-4.0": ("", ["Creative Commons Attribution-ShareAlike 4.0 International License"], "Licensed under CC BY-SA 4.0"),
+    "CC-BY-NC-SA-4.0": ("", ["Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"], "Licensed under CC BY-NC-SA 4.0"),
+    "CC-BY-3.0": ("", ["Creative Commons Attribution 3.0 License"], "This work is licensed under a Creative Commons Attribution 3.0 International License"),
+    "Unlicense": ("", ["The Unlicense"], "This is free and unencumbered software released into the public domain."),
+    "EPL-2.0": ("EPL", ["Eclipse Public License - v 2.0"], "made available under the terms of the Eclipse Public License 2.0"),
+    "EPL-1.0": ("EPL", ["Eclipse Public License - v 1.0"], "This license is the Eclipse Public License v1.0"),
+    "BSL-1.0": ("", ["Boost Software License - Version 1.0 - August 17th, 2003"], "Distributed under the Boost Software License, Version 1.0."),
+    "Zlib": ("", ["zlib License"], "This software is provided as-is; permission is granted to anyone to use it"),
+}
+
+
+def test_real_licenses_are_never_taken_for_others(spark):
+    rows, of = [], {}
+    for name, (_, title, opening) in REAL.items():
+        for text, path in (("\n".join(title) + "\n\n" + opening, "LICENSE"), ("\n".join(title), "COPYING"), (f"# {title[0]}", "x.py"), (opening, "y.c"), (f"// SPDX-License-Identifier: {name}\n", "z.c")):
+            of[len(rows)] = (name, path)
+            rows.append((len(rows), f"{len(rows)}/{path}", text))
+    got = {r.doc_id: r.own_license for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    for k, (name, path) in of.items():
+        allowed = {name, REAL[name][0] or name, None} if path != "z.c" else {name}
+        assert got[k] in allowed, (rows[k], got[k])
+    stated = {name for k, (name, path) in of.items() if path == "LICENSE" and got[k] == name}
+    assert stated >= {"Apache-2.0", "MIT", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "AGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "CC0-1.0", "CC-BY-4.0", "Unlicense", "EPL-2.0", "BSL-1.0"}
+
+
+def test_denied_licenses_and_tags(spark):
+    texts = ["This is not released under the MIT License", "It is no longer distributed under the Apache License, Version 2.0", "SPDX-License-Identifier: MIT OR Apache-2.0", "# SPDX-License-Identifier: EUPL-1.2", "SPDX-License-Identifier: GPL-2.0-or-later", "you may not use this; Released under the MIT License"]
+    got = {r.doc_id: r.own_license for r in licenses.license_scan(spark.createDataFrame([(k, f"{k}/a.c", t) for k, t in enumerate(texts)], "doc_id long, path string, text string")).collect()}
+    assert got == {0: None, 1: None, 2: "MIT OR Apache-2.0", 3: "EUPL-1.2", 4: "GPL-2.0", 5: got[5]} and got[5] in ("MIT", None)
+
+
 # 4 media
 
 

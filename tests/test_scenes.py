@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trackweave.functions import energies as en
 from trackweave.functions.geometry import FieldOfView
-from trackweave.operators import candidates, classifier, detections, events, graph, loglinear, mergers, pixels
+from trackweave.operators import candidates, classifier, detections, events, forest, graph, loglinear, mergers, pixels
 from trackweave.operators.hypotheses import HypothesesGraph
 from trackweave.plans import factors, learning
 from trackweave.plans.trackers import ChaingraphTracker, ConservationTracker
@@ -528,3 +528,27 @@ def test_ids_go_into_their_own_images(spark):
     assert got == {(1, 0, 0): 0, (1, 0, 1): 1, (1, 0, 2): 1, (1, 1, 0): 9, (1, 1, 1): 0, (1, 1, 2): 7, (2, 0, 0): 0, (2, 0, 1): 2, (2, 0, 2): 5, (2, 1, 0): 0, (2, 1, 1): 0, (2, 1, 2): 7}
     one = pixels.update(rows, where.where("image = 2").select("image", "pixel"), [10, 20], 4)
     assert {(r.image, *r.pos) for r in one.where("label = 4").collect()} == {(2, 0, 2)}
+
+
+def test_a_forest_of_rows(spark):
+    rows = [(t, k, {"size": [float(k)], "other": [float(k % 3), float(t)]}, int(k >= 10)) for t in range(2) for k in range(20)]
+    table = spark.createDataFrame(rows, "timestep int, id long, features map<string,array<float>>, label int")
+    grown = forest.grow(table.repartition(3), ["size", "other"], growth=forest.Growth(trees=4, depth=6, least=2))
+    nodes = {(r.tree, r.node): r for r in grown.collect()}
+    assert all(((t, 2 * n) in nodes) == ((t, 2 * n + 1) in nodes) == (r.feature is not None) for (t, n), r in nodes.items())
+    assert all(sum(r.shares) == pytest.approx(1) for r in nodes.values())
+
+    def walk(v):
+        out = []
+        for t in range(4):
+            n = 1
+            while (r := nodes[t, n]).feature is not None:
+                n = 2 * n + (v[r.feature] > r.threshold)
+            out.append(r.shares[1])
+        return sum(out) / len(out)
+
+    got = {(r.timestep, r.id): r.features["cellness"][0] for r in forest.predict(table, grown, ["size", "other"]).collect()}
+    assert got == {(t, k): pytest.approx(walk([*f["size"], *f["other"]]), abs=1e-6) for t, k, f, _ in rows}
+    assert np.mean([(got[t, k] > 0.5) == bool(y) for t, k, _, y in rows]) > 0.9
+    with pytest.raises(Exception, match="no such class"):
+        forest.predict(table, grown, ["size", "other"], cls=2).collect()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from trackweave.functions import calculators as calc
 from trackweave.functions import energies as en
 from trackweave.functions.geometry import FieldOfView, Point, angle, distance, point, reorder, sort_indices
-from trackweave.operators import candidates, classifier, detections, events, graph, loglinear, mergers, pixels
+from trackweave.operators import candidates, classifier, detections, events, forest, graph, loglinear, mergers, pixels
 from trackweave.plans.trackers import ChaingraphTracker, ConservationTracker
 from trackweave.sources.adapters import detections_from_embeddings, detections_from_events
 
@@ -901,3 +901,28 @@ def rf_cellness(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = classifier.train(rows.withColumn("label", (F.col("label") > 4).cast("int")), ["emb"])
     scored = classifier.predict(rows, model, ["emb"])
     return scored.select("id", F.round(F.get(F.col("features").getItem("cellness"), F.lit(0)).cast("double"), 6).alias("cellness"))
+
+
+GROWTH = forest.Growth(trees=6, depth=4)
+
+
+def forest_sql(g: forest.Growth) -> str:
+    """The forest of embeddings by label above 4, and each row's mean share of that class."""
+    parts = [f"p0 AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v, (label > 4)::INT AS y, t AS tree, 1::BIGINT AS node FROM embeddings, range({g.trees}) a(t))"]
+    for d in range(g.depth + 1):
+        split = f"n >= {g.least} AND ones > 0 AND ones < n AND a < b" if d < g.depth else "false"
+        parts.append(f"""n{d} AS (SELECT *, {split} AS split, (a + b) / 2 AS threshold FROM (SELECT tree, node, (tree * 31 + node * 17) % len(any_value(v)) + 1 AS f, count(*) AS n, sum(y) AS ones, min(v[(tree * 31 + node * 17) % len(v) + 1]) AS a, max(v[(tree * 31 + node * 17) % len(v) + 1]) AS b FROM p{d} GROUP BY tree, node)),
+l{d} AS (SELECT id, tree, ones / n AS share FROM p{d} JOIN n{d} USING (tree, node) WHERE NOT split)""")
+        if d < g.depth:
+            parts.append(f"p{d + 1} AS (SELECT id, v, y, tree, 2 * node + (v[f] > threshold)::INT AS node FROM p{d} JOIN n{d} USING (tree, node) WHERE split)")
+    leaves = " UNION ALL ".join(f"SELECT * FROM l{d}" for d in range(g.depth + 1))
+    return f"WITH {', '.join(parts)} SELECT id, round(avg(share), 5) AS cellness FROM ({leaves}) GROUP BY id"
+
+
+@register("forest_cellness", forest_sql(GROWTH))
+def forest_cellness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest grown on all embeddings, and the probability that it gives each of them."""
+    rows = emb(spark, sf_dir).withColumn("label", (F.col("label") > 4).cast("int"))
+    grown = forest.grow(rows, ["emb"], growth=GROWTH)
+    scored = forest.predict(rows, grown, ["emb"])
+    return scored.select("id", F.round(F.get(F.col("features").getItem("cellness"), F.lit(0)).cast("double"), 5).alias("cellness"))

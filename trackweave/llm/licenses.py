@@ -222,6 +222,18 @@ def tags(files: DataFrame) -> DataFrame:
     return files.select("doc_id", "path", F.explode(F.array_distinct(F.transform(found, plain))).alias("license"))
 
 
+def squared_counts(terms: Column) -> Column:
+    """The sum of the squared numbers of each different term."""
+    begin = F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum"))
+
+    def step(a: Column, t: Column) -> Column:
+        again = t == a["last"]
+        run = F.when(again, a["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(t.alias("last"), run.alias("run"), (a["sum"] + 2 * run - 1).alias("sum"))
+
+    return F.aggregate(F.array_sort(terms), begin, step, lambda a: a["sum"])
+
+
 def own_licenses(files: DataFrame, threshold: float = 0.7, templates: Templates | None = None) -> DataFrame:
     """(doc_id, path, own_license, own_score) of the rows of files(doc_id, path, text) that state one."""
     spark: SparkSession = files.sparkSession
@@ -238,16 +250,19 @@ def own_licenses(files: DataFrame, threshold: float = 0.7, templates: Templates
     units = F.when(by_name & F.rlike(text, F.lit(NO_GAP)), F.concat(headers, F.filter(F.array(head), lambda x: ~denied(x)), F.array(text))).otherwise(headers)
     each = files.where(by_name | F.rlike(text, F.lit(CUE))).select("doc_id", "path", F.explode(F.array_distinct(units)).alias("text"))
     # a unit goes by the hash of its text, which is not shuffled with every term
-    # once a unit, before its terms are exploded
+    # once a unit, before its terms are exploded: what it may state, and the sum of its squared counts
     unit = each.select("doc_id", "path", F.md5(F.col("text").cast("binary")).alias("unit"), F.lower("text").alias("low"))
     unit = unit.select("doc_id", "path", "unit", may_state(F.col("low"), templates).alias("allowed"), F.regexp_extract_all("low", F.lit(TERM), F.lit(0)).alias("terms"))
-    word = unit.select("doc_id", "path", "unit", "allowed", F.explode("terms").alias("term"))
-    tf = word.groupBy("doc_id", "path", "unit", "allowed", "term").agg(F.count(F.lit(1)).alias("tf"))
+    unit = unit.withColumn("squares", squared_counts(F.col("terms")))
     vocabulary = weights.select("term", "idf").distinct()
-    # the templates' terms: a table as small as the given templates
-    known = tf.join(F.broadcast(vocabulary), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen_idf(templates))))
+    # of the terms only the templates' own are shuffled; their table is as small as the given templates
+    keys = ["doc_id", "path", "unit", "allowed", "squares"]
+    known = unit.select(*keys, F.explode("terms").alias("term")).join(F.broadcast(vocabulary), "term")
+    tf = known.groupBy(*keys, "term", "idf").agg(F.count(F.lit(1)).alias("tf")).withColumn("w", F.col("tf") * F.col("idf"))
+    unseen = F.lit(unseen_idf(templates))
+    more = F.sum(F.col("tf") * F.col("tf") * (F.col("idf") * F.col("idf") - unseen * unseen))
+    bags = tf.groupBy(*keys).agg(F.sqrt(unseen * unseen * F.col("squares") + more).alias("norm"), F.collect_list(F.struct("term", "w")).alias("terms"))
     unit = ["doc_id", "path", "unit", "allowed"]
-    bags = known.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "w")).alias("terms"))
     matched = bags.select(*unit, "norm", F.inline("terms")).join(F.broadcast(weights.drop("idf")), "term")
     dots = matched.where(F.expr("shiftright(allowed, bit) & 1") == 1).groupBy(*unit, "license", "tier", "of", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.first("norm").alias("norm"))
     score = F.round(F.col("dot") / F.col("norm"), 6)

@@ -32,6 +32,8 @@ from trackweave.plans.solver import INFINITY, Arc, Part, Problem, eliminate, rou
 
 #: Looks at the bound of a window in one round.
 LOOKS = 20
+#: Times that a labelling is rounded from shares that follow the held arcs.
+ROUNDINGS = 2
 
 
 @dataclass(frozen=True)
@@ -94,7 +96,7 @@ def label_window(problem: Problem, relaxed: Relaxation, held: dict[int, int], li
         return value, labels
     here = relaxed.with_fixed(held)
     best = rounded(problem, here, limit)
-    for _ in range(4):
+    for _ in range(ROUNDINGS):
         here.improve()
         best = min(best, rounded(problem, here, limit), key=lambda x: x[0])
     return best
@@ -133,7 +135,8 @@ def solve_window(kind: Kind, nodes: pd.DataFrame, arcs: pd.DataFrame, gap: float
     free = label_window(part.problem, relaxed, {}, limit)
     known, labels, _ = eliminate(part.problem, np.inf, {v: label[k] for k, v in part.arcs.items()})
     known += sum((cost[k][label[k]] if k[0] in own else 0.0) - paid[k][label[k]] for k in cut)
-    better, other = with_held(label), with_held(proposal)
+    better = with_held(label)
+    other = better if all(label[k] == proposal[k] for k in cut) else with_held(proposal)
     if known <= better[0]:
         better = known, labels
     return Solved(part, bound, shares, free[1] if free[0] < INFINITY / 2 else labels, better, other)

@@ -79,6 +79,11 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) + F.lit(0.0) for n in names})
 
 
+def signed_round(v: Column, n: int) -> Column:
+    """Rounded as SQL rounds doubles: a negative value that becomes zero keeps its sign, which counts inside of arrays."""
+    return F.signum(v) * F.abs(F.round(v, n))
+
+
 def labelled(rows: DataFrame) -> DataFrame:
     return rows.select("timestep", "id", (1 + (F.col("id") % 11 == 0).cast("int")).alias("n_objects"), (F.col("div_prob") > 0.5).alias("divides"), F.when(F.col("id") % 13 == 0, F.floor(F.col("id") / 13)).alias("origin"))
 
@@ -150,7 +155,7 @@ def largest_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def argsort_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = sort_indices(F.col("embedding"))
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return rows.select(F.col("vec_id").alias("id"), order.alias("o"), F.transform(reorder(F.col("embedding"), order), lambda v: F.round(v.cast("double"), 6)).alias("v"))
+    return rows.select(F.col("vec_id").alias("id"), order.alias("o"), F.transform(reorder(F.col("embedding"), order), lambda v: signed_round(v.cast("double"), 6)).alias("v"))
 
 
 # field of view
@@ -355,7 +360,7 @@ def _calculated(key: str) -> Query:
         b = rows.select(F.col("id").alias("dst"), F.col("features").alias("fb"))
         two = a.join(b, b["dst"] == a["src"] + 1)
         of = [F.col("fa"), F.col("fb")][: 1 if key == "Identity" else 2]
-        value = F.transform(calc.extract(calc.calculator(key), "emb", *of), lambda q: F.round(q.cast("double"), 6) + F.lit(0.0))
+        value = F.transform(calc.extract(calc.calculator(key), "emb", *of), lambda q: signed_round(q.cast("double"), 6))
         return two.select("src", "dst", value.alias("v"))
 
     return run
@@ -569,7 +574,7 @@ def indicator(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mergers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = F.transform(F.slice("embedding", 1, 18), lambda v: F.round(v.cast("double"), 6))
+    packed = F.transform(F.slice("embedding", 1, 18), lambda v: signed_round(v.cast("double"), 6))
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.floor(F.col("vec_id") / 50).cast("int").alias("timestep"), F.col("vec_id").alias("id"), (1 + F.col("vec_id") % 3).cast("int").alias("n_objects"), packed.alias("possible_coms"))
 
 
@@ -625,7 +630,7 @@ def update_labelimage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("feature_vector", "SELECT vec_id AS id, list_transform(embedding, lambda v: round(v::DOUBLE, 6)) AS v FROM embeddings")
 def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = classifier.feature_vector(F.col("features"), ["missing", "emb"])
-    return emb(spark, sf_dir).select("id", F.transform(v, lambda x: F.round(x, 6)).alias("v"))
+    return emb(spark, sf_dir).select("id", F.transform(v, lambda x: signed_round(x, 6)).alias("v"))
 
 
 # trackers: the oracle tries every labelling of each component, which is small at this radius
@@ -873,7 +878,7 @@ def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _centres(found: DataFrame) -> DataFrame:
-    return found.withColumn("centre", F.transform("centre", lambda v: F.round(v, 4)))
+    return found.withColumn("centre", F.transform("centre", lambda v: signed_round(v, 4)))
 
 
 @register("merger_clusters", f"WITH {TENS}, {clusters_sql(2)} {CENTRES} FROM km2")
@@ -892,7 +897,7 @@ FIFTIES = f"{EMB}, pt AS MATERIALIZED (SELECT timestep AS g, row_number() OVER (
 @register("gmm_bic", f"WITH {FIFTIES}, {', '.join(f'{clusters_sql(k)}, {mixture_sql(k)}' for k in (1, 2, 3))} " + " UNION ALL ".join(f'SELECT g::BIGINT AS "group", {k} AS k, round(any_value(score) / any_value(n) - 0.5 * {k}, 4) AS bic, flatten(list([round(x, 3), round(y, 3), round(z, 3)] ORDER BY j)) AS centres FROM mix{k} GROUP BY g' for k in (1, 2, 3)))
 def gmm_bic(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mergers.priors_and_centres(emb(spark, sf_dir).select(F.col("timestep").cast("long").alias("group"), F.array("x", "y", "z").alias("pixel")), 3, 0.5)
-    return found.select("group", "k", F.round("bic", 4).alias("bic"), F.transform("centres", lambda v: F.round(v, 3)).alias("centres"))
+    return found.select("group", "k", F.round("bic", 4).alias("bic"), F.transform("centres", lambda v: signed_round(v, 3)).alias("centres"))
 
 
 @register("rf_cellness")

@@ -33,3 +33,13 @@ def test_rounded_zeros_keep_their_sign(spark, tmp_path, name):
     rows = [(i, [(-1e-7 if k % 5 == i % 5 else (k - 30) / 77) for k in range(64)], 0) for i in range(6)]
     rows = [(i, [x + k * 1e-12 for k, x in enumerate(v)], y) for i, v, y in rows]
     assert differences(spark, name, tmp_path, embeddings=spark.createDataFrame(rows, EMBEDDINGS)) == (Counter(), Counter())
+
+
+@pytest.mark.parametrize("name", ["chaingraph_events", "ctrack_events"])
+def test_equal_costs_take_the_first_arcs(spark, tmp_path, name):
+    # one detection, two at one place next, two at one place then; a and b to c and d on a line
+    rows, at = [], datetime(2024, 1, 1)
+    for k, (hour, user, value) in enumerate([(0, 10, 1.0), (1, 14, 2.5), (1, 14, 2.5), (2, 50, 1.0), (2, 50, 2.0), (3, 50, 3.5), (3, 50, 4.25), (4, 90, 1.0), (4, 90, 1.0), (5, 92, 1.0), (6, 500, 1.0)]):
+        rows.append((k, at + timedelta(hours=hour), user, "view", value, ""))
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    assert differences(spark, name, tmp_path, events=events) == (Counter(), Counter())

@@ -112,7 +112,7 @@ def solve_component(nodes: pd.DataFrame, arcs: pd.DataFrame, pairs: dict[tuple[i
         cost, on, used = without_divisions(nodes, arcs, options)
         return cost, 0.0, on, used
     part = build(nodes, arcs, pairs, options)
-    cost, labels, gap = solve(part.problem, nothing(part, options), gap=options.gap, limit=options.limit, seconds=options.time_limit)
+    cost, labels, gap = solve(part.problem, nothing(part, options), gap=options.gap, limit=options.limit, seconds=options.time_limit, order=[part.arcs[k] for k in sorted(part.arcs)])
     require_gap(cost, gap, options)
     return cost, gap, {n: bool(labels[v]) for n, v in part.nodes.items()}, {k: bool(labels[v]) for k, v in part.arcs.items()}
 

@@ -242,7 +242,7 @@ def solve_component(nodes: pd.DataFrame, arcs: pd.DataFrame, model: Conservation
     if found:
         (cost, labels), gap = found, 0.0
     else:
-        cost, labels, gap = solve(part.problem, np.zeros(len(part.problem.sizes), int), model.limit, model.gap, seconds=model.time_limit)
+        cost, labels, gap = solve(part.problem, np.zeros(len(part.problem.sizes), int), model.limit, model.gap, seconds=model.time_limit, order=[part.arcs[k] for k in sorted(part.arcs)])
     require_gap(cost, gap, model)
     objects, divides, flow = label_nodes(part, labels, model)
     return Solution(cost, gap, objects, divides, {name[k]: f for k, f in flow.items()})

@@ -43,3 +43,17 @@ def test_equal_costs_take_the_first_arcs(spark, tmp_path, name):
         rows.append((k, at + timedelta(hours=hour), user, "view", value, ""))
     events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
     assert differences(spark, name, tmp_path, events=events) == (Counter(), Counter())
+
+
+@pytest.mark.parametrize("name", ["arcs_crowded", "chaingraph_factors", "tracklet_graph", "resolve_mergers"])
+def test_growing_tables_are_not_broadcast(spark, tmp_path, capsys, name):
+    at = datetime(2024, 1, 1)
+    events = [(k, at + timedelta(hours=k % 48), k % 40, "view", k % 17 / 10, "") for k in range(400)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    vectors = [(k, [(k * (j + 3) % 101 - 50) / 200 for j in range(64)], 0) for k in range(200)]
+    spark.createDataFrame(vectors, EMBEDDINGS).write.parquet(f"{tmp_path}/embeddings.parquet")
+    QUERIES[name](spark, str(tmp_path)).explain()
+    plan = capsys.readouterr().out
+    # levels in use by frame are few whatever the input
+    sent = [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "LeftSemi" not in x]
+    assert "SortMergeJoin" in plan and not sent

@@ -54,7 +54,8 @@ def in_range(queries: DataFrame, targets: DataFrame, radius: float, shift: int,
         q = q.withColumn(f"c{k}", F.explode(F.sequence(cell(F.col(f"q{k}")) - 1, cell(F.col(f"q{k}")) + 1)))
     t = targets.select(F.col("timestep").alias("other_timestep"), F.col("id").alias("other"), *[c.alias(f"t{k}") for k, c in enumerate(to)], *[cell(to[k]).alias(f"c{k}") for k in axes])
     d2 = squared_distance(tuple(F.col(f"q{k}") for k in range(3)), tuple(F.col(f"t{k}") for k in range(3)))
-    pairs = q.join(t, ["other_timestep", *[f"c{k}" for k in axes]]).withColumn("d2", d2)
+    # merged, as all joins of tables that grow: a table sent to all passes through the driver
+    pairs = q.join(t.hint("merge"), ["other_timestep", *[f"c{k}" for k in axes]]).withColumn("d2", d2)
     return pairs.where(F.col("d2") <= radius * radius).select("timestep", "id", "other_timestep", "other", "d2")
 
 
@@ -94,20 +95,20 @@ def nearest_in_range(queries: DataFrame, targets: DataFrame, at: Point, to: Poin
     key = ["other_timestep", "level", *cells("c")]
     counts = at_level(t, "t").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 1)
     # the smallest cell of a query that holds enough targets
-    own = at_level(q, "q").join(counts, key).where(F.col("n") >= F.col("k")).groupBy("timestep", "id").agg(F.max("level").alias("level"))
-    placed = q.join(own, ["timestep", "id"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    own = at_level(q, "q").join(counts.hint("merge"), key).where(F.col("n") >= F.col("k")).groupBy("timestep", "id").agg(F.max("level").alias("level"))
+    placed = q.join(own.hint("merge"), ["timestep", "id"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
     # targets are needed in cells of the levels in use only
     used = placed.select("other_timestep", "level").distinct()
     t = at_level(t, "t").join(used, ["other_timestep", "level"], "left_semi")
     d2 = squared_distance(tuple(F.col(f"q{a}") for a in range(3)), tuple(F.col(f"t{a}") for a in range(3)))
-    here = placed.where(F.col("level") > 0).withColumns({f"c{a}": F.floor(F.col(f"q{a}") / width(F.col("level"))) for a in range(3)}).join(t, key)
+    here = placed.where(F.col("level") > 0).withColumns({f"c{a}": F.floor(F.col(f"q{a}") / width(F.col("level"))) for a in range(3)}).join(t.hint("merge"), key)
     first = Window.partitionBy("timestep", "id").orderBy("d2", "other")
     reach = here.withColumn("d2", d2).withColumn("r", F.row_number().over(first)).where(F.col("r") == F.col("k")).select("timestep", "id", F.least("d2", F.lit(radius * radius)).alias("reach2"))
-    near = placed.join(reach, ["timestep", "id"], "left").withColumn("reach2", F.coalesce("reach2", F.lit(radius * radius)))
+    near = placed.join(reach.hint("merge"), ["timestep", "id"], "left").withColumn("reach2", F.coalesce("reach2", F.lit(radius * radius)))
     for a in range(3):  # a little more, so that rounding leaves no cell out
         far, w = F.sqrt("reach2") * (1 + 1e-9), width(F.col("level"))
         near = near.withColumn(f"c{a}", F.explode(F.sequence(F.floor((F.col(f"q{a}") - far) / w), F.floor((F.col(f"q{a}") + far) / w))))
-    met = near.join(t, key).withColumn("d2", d2).where(F.col("d2") <= F.col("reach2"))
+    met = near.join(t.hint("merge"), key).withColumn("d2", d2).where(F.col("d2") <= F.col("reach2"))
     return met.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= F.col("k")).select("timestep", "id", "other_timestep", "other", "d2", "rank")
 
 
@@ -147,7 +148,7 @@ def arcs(detections: DataFrame, options: Candidates | None = None) -> DataFrame:
     forward = in_range(rows, rows, o.radius, 1, axes=axes)
     if isinstance(k, Column):
         # a frame's rows meet their pairs again by key
-        forward = forward.join(rows.select("timestep", "id", k.alias("k")), ["timestep", "id"])
+        forward = forward.join(rows.select("timestep", "id", k.alias("k")).hint("merge"), ["timestep", "id"])
         k = F.col("k")
     ahead = F.row_number().over(Window.partitionBy("timestep", "id").orderBy("d2", "other")) <= k
     if o.forward_backward:

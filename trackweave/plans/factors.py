@@ -44,7 +44,7 @@ def chaingraph_tables(costs: DataFrame, moves: DataFrame, pairs: DataFrame, forb
     out = arcs.groupBy(F.col("src").alias("node")).agg(F.sort_array(F.collect_list(F.struct("dst", "var", "move"))).alias("out"))
     into = arcs.groupBy(F.col("dst").alias("node")).agg(F.sort_array(F.collect_list(F.struct("src", "var"))).alias("into"))
     two = pairs.groupBy(F.col("src").alias("node")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("-", "d1", "d2"), "division"))).alias("two"))
-    rows = costs.join(out, "node", "left").join(into, "node", "left").join(two, "node", "left")
+    rows = costs.join(out.hint("merge"), "node", "left").join(into.hint("merge"), "node", "left").join(two.hint("merge"), "node", "left")
     rows = rows.withColumns({"out": F.coalesce("out", F.array().cast(out.schema["out"].dataType)), "into": F.coalesce("into", F.array().cast(into.schema["into"].dataType))})
     me = node_var(F.col("node"))
     factor = lambda kind: F.concat(F.lit(kind + ":"), F.col("node").cast("string"))

@@ -125,11 +125,11 @@ class ConservationTracker:
             raise NotImplementedError(f"a model without constraints has no solver; its tables are at {paths}")
         of = graph.components(costs.select("node"), flows)
         linked = flows.select(F.col("src").alias("node")).union(flows.select("dst")).distinct().withColumn("tied", F.lit(True))
-        ready = costs.join(of, "node").join(linked, "node", "left").withColumn("alone", F.col("tied").isNull())
-        mine = flows.join(of.withColumnRenamed("node", "src"), "src")
+        ready = costs.join(of.hint("merge"), "node").join(linked.hint("merge"), "node", "left").withColumn("alone", F.col("tied").isNull())
+        mine = flows.join(of.withColumnRenamed("node", "src").hint("merge"), "src")
         labels, carried = conservation.infer(ready.drop("tied", "timestep", "id"), mine, self.model())
-        out = nodes.join(labels, "node")
-        used = arcs.join(carried.withColumnsRenamed({"src": "a", "dst": "b"}), ["a", "b"])
+        out = nodes.join(labels.hint("merge"), "node")
+        used = arcs.join(carried.withColumnsRenamed({"src": "a", "dst": "b"}).hint("merge"), ["a", "b"])
         out = graph.cut_lineage(out, "labels")
         show_gap(out, "conservation")
         return out, graph.cut_lineage(used.withColumn("active", F.col("flow") > 0), "flows")
@@ -237,10 +237,10 @@ class ChaingraphTracker:
         costs = nodes.select("node", det.alias("det"), non.alias("non"), cost(self.appearance).alias("app"), cost(self.disappearance).alias("dis"), cost(self.opportunity).alias("opp"))
         at = nodes.select("node", "x", "y", "z")
         moves = arcs.select(F.col("a").alias("src"), F.col("b").alias("dst"), cost(self.move).alias("move"))
-        three = moves.alias("l").join(moves.alias("r"), F.col("l.src") == F.col("r.src")).where("l.dst < r.dst")
+        three = moves.alias("l").join(moves.alias("r").hint("merge"), F.col("l.src") == F.col("r.src")).where("l.dst < r.dst")
         three = three.select(F.col("l.src").alias("src"), F.col("l.dst").alias("d1"), F.col("r.dst").alias("d2"))
         for name, key in (("m", "src"), ("p", "d1"), ("q", "d2")):
-            three = three.join(at.select(F.col("node").alias(key), *[F.col(c).alias(f"{name}{c}") for c in "xyz"]), key)
+            three = three.join(at.select(F.col("node").alias(key), *[F.col(c).alias(f"{name}{c}") for c in "xyz"]).hint("merge"), key)
         by_geometry = en.division_by_geometry(point("m"), point("p"), point("q"), self.mean_division_distance, self.least_angle)
         return costs, moves, three.select("src", "d1", "d2", (cost(self.division) if self.division else by_geometry).alias("division"))
 
@@ -248,10 +248,11 @@ class ChaingraphTracker:
         arcs = graph.cut_lineage(arcs, "arcs")
         costs, moves, pairs = (graph.cut_lineage(x, "chaingraph") for x in self.energies(nodes, arcs))
         of = graph.components(costs.select("node"), moves)
-        labels, used = chaingraph.infer(costs.join(of, "node"), moves.join(of.withColumnRenamed("node", "src"), "src"), pairs.join(of.withColumnRenamed("node", "src"), "src"), self)
-        out = graph.cut_lineage(nodes.join(labels, "node"), "labels")
+        by_src = of.withColumnRenamed("node", "src").hint("merge")
+        labels, used = chaingraph.infer(costs.join(of.hint("merge"), "node"), moves.join(by_src, "src"), pairs.join(by_src, "src"), self)
+        out = graph.cut_lineage(nodes.join(labels.hint("merge"), "node"), "labels")
         show_gap(out, "chaingraph")
-        return out, graph.cut_lineage(arcs.join(used.withColumnsRenamed({"src": "a", "dst": "b"}), ["a", "b"]), "used")
+        return out, graph.cut_lineage(arcs.join(used.withColumnsRenamed({"src": "a", "dst": "b"}).hint("merge"), ["a", "b"]), "used")
 
     def track(self, nodes: DataFrame, arcs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         ends = nodes.agg(F.min("timestep").alias("a"), F.max("timestep").alias("b")).first()
@@ -271,6 +272,7 @@ class ChaingraphTracker:
         """The model as variables and table entries, see :func:`factors.chaingraph_tables`."""
         if not self.detection_variables:
             raise ValueError("explicit tables need detection variables")
+        arcs = graph.cut_lineage(arcs, "arcs")
         return factors.chaingraph_tables(*self.energies(nodes, arcs), self.forbidden, self.divisions)
 
     def with_time_limit(self, seconds: float) -> ChaingraphTracker:

@@ -36,16 +36,17 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Dat
     Each round gives a node the least label among its neighbours and jumps once along
     labels, so that long chains take a number of rounds logarithmic in their length.
     """
-    both = cut_lineage(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "edges")
+    ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    both = cut_lineage(edges.select(F.inline(ways)).distinct(), "edges")  # one pass: what the edges come from may be dear
     labels = cut_lineage(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     for _ in range(most_rounds):
-        near = both.join(labels, both["dst"] == labels["node"]).groupBy("src").agg(F.min("label").alias("m"))
-        hooked = labels.join(near, labels["node"] == near["src"]).select("node", "label", F.least("label", "m").alias("m"))
+        near = both.join(labels.hint("merge"), both["dst"] == labels["node"]).groupBy("src").agg(F.min("label").alias("m"))
+        hooked = labels.join(near.hint("merge"), labels["node"] == near["src"]).select("node", "label", F.least("label", "m").alias("m"))
         # the old root learns of the lower label that any of its nodes has seen, and labels jump one step
         lower = hooked.groupBy(F.col("label").alias("root")).agg(F.min("m").alias("r"))
-        stepped = hooked.join(lower, hooked["label"] == lower["root"]).select("node", "label", F.least("m", "r").alias("next"))
+        stepped = hooked.join(lower.hint("merge"), hooked["label"] == lower["root"]).select("node", "label", F.least("m", "r").alias("next"))
         parent = stepped.select(F.col("node").alias("p"), F.col("next").alias("pp"))
-        jumped = stepped.join(parent, stepped["next"] == parent["p"], "left")
+        jumped = stepped.join(parent.hint("merge"), stepped["next"] == parent["p"], "left")
         step = cut_lineage(jumped.select("node", F.least("next", F.coalesce("pp", "next")).alias("label"), F.col("label").alias("was")), "labels")
         changed = step.where("label <> was").limit(1).count()
         labels = step.select("node", "label")
@@ -53,28 +54,29 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Dat
             break
     else:
         raise RuntimeError("components did not settle")
-    return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("component"))
+    return nodes.join(labels.hint("merge"), "node", "left").select("node", F.coalesce("label", "node").alias("component"))
 
 
 def chains(nodes: DataFrame, arcs: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, head, place) of maximal unambiguous chains in nodes(node), arcs(src, dst).
 
     A node joins its predecessor if that is its only one and has no other successor.
-    Pointers double each round.
+    Pointers double each round; only nodes that join one take part, and arcs are read once.
     """
+    arcs = cut_lineage(arcs.select("src", "dst"), "chain-arcs")
     one_out = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("o"))
     one_in = arcs.groupBy("dst").agg(F.count(F.lit(1)).alias("i"))
     links = arcs.join(one_out.where("o = 1").select("src"), "src", "left_semi").join(one_in.where("i = 1").select("dst"), "dst", "left_semi")
     links = links.select(F.col("dst").alias("node"), F.col("src").alias("up"))
-    now = nodes.select("node").join(links, "node", "left").select("node", F.coalesce("up", "node").alias("head"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("place"))
-    now = cut_lineage(now, "chains")
+    now = cut_lineage(links.select("node", F.col("up").alias("head"), F.lit(1).cast("long").alias("place")), "chains")
     for _ in range(most_rounds):
         up = now.select(F.col("node").alias("head"), F.col("head").alias("h2"), F.col("place").alias("p2"))
-        step = cut_lineage(now.join(up, "head").select("node", F.col("h2").alias("head"), (F.col("place") + F.col("p2")).alias("place"), F.col("p2")), "chains")
+        step = now.join(up.hint("merge"), "head", "left").select("node", F.coalesce("h2", "head").alias("head"), (F.col("place") + F.coalesce("p2", F.lit(0))).alias("place"), "p2")
+        step = cut_lineage(step, "chains")
         moved = step.where("p2 > 0").limit(1).count()
         now = step.drop("p2")
         if not moved:
-            return now
+            return nodes.select("node").join(now.hint("merge"), "node", "left").select("node", F.coalesce("head", "node").alias("head"), F.coalesce("place", F.lit(0)).cast("long").alias("place"))
     raise RuntimeError("chains did not settle")
 
 
@@ -83,12 +85,13 @@ def tracklets(nodes: DataFrame, arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``arcs`` has src, dst and distance; an arc between chains keeps its own ends.
     """
+    arcs = cut_lineage(arcs, "arcs")
     of = chains(nodes, arcs)
     members = of.groupBy("head").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "node"))), lambda s: s["node"]).alias("members"))
     a, b = of.select(F.col("node").alias("src"), F.col("head").alias("src_head")), of.select(F.col("node").alias("dst"), F.col("head").alias("dst_head"), "place")
-    placed = arcs.join(a, "src").join(b, "dst")
+    placed = arcs.join(a.hint("merge"), "src").join(b.hint("merge"), "dst")
     inside = placed.where("src_head = dst_head").groupBy(F.col("src_head").alias("head")).agg(F.sort_array(F.collect_list(F.struct("place", "distance", "src", "dst"))).alias("inner"))
-    contracted = members.join(inside, "head", "left").select(
+    contracted = members.join(inside.hint("merge"), "head", "left").select(
         "head",
         "members",
         F.coalesce(F.transform("inner", lambda s: s["distance"]), F.array().cast("array<double>")).alias("intern_dist"),

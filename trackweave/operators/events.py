@@ -70,6 +70,7 @@ def multi_frame_moves(nodes: DataFrame, arcs: DataFrame, earliest: int, most_rou
     Pointers double each round, so any number of frames may lie between; a way that
     ends at a resolved node gives no move, and a cycle is an error.
     """
+    arcs = graph.cut_lineage(arcs, "arcs")  # read twice
     first = arcs.groupBy("src_t", "src").agg(F.min(F.struct("dst_t", "dst")).alias("n"))
     resolved = nodes.where("origin IS NOT NULL").select("timestep", "id")
     hit = resolved.select(F.col("timestep").alias("dst_t"), F.col("id").alias("dst"))

@@ -7,7 +7,8 @@ arc costs and of costs of pairs of arcs; components are solved in parallel.
 
 from __future__ import annotations
 
-from typing import Any
+from collections import defaultdict
+from typing import Any, NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from trackweave.operators.graph import cut_lineage
 from trackweave.plans import windows
 from trackweave.plans.flow import match
-from trackweave.plans.solver import INFINITY, Arc, Part, Problem, add_running_sum, calls, require_gap, solve
+from trackweave.plans.solver import INFINITY, Arc, Part, Problem, Rows, add_running_sum, by_component, calls, require_gap, solve
 
 
 def outgoing_table(move: list[float], division: dict[tuple[int, int], float], dis: float, opp: float, forbidden: float, divisions: bool) -> np.ndarray:
@@ -127,6 +128,12 @@ def windowed(options: Any) -> windows.Kind:
     return windows.Kind(make, lambda row: np.zeros(2), lambda part, labels: {n: (int(labels[v]), False) for n, v in part.nodes.items()})
 
 
+class Move(NamedTuple):
+    src: int
+    dst: int
+    move: float
+
+
 RESULT = "node long, dst long, active boolean, cost double, gap double"
 
 
@@ -137,19 +144,21 @@ def infer(nodes: DataFrame, arcs: DataFrame, pairs: DataFrame, options: Any) ->
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows: list[tuple] = []
-        of = dict(iter(right.groupby("part")))
-        for name, own in left.groupby("component"):
-            links = of[name]
-            single = links[links.d2.isna()].rename(columns={"cost": "move"})
-            three = {(int(r.src), int(r.dst), int(r.d2)): float(r.cost) for r in links[links.d2.notna()].itertuples()}
-            cost, gap, on, used = solve_component(own, single, three, options)
+        own, single, three = by_component(left, "component"), defaultdict(Rows), defaultdict(dict)
+        for part, src, dst, d2, c in zip(right.part, right.src, right.dst, right.d2.astype("Int64"), right.cost, strict=True):
+            if d2 is pd.NA:
+                single[part].append(Move(src, dst, c))
+            else:
+                three[part][int(src), int(dst), int(d2)] = float(c)
+        for name in own:
+            cost, gap, on, used = solve_component(own[name], single[name], three[name], options)
             first = min(on)
             rows += [(n, None, v, cost if n == first else 0.0, gap) for n, v in on.items()]
             rows += [(a, b, v, None, None) for (a, b), v in used.items()]
         return pd.DataFrame(rows, columns=["node", "dst", "active", "cost", "gap"]).astype({"dst": "Int64"})
 
     ends = arcs.select(F.col("src").alias("node")).union(arcs.select("dst")).distinct().withColumn("tied", F.lit(True))
-    placed = nodes.join(ends, "node", "left")
+    placed = nodes.join(ends.hint("merge"), "node", "left")
     buckets = calls(nodes)
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).alias("bucket")
     linked = placed.where("tied").drop("tied")

@@ -9,6 +9,7 @@ given flows in and out, appearance, disappearance and division of a node follow.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from trackweave.operators.graph import cut_lineage
 from trackweave.plans import windows
 from trackweave.plans.flow import match
-from trackweave.plans.solver import INFINITY, Arc, Part, Problem, add_running_flags, add_running_sum, calls, require_gap, solve
+from trackweave.plans.solver import INFINITY, Arc, Part, Problem, Rows, add_running_flags, add_running_sum, by_component, calls, require_gap, solve
 
 FORBIDDEN = 0.0 + INFINITY
 
@@ -256,6 +257,13 @@ def windowed(model: ConservationModel) -> windows.Kind:
     return windows.Kind(lambda nodes, arcs, unary: build(nodes, arcs, model, unary), lambda row: np.asarray(row.e, float), named)
 
 
+class Flow(NamedTuple):
+    arc: int
+    src: int
+    dst: int
+    e: list[float]
+
+
 RESULT = "component long, node long, dst long, value int, divides boolean, cost double, gap double"
 
 
@@ -270,14 +278,13 @@ def infer(nodes: DataFrame, arcs: DataFrame, model: ConservationModel) -> tuple[
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows: list[tuple] = []
-        of = dict(iter(right.groupby("part")))
-        for name, own in left.groupby("component"):
-            links = of[name].sort_values(["src", "dst"]).reset_index(drop=True)
-            links["arc"] = links.index
-            found = solve_component(own, links, model)
+        own, flows = by_component(left, "component"), by_component(right, "part")
+        for name in own:
+            links = Rows(Flow(k, r.src, r.dst, r.e) for k, r in enumerate(sorted(flows[name], key=lambda r: (r.src, r.dst))))
+            found = solve_component(own[name], links, model)
             first = min(found.objects)
             rows += [(name, n, None, v, found.divides[n], found.cost if n == first else 0.0, found.gap) for n, v in found.objects.items()]
-            rows += [(name, int(links.src[k]), int(links.dst[k]), v, None, None, None) for k, v in found.flow.items()]
+            rows += [(name, int(links[k].src), int(links[k].dst), v, None, None, None) for k, v in found.flow.items()]
         return pd.DataFrame(rows, columns=names).astype({"dst": "Int64", "divides": "boolean"})
 
     linked = nodes.where(~F.col("alone"))

@@ -57,3 +57,14 @@ def test_growing_tables_are_not_broadcast(spark, tmp_path, capsys, name):
     # levels in use by frame are few whatever the input
     sent = [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "LeftSemi" not in x]
     assert "SortMergeJoin" in plan and not sent
+
+
+#: Detections of which a mixture takes two apart, so that its covariance is flat but for the floor.
+FLAT = [(1, [-0.06428874, -0.036012735, 0.04203628]), (6, [-0.0015886676, 0.030582773, 0.13844515]), (11, [-0.2407025, 0.16433784, -0.09234933]), (16, [-0.07077251, -0.0021257598, 0.01666875]), (21, [0.14741546, 0.116834745, -0.0055725616]), (26, [0.027536537, 0.09711184, 0.095289126]), (31, [0.3540472, -0.25751585, 0.28696844]), (36, [0.09817939, -0.056531537, -0.13817082]), (41, [-0.23385738, -0.15215649, 0.21247025]), (46, [0.094605766, -0.0039721555, 0.0072061555])]
+
+
+@pytest.mark.parametrize("name", ["merger_centres", "gmm_bic"])
+def test_flat_mixtures_and_short_frames(spark, tmp_path, name):
+    # the last frame has fewer detections than objects
+    rows = [(k, v + [0.0] * 61, 0) for k, v in [*FLAT, (50, [0.1, 0.2, 0.3])]]
+    assert differences(spark, name, tmp_path, embeddings=spark.createDataFrame(rows, EMBEDDINGS)) == (Counter(), Counter())

@@ -883,12 +883,12 @@ def _centres(found: DataFrame) -> DataFrame:
 
 @register("merger_clusters", f"WITH {TENS}, {clusters_sql(2)} {CENTRES} FROM km2")
 def merger_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _centres(mergers.centres(_pixels(spark, sf_dir), method="kmeans"))
+    return _centres(mergers.centres(_pixels(spark, sf_dir), method="kmeans", shared=True))
 
 
 @register("merger_centres", f"WITH {TENS}, {clusters_sql(2)}, {mixture_sql(2)} {CENTRES} FROM (SELECT g, j, x, y, z FROM mix2 WHERE labels = 2 UNION ALL SELECT g, km2.j, km2.x, km2.y, km2.z FROM km2 WHERE g IN (SELECT g FROM mix2 WHERE labels < 2))")
 def merger_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _centres(mergers.centres(_pixels(spark, sf_dir)))
+    return _centres(mergers.centres(_pixels(spark, sf_dir), shared=True))
 
 
 FIFTIES = f"{EMB}, pt AS MATERIALIZED (SELECT timestep AS g, row_number() OVER (PARTITION BY timestep ORDER BY x, y, z) - 1 AS i, x, y, z FROM emb)"
@@ -896,7 +896,7 @@ FIFTIES = f"{EMB}, pt AS MATERIALIZED (SELECT timestep AS g, row_number() OVER (
 
 @register("gmm_bic", f"WITH {FIFTIES}, {', '.join(f'{clusters_sql(k)}, {mixture_sql(k)}' for k in (1, 2, 3))} " + " UNION ALL ".join(f'SELECT g::BIGINT AS "group", {k} AS k, round(any_value(score) / any_value(n) - 0.5 * {k}, 4) AS bic, flatten(list([round(x, 3), round(y, 3), round(z, 3)] ORDER BY j)) AS centres FROM mix{k} GROUP BY g' for k in (1, 2, 3)))
 def gmm_bic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mergers.priors_and_centres(emb(spark, sf_dir).select(F.col("timestep").cast("long").alias("group"), F.array("x", "y", "z").alias("pixel")), 3, 0.5)
+    found = mergers.priors_and_centres(emb(spark, sf_dir).select(F.col("timestep").cast("long").alias("group"), F.array("x", "y", "z").alias("pixel")), 3, 0.5, shared=True)
     return found.select("group", "k", F.round("bic", 4).alias("bic"), F.transform("centres", lambda v: signed_round(v, 3)).alias("centres"))
 
 

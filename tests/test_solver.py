@@ -10,7 +10,7 @@ import pytest
 
 from trackweave.operators.mergers import bic, kmeans, mixture
 from trackweave.plans.chaingraph import build as build_chain
-from trackweave.plans.chaingraph import incoming_table, outgoing_table
+from trackweave.plans.chaingraph import incoming_table, outgoing_table, priced
 from trackweave.plans.chaingraph import solve_component as solve_chain
 from trackweave.plans import windows
 from trackweave.plans.conservation import ConservationModel, build, single_objects, solve_component, windowed
@@ -270,3 +270,38 @@ def test_windows_agree_with_the_whole(seed):
         whole = build(nodes, arcs, model)
         assert eliminate(whole.problem, np.inf, {whole.arcs[a]: new[a][0] for a in keys})[0] == pytest.approx(cost)
     assert cost - bound <= 0.01 * abs(cost)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_prices_of_a_crowded_chaingraph(seed):
+    """Prices give a bound, and a labelling close to it, where exact elimination is out of reach or says the least cost."""
+    r = np.random.default_rng(seed)
+    frames, each = (4, 4) if seed < 2 else (8, 40)
+    at = r.normal(size=(frames, each, 3)) * 12
+    key = lambda f, k: (f << 32) + k
+    nodes = pd.DataFrame([dict(node=key(f, k), det=10.0, non=500.0, app=500.0, dis=500.0, opp=0.0) for f in range(frames) for k in range(each)])
+    rows, pairs = [], {}
+    for f in range(frames - 1):
+        for k in range(each):
+            d = np.sqrt(((at[f + 1] - at[f, k]) ** 2).sum(axis=1))
+            near = sorted(int(j) for j in np.argsort(d)[: min(each - 1, 6)])
+            rows += [dict(src=key(f, k), dst=key(f + 1, j), move=float(d[j])) for j in near]
+            pairs |= {(key(f, k), key(f + 1, i), key(f + 1, j)): float((d[i] - 10) ** 2 + (d[j] - 10) ** 2) for i, j in itertools.combinations(near, 2)}
+    arcs, options = pd.DataFrame(rows), ChaingraphTracker()
+    part, by = build_chain(nodes, arcs, pairs, options), priced(nodes, arcs, pairs, options)
+    bound = by.improve()
+    value, labels = by.labels(part, {}, 200_000)
+    assert value == pytest.approx(part.problem.value(labels)) and bound <= value + 1e-6
+    least, _, exact = eliminate(part.problem, 2e6)
+    assert exact == (seed < 2)
+    if exact:
+        assert bound <= least + 1e-6 <= value + 2e-6
+    assert value - bound <= 0.01 * value
+    began = time.monotonic()
+    cost, gap, on, used = solve_chain(nodes, arcs, pairs, options)
+    assert gap <= 0.01 and time.monotonic() - began < 20
+    labels = [on[n] for n in part.nodes], [used[a] for a in part.arcs]
+    whole = np.zeros(len(part.problem.sizes), int)
+    whole[list(part.nodes.values())], whole[list(part.arcs.values())] = labels
+    if len(whole) == len(part.nodes) + len(part.arcs):
+        assert part.problem.value(whole) == pytest.approx(cost)

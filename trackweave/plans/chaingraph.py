@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from trackweave.operators.graph import cut_lineage
 from trackweave.plans import windows
 from trackweave.plans.flow import match
+from trackweave.plans.prices import AGAIN, LAST, End, Prices
 from trackweave.plans.solver import INFINITY, Arc, Part, Problem, Rows, add_running_sum, by_component, calls, require_gap, solve
 
 
@@ -87,6 +88,23 @@ def build(nodes: pd.DataFrame, arcs: pd.DataFrame, pairs: dict[tuple[int, int, i
     return part
 
 
+def priced(nodes: Any, arcs: Any, pairs: dict[tuple[int, int, int], float], options: Any, paid: dict[Arc, float] | None = None, held: dict[Arc, int] | None = None) -> Prices:
+    """The same problem by prices of detections; ``paid`` are costs of arcs besides those of moves."""
+    paid = paid or {}
+    off = not (options.fixed_detections or not options.detection_variables)
+    ends = {int(r.node): End(float(r.det) if options.detection_variables else 0.0, float(r.non) + float(r.opp) if off else INFINITY, float(r.app), float(r.dis)) for r in nodes.itertuples()}
+    moves, into = {}, {}
+    for r in arcs.itertuples():
+        k = (int(r.src), int(r.dst))
+        if k[0] in ends:
+            moves[k] = float(r.move) + paid.get(k, 0.0)
+        else:
+            into[k] = paid.get(k, 0.0)
+    if any(k in paid for k in moves):
+        pairs = {(n, a, b): c + paid.get((n, a), 0.0) + paid.get((n, b), 0.0) for (n, a, b), c in pairs.items()}
+    return Prices(ends, moves, pairs, into, held)
+
+
 def nothing(part: Part, options: Any) -> np.ndarray:
     """The labelling without arcs and, if that is allowed, without detections."""
     labels = np.zeros(len(part.problem.sizes), int)
@@ -113,7 +131,12 @@ def solve_component(nodes: pd.DataFrame, arcs: pd.DataFrame, pairs: dict[tuple[i
         cost, on, used = without_divisions(nodes, arcs, options)
         return cost, 0.0, on, used
     part = build(nodes, arcs, pairs, options)
-    cost, labels, gap = solve(part.problem, nothing(part, options), gap=options.gap, limit=options.limit, seconds=options.time_limit, order=[part.arcs[k] for k in sorted(part.arcs)])
+
+    def start() -> tuple[float, np.ndarray]:
+        by = priced(nodes, arcs, pairs, options)
+        return by.improve(), by.labels(part, {}, min(options.limit, 200_000))[1]
+
+    cost, labels, gap = solve(part.problem, nothing(part, options), gap=options.gap, limit=options.limit, seconds=options.time_limit, order=[part.arcs[k] for k in sorted(part.arcs)], start=start)
     require_gap(cost, gap, options)
     return cost, gap, {n: bool(labels[v]) for n, v in part.nodes.items()}, {k: bool(labels[v]) for k, v in part.arcs.items()}
 
@@ -121,11 +144,30 @@ def solve_component(nodes: pd.DataFrame, arcs: pd.DataFrame, pairs: dict[tuple[i
 def windowed(options: Any) -> windows.Kind:
     """The model as :mod:`windows` take it: arcs(..., move, divisions) hold the costs of pairs, too."""
 
-    def make(nodes: pd.DataFrame, arcs: pd.DataFrame, unary: dict[Arc, np.ndarray]) -> Part:
-        pairs = {(int(r.src), int(r.dst), int(x["d2"])): float(x["cost"]) for r in arcs.itertuples() for x in r.divisions}
-        return build(nodes, arcs, pairs, options, unary)
+    def divisions(arcs: pd.DataFrame) -> dict[tuple[int, int, int], float]:
+        return {(int(a), int(b), int(x["d2"])): float(x["cost"]) for a, b, more in zip(arcs.src, arcs.dst, arcs.divisions, strict=True) for x in more}
 
-    return windows.Kind(make, lambda row: np.zeros(2), lambda part, labels: {n: (int(labels[v]), False) for n, v in part.nodes.items()})
+    def make(nodes: pd.DataFrame, arcs: pd.DataFrame, unary: dict[Arc, np.ndarray]) -> Part:
+        return build(nodes, arcs, divisions(arcs), options, unary)
+
+    def relax(part: Part, nodes: pd.DataFrame, arcs: pd.DataFrame, inside: dict[Arc, np.ndarray], paid: dict[Arc, np.ndarray]) -> tuple[float, dict[Arc, np.ndarray], windows.Labeller]:
+        pairs, cut = divisions(arcs), {k: x for k, x in paid.items() if k not in inside}
+        more = {k: float(x[1] - x[0]) for k, x in cut.items()}
+        by = priced(nodes, arcs, pairs, options, more)
+        bound = by.improve() + sum(float(x[0]) for x in cut.values())
+        shares = {k: np.array([0.0, -by.prices[by.names[k[1]]]]) for k in inside}
+
+        def labels(held: dict[Arc, int], limit: float) -> tuple[float, np.ndarray]:
+            here = by
+            if held:
+                here = priced(nodes, arcs, pairs, options, more, held)
+                here.prices = np.where(here.start < here.most, by.prices, here.most)
+                here.improve(LAST, AGAIN)
+            return here.labels(part, {part.arcs[k]: x for k, x in held.items()}, min(limit, 200_000))
+
+        return bound, shares, labels
+
+    return windows.Kind(make, lambda row: np.zeros(2), lambda part, labels: {n: (int(labels[v]), False) for n, v in part.nodes.items()}, relax)
 
 
 class Move(NamedTuple):

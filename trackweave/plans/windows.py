@@ -36,18 +36,24 @@ LOOKS = 20
 ROUNDINGS = 2
 
 
+#: (value, labels) of a window for states of arcs that are held, and a limit of table entries.
+Labeller = Callable[[dict[Arc, int], float], tuple[float, np.ndarray]]
+
+
 @dataclass(frozen=True)
 class Kind:
     """What a model tells of its parts.
 
     ``build(nodes, arcs, unary)`` makes a part's problem, with costs of arcs in ``unary``;
     ``costs(row)`` are an arc's costs by state besides its source's table; ``nodes(part,
-    labels)`` are (value, divides) of nodes.
+    labels)`` are (value, divides) of nodes. A model may have its own ``relax(part, nodes, arcs,
+    inside, paid)``: bound, shares of the arcs inside, and labels for held arcs.
     """
 
     build: Callable[[pd.DataFrame, pd.DataFrame, dict[Arc, np.ndarray]], Part]
     costs: Callable[[Any], np.ndarray]
     nodes: Callable[[Part, np.ndarray], dict[int, tuple[int, bool]]]
+    relax: Callable[..., tuple[float, dict[Arc, np.ndarray], Labeller]] | None = None
 
 
 def frame(node: F.Column) -> F.Column:
@@ -125,14 +131,18 @@ def solve_window(kind: Kind, nodes: pd.DataFrame, arcs: pd.DataFrame, gap: float
     cut = [k for k in share if k not in inside]
     paid = cost | {k: share[k] if k[0] in own else cost[k] - share[k] for k in cut}
     part = kind.build(nodes, arcs, paid)
-    bound, shares, relaxed = ascend(part, inside, cost, gap)
+    if kind.relax:
+        bound, shares, labeller = kind.relax(part, nodes, arcs, inside, paid)
+    else:
+        bound, shares, relaxed = ascend(part, inside, cost, gap)
+        labeller = lambda chosen, limit: label_window(part.problem, relaxed, {part.arcs[k]: s for k, s in chosen.items()}, limit)
 
     def with_held(chosen: dict[Arc, int]) -> tuple[float, np.ndarray]:
-        value, labels = label_window(part.problem, relaxed, {part.arcs[k]: chosen[k] for k in cut}, limit)
+        value, labels = labeller({k: chosen[k] for k in cut}, limit)
         # a cut arc costs in full where it starts, and nothing where it ends
         return value + sum((cost[k][chosen[k]] if k[0] in own else 0.0) - paid[k][chosen[k]] for k in cut), labels
 
-    free = label_window(part.problem, relaxed, {}, limit)
+    free = labeller({}, limit)
     known, labels, _ = eliminate(part.problem, np.inf, {v: label[k] for k, v in part.arcs.items()})
     known += sum((cost[k][label[k]] if k[0] in own else 0.0) - paid[k][label[k]] for k in cut)
     better = with_held(label)

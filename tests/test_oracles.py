@@ -1,11 +1,14 @@
 """Queries against their SQL on small tables that once told them apart."""
 
+import random
 from collections import Counter
 from datetime import datetime, timedelta
 
 import duckdb
 import pytest
 
+from trackweave.operators import graph
+from trackweave.plans import windows
 from trackweave.queries import ORACLES, QUERIES
 
 EMBEDDINGS = "vec_id long, embedding array<float>, label int"
@@ -68,3 +71,22 @@ def test_flat_mixtures_and_short_frames(spark, tmp_path, name):
     # the last frame has fewer detections than objects
     rows = [(k, v + [0.0] * 61, 0) for k, v in [*FLAT, (50, [0.1, 0.2, 0.3])]]
     assert differences(spark, name, tmp_path, embeddings=spark.createDataFrame(rows, EMBEDDINGS)) == (Counter(), Counter())
+
+
+def test_windows_are_dealt_by_their_number(spark, tmp_path, capsys, monkeypatch):
+    """Tasks follow from windows, not from the few bytes that these shuffle; components are found once."""
+    r = random.Random(2)
+    rows = [(k, [r.gauss(0, 0.12) for _ in range(3)], 0) for k in range(300)]
+    plans, calls, find = [], [], graph.components
+
+    def cut(df, name):
+        if name == "window-round":
+            df.explain()
+            plans.append(capsys.readouterr().out)
+        return graph.cut_lineage(df, name)
+
+    monkeypatch.setattr(windows, "cut_lineage", cut)
+    monkeypatch.setattr(graph, "components", lambda *a: calls.append(1) or find(*a))
+    assert differences(spark, "chaingraph_windows", tmp_path, embeddings=spark.createDataFrame(rows, EMBEDDINGS)) == (Counter(), Counter())
+    assert len(calls) == 1 and len(plans) > 1
+    assert all(p.count("REPARTITION_BY_NUM") == 2 for p in plans)

@@ -12,7 +12,7 @@ from trackweave.operators.mergers import bic, kmeans, mixture
 from trackweave.plans.chaingraph import build as build_chain
 from trackweave.plans.chaingraph import incoming_table, outgoing_table, priced
 from trackweave.plans.chaingraph import solve_component as solve_chain
-from trackweave.plans import windows
+from trackweave.plans import chaingraph, prices, windows
 from trackweave.plans.conservation import ConservationModel, build, single_objects, solve_component, windowed
 from trackweave.plans.flow import match
 from trackweave.plans.relaxation import Relaxation
@@ -305,3 +305,50 @@ def test_prices_of_a_crowded_chaingraph(seed):
     whole[list(part.nodes.values())], whole[list(part.arcs.values())] = labels
     if len(whole) == len(part.nodes) + len(part.arcs):
         assert part.problem.value(whole) == pytest.approx(cost)
+
+
+@pytest.mark.parametrize("dives", [prices.DIVES, 1])
+def test_windows_by_prices(monkeypatch, dives):
+    """Windows of a chaingraph pass on prices and label without tables, unless a dive leaves arcs open; costs are those of the whole."""
+    monkeypatch.setattr(prices, "DIVES", dives)
+    built = []
+    monkeypatch.setattr(chaingraph, "build", lambda *a: built.append(1) or build_chain(*a))
+    r = np.random.default_rng(5)
+    frames, each, width = 12, 20, 4
+    at = r.normal(size=(frames, each, 3)) * 12
+    key = lambda f, k: (f << 32) + k
+    nodes = pd.DataFrame([dict(node=key(f, k), det=10.0, non=500.0, app=500.0, dis=500.0, opp=0.0) for f in range(frames) for k in range(each)])
+    rows, pairs = [], {}
+    for f in range(frames - 1):
+        for k in range(each):
+            d = np.sqrt(((at[f + 1] - at[f, k]) ** 2).sum(axis=1))
+            near = sorted(int(j) for j in np.argsort(d)[:6])
+            costs = {(i, j): float((d[i] - 10) ** 2 + (d[j] - 10) ** 2) for i, j in itertools.combinations(near, 2)}
+            rows += [dict(src=key(f, k), dst=key(f + 1, j), move=float(d[j]), divisions=[dict(d2=key(f + 1, b), cost=c) for (a, b), c in costs.items() if a == j]) for j in near]
+            pairs |= {(key(f, k), key(f + 1, i), key(f + 1, j)): c for (i, j), c in costs.items()}
+    arcs, options = pd.DataFrame(rows), ChaingraphTracker()
+    whole = build_chain(nodes, arcs, pairs, options)
+    arcs["share"], arcs["label"], arcs["proposal"] = [[0.0, 0.0]] * len(arcs), 0, 0
+    keys, bound = list(zip(arcs.src, arcs.dst, strict=True)), -np.inf
+    for k in range(4):
+        place = lambda n, k=k: ((n >> 32) + k % 2 * (width // 2)) // width
+        solved = []
+        for w in sorted(set(map(place, nodes.node))):
+            own = nodes[[place(n) == w for n in nodes.node]]
+            near = arcs[[w in (place(a), place(b)) for a, b in keys]]
+            x = windows.solve_window(chaingraph.windowed(options), own, near, 0.01, 2e6, k > 0, k == 0)
+            solved.append((set(own.node), x))
+        other = sum(x.other[0] for _, x in solved) < sum(x.better[0] for _, x in solved)
+        cost = sum((x.other if other else x.better)[0] for _, x in solved)
+        bound = max(bound, sum(x.bound for _, x in solved))
+        new = {a: (int((x.other if other else x.better)[1][v]), int(x.free[v]), x.shares.get(a)) for own, x in solved for a, v in x.part.arcs.items() if a[0] in own}
+        on = {n: int((x.other if other else x.better)[1][v]) for own, x in solved for n, v in x.part.nodes.items()}
+        fixed = {whole.arcs[a]: new[a][0] for a in keys}
+        assert eliminate(whole.problem, np.inf, fixed)[0] == pytest.approx(cost) == pytest.approx(eliminate(whole.problem, np.inf, fixed | {whole.nodes[n]: v for n, v in on.items()})[0])
+        assert bound <= cost + 1e-6
+        arcs["label"], arcs["proposal"] = [new[a][0] for a in keys], [new[a][1] for a in keys]
+        arcs["share"] = [s if new[a][2] is None else list(new[a][2]) for a, s in zip(keys, arcs.share, strict=True)]
+        if k and cost - bound <= 0.01 * cost:
+            break
+    assert dives == 1 or cost - bound <= 0.01 * cost
+    assert bool(built) == (dives == 1)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from trackweave.operators.graph import cut_lineage
 from trackweave.plans import windows
 from trackweave.plans.flow import match
-from trackweave.plans.prices import AGAIN, LAST, End, Prices
+from trackweave.plans.prices import AGAIN, LAST, NEXT, NEXT_STEPS, End, Prices
 from trackweave.plans.solver import INFINITY, Arc, Part, Problem, Rows, add_running_sum, by_component, calls, require_gap, solve
 
 
@@ -88,7 +88,7 @@ def build(nodes: pd.DataFrame, arcs: pd.DataFrame, pairs: dict[tuple[int, int, i
     return part
 
 
-def priced(nodes: Any, arcs: Any, pairs: dict[tuple[int, int, int], float], options: Any, paid: dict[Arc, float] | None = None, held: dict[Arc, int] | None = None) -> Prices:
+def priced(nodes: Any, arcs: Any, pairs: dict[tuple[int, int, int], float], options: Any, paid: dict[Arc, float] | None = None) -> Prices:
     """The same problem by prices of detections; ``paid`` are costs of arcs besides those of moves."""
     paid = paid or {}
     off = not (options.fixed_detections or not options.detection_variables)
@@ -102,7 +102,7 @@ def priced(nodes: Any, arcs: Any, pairs: dict[tuple[int, int, int], float], opti
             into[k] = paid.get(k, 0.0)
     if any(k in paid for k in moves):
         pairs = {(n, a, b): c + paid.get((n, a), 0.0) + paid.get((n, b), 0.0) for (n, a, b), c in pairs.items()}
-    return Prices(ends, moves, pairs, into, held)
+    return Prices(ends, moves, pairs, into)
 
 
 def nothing(part: Part, options: Any) -> np.ndarray:
@@ -150,22 +150,36 @@ def windowed(options: Any) -> windows.Kind:
     def make(nodes: pd.DataFrame, arcs: pd.DataFrame, unary: dict[Arc, np.ndarray]) -> Part:
         return build(nodes, arcs, divisions(arcs), options, unary)
 
-    def relax(part: Part, nodes: pd.DataFrame, arcs: pd.DataFrame, inside: dict[Arc, np.ndarray], paid: dict[Arc, np.ndarray]) -> tuple[float, dict[Arc, np.ndarray], windows.Labeller]:
+    def relax(nodes: pd.DataFrame, arcs: pd.DataFrame, share: dict[Arc, np.ndarray], inside: dict[Arc, np.ndarray], paid: dict[Arc, np.ndarray], again: bool) -> tuple[Part, float, dict[Arc, np.ndarray], windows.Labeller]:
+        names = sorted(map(int, nodes.node))
+        # variables as in ``build``, whose tables are only made where a dive leaves arcs open
+        part = Part(Problem(), {n: i for i, n in enumerate(names)}, {k: len(names) + i for i, k in enumerate(sorted(share))})
         pairs, cut = divisions(arcs), {k: x for k, x in paid.items() if k not in inside}
         more = {k: float(x[1] - x[0]) for k, x in cut.items()}
+        base = sum(float(x[0]) for x in cut.values())
         by = priced(nodes, arcs, pairs, options, more)
-        bound = by.improve() + sum(float(x[0]) for x in cut.values())
+        for k, x in inside.items():
+            by.prices[by.names[k[1]]] = x[0] - x[1]
+        bound = (by.improve(NEXT, NEXT_STEPS) if again else by.improve()) + base
         shares = {k: np.array([0.0, -by.prices[by.names[k[1]]]]) for k in inside}
 
         def labels(held: dict[Arc, int], limit: float) -> tuple[float, np.ndarray]:
-            here = by
-            if held:
-                here = priced(nodes, arcs, pairs, options, more, held)
-                here.prices = np.where(here.start < here.most, by.prices, here.most)
-                here.improve(LAST, AGAIN)
-            return here.labels(part, {part.arcs[k]: x for k, x in held.items()}, min(limit, 200_000))
-
-        return bound, shares, labels
+            here, on = by, {k for k, x in held.items() if x}
+            if len(held) < len(share):
+                if held:
+                    here = by.with_held(held)
+                    here.improve(LAST, AGAIN)
+                state = here.dive()
+                if (state < 0).any():
+                    whole = make(nodes, arcs, paid)
+                    return here.labels(whole, {whole.arcs[k]: x for k, x in held.items()}, min(limit, 200_000), state)
+                on |= {k for k, i in here.arcs.items() if state[i] == 1}
+            value, found = here.chosen(on, not held)
+            out = np.zeros(len(part.nodes) + len(part.arcs), int)
+            out[[part.nodes[n] for n, x in found.items() if x] + [part.arcs[k] for k in on]] = 1
+            return value + base, out
+
+        return part, bound, shares, labels
 
     return windows.Kind(make, lambda row: np.zeros(2), lambda part, labels: {n: (int(labels[v]), False) for n, v in part.nodes.items()}, relax)
 

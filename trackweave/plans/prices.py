@@ -16,6 +16,7 @@ primal-dual solver for large-scale tracking-by-assignment, 2020]
 from __future__ import annotations
 
 from collections import defaultdict
+from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +27,8 @@ from trackweave.plans.solver import INFINITY, Arc, Part, Problem, eliminate
 COOLING, STEPS = (0.12, 0.04, 0.014, 0.005, 0.002, 0.0008), 100
 #: Those of a start from known prices.
 LAST, AGAIN = (0.014, 0.005, 0.002), 15
+#: Those of a window whose prices come from the windows of the last round.
+NEXT, NEXT_STEPS = (0.04, 0.014, 0.005, 0.002, 0.0008), 80
 #: Rounds in which arcs are fixed, and the share of the open ones that is fixed in each.
 DIVES, DIVE_SHARE = 40, 0.25
 #: What is as good as forbidden, and still leaves sums exact enough.
@@ -45,57 +48,79 @@ class End:
 class Prices:
     """Choices of detections ``ends`` and arcs ``moves`` out of them; targets may be elsewhere.
 
-    ``into`` are costs of arcs from elsewhere. ``held`` arcs between here and elsewhere have a state.
+    ``into`` are costs of arcs from elsewhere.
     """
 
-    def __init__(self, ends: dict[int, End], moves: dict[Arc, float], pairs: dict[tuple[int, int, int], float], into: dict[Arc, float], held: dict[Arc, int] | None = None):
-        held = held or {}
+    def __init__(self, ends: dict[int, End], moves: dict[Arc, float], pairs: dict[tuple[int, int, int], float], into: dict[Arc, float]):
+        self.ends, self.moves, self.pairs, self.into = ends, moves, pairs, into
         self.names = {n: i for i, n in enumerate(ends)}
         n, self.arcs = len(ends), {k: i for i, k in enumerate(moves)}
         none = len(self.arcs)
-        target = np.array([self.names.get(k[1], n) for k in moves] + [n])
+        self.source = np.array([self.names[k[0]] for k in moves], int)
+        self.target = target = np.array([self.names.get(k[1], n) for k in moves] + [n])
         outs: dict[int, list[Arc]] = defaultdict(list)
         for k in moves:
             outs[k[0]].append(k)
         first, a, b, costs = [], [], [], []
-        self.base = 0.0
         for name, end in ends.items():
             first.append(len(costs))
             mine = outs.get(name, [])
-            must = [k for k in mine if held.get(k) == 1]
-            free = [k for k in mine if k not in held]
-            if len(must) < 1:
-                a.append(none), b.append(none), costs.append(end.dis)
-            if len(must) < 2:
-                for k in must or free:
-                    a.append(self.arcs[k]), b.append(none), costs.append(moves[k])
-            open_ = sorted(must + free)
-            for i, k in enumerate(open_):
-                for other in open_[i + 1 :]:
+            a.append(none), b.append(none), costs.append(end.dis)
+            for k in mine:
+                a.append(self.arcs[k]), b.append(none), costs.append(moves[k])
+            mine = sorted(mine)
+            for i, k in enumerate(mine):
+                for other in mine[i + 1 :]:
                     cost = pairs.get((name, k[1], other[1]), INFINITY)
-                    if cost < INFINITY / 2 and all(m in (k, other) for m in must):
+                    if cost < INFINITY / 2:
                         a.append(self.arcs[k]), b.append(self.arcs[other]), costs.append(cost)
-            if len(costs) == first[-1]:
-                a.append(none), b.append(none), costs.append(FAR)
         self.first, self.cost, self.arc = np.array(first), np.array(costs), (np.array(a), np.array(b))
         self.own = np.repeat(np.arange(n), np.diff([*first, len(costs)]))
         self.to = target[self.arc[0]], target[self.arc[1]]
         self.on, self.off = np.array([e.on for e in ends.values()]), np.array([min(e.off, FAR) for e in ends.values()])
-        self.most = np.array([e.app for e in ends.values()])
-        for k, cost in into.items():
+        self.app = np.array([e.app for e in ends.values()])
+        self.state = np.full(none, -1)
+        reached = np.zeros(n + 1, bool)
+        reached[target] = True
+        self.reached = reached[:n]
+        self.scale = float(np.median(np.abs(self.app))) or 1.0
+        self._hold({})
+        self.prices = self.start
+
+    def _hold(self, held: dict[Arc, int]) -> None:
+        """Costs with states of arcs between here and elsewhere."""
+        self.most = self.app.copy()
+        for k, cost in self.into.items():
             i = self.names[k[1]]
             if held.get(k) == 1:
                 self.most[i], self.off[i] = cost, FAR
             elif k not in held:
                 self.most[i] = min(self.most[i], cost)
         for k, state in held.items():
+            if k in self.arcs:
+                self.state[self.arcs[k]] = state
             if state and k[0] in self.names:
                 self.off[self.names[k[0]]] = FAR
-        reached = np.zeros(n + 1, bool)
-        reached[target] = True
-        self.start = np.where(reached[:n], self.most - 0.5 * np.abs(self.most), self.most)
-        self.scale = float(np.median(np.abs([e.app for e in ends.values()]))) or 1.0
-        self.prices = self.start
+        if held:
+            self.cost[self._gone(self.state)] = FAR
+        self.start = np.where(self.reached, self.most - 0.5 * np.abs(self.most), self.most)
+
+    def with_held(self, held: dict[Arc, int]) -> Prices:
+        """The same with states of arcs between here and elsewhere, from these prices."""
+        here = copy(self)
+        here.cost, here.off, here.state = self.cost.copy(), self.off.copy(), self.state.copy()
+        here._hold(held)
+        here.prices = np.where(here.start < here.most, self.prices, here.most)
+        return here
+
+    def _gone(self, state: np.ndarray) -> np.ndarray:
+        """Which options lack an arc that is on, or have one that is off."""
+        m = len(state)
+        now = np.append(state, 0)
+        must = np.bincount(self.source[state == 1], minlength=len(self.first))[self.own]
+        has = (now[self.arc[0]] == 1).astype(int) + (now[self.arc[1]] == 1)
+        off = [(now[x] == 0) & (x < m) for x in self.arc]
+        return (has < must) | off[0] | off[1]
 
     def _reduced(self, prices: np.ndarray) -> np.ndarray:
         more = np.append(prices, 0.0)
@@ -136,53 +161,76 @@ class Prices:
     def dive(self) -> np.ndarray:
         """The state of every arc: the clearest are fixed, and prices follow, until all are."""
         n, m = len(self.first), len(self.arcs)
-        ends = np.array([(self.names[a], self.names.get(b, n)) for a, b in self.arcs], int).reshape(-1, 2)
-        state, cost, off, prices = np.full(m, -1), self.cost.copy(), self.off.copy(), self.prices
+        source, target = self.source, self.target[:m]
+        here = copy(self)
+        here.off = self.off.copy()
+        state = self.state.copy()
         far = n + 1 + np.arange(m)  # arcs that end elsewhere don't meet
-        into = np.where(ends[:, 1] < n, ends[:, 1], far)
-        whole_cost, whole_off = self.cost, self.off
+        into = np.where(target < n, target, far)
         for _ in range(DIVES):
             open_ = np.flatnonzero(state < 0)
             if not len(open_):
                 break
-            shares = self.shares[open_]
+            shares = here.shares[open_]
             state[open_[shares < 0.01]] = 0
             order = open_[np.argsort(-shares, kind="stable")]
             order = order[state[order] < 0]
             # the best arc into each target and out of each source, if it is clear or among the clearest
             top = order[np.sort(np.unique(into[order], return_index=True)[1])]
-            top = top[np.sort(np.unique(ends[top, 0], return_index=True)[1])]
-            picked = top[(self.shares[top] > 0.9) | (np.arange(len(top)) < max(1, DIVE_SHARE * len(top)))]
+            top = top[np.sort(np.unique(source[top], return_index=True)[1])]
+            picked = top[(here.shares[top] > 0.9) | (np.arange(len(top)) < max(1, DIVE_SHARE * len(top)))]
             state[picked] = 1
             taken = np.zeros(n + 1 + m, bool)
             taken[into[state == 1]] = True
             state[(state < 0) & taken[into]] = 0
-            # options without a fixed arc, or with one that is fixed off, are gone
-            now = np.append(state, 0)
-            must = np.bincount(ends[state == 1, 0], minlength=n)[self.own]
-            has = (now[self.arc[0]] == 1).astype(int) + (now[self.arc[1]] == 1)
-            none = [(now[x] == 0) & (x < m) for x in self.arc]
-            gone = (has < must) | none[0] | none[1]
-            cost[gone] = FAR
             # an arc that no option holds any more is off
+            here._leave_out(here._gone(state))
             held = np.zeros(m + 1, bool)
-            for x in self.arc:
-                held[x[~gone]] = True
+            for x in here.arc:
+                held[x[here.cost < FAR]] = True
             state[(state < 0) & ~held[:m]] = 0
-            on = np.unique(np.concatenate([ends[state == 1, 0], ends[state == 1, 1]]))
-            off[on[on < n]] = FAR
-            self.cost, self.off = cost, off
-            self.improve(LAST[1:], AGAIN)
-        self.cost, self.off, self.prices = whole_cost, whole_off, prices
+            for on in (source[state == 1], target[state == 1]):
+                here.off[on[on < n]] = FAR
+            here.improve(LAST[1:], AGAIN)
         return state
 
-    def labels(self, part: Part, fixed: dict[int, int], limit: float) -> tuple[float, np.ndarray]:
+    def _leave_out(self, gone: np.ndarray) -> None:
+        """Drop options; a detection that keeps none has one that is too dear."""
+        kept = ~gone
+        last = np.bincount(self.own[kept], minlength=len(self.first)) == 0
+        self.cost = np.where(gone, FAR, self.cost)
+        kept[self.first[last]] = True
+        self.cost, self.own = self.cost[kept], self.own[kept]
+        self.arc, self.to = tuple(x[kept] for x in self.arc), tuple(x[kept] for x in self.to)
+        self.first = np.searchsorted(self.own, np.arange(len(self.first)))
+
+    def labels(self, part: Part, fixed: dict[int, int], limit: float, state: np.ndarray | None = None) -> tuple[float, np.ndarray]:
         """(value, labels) of the part's problem with some variables fixed, arcs as a dive tells."""
-        state = self.dive()
+        state = self.dive() if state is None else state
         own = {part.arcs[k]: int(state[i]) for k, i in self.arcs.items() if state[i] >= 0 and part.arcs[k] not in fixed}
         last = {part.arcs[k]: 0 for k, i in self.arcs.items() if state[i] < 0}
         return apart(part.problem, fixed, [own, last], limit)
 
+    def chosen(self, on: set[Arc], free: bool) -> tuple[float, dict[int, bool]]:
+        """(value, detections) where these arcs are on and all others off; arcs from elsewhere may be taken as well if they are ``free``."""
+        outs, into = defaultdict(list), {}
+        for k in sorted(on):
+            outs[k[0]].append(k)
+            if k[1] in into:
+                return INFINITY, dict.fromkeys(self.ends, False)
+            if k[1] in self.names:
+                into[k[1]] = self.into.get(k, 0.0)
+        value, found = 0.0, {}
+        for i, (name, end) in enumerate(self.ends.items()):
+            mine = outs.get(name, [])
+            leaving = end.dis if not mine else self.moves[mine[0]] if len(mine) == 1 else INFINITY
+            if len(mine) == 2:
+                leaving = self.pairs.get((name, mine[0][1], mine[1][1]), INFINITY)
+            cost = end.on + leaving + into.get(name, float(self.most[i]) if free else end.app)
+            found[name] = bool(mine) or name in into or cost < end.off
+            value += cost if found[name] else end.off
+        return min(value, INFINITY), found
+
 
 def apart(problem: Problem, fixed: dict[int, int], levels: list[dict[int, int]], limit: float) -> tuple[float, np.ndarray]:
     """(value, labels) with the first level's states fixed, in pieces; a piece that passes the limit goes on to the next."""

@@ -245,6 +245,10 @@ class ChaingraphTracker:
         return costs, moves, three.select("src", "d1", "d2", (cost(self.division) if self.division else by_geometry).alias("division"))
 
     def infer(self, nodes: DataFrame, arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return self.infer_components(nodes, arcs)[1:]
+
+    def infer_components(self, nodes: DataFrame, arcs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(node, component), and what :meth:`infer` gives."""
         arcs = graph.cut_lineage(arcs, "arcs")
         costs, moves, pairs = (graph.cut_lineage(x, "chaingraph") for x in self.energies(nodes, arcs))
         of = graph.components(costs.select("node"), moves)
@@ -252,7 +256,7 @@ class ChaingraphTracker:
         labels, used = chaingraph.infer(costs.join(of.hint("merge"), "node"), moves.join(by_src, "src"), pairs.join(by_src, "src"), self)
         out = graph.cut_lineage(nodes.join(labels.hint("merge"), "node"), "labels")
         show_gap(out, "chaingraph")
-        return out, graph.cut_lineage(arcs.join(used.withColumnsRenamed({"src": "a", "dst": "b"}).hint("merge"), ["a", "b"]), "used")
+        return of, out, graph.cut_lineage(arcs.join(used.withColumnsRenamed({"src": "a", "dst": "b"}).hint("merge"), ["a", "b"]), "used")
 
     def track(self, nodes: DataFrame, arcs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         ends = nodes.agg(F.min("timestep").alias("a"), F.max("timestep").alias("b")).first()

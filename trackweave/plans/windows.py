@@ -34,6 +34,8 @@ from trackweave.plans.solver import INFINITY, Arc, Part, Problem, eliminate, rou
 LOOKS = 20
 #: Times that a labelling is rounded from shares that follow the held arcs.
 ROUNDINGS = 2
+#: Windows of a task where there are many.
+TASK_WINDOWS = 2
 
 
 #: (value, labels) of a window for states of arcs that are held, and a limit of table entries.
@@ -46,14 +48,15 @@ class Kind:
 
     ``build(nodes, arcs, unary)`` makes a part's problem, with costs of arcs in ``unary``;
     ``costs(row)`` are an arc's costs by state besides its source's table; ``nodes(part,
-    labels)`` are (value, divides) of nodes. A model may have its own ``relax(part, nodes, arcs,
-    inside, paid)``: bound, shares of the arcs inside, and labels for held arcs.
+    labels)`` are (value, divides) of nodes. A model may have its own ``relax(nodes, arcs, share,
+    inside, paid, again)``: variables of the part, bound, shares of the arcs inside, and labels for held
+    arcs; ``again`` says that shares come from a round before.
     """
 
     build: Callable[[pd.DataFrame, pd.DataFrame, dict[Arc, np.ndarray]], Part]
     costs: Callable[[Any], np.ndarray]
     nodes: Callable[[Part, np.ndarray], dict[int, tuple[int, bool]]]
-    relax: Callable[..., tuple[float, dict[Arc, np.ndarray], Labeller]] | None = None
+    relax: Callable[..., tuple[Part, float, dict[Arc, np.ndarray], Labeller]] | None = None
 
 
 def frame(node: F.Column) -> F.Column:
@@ -119,8 +122,11 @@ class Solved:
     other: tuple[float, np.ndarray]
 
 
-def solve_window(kind: Kind, nodes: pd.DataFrame, arcs: pd.DataFrame, gap: float, limit: float) -> Solved:
-    """One window of arcs(src, dst, share, label, proposal, ...)."""
+def solve_window(kind: Kind, nodes: pd.DataFrame, arcs: pd.DataFrame, gap: float, limit: float, again: bool = False, follows: bool = False) -> Solved:
+    """One window of arcs(src, dst, share, label, proposal, ...).
+
+    ``again`` says that a round went before; with ``follows``, that one comes after it, labels stay as they are.
+    """
     own = set(nodes.node.astype(int))
     cost, share, label, proposal = {}, {}, {}, {}
     for r in arcs.itertuples():
@@ -130,10 +136,10 @@ def solve_window(kind: Kind, nodes: pd.DataFrame, arcs: pd.DataFrame, gap: float
     inside = {k: x for k, x in share.items() if k[0] in own and k[1] in own}
     cut = [k for k in share if k not in inside]
     paid = cost | {k: share[k] if k[0] in own else cost[k] - share[k] for k in cut}
-    part = kind.build(nodes, arcs, paid)
     if kind.relax:
-        bound, shares, labeller = kind.relax(part, nodes, arcs, inside, paid)
+        part, bound, shares, labeller = kind.relax(nodes, arcs, share, inside, paid, again)
     else:
+        part = kind.build(nodes, arcs, paid)
         bound, shares, relaxed = ascend(part, inside, cost, gap)
         labeller = lambda chosen, limit: label_window(part.problem, relaxed, {part.arcs[k]: s for k, s in chosen.items()}, limit)
 
@@ -143,9 +149,9 @@ def solve_window(kind: Kind, nodes: pd.DataFrame, arcs: pd.DataFrame, gap: float
         return value + sum((cost[k][chosen[k]] if k[0] in own else 0.0) - paid[k][chosen[k]] for k in cut), labels
 
     free = labeller({}, limit)
-    known, labels, _ = eliminate(part.problem, np.inf, {v: label[k] for k, v in part.arcs.items()})
+    known, labels = labeller(label, np.inf)
     known += sum((cost[k][label[k]] if k[0] in own else 0.0) - paid[k][label[k]] for k in cut)
-    better = with_held(label)
+    better = (known, labels) if follows else with_held(label)
     other = better if all(label[k] == proposal[k] for k in cut) else with_held(proposal)
     if known <= better[0]:
         better = known, labels
@@ -178,8 +184,16 @@ def infer(nodes: DataFrame, arcs: DataFrame, kind: Kind, options: Any) -> tuple[
     ends = of.select("component", "first", width.cast("long").alias("width"))
     now = cut_lineage(arcs.withColumn("proposal", F.col("label")).join(ends, "component"), "arcs")
     names = [c.split()[0] for c in RESULT.split(", ")]
+    # a window is little to shuffle and much to solve: the number of tasks follows from that of windows
+    spans = sized.groupBy("component", "first", "width").agg(F.max("frame").alias("last"))
+    count = spans.agg(F.sum(F.expr("(last - first) div width + 2"))).first()[0] or 0
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), count // TASK_WINDOWS)
+    tasks = max(1, min(tasks, count))
+    dealt = lambda df: df.repartition(tasks, "component", "window").groupBy("component", "window")
     best: DataFrame | None = None
     for k in range(options.rounds):
+        # labels of the first round are of no use where they are found from prices, as its cut arcs are off
+        follows = kind.relax is not None and k == 0 and options.rounds > 1
         place = lambda f, k=k: F.expr(f"({f} - first + {k % 2} * (width div 2)) div width")
         windowed = sized.withColumn("window", place("frame")).drop("frame", "first", "width")
         both = now.withColumns({"sf": frame(F.col("src")), "df": frame(F.col("dst"))}).withColumns({"sw": place("sf"), "dw": place("df")})
@@ -190,7 +204,7 @@ def infer(nodes: DataFrame, arcs: DataFrame, kind: Kind, options: Any) -> tuple[
             if len(left):
                 name = int(left.component.iloc[0])
                 own = set(left.node.astype(int))
-                x = solve_window(kind, left, right, options.gap, options.limit)
+                x = solve_window(kind, left, right, options.gap, options.limit, k > 0, follows)  # noqa: B023
                 (cost, labels), (other_cost, others) = x.better, x.other
                 more = kind.nodes(x.part, others) if other_cost < INFINITY / 2 else {}
                 rows += [(name, n, None, *mine, *more.get(n, mine), None, None, None, None, None) for n, mine in kind.nodes(x.part, labels).items()]
@@ -200,7 +214,7 @@ def infer(nodes: DataFrame, arcs: DataFrame, kind: Kind, options: Any) -> tuple[
             whole = {"node": "Int64", "dst": "Int64", "value": "Int32", "other": "Int32", "proposal": "Int32", "divides": "boolean", "other_divides": "boolean"}
             return pd.DataFrame(rows, columns=names).astype(whole)
 
-        done = windowed.groupBy("component", "window").cogroup(met.groupBy("component", "window")).applyInPandas(run, RESULT)
+        done = dealt(windowed).cogroup(dealt(met)).applyInPandas(run, RESULT)
         done = cut_lineage(done, "window-round")
         sums = done.where("bound IS NOT NULL").groupBy("component").agg(F.sum("bound").alias("bound"), F.sum("cost").alias("cost"), F.sum("other_cost").alias("other_cost"))
         if best is not None:  # a bound once found stays one
@@ -215,7 +229,7 @@ def infer(nodes: DataFrame, arcs: DataFrame, kind: Kind, options: Any) -> tuple[
         now = cut_lineage(now.select(*columns, "first", "width").join(labelled, ["component", "src", "dst"]), "arcs")
         worst = best.agg(F.max("gap")).first()[0]
         # both cuts have been tried at least once
-        if worst is None or (k and worst <= options.gap) or time.time() > until:
+        if worst is None or (k and worst <= options.gap) or (time.time() > until and not follows):
             break
     if worst is not None and worst > options.gap + 1e-9 and not options.unproven:
         raise RuntimeError(f"a gap of {worst} is left after {k + 1} rounds of windows, {options.gap} was asked for")

@@ -746,9 +746,8 @@ def _wide(spark: SparkSession, sf_dir: str, **more: float) -> tuple[DataFrame, D
     """(components, labelled nodes, labelled arcs) of all embeddings, labels proven to a gap of 0.01."""
     tracker = replace(WIDE, **more)
     nodes, arcs = tracker.build_graph(emb(spark, sf_dir))
-    labelled, used = tracker.infer(nodes, arcs)
-    links = used.select(F.col("a").alias("src"), F.col("b").alias("dst"), "active", "distance")
-    return graph.components(labelled.select("node"), links), labelled, links
+    of, labelled, used = tracker.infer_components(nodes, arcs)
+    return of, labelled, used.select(F.col("a").alias("src"), F.col("b").alias("dst"), "active", "distance")
 
 
 def _proofs(of: DataFrame, labelled: DataFrame, links: DataFrame) -> DataFrame:

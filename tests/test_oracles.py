@@ -38,6 +38,14 @@ def test_rounded_zeros_keep_their_sign(spark, tmp_path, name):
     assert differences(spark, name, tmp_path, embeddings=spark.createDataFrame(rows, EMBEDDINGS)) == (Counter(), Counter())
 
 
+def test_equal_values_are_ordered_as_in_sql(spark, tmp_path):
+    r, nan = random.Random(3), float("nan")
+    odd = [[None, nan, -0.0, 0.0, *[0.25, None, nan, -1.0] * 15], [1.0] * 64]
+    rows = [*odd, *[[r.randrange(k) / 8 for _ in range(64)] for k in (5, 40, 400) for _ in range(20)]]
+    rows = [(i, v, 0) for i, v in enumerate(rows)]
+    assert differences(spark, "argsort_reorder", tmp_path, embeddings=spark.createDataFrame(rows, EMBEDDINGS).coalesce(1)) == (Counter(), Counter())
+
+
 @pytest.mark.parametrize("name", ["chaingraph_events", "ctrack_events"])
 def test_equal_costs_take_the_first_arcs(spark, tmp_path, name):
     # one detection, two at one place next, two at one place then; a and b to c and d on a line

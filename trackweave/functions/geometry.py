@@ -88,8 +88,8 @@ class FieldOfView:
 
 
 def sort_indices(values: Column) -> Column:
-    """Positions of an array's values in ascending order of value, then of position."""
-    return F.transform(F.sort_array(F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("i")))), lambda s: s["i"])
+    """Positions of an array's values in ascending order of value, then of position; missing ones come last."""
+    return F.transform(F.sort_array(F.transform(values, lambda v, i: F.struct(v.isNull().alias("missing"), v.alias("v"), i.alias("i")))), lambda s: s["i"])
 
 
 def reorder(values: Column, order: Column) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from trackweave.functions import calculators as calc
 from trackweave.functions import energies as en
-from trackweave.functions.geometry import FieldOfView, Point, angle, distance, point, reorder, sort_indices
+from trackweave.functions.geometry import FieldOfView, Point, angle, distance, point, reorder
+from trackweave.functions.ordering import grade_up
 from trackweave.operators import candidates, classifier, detections, events, forest, graph, loglinear, mergers, pixels
 from trackweave.plans.trackers import ChaingraphTracker, ConservationTracker
 from trackweave.sources.adapters import detections_from_embeddings, detections_from_events
@@ -153,9 +154,8 @@ def largest_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("argsort_reorder", "SELECT vec_id AS id, list_grade_up(embedding) AS o, list_transform(list_grade_up(embedding), lambda i: round(embedding[i]::DOUBLE, 6)) AS v FROM embeddings".replace("list_grade_up(embedding) AS o", "list_transform(list_grade_up(embedding), lambda i: (i - 1)::INT) AS o"))
 def argsort_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = sort_indices(F.col("embedding"))
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return rows.select(F.col("vec_id").alias("id"), order.alias("o"), F.transform(reorder(F.col("embedding"), order), lambda v: signed_round(v.cast("double"), 6)).alias("v"))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", grade_up(F.col("embedding")).alias("o"))
+    return rows.select(F.col("vec_id").alias("id"), "o", F.transform(reorder(F.col("embedding"), F.col("o")), lambda v: signed_round(v.cast("double"), 6)).alias("v"))
 
 
 # field of view

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import duckdb
 import pytest
 
-from trackweave.operators import graph
+from trackweave.operators import crowds, graph
 from trackweave.plans import windows
 from trackweave.queries import ORACLES, QUERIES
 
@@ -81,6 +81,32 @@ def test_flat_mixtures_and_short_frames(spark, tmp_path, name):
     assert differences(spark, name, tmp_path, embeddings=spark.createDataFrame(rows, EMBEDDINGS)) == (Counter(), Counter())
 
 
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+@pytest.mark.parametrize("most_rows", [10, 60, 1 << 17])
+def test_crowds_in_small_cells(spark, tmp_path, monkeypatch, most_rows):
+    """Queries near the border of a cell, in empty ones and far from all; crowds on a line, many at one place."""
+    r, at = random.Random(5), datetime(2024, 1, 1)
+    places = [(r.randrange(2000), r.randrange(500)) for _ in range(330)] + [(777, 7)] * 90 + [(k * 100, 300) for k in range(60)] + [(r.randrange(200_000), r.randrange(90_000)) for _ in range(60)]
+    rows = [(k, at + timedelta(hours=k % 72), u, "view", v / 10, "") for k, (u, v) in enumerate(places)]
+    # a day's users all lie apart from those of the next one
+    rows += [(1000 + k, at + timedelta(hours=96 + 24 * (k % 2)), 30_000 * (k % 2) + k, "view", k / 10, "") for k in range(200)]
+    monkeypatch.setattr(crowds, "MOST_ROWS", most_rows)
+    assert differences(spark, "arcs_crowded", tmp_path, events=spark.createDataFrame(rows, EVENTS)) == (Counter(), Counter())
+
+
+def test_crowds_shuffle_few_bytes(spark, tmp_path):
+    n = 48_000
+    rows = spark.range(n).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, id % 96) AS ts", "id * 7919 % 1500 AS user_id", "'view' AS event_type", "id * 104729 % 17792 / 100.0D AS value", "'' AS props")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    on_disk = lambda: sum(files.getAllFiles().apply(k).length() for k in range(files.getAllFiles().size()))
+    before = on_disk()
+    assert QUERIES["arcs_crowded"](spark, str(tmp_path)).count() == 3 * n * 3 // 4
+    assert on_disk() - before < 100 * n
+
+
 def test_windows_are_dealt_by_their_number(spark, tmp_path, capsys, monkeypatch):
     """Tasks follow from windows, not from the few bytes that these shuffle; components are found once."""
     r = random.Random(2)

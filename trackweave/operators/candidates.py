@@ -6,8 +6,7 @@ is compared with itself as a whole. Axes along which all detections lie within t
 radius need no grid. Distances on the radius count; ties go by id.
 
 Where a cell holds many detections, nearest neighbours are not sought among all pairs in
-range: cells are halved until a query's own cell holds just enough, the distance to its
-k-th there bounds the search, and only cells within that distance are met.
+range: see :mod:`trackweave.operators.crowds`.
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.functions.geometry import Point, point, squared_distance
+from trackweave.operators import crowds
 
 
 @dataclass(frozen=True)
@@ -78,38 +78,19 @@ def crowded(targets: DataFrame, at: Point, radius: float, k: int, axes: tuple[in
     return 0 if most <= CROWD * max(k, 1) else min(MOST_LEVELS, (most // max(k, 1)).bit_length() + 1)
 
 
-def nearest_in_range(queries: DataFrame, targets: DataFrame, at: Point, to: Point, radius: float, shift: int, k: Column | int, most: int, levels: int) -> DataFrame:
+def nearest_in_range(queries: DataFrame, targets: DataFrame, at: Point, to: Point, radius: float, shift: int, k: Column | int, most: int, levels: int = MOST_LEVELS) -> DataFrame:
     """(timestep, id, other_timestep, other, d2, rank) of up to ``k`` (``most`` at most) nearest targets in range of each query.
 
-    ``levels`` as :func:`crowded` says. Of targets at one place only the first ``most`` by
-    id can be among the nearest of any query.
+    Cells that hold many are halved, ``levels`` times at most. Of targets at one place only
+    the first ``most`` by id can be among the nearest of any query.
     """
-    size = radius or 1.0
-    width = lambda level: F.lit(size) / F.pow(F.lit(2.0), level)
-    cells = lambda prefix: [f"{prefix}{a}" for a in range(3)]
-    place = [f"t{a}" for a in range(3)]
-    t = targets.select(F.col("timestep").alias("other_timestep"), F.col("id").alias("other"), *[c.alias(n) for n, c in zip(place, to, strict=True)])
-    t = t.withColumn("_r", F.row_number().over(Window.partitionBy("other_timestep", *place).orderBy("other"))).where(F.col("_r") <= most).drop("_r")
-    q = queries.select("timestep", "id", (F.col("timestep") + shift).alias("other_timestep"), *[c.alias(f"q{a}") for a, c in enumerate(at)], (F.lit(k) if isinstance(k, int) else k).alias("k"))
-    at_level = lambda rows, p: rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumns({f"c{a}": F.floor(F.col(f"{p}{a}") / width(F.col("level"))) for a in range(3)})
-    key = ["other_timestep", "level", *cells("c")]
-    counts = at_level(t, "t").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 1)
-    # the smallest cell of a query that holds enough targets
-    own = at_level(q, "q").join(counts.hint("merge"), key).where(F.col("n") >= F.col("k")).groupBy("timestep", "id").agg(F.max("level").alias("level"))
-    placed = q.join(own.hint("merge"), ["timestep", "id"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
-    # targets are needed in cells of the levels in use only
-    used = placed.select("other_timestep", "level").distinct()
-    t = at_level(t, "t").join(used, ["other_timestep", "level"], "left_semi")
-    d2 = squared_distance(tuple(F.col(f"q{a}") for a in range(3)), tuple(F.col(f"t{a}") for a in range(3)))
-    here = placed.where(F.col("level") > 0).withColumns({f"c{a}": F.floor(F.col(f"q{a}") / width(F.col("level"))) for a in range(3)}).join(t.hint("merge"), key)
-    first = Window.partitionBy("timestep", "id").orderBy("d2", "other")
-    reach = here.withColumn("d2", d2).withColumn("r", F.row_number().over(first)).where(F.col("r") == F.col("k")).select("timestep", "id", F.least("d2", F.lit(radius * radius)).alias("reach2"))
-    near = placed.join(reach.hint("merge"), ["timestep", "id"], "left").withColumn("reach2", F.coalesce("reach2", F.lit(radius * radius)))
-    for a in range(3):  # a little more, so that rounding leaves no cell out
-        far, w = F.sqrt("reach2") * (1 + 1e-9), width(F.col("level"))
-        near = near.withColumn(f"c{a}", F.explode(F.sequence(F.floor((F.col(f"q{a}") - far) / w), F.floor((F.col(f"q{a}") + far) / w))))
-    met = near.join(t.hint("merge"), key).withColumn("d2", d2).where(F.col("d2") <= F.col("reach2"))
-    return met.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= F.col("k")).select("timestep", "id", "other_timestep", "other", "d2", "rank")
+    placed = lambda rows, frame, role, where, n: rows.select(frame.cast("int").alias("frame"), F.lit(role).alias("role"), F.col("id").cast("long").alias("id"), *[c.cast("double").alias(a) for a, c in zip("xyz", where, strict=True)], n.cast("double").alias("k"))
+    q = placed(queries, F.col("timestep") + shift, crowds.QUERY, at, F.lit(k) if isinstance(k, int) else k)
+    t = placed(targets, F.col("timestep"), crowds.TARGET, to, F.lit(0))
+    # who has no place is near nobody
+    rows = q.where("k >= 1").unionByName(t).where(" AND ".join(f"abs({a}) < double('infinity')" for a in "xyz"))
+    cells = crowds.cells_of(rows, radius or 1.0, levels)
+    return crowds.Search(cells, radius, shift, most).run(rows)
 
 
 def count_in_range(queries: DataFrame, targets: DataFrame, radius: float, shift: int = 1, reverse: bool = False) -> DataFrame:
@@ -137,11 +118,11 @@ def arcs(detections: DataFrame, options: Candidates | None = None) -> DataFrame:
         k = F.when(p > o.division_threshold, 2).otherwise(o.neighbours)
     most = max(2, o.neighbours) if isinstance(k, Column) else k
     # many detections in one cell: each side seeks its nearest, not all pairs in range
-    if levels := crowded(rows, point(), o.radius, most, axes):
+    if crowded(rows, point(), o.radius, most, axes):
         plain, shifted = point(), point(suffix="_corr")
-        chosen = nearest_in_range(rows, rows, shifted, plain, o.radius, 1, k, most, levels).drop("rank")
+        chosen = nearest_in_range(rows, rows, shifted, plain, o.radius, 1, k, most).drop("rank")
         if o.forward_backward:
-            behind = nearest_in_range(rows, rows, plain, shifted, o.radius, -1, o.neighbours, o.neighbours, levels)
+            behind = nearest_in_range(rows, rows, plain, shifted, o.radius, -1, o.neighbours, o.neighbours)
             turned = behind.select(F.col("other_timestep").alias("timestep"), F.col("other").alias("id"), F.col("timestep").alias("other_timestep"), F.col("id").alias("other"), "d2")
             chosen = chosen.unionByName(turned).dropDuplicates(["timestep", "id", "other_timestep", "other"])
         return _found(chosen)
